@@ -151,14 +151,17 @@ def ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, al
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the smallest log-loss, by golden-section search over its logarithm."""
-    if not len(y):
+    """The temperature with the smallest log-loss, by golden-section search over its logarithm. Targets are
+    smoothed by one row, so that a sample without errors doesn't make every score 1."""
+    if not len(y) or logits.shape[1] < 2:
         return 1.0
+    target = np.full(logits.shape, 1 / (len(y) + 2) / (logits.shape[1] - 1))
+    target[np.arange(len(y)), y] = 1 - 1 / (len(y) + 2)
 
     def loss(log_t: float) -> float:
         s = logits / np.exp(log_t)
         s = s - s.max(1, keepdims=True)
-        return float(-(s[np.arange(len(y)), y] - np.log(np.exp(s).sum(1))).mean())
+        return float(-(target * (s - np.log(np.exp(s).sum(1))[:, None])).sum(1).mean())
 
     a, b = np.log(0.05), np.log(20.0)
     for _ in range(40):

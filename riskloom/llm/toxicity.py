@@ -31,7 +31,7 @@ from riskloom.llm.licenses import words_of
 BITS = 20
 SAMPLE_ROWS = 12_000
 #: A bucket is kept with at least so many rows and such a chi-square statistic; at most so many are.
-MIN_ROWS, MIN_CHI2, MAX_TERMS = 5, 20.0, 4096
+MIN_ROWS, MIN_CHI2, MAX_TERMS = 4, 20.0, 4096
 CACHE_WORDS = 400_000
 
 
@@ -115,7 +115,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "
 
     # the chosen rows are bounded by `rows`, so they go to every task and the texts stay where they are
     joined = df.select(F.col(key).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(wanted), "k").select("k", "y", "t")
-    table = map_slices(joined, lambda b: run(b), T._parse_datatype_string("y double, terms binary")).toArrow()
+    table = map_slices(joined, run, T._parse_datatype_string("y double, terms binary")).toArrow()
     order = sorted(zip(table.column("terms").to_pylist(), table.column("y").to_pylist(), strict=True))
     return fit_machine([np.frombuffer(t, "<u4").astype(np.int64) for t, _ in order], np.array([y for _, y in order]))
 

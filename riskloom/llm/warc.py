@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.session import ship
+from riskloom.session import materialize, ship
 
 TERMINATOR = "\r\n\r\n"
 #: Pages per archive file.
@@ -59,6 +59,8 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "20
     light = pages.select(F.col(page_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     light = light.withColumn("digest", sha1_base32(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
     first = light.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    # as a table, so that the join can split a payload that many pages share
+    first = materialize(first, "digests")
     rows = light.join(first, "digest", "left")
     url = F.replace(F.replace(F.coalesce(F.col("url"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = F.col("first_page").isNotNull() & ~F.col("first_page").eqNullSafe(F.col("page_id"))
