@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,11 +15,15 @@ from riskloom.session import ship
 
 #: Rows that a Python operator handles at once; results leave in pieces of this size.
 SLICE = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType, rows: int = SLICE) -> DataFrame:
     """mapInArrow over slices of at most `rows` rows."""
     ship(df.sparkSession)
+    conf = df.sparkSession.conf
+    if int(conf.get(ARROW_ROWS)) == 10_000:  # Spark's own default: batches of long texts would take much memory
+        conf.set(ARROW_ROWS, str(2 * SLICE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,13 +60,68 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
 _PROCESS: dict = {}
 
 
-def per_process(key: str, make: Callable[[], object]) -> object:
-    """make() once per worker process and key; only the newest few are kept."""
-    if key not in _PROCESS:
-        while len(_PROCESS) >= 3:
-            _PROCESS.pop(next(iter(_PROCESS)))
-        _PROCESS[key] = make()
-    return _PROCESS[key]
+def per_process(kind: str, key: str, make: Callable[[], object]) -> object:
+    """make() once per worker process for this key; a new key of the same kind takes the place of the old."""
+    if _PROCESS.get(kind, (None,))[0] != key:
+        _PROCESS.pop(kind, None)
+        _PROCESS[kind] = (key, make())
+    return _PROCESS[kind][1]
+
+
+class WordStore:
+    """Integer ids of words, learnt once per distinct word while the store holds it.
+
+    learn(words) gives the flat ids of these words and their number per word. The store starts anew
+    when it holds more than `limit` words or `chars` characters.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 250_000, chars: int = 8_000_000):
+        self.learn, self.limit, self.chars = learn, limit, chars
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.start, self.count, self.held = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Each word's place in the store; the places hold until the next call."""
+        if len(self.place) > self.limit or self.held > self.chars:
+            self.clear()
+        new = list(set(words).difference(self.place))
+        if new:
+            flat, count = self.learn(new)
+            self.place.update(zip(new, range(len(self.start), len(self.start) + len(new)), strict=True))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+            self.held += sum(map(len, new))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the words at these places, and their number per word."""
+        return ragged(self.flat, self.start[places], self.count[places]), self.count[places]
+
+
+def ragged(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """flat[start:start + count] of each row, one after the other."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(start - ends + count, count) + np.arange(total)]
+
+
+def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums over consecutive runs of these lengths."""
+    total = np.append(0, np.cumsum(values))
+    ends = np.cumsum(lengths)
+    return total[ends] - total[ends - lengths]
+
+
+def split_on_space(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Parts of each text between single spaces: flat codes, number per text, and the distinct parts."""
+    parts = pc.split_pattern(texts.fill_null(""), " ")
+    counts = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = parts.flatten().dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts, coded.dictionary.to_pylist()
 
 
 class Shared:

@@ -95,7 +95,7 @@ def document_frequencies(df: DataFrame, text_col: str = "text") -> tuple[int, np
     """Number of documents with a letter, and in how many each bucket occurs."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        store: Grams = per_process("language n-grams", Grams)
+        store: Grams = per_process("language n-grams", "", Grams)
         split = store.of([words_of(t) for t in texts_of(batch, text_col)])
         seen = np.zeros(BUCKETS + 1, np.int64)
         for words in split:
@@ -183,7 +183,7 @@ def fit(df: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: st
     share = F.element_at(F.create_map(*(x for name in languages for x in (F.lit(name), F.lit(min(1.0, rows / sizes[name]))))), F.col("l"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        store: Grams = per_process("language n-grams", Grams)
+        store: Grams = per_process("language n-grams", "", Grams)
         ids, counts = [], []
         for words in store.of([words_of(t) for t in texts_of(batch, "t")]):
             x, n = np.unique(store.flat(words), return_counts=True)
@@ -240,7 +240,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", out_col: str =
     schema = T.StructType([*(df.schema[c] for c in passed), T.StructField(out_col, T.StringType(), False), T.StructField(score_col, T.DoubleType(), False)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scorer: Scorer = per_process(f"language scorer {shared.id}", lambda: Scorer(shared.value))
+        scorer: Scorer = per_process("language scorer", shared.id, lambda: Scorer(shared.value))
         split = [words_of(t) for t in texts_of(batch, text_col)]
         known = scorer.model.languages
         if known:

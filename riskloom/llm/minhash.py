@@ -115,7 +115,7 @@ def signatures(df: DataFrame, key: str, text_col: str, size: int) -> DataFrame:
     schema = T.StructType([df.schema[key], T.StructField("n_shingles", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words: Words = per_process("shingle words", Words)
+        words: Words = per_process("shingle words", "", Words)
         counts, digests, bands, packed = [], [], [], []
         for text in texts_of(batch, text_col):
             parts = words.split(text)
@@ -154,7 +154,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text_col: str, size: in
     texts = docs.select(F.col(key).alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words: Words = per_process("shingle words", Words)
+        words: Words = per_process("shingle words", "", Words)
         out = [shingles(words.hashes(words.split(t)), size).astype("<u8").tobytes() for t in texts_of(batch, "t")]
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "found"])
 

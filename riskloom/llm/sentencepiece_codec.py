@@ -17,16 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from riskloom.llm.common import Shared, kept_fields, list_array, map_slices, per_process, texts_of
+from riskloom.llm.common import Shared, WordStore, kept_fields, list_array, map_slices, per_process, segment_sums, split_on_space
 
 SPACE = "▁"
 NO_PAIR = np.iinfo(np.int32).max
 WIDTH = 1 << 21  # more than any vocabulary here plus all code points
-#: Words kept with their ids per Python worker, and their characters; then the store starts anew.
-CACHE_WORDS, CACHE_CHARS = 300_000, 16_000_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -56,20 +55,48 @@ def _fields(data: bytes):
         yield tag >> 3, value
 
 
+class PairTable:
+    """Pairs of symbols with their rank and merged symbol, found by hashing with linear probing."""
+
+    def __init__(self, keys: list[int], ranks: list[int], merged: list[int]):
+        bits = max(4, (8 * len(keys) - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.ranks = np.full(1 << bits, NO_PAIR, np.int32)
+        self.merged = np.full(1 << bits, -1, np.int32)
+        for key, slot, rank, to in zip(keys, self._slots(np.array(keys, np.int64)).tolist(), ranks, merged, strict=True):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & self.mask
+            self.keys[slot], self.ranks[slot], self.merged[slot] = key, rank, to
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged symbol of each pair; NO_PAIR where there is none or where `joined` is false."""
+        keys = left * WIDTH + right
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & self.mask
+            held = self.keys[slots[open_]]
+            open_ = open_[(held != keys[open_]) & (held >= 0)]
+        hit = joined & (self.keys[slots] == keys)
+        return np.where(hit, self.ranks[slots], NO_PAIR), np.where(hit, self.merged[slots], -1)
+
+
 @dataclass(frozen=True)
 class PieceTable:
-    """What encoding and decoding need of a model; a few MB, fixed by the vocabulary."""
+    """What encoding and decoding need of a model; some MB, fixed by the vocabulary."""
 
     pieces: list[str]
     kinds: np.ndarray
-    pair_keys: np.ndarray  # sorted left * WIDTH + right
-    pair_ranks: np.ndarray
-    pair_ids: np.ndarray
-    chars: dict[int, int]  # code point -> symbol
+    pairs: PairTable
+    chars: np.ndarray  # symbol of each code point; len(pieces) + code point for an unknown one
     byte_ids: np.ndarray  # id of each byte piece, -1 without
     unknown: int
     dummy_prefix: bool
-    break_newline: bool  # no longer piece holds a newline, so words may end there
 
     @property
     def size(self) -> int:
@@ -98,7 +125,7 @@ def load_pieces(path: str) -> PieceTable:
     normal = [i for i, k in enumerate(kinds) if k == NORMAL]
     ids = {pieces[i]: i for i in normal}
     order = {s: r for r, s in enumerate(sorted({scores[i] for i in normal}, reverse=True))}
-    chars: dict[int, int] = {}
+    chars = np.arange(0x110000, dtype=np.int32) + len(pieces)
     for text, i in ids.items():
         if len(text) == 1:
             chars[ord(text)] = i
@@ -111,131 +138,125 @@ def load_pieces(path: str) -> PieceTable:
                 keys.append(left * WIDTH + right)
                 ranks.append(order[scores[i]])
                 merged.append(i)
-    by = np.argsort(np.array(keys, np.int64), kind="stable")
     byte_ids = np.full(256, -1, np.int32)
     for i, k in enumerate(kinds):
         if k == BYTE:
             byte_ids[int(pieces[i][3:5], 16)] = i
-    return PieceTable(
-        pieces, np.array(kinds, np.int8), np.array(keys, np.int64)[by], np.array(ranks, np.int32)[by], np.array(merged, np.int32)[by],
-        chars, byte_ids, next((i for i, k in enumerate(kinds) if k == UNKNOWN), 0), dummy, not any("\n" in t for t in ids if len(t) > 1),
-    )
-
-
-def _pairs(table: PieceTable, left: np.ndarray, right: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rank and merged id of each pair; NO_PAIR where there is none or where `joined` is false."""
-    key = left.astype(np.int64) * WIDTH + right
-    at = np.minimum(np.searchsorted(table.pair_keys, key), len(table.pair_keys) - 1)
-    found = joined & (table.pair_keys[at] == key)
-    return np.where(found, table.pair_ranks[at], NO_PAIR), np.where(found, table.pair_ids[at], -1)
-
-
-def merge_words(words: list[str], table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all words after merging, flat, and their number per word. An unknown character
-    is the symbol table.size + its code point."""
-    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    distinct, inverse = np.unique(points, return_inverse=True)
-    sym = np.array([table.chars.get(int(p), table.size + int(p)) for p in distinct], np.int64)[inverse] if len(points) else points
-    word = np.repeat(np.arange(len(words)), lengths)
+    unknown = next((i for i, k in enumerate(kinds) if k == UNKNOWN), 0)
+    return PieceTable(pieces, np.array(kinds, np.int8), PairTable(keys, ranks, merged), chars, byte_ids, unknown, dummy)
+
+
+def merge_symbols(sym: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all words after merging, flat, and their number per word; sym: the words' symbols, lengths: per word."""
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    sym = sym.astype(np.int64)
     done_sym, done_word = [], []
     if len(sym):
-        same = np.append(word[1:] == word[:-1], False)
-        rank, merged = _pairs(table, sym, np.append(sym[1:], 0), same)
+        rank, merged = pairs.find(sym, np.append(sym[1:], 0), np.append(word[1:] == word[:-1], False))
     while len(sym):
         starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         sizes = np.diff(np.append(starts, len(sym)))
         least = np.minimum.reduceat(rank, starts)
-        if (least == NO_PAIR).any():
-            out = np.repeat(least == NO_PAIR, sizes)
+        ended = least == NO_PAIR
+        if ended.any():
+            out = np.repeat(ended, sizes)
             done_sym.append(sym[out])
             done_word.append(word[out])
             stay = ~out
             sym, word, rank, merged = sym[stay], word[stay], rank[stay], merged[stay]
-            sizes, least = sizes[least != NO_PAIR], least[least != NO_PAIR]
+            sizes, least = sizes[~ended], least[~ended]
             if not len(sym):
                 break
         least = np.repeat(least, sizes)
         hit = np.flatnonzero(rank == least)
         # every second place of a run of overlapping ones, from the left
-        run = np.append(True, np.diff(hit) > 1)
-        first = np.flatnonzero(run)
+        first = np.flatnonzero(np.append(True, np.diff(hit) > 1))
         hit = hit[(np.arange(len(hit)) - np.repeat(first, np.diff(np.append(first, len(hit))))) % 2 == 0]
-
-        def born(at: np.ndarray) -> np.ndarray:
-            """Whether a pair that merging at these places makes, in turn from the left, ranks as early as they do."""
-            after = sym.copy()
-            after[at] = merged[at]
-            left = np.maximum(at - 1, 0)
-            prior = np.where(np.isin(left, at + 1), np.maximum(at - 2, 0), left)
-            ok = (at > 0) & (word[left] == word[at])
-            one, _ = _pairs(table, after[prior], merged[at], ok)
-            right = np.minimum(at + 2, len(sym) - 1)
-            two, _ = _pairs(table, merged[at], sym[right], (at + 2 < len(sym)) & (word[right] == word[at]))
-            return np.minimum(one, two) <= least[at]
-
-        early = born(hit)
+        # a pair born in this round, in turn from the left, that ranks as early as the round
+        after = sym.copy()
+        after[hit] = merged[hit]
+        second = np.zeros(len(sym), bool)
+        second[hit + 1] = True
+        left = np.maximum(hit - 1, 0)
+        prior = np.where(second[left], np.maximum(hit - 2, 0), left)
+        one, _ = pairs.find(after[prior], after[hit], (hit > 0) & (word[left] == word[hit]))
+        right = np.minimum(hit + 2, len(sym) - 1)
+        two, _ = pairs.find(after[hit], sym[right], (hit + 2 < len(sym)) & (word[right] == word[hit]))
+        early = np.minimum(one, two) <= least[hit]
         if early.any():
-            bad = np.isin(word[hit], word[hit[early]])
-            leftmost = np.append(True, word[hit][1:] != word[hit][:-1])
-            hit = hit[~bad | leftmost]
+            bad = np.zeros(len(lengths), bool)
+            bad[word[hit[early]]] = True
+            hit = hit[~bad[word[hit]] | np.append(True, word[hit][1:] != word[hit][:-1])]
         sym[hit] = merged[hit]
         keep = np.ones(len(sym), bool)
         keep[hit + 1] = False
         place = (np.cumsum(keep) - 1)[hit]
         sym, word, rank, merged = sym[keep], word[keep], rank[keep], merged[keep]
-        touched = np.unique(np.concatenate([place, np.maximum(place - 1, 0)]))
-        nxt = np.minimum(touched + 1, len(sym) - 1)
-        rank[touched], merged[touched] = _pairs(table, sym[touched], sym[nxt], (touched + 1 < len(sym)) & (word[nxt] == word[touched]))
+        touched = np.zeros(len(sym), bool)
+        touched[place] = True
+        touched[np.maximum(place - 1, 0)] = True
+        touched = np.flatnonzero(touched)
+        after = np.minimum(touched + 1, len(sym) - 1)
+        rank[touched], merged[touched] = pairs.find(sym[touched], sym[after], (touched + 1 < len(sym)) & (word[after] == word[touched]))
     if not done_sym:
-        return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        return np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
     flat, owner = np.concatenate(done_sym), np.concatenate(done_word)
-    by = np.argsort(owner, kind="stable")
-    return flat[by], np.bincount(owner, minlength=len(words))
+    return flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(lengths))
 
 
 class Encoder:
-    """Encodes texts word by word; each distinct word is merged once while the store holds it."""
+    """Encodes texts word by word; each distinct word is merged once while the store holds it.
+
+    A word is a run of spaces and what follows up to the next space. In a text without leading, trailing or double
+    spaces those are the parts between spaces, each with one space before it.
+    """
 
     def __init__(self, table: PieceTable):
         self.table = table
-        stop = "\n" if table.break_newline else ""
-        self.words = re.compile(f"{SPACE}*[^{SPACE}{stop}]+|{SPACE}+" + ("|\n" if stop else ""))
-        self.store: dict[str, bytes] = {}
-        self.chars = 0
+        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.store = WordStore(self._learn)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        flat, counts = merge_symbols(self.table.chars[points], np.fromiter(map(len, words), np.int64, len(words)), self.table.pairs)
+        alien = flat >= self.table.size
+        if not alien.any():
+            return flat, counts
+        ids = {s: self._bytes_of(s) for s in set(flat[alien].tolist())}
+        width = np.ones(len(flat), np.int64)
+        width[alien] = [len(ids[s]) for s in flat[alien].tolist()]
+        out, at = np.repeat(flat, width), np.cumsum(width) - width
+        for k in np.flatnonzero(alien).tolist():
+            out[at[k] : at[k] + width[k]] = ids[int(flat[k])]
+        return out, segment_sums(width, counts)
 
     def _bytes_of(self, symbol: int) -> list[int]:
         ids = [int(self.table.byte_ids[b]) for b in chr(symbol - self.table.size).encode("utf-8", "surrogatepass")]
         return [self.table.unknown] if -1 in ids else ids
 
-    def _learn(self, words: list[str]) -> None:
-        flat, counts = merge_words(words, self.table)
-        ends = np.cumsum(counts)
-        alien = np.zeros(len(flat) + 1, np.int64)
-        np.cumsum(flat >= self.table.size, out=alien[1:])
-        small = np.minimum(flat, self.table.size).astype("<i4")
-        for word, end, count in zip(words, ends.tolist(), counts.tolist(), strict=True):
-            if alien[end] == alien[end - count]:
-                self.store[word] = small[end - count : end].tobytes()
-            else:
-                ids: list[int] = []
-                for s in flat[end - count : end].tolist():
-                    ids.extend([s] if s < self.table.size else self._bytes_of(s))
-                self.store[word] = np.array(ids, "<i4").tobytes()
-            self.chars += len(word)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and their number per text."""
-        prefix = SPACE if self.table.dummy_prefix else ""
-        split = [self.words.findall((prefix + t).replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.store) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self.store.clear()
-            self.chars = 0
-        new = set().union(*split).difference(self.store)
-        if new:
-            self._learn(list(new))
-        parts = [b"".join(map(self.store.__getitem__, words)) for words in split]
-        return np.frombuffer(b"".join(parts), "<i4"), np.fromiter((len(p) >> 2 for p in parts), np.int64, len(parts))
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.fill_null("")
+        plain = pc.replace_substring(texts, SPACE, " ")
+        codes, counts, parts = split_on_space(plain)
+        empty = np.fromiter((not p for p in parts), bool, len(parts))
+        odd = segment_sums(empty[codes].astype(np.int64), counts) > 0
+        names = [SPACE + p for p in parts]
+        if not self.table.dummy_prefix:
+            odd[:] = True
+        if odd.any():  # their words are found one text at a time
+            place = {w: k for k, w in enumerate(names)}
+            each, numbers = np.split(codes, np.cumsum(counts)[:-1]), counts.copy()
+            prefix = SPACE if self.table.dummy_prefix else ""
+            for k in np.flatnonzero(odd).tolist():
+                text = plain[k].as_py()
+                found = [place.setdefault(w, len(place)) for w in self.words.findall((prefix + text).replace(" ", SPACE))] if text else []
+                each[k], numbers[k] = np.array(found, np.int64), len(found)
+            codes, counts, names = np.concatenate(each), numbers, list(place)
+        used, inverse = np.unique(codes, return_inverse=True)
+        places = self.store.places([names[k] for k in used.tolist()])
+        flat, lengths = self.store.gather(places[inverse])
+        return flat, segment_sums(lengths, counts)
 
 
 class Decoder:
@@ -300,8 +321,8 @@ def encode(df: DataFrame, table: PieceTable, text_col: str = "text", out_col: st
     shared = Shared(df.sparkSession, table)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = per_process(f"sentencepiece encoder {shared.id}", lambda: Encoder(shared.value))
-        flat, counts = encoder.encode(texts_of(batch, text_col))
+        encoder = per_process("sentencepiece encoder", shared.id, lambda: Encoder(shared.value))
+        flat, counts = encoder.encode(batch.column(text_col))
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), list_array(flat, counts, pa.int32())], [*passed, out_col])
 
     needed = [*passed, *([] if text_col in passed else [text_col])]
@@ -315,7 +336,7 @@ def decode(df: DataFrame, table: PieceTable, ids_col: str = "ids", out_col: str
     shared = Shared(df.sparkSession, table)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        decoder = per_process(f"sentencepiece decoder {shared.id}", lambda: Decoder(shared.value))
+        decoder = per_process("sentencepiece decoder", shared.id, lambda: Decoder(shared.value))
         ids = batch.column(ids_col)
         counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         texts = decoder.decode(ids.flatten().to_numpy(zero_copy_only=False), counts)

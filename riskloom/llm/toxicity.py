@@ -128,7 +128,7 @@ def score(df: DataFrame, model: FactorizationMachine, text_col: str = "text", ou
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         machine: FactorizationMachine = shared.value
-        store: dict[bytes, tuple[int, ...]] = per_process(f"terms {shared.id}", dict)
+        store: dict[bytes, tuple[int, ...]] = per_process("terms", shared.id, dict)
         if len(store) > CACHE_WORDS:
             store.clear()
         out = []
