@@ -51,7 +51,7 @@ def correlations(df: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
         up = Window.partitionBy(*groups).orderBy(c)
         peers = Window.partitionBy(*groups, c)
         d = d.withColumn(f"_r{c}", F.rank().over(up) + (F.count(F.lit(1)).over(peers) - 1) / 2.0)
-    rho = lambda x, y: F.when((F.count(F.lit(1)) < 3) | (F.stddev_pop(x) < 1e-12) | (F.stddev_pop(y) < 1e-12), 0.0).otherwise(F.corr(x, y))
+    rho = lambda x, y: F.when((F.count(F.lit(1)) < 3) | (F.stddev_pop(x) < 1e-12) | (F.stddev_pop(y) < 1e-12), 0.0).otherwise(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
     return d.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), rho("_a", "_b").alias("pearson"), rho("_r_a", "_r_b").alias("spearman"))
 
 
