@@ -6,9 +6,10 @@
 3. Documents that share a band key are candidates. In a first round each takes the best of the smallest
    documents of its buckets, by the collision-corrected similarity that bit counts of the signatures give.
    Confirmed pairs are joined into components.
-4. In a second round buckets that still hold several components are compared block by block across
-   components; only pairs whose estimate reaches the threshold less MARGIN standard errors leave the
-   join. So every candidate pair is either within a component, confirmed, or ruled out.
+4. In a second round buckets that still hold several components are compared block by block. A semi-join keeps
+   the documents with a partner in another component whose estimate reaches the threshold less MARGIN standard
+   errors; tasks intersect the full sets of two blocks and return a spanning forest of the links between
+   components. So every candidate pair is within a component, confirmed, or ruled out, and no list of pairs is ever made.
 
 A pair at the threshold shares a band with probability 1 - (1 - 0.75 ** 5) ** 48 > 0.999997. Pairs are linked only if
 their full sets pass.
@@ -37,8 +38,8 @@ KS = ROWS * BANDS
 LONGS = KS * BITS // 64
 #: Standard errors by which an estimate may fall short before a candidate is ruled out.
 MARGIN = 6.0
-#: Documents of a bucket that are compared with each other in one block.
-BLOCK = 256
+#: Documents of a bucket that meet in one task, and those of them that one matrix product compares.
+BLOCK, PRODUCT = 1024, 256
 CACHE_WORDS = 400_000
 #: A-Z become lower case; blanks stay blanks.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -148,30 +149,116 @@ def estimate(one: str, other: str) -> Column:
     return ((F.lit(KS) - reduce(Column.__add__, differ)) / F.lit(float(KS)) - F.lit(chance)) / F.lit(1 - chance)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, key: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full shingle sets pass."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
+def full_sets(ids: DataFrame, docs: DataFrame, key: str, text_col: str, size: int) -> DataFrame:
+    """(id, found): the full shingle sets of these documents."""
+    texts = docs.select(F.col(key).alias("id"), F.col(text_col).alias("t")).join(ids.hint("merge"), "id", "left_semi")
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
         words: Words = per_process("shingle words", "", Words)
         out = [shingles(words.hashes(words.split(t)), size).astype("<u8").tobytes() for t in texts_of(batch, "t")]
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "found"])
 
-    sets = materialize(map_slices(texts, build, T.StructType([T.StructField("id", T.LongType()), T.StructField("found", T.BinaryType())])), "sets")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("found", T.BinaryType())])
+    return materialize(map_slices(texts, build, schema).groupBy("id").agg(F.min("found").alias("found")), "sets")
+
+
+def passes(shared: np.ndarray | int, one: np.ndarray | int, other: np.ndarray | int, percent: int):
+    return (shared > 0) & (100 * shared >= percent * (one + other - shared))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose full shingle sets pass."""
     wide = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("found").alias("y")), "b")
 
     def test(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
             x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
+            good.append(bool(passes(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)))
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return map_slices(wide.select("a", "b", "x", "y"), test, T._parse_datatype_string("a long, b long"), rows=256).distinct()
 
 
+def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right set, by products of incidence matrices of bounded width."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    for at in range(0, len(common), width):
+        part = common[at : at + width]
+
+        def incidence(sets: list[np.ndarray], part: np.ndarray = part) -> np.ndarray:
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for k, s in enumerate(sets):
+                place = np.minimum(np.searchsorted(part, s), len(part) - 1)
+                m[k, place[part[place] == s]] = 1
+            return m
+
+        out += incidence(left) @ incidence(right).T
+    return out.astype(np.int64)
+
+
+def links_across(ids: list[int], parts: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between documents of different components."""
+    root = {c: c for c in parts}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out, sizes = [], np.array([len(s) for s in sets])
+    for at in range(0, len(ids), PRODUCT):
+        for to in range(at, len(ids), PRODUCT):
+            shared = intersections(sets[at : at + PRODUCT], sets[to : to + PRODUCT])
+            for i, j in zip(*np.nonzero(passes(shared, sizes[at : at + PRODUCT, None], sizes[None, to : to + PRODUCT], percent)), strict=True):
+                i, j = int(i) + at, int(j) + to
+                p, q = find(parts[i]), find(parts[j])
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((ids[i], ids[j]))
+    return out
+
+
+def second_round(members: DataFrame, bits: DataFrame, labels: DataFrame, docs: DataFrame, key: str, text_col: str, size: int, percent: int, floor: float) -> DataFrame:
+    """(a, b): links that connect components which share a bucket."""
+    named = members.join(labels, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("c"))
+    mixed = materialize(named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"), "mixed")
+    rows = named.join(mixed, "band").join(bits, "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = materialize(rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "open")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.select("*", every.alias("j")).withColumnRenamed("own", "i")
+    right = rows.select("*", every.alias("i")).withColumnRenamed("own", "j")
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.c") != F.col("y.c")) & (estimate("x", "y") >= floor)
+    active = left.alias("x").join(right.alias("y"), met, "left_semi")
+    active = materialize(active.select("band", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "c").distinct(), "active")
+    sets = full_sets(active.select("id").distinct(), docs, key, text_col, size)
+    tasks = active.join(sets, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def run(batches):
+        at, ids, parts, found = None, [], [], []
+
+        def out() -> pa.RecordBatch:
+            edges = links_across(ids, parts, found, percent)
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            tasks_of = zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j")), strict=True)
+            for task, k, c, x in zip(tasks_of, batch.column("id").to_pylist(), batch.column("c").to_pylist(), batch.column("found"), strict=True):
+                if task != at:
+                    if len(ids) > 1:
+                        yield out()
+                    at, ids, parts, found = task, [], [], []
+                ids.append(k)
+                parts.append(c)
+                found.append(np.frombuffer(x.as_buffer(), "<u8"))
+        if len(ids) > 1:
+            yield out()
+
+    return materialize(tasks.select("band", "i", "j", "id", "c", "found").mapInArrow(run, "a long, b long").distinct(), "links")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, keep: list[str] | None = None) -> DataFrame:
     """df with n_shingles long, component_id long (smallest key reachable by links) and kept boolean (key = component_id)."""
     source = df.withColumn(key, F.col(key).cast("long"))
@@ -190,21 +277,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text_col: str = "text",
     near = stars.alias("p").join(bits.alias("x"), F.col("p.a") == F.col("x.id")).join(bits.alias("y"), F.col("p.b") == F.col("y.id"))
     near = near.select("a", "b", estimate("x", "y").alias("e")).where(F.col("e") >= floor)
     best = materialize(near.groupBy("b").agg(F.max_by("a", F.struct("e", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
-    links = materialize(confirm(best, docs, key, text_col, size, percent), "links")
+    sets = full_sets(best.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, key, text_col, size)
+    links = materialize(confirm(best, sets, percent), "links")
     labels = materialize(connected_components(links), "labels")
-
-    named = members.join(labels, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("c"))
-    mixed = materialize(named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"), "mixed")
-    open_rows = named.join(mixed, "band").join(bits, "id")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_rows = materialize(open_rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "open")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = open_rows.select("*", every.alias("j")).withColumnRenamed("own", "i")
-    right = open_rows.select("*", every.alias("i")).withColumnRenamed("own", "j")
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (estimate("x", "y") >= floor)
-    across = left.alias("x").join(right.alias("y"), met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    across = materialize(across.join(best, ["a", "b"], "left_anti"), "across")
-    more = materialize(confirm(across, docs, key, text_col, size, percent), "links")
+    more = second_round(members, bits, labels, docs, key, text_col, size, percent, floor)
     if not more.isEmpty():
         labels = materialize(connected_components(links.unionByName(more)), "labels")
 
