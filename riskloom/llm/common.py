@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -60,10 +62,27 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
 _PROCESS: dict = {}
 
 
+def release_memory() -> None:
+    """Give memory that nothing uses back to the system, where the allocators allow it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def per_process(kind: str, key: str, make: Callable[[], object]) -> object:
-    """make() once per worker process for this key; a new key of the same kind takes the place of the old."""
+    """make() once per worker process for this key; a new key of the same kind takes the place of the old.
+
+    The first word of `kind` names the operator. A worker that serves another operator drops what the one before
+    left, so that a sequence of operators needs no more memory than the largest of them.
+    """
     if _PROCESS.get(kind, (None,))[0] != key:
-        _PROCESS.pop(kind, None)
+        gone = [k for k in _PROCESS if k == kind or k.split()[0] != kind.split()[0]]
+        for k in gone:
+            del _PROCESS[k]
+        if gone:
+            release_memory()
         _PROCESS[kind] = (key, make())
     return _PROCESS[kind][1]
 
