@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import metrics
-from riskloom.operators import cohort, outcomes, rulescore, splits, strata
+from riskloom.operators import cohort, outcomes, rulescore, splits, strata, verdicts
 from riskloom.sources import bindings as bind
 
 OUTCOMES = ("mortality_30d", "mortality_90d", "mortality_1yr")
@@ -183,6 +183,11 @@ def tertiles(s, d):
     return _rounded(strata.tertiles_within(_valid(s, d, "test"), "model_a_category", "mortality_30d", "model_b_score"))
 
 
+def tertile_gradients(s, d):
+    order = F.expr("CASE tertile WHEN 'Low' THEN 1 WHEN 'Mid' THEN 2 ELSE 3 END")
+    return _rounded(verdicts.gradients(tertiles(s, d), "category", order), 6)
+
+
 def discordance(s, d):
     return _rounded(strata.discordance(_valid(s, d, "test"), "mortality_30d", "model_a_score", "model_b_score"))
 
@@ -319,6 +324,7 @@ SELECT *, coalesce(lag(records) OVER (ORDER BY step) - records, 0) AS excluded_r
     "anchoring_sensitivity": (anchoring_sensitivity, f"WITH {_PRED}, {_rank_sql('''SELECT 'all' AS h, b AS s, y30::INT AS y FROM pred WHERE vb UNION ALL SELECT 'joint', b, y30::INT FROM pred WHERE va AND vb UNION ALL SELECT 'anchored', b, y30::INT FROM pred WHERE vb AND subject_id % 2 = 0''', 'h')} SELECT g AS cohort, auroc, auprc FROM r"),
     "stratified_risk": (stratified_risk, f"WITH {_PRED} SELECT c.category, count(t.cat) AS n, coalesce(sum(y30::INT), 0)::BIGINT AS events, round(coalesce(avg(y30::INT), 0), 8) AS rate, round(avg(b), 8) AS mean_b, round(stddev_pop(b), 8) AS sd_b, round(quantile_cont(b, 0.25), 8) AS q25_b, round(quantile_cont(b, 0.5), 8) AS median_b, round(quantile_cont(b, 0.75), 8) AS q75_b FROM (SELECT unnest({list(strata.CATEGORIES)}) AS category) c LEFT JOIN {_T} t ON t.cat = c.category GROUP BY c.category"),
     "tertiles": (tertiles, f"WITH {_PRED}, q AS (SELECT cat, quantile_cont(b, 0.3333333333333333) AS c1, quantile_cont(b, 0.6666666666666666) AS c2 FROM {_T} GROUP BY cat) SELECT cat AS category, CASE WHEN b < c1 THEN 'Low' WHEN b < c2 THEN 'Mid' ELSE 'High' END AS tertile, count(*) AS n, sum(y30::INT)::BIGINT AS events, round(avg(y30::INT), 8) AS rate FROM {_T} t JOIN q USING (cat) GROUP BY ALL"),
+    "tertile_gradients": (tertile_gradients, f"WITH {_PRED}, q AS (SELECT cat, quantile_cont(b, 0.3333333333333333) AS c1, quantile_cont(b, 0.6666666666666666) AS c2 FROM {_T} GROUP BY cat), r AS (SELECT cat AS category, CASE WHEN b < c1 THEN 'Low' WHEN b < c2 THEN 'Mid' ELSE 'High' END AS tertile, count(*) AS n, sum(y30::INT)::BIGINT AS events, round(avg(y30::INT), 8) AS rate FROM {_T} t JOIN q USING (cat) GROUP BY ALL), o AS (SELECT *, CASE tertile WHEN 'Low' THEN 1 WHEN 'Mid' THEN 2 ELSE 3 END AS k FROM r), e AS (SELECT category, arg_min(rate, k) AS f, arg_max(rate, k) AS l FROM o GROUP BY 1), x AS (SELECT category, f = 0 AND l > 0 AS infinite, CASE WHEN f = 0 AND l > 0 THEN 3.0::DOUBLE WHEN f = 0 THEN 1.0::DOUBLE ELSE l / f END AS ratio FROM e) SELECT category, round(ratio, 6) AS ratio, infinite, ratio >= 1.5::DOUBLE AS meaningful FROM x"),
     "discordance": (discordance, f"WITH {_PRED}, t AS {_T}, c AS (SELECT quantile_cont(b, 0.5) AS m FROM t) SELECT 'A-' || CASE WHEN a >= 15 THEN 'high' ELSE 'low' END || '/B-' || CASE WHEN b >= m THEN 'high' ELSE 'low' END AS quadrant, count(*) AS n, sum(y30::INT)::BIGINT AS events, round(avg(y30::INT), 8) AS rate FROM t, c GROUP BY ALL"),
     "risk_contrasts": (risk_contrasts, f"WITH {_PRED}, t AS {_T}, c AS (SELECT quantile_cont(b, 0.5) AS m FROM t), x AS (SELECT avg(y30::INT) FILTER (a < 15 AND b < m) AS ll, avg(y30::INT) FILTER (a < 15 AND b >= m) AS lh, avg(y30::INT) FILTER (a >= 15 AND b < m) AS hl, avg(y30::INT) FILTER (a >= 15 AND b >= m) AS hh FROM t, c) SELECT round(lh - ll, 8) AS rd_a_low, round(CASE WHEN ll > 0 THEN lh / ll ELSE 1 END, 8) AS rr_a_low, round(hh - hl, 8) AS rd_a_high FROM x"),
     "smoother": (smoother, f"WITH {_PRED}, t AS {_T}, m AS (SELECT min(a) AS lo, max(a) AS hi, greatest((max(a) - min(a)) / 12.5::DOUBLE, 1) AS w FROM t), g AS (SELECT lo + (hi - lo) * k / 24 AS x, w FROM m, range(25) r(k)) SELECT round(x, 8) AS x, round(sum(exp(-0.5::DOUBLE * pow((a - x) / w, 2)) * b) / sum(exp(-0.5::DOUBLE * pow((a - x) / w, 2))), 8) AS expected_b FROM t, g GROUP BY x"),
