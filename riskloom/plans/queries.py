@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import metrics
-from riskloom.operators import cohort, outcomes, rulescore, splits, strata, verdicts
+from riskloom.operators import cohort, outcomes, rulescore, signals, splits, strata, verdicts
 from riskloom.sources import bindings as bind
 
 OUTCOMES = ("mortality_30d", "mortality_90d", "mortality_1yr")
@@ -248,6 +248,29 @@ def pad_crop_scale(s, d):
     return _rounded(e.select("vec_id", total(rulescore.pad_or_crop(x, 40, "center")).alias("center40"), total(rulescore.pad_or_crop(x, 40, "end")).alias("end40"), total(rulescore.pad_or_crop(x, 70, "start", "edge")).alias("edge70"), total(rulescore.scale_units(x, "mV", "uV")).alias("uv")), 5)
 
 
+def lead_order(s, d):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    chunks = F.array(*(F.slice(x, 5 * k + 1, 5) for k in range(12)))
+    names = F.array(*map(F.lit, signals.CLINICAL))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda p, q: p + q)
+    e = bind.table(s, d, "embeddings").select("vec_id", signals.reorder(chunks, names, signals.CABRERA).alias("leads"))
+    return _rounded(e.select("vec_id", *(total(F.get("leads", k)).alias(f"lead{k + 1}") for k in range(12))), 6)
+
+
+def recordings(s, d):
+    """A recording of 4 s at 100 Hz per vector: five beats whose waves follow the vector's components."""
+    size = F.size("embedding")
+    wave = lambda t, at, width: F.greatest(F.lit(0.0), 1.0 - F.abs(t % 80 - at) / float(width))
+    part = lambda k: F.abs(F.get("embedding", (F.lit(k) % size)).cast("double"))
+    lead = lambda k: F.transform(F.sequence(F.lit(0), F.lit(399)), lambda t: (0.5 + part(k)) * wave(t, 40, 3) - part(k + 12) * wave(t, 36, 2) + (part(k + 24) - 0.1) * wave(t, 60, 8))
+    e = bind.table(s, d, "embeddings")
+    return e.select("vec_id", F.when(size > 0, F.array(*(lead(k) for k in range(12)))).alias("signal"), F.array(*map(F.lit, signals.CLINICAL)).alias("leads"))
+
+
+def waveform_score(s, d):
+    return _rounded(signals.score_recordings(recordings(s, d), 100, keep=["vec_id"]), 6)
+
+
 def document_quality(s, d):
     docs = bind.table(s, d, "documents").select("doc_id", "lang", "n_chars").join(bind.table(s, d, "labels"), "doc_id")
     return _rounded(metrics.discrimination(docs, ["lang"], "quality", "n_chars"))
@@ -342,6 +365,8 @@ t AS (SELECT *, {' + '.join(f'item{k}' for k in range(1, 13))} AS tot FROM i)
 SELECT vec_id, {', '.join(f'round(item{k}, 8) AS item{k}' for k in range(1, 13))}, round(tot, 8) AS total, round(item1 + item5 + item10 + item12, 8) AS simplified, CASE WHEN tot < 10 THEN 'normal' WHEN tot < 15 THEN 'borderline' WHEN tot < 20 THEN 'possible_injury' ELSE 'probable_infarction' END AS category FROM t"""),
     "cosine_to_centroid": (cosine_to_centroid, "WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL), p AS (SELECT label, i, avg(x) AS m FROM u GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS c FROM p GROUP BY label) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c), 6) AS cosine FROM embeddings JOIN c USING (label)"),
     "pad_crop_scale": (pad_crop_scale, "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) SELECT vec_id, round(list_sum(x[13:52]), 5) AS center40, round(list_sum(x[25:64]), 5) AS end40, round(list_sum(x) + 6 * x[64], 5) AS edge70, round(1000 * list_sum(x), 5) AS uv FROM e"),
+    "lead_order": (lead_order, "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) SELECT vec_id, " + ", ".join(f"round({'-' if c == '-aVR' else ''}list_sum(x[{k + 1}:{k + 5}]), 6) AS lead{i + 1}" for i, c in enumerate(signals.CABRERA) for k in [5 * signals.CLINICAL.index(c.removeprefix('-'))]) + " FROM e"),
+    "waveform_score": (waveform_score, None),
     "document_quality": (document_quality, f"WITH {_rank_sql('SELECT lang, n_chars AS s, quality AS y FROM documents JOIN labels USING (doc_id)', 'lang')} SELECT g AS lang, auroc, auprc FROM r"),
     "calibration": (calibration, None),
     "bootstrap_auroc": (bootstrap_auroc, None),
