@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.metrics import proper_scores
 
 #: The grid of inverse penalties.
-C_GRID = (0.001, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0)
+C_GRID = (0.0001, 0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 
 
 @dataclass
