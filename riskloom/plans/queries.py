@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import metrics
-from riskloom.operators import cohort, outcomes, rulescore, signals, splits, strata, verdicts
+from riskloom.operators import adapters, cohort, outcomes, rulescore, signals, splits, strata, synthesis, verdicts
 from riskloom.sources import bindings as bind
 
 OUTCOMES = ("mortality_30d", "mortality_90d", "mortality_1yr")
@@ -271,6 +271,19 @@ def waveform_score(s, d):
     return _rounded(signals.score_recordings(recordings(s, d), 100, keep=["vec_id"]), 6)
 
 
+def waveform_embeddings(s, d):
+    spec = adapters.Spec("spectrum", "1", dim=16, fs=250, samples=1000)
+    return adapters.embed(recordings(s, d), lambda: adapters.SpectrumProjection(16), spec, 100, ["vec_id"])
+
+
+def failure_summary(s, d):
+    return _rounded(synthesis.failure_summary(bind.predictions(s, d)))
+
+
+def findings(s, d):
+    return synthesis.findings(_valid(s, d, "test"))
+
+
 def document_quality(s, d):
     docs = bind.table(s, d, "documents").select("doc_id", "lang", "n_chars").join(bind.table(s, d, "labels"), "doc_id")
     return _rounded(metrics.discrimination(docs, ["lang"], "quality", "n_chars"))
@@ -367,6 +380,9 @@ SELECT vec_id, {', '.join(f'round(item{k}, 8) AS item{k}' for k in range(1, 13))
     "pad_crop_scale": (pad_crop_scale, "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) SELECT vec_id, round(list_sum(x[13:52]), 5) AS center40, round(list_sum(x[25:64]), 5) AS end40, round(list_sum(x) + 6 * x[64], 5) AS edge70, round(1000 * list_sum(x), 5) AS uv FROM e"),
     "lead_order": (lead_order, "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) SELECT vec_id, " + ", ".join(f"round({'-' if c == '-aVR' else ''}list_sum(x[{k + 1}:{k + 5}]), 6) AS lead{i + 1}" for i, c in enumerate(signals.CABRERA) for k in [5 * signals.CLINICAL.index(c.removeprefix('-'))]) + " FROM e"),
     "waveform_score": (waveform_score, None),
+    "waveform_embeddings": (waveform_embeddings, None),
+    "failure_summary": (failure_summary, f"WITH {_PRED}, f AS (SELECT count(*) AS n, count(*) FILTER (NOT va) AS failed_a, count(*) FILTER (NOT vb) AS failed_b FROM pred) SELECT *, round(failed_a / n, 8) AS failure_rate_a, round(failed_b / n, 8) AS failure_rate_b, n - greatest(failed_a, failed_b) AS joint FROM f"),
+    "findings": (findings, None),
     "document_quality": (document_quality, f"WITH {_rank_sql('SELECT lang, n_chars AS s, quality AS y FROM documents JOIN labels USING (doc_id)', 'lang')} SELECT g AS lang, auroc, auprc FROM r"),
     "calibration": (calibration, None),
     "bootstrap_auroc": (bootstrap_auroc, None),
