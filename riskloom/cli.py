@@ -87,7 +87,7 @@ def build_parser() -> argparse.ArgumentParser:
         p.add_argument("--out", required=True, help="folder of tables and reports")
         p.add_argument("--predictions", help="a table of predictions to use in place of the derived one")
         p.add_argument("--seed", type=int, default=42)
-        p.add_argument("--bootstraps", type=int, default=50)
+        p.add_argument("--bootstraps", type=int, default=metrics.REPLICATES)
     return parser
 
 

@@ -11,6 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bootstrap replicates of a 95 % interval, unless a caller asks for another number.
+REPLICATES = 1000
+
 
 def _clean(df: DataFrame, groups: list[str], y: str, score: str, weight: Column | None = None) -> DataFrame:
     w = F.lit(1.0) if weight is None else weight.cast("double")
@@ -111,7 +114,7 @@ def calibration(df: DataFrame, y: str, p: str, eps: float = 1e-6) -> tuple[float
     return slope, intercept
 
 
-def bootstrap_discrimination(df: DataFrame, key: str, y: str, scores: list[str], replicates: int = 50, seed: int = 42) -> DataFrame:
+def bootstrap_discrimination(df: DataFrame, key: str, y: str, scores: list[str], replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """(replicate, score, auroc, auprc): all replicates in one plan. A row's count in a replicate is Poisson(1), drawn from a hash
     of key, replicate and seed, so a lost task draws the same again."""
     long = df.select(F.col(key).alias("_k"), F.col(y).alias("_label"), F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("value")) for s in scores))).alias("_x")).select("_k", "_label", "_x.*")

@@ -29,7 +29,7 @@ def failure_summary(df: DataFrame) -> DataFrame:
     return df.agg(*parts).withColumns({**rate, "joint": F.col("n") - F.greatest("failed_a", "failed_b")})
 
 
-def findings(df: DataFrame, y: str = "mortality_30d", key: str = "subject_id", replicates: int = 50, seed: int = 42) -> DataFrame:
+def findings(df: DataFrame, y: str = "mortality_30d", key: str = "subject_id", replicates: int = metrics.REPLICATES, seed: int = 42) -> DataFrame:
     """(finding, value, low, high, verdict) over rows that both models scored: rank correlation and its strength, residual gradients
     within the categories of A, and the gain of B over A in AUROC with its bootstrap interval. An empty table is an error."""
     df = df.where("model_a_valid AND model_b_valid").where(F.col(y).isNotNull())
