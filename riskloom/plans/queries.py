@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import metrics
-from riskloom.operators import adapters, cohort, outcomes, rulescore, signals, splits, strata, synthesis, verdicts
+from riskloom.operators import adapters, cohort, outcomes, rulescore, sensitivity, signals, splits, strata, synthesis, verdicts
 from riskloom.sources import bindings as bind
 
 OUTCOMES = ("mortality_30d", "mortality_90d", "mortality_1yr")
@@ -40,6 +40,16 @@ w AS (SELECT *, sum(pos) OVER (PARTITION BY g ORDER BY s DESC) AS tp, sum(neg) O
 r AS (SELECT g, round(CASE WHEN max(p) > 0 AND max(n) > 0 THEN sum(neg * (tp - pos / 2)) / (max(p) * max(n)) ELSE 0.5 END, 8) AS auroc, round(CASE WHEN max(p) > 0 THEN sum(pos * tp / (tp + fp)) / max(p) ELSE 0 END, 8) AS auprc FROM w GROUP BY g)"""
 
 
+def _compare_sql(source: str, group: str) -> str:
+    """A, B and B - A per group of source(h, a, b, y)."""
+    ranked = "SELECT h || '|a' AS k, a AS s, y FROM src UNION ALL SELECT h || '|b', b, y FROM src"
+    return f"""src AS ({source}), {_rank_sql(ranked, 'k')},
+u AS (SELECT g, CASE WHEN max(p) > 0 AND max(n) > 0 THEN sum(neg * (tp - pos / 2)) / (max(p) * max(n)) ELSE 0.5 END AS auroc, CASE WHEN max(p) > 0 THEN sum(pos * tp / (tp + fp)) / max(p) ELSE 0 END AS auprc FROM w GROUP BY g),
+q AS (SELECT h, y, rank() OVER (PARTITION BY h ORDER BY a) + (count(*) OVER (PARTITION BY h, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY h ORDER BY b) + (count(*) OVER (PARTITION BY h, b) - 1) / 2.0::DOUBLE AS rb FROM src),
+c AS (SELECT h, count(*) AS n, sum(y)::BIGINT AS events, round(avg(y), 8) AS rate, round(corr(ra, rb), 8) AS spearman FROM q GROUP BY h)
+SELECT h AS {group}, c.n, c.events, c.rate, {', '.join(f'round(ua.{m}, 8) AS {m}_a, round(ub.{m}, 8) AS {m}_b, round(ub.{m} - ua.{m}, 8) AS delta_{m}' for m in ('auroc', 'auprc'))}, spearman FROM c JOIN u ua ON ua.g = h || '|a' JOIN u ub ON ub.g = h || '|b'"""
+
+
 def _rounded(df: DataFrame, places: int = 8) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -175,6 +185,18 @@ def anchoring_sensitivity(s, d):
     return _rounded(metrics.discrimination(both, ["cohort"], "mortality_30d", "model_b_score"))
 
 
+def _index_cohorts(s, d):
+    return sensitivity.index_cohorts(_valid(s, d, "test"), bind.records(s, d), bind.admissions(s, d))
+
+
+def admission_anchoring(s, d):
+    return _rounded(sensitivity.compare(_index_cohorts(s, d), ["cohort"], "mortality_30d"))
+
+
+def admission_anchoring_intervals(s, d):
+    return sensitivity.compare_intervals(_index_cohorts(s, d), ["cohort"], "mortality_30d")
+
+
 def stratified_risk(s, d):
     return _rounded(strata.stratified_risk(_valid(s, d, "test"), "model_a_category", "mortality_30d", "model_b_score"))
 
@@ -317,6 +339,7 @@ def incremental_information(s, d):
 
 _V = "(SELECT * FROM pred WHERE va AND vb)"
 _T = "(SELECT * FROM pred WHERE va AND vb AND split = 'test')"
+_INDEXED = f"SELECT 'earliest' AS h, a, b, y30::INT AS y FROM {_T} t SEMI JOIN rec USING (subject_id) UNION ALL SELECT 'admission', a, b, y30::INT FROM {_T} t SEMI JOIN (SELECT subject_id FROM rec JOIN adm USING (subject_id) WHERE ecg_datetime BETWEEN admit_dt AND disch_dt) l USING (subject_id)"
 _items = [f"abs(embedding[{k + 1}]::DOUBLE)" + (" * 200" if f.endswith("_ms") else "") + f" AS {f}" for k, f in enumerate(rulescore.FIELDS)]
 _SUMMARY = ", ".join(f"round(avg({c}), 8) AS mean_{n}, round(stddev_pop({c}), 8) AS sd_{n}" for c, n in (("a", "a"), ("b", "b"), ("lo", "log_odds_b"))) + "".join(f", round(quantile_cont({c}, {q / 100}), 8) AS q{q}_{c}" for c in "ab" for q in (25, 50, 75))
 _LOSS = "round(-avg(y30::INT * ln(b) + (1 - y30::INT) * ln(1 - b)), 8) AS log_loss, round(avg(pow(b - y30::INT, 2)), 8) AS brier"
@@ -358,6 +381,8 @@ SELECT *, coalesce(lag(records) OVER (ORDER BY step) - records, 0) AS excluded_r
     "score_comparison": (score_comparison, f"WITH {_PRED}, {_rank_sql(' UNION ALL '.join(f'''SELECT '{m}' AS h, {x} AS s, y30::INT AS y FROM {_T}''' for x, m in (('a', 'model_a_score'), ('b', 'model_b_score'), ('a * a % 7.0::DOUBLE', 'alternative_score'))), 'h')} SELECT g AS model, auroc, auprc FROM r"),
     "subgroups": (subgroups, f"WITH {_PRED}, {_PATIENTS}, sg AS (SELECT unnest([CASE WHEN anchor_age < 65 THEN '<65' ELSE '>=65' END, gender]) AS h, b AS s, y30::INT AS y FROM {_T} t JOIN pat USING (subject_id)), {_rank_sql('SELECT * FROM sg', 'h')} SELECT g AS subgroup, auroc, auprc, n FROM r JOIN (SELECT h, count(*) AS n FROM sg GROUP BY h HAVING count(*) >= 5) ON h = g"),
     "anchoring_sensitivity": (anchoring_sensitivity, f"WITH {_PRED}, {_rank_sql('''SELECT 'all' AS h, b AS s, y30::INT AS y FROM pred WHERE vb UNION ALL SELECT 'joint', b, y30::INT FROM pred WHERE va AND vb UNION ALL SELECT 'anchored', b, y30::INT FROM pred WHERE vb AND subject_id % 2 = 0''', 'h')} SELECT g AS cohort, auroc, auprc FROM r"),
+    "admission_anchoring": (admission_anchoring, f"WITH {_RECORDS}, {_ADMISSIONS}, {_PRED}, {_compare_sql(_INDEXED, 'cohort')}"),
+    "admission_anchoring_intervals": (admission_anchoring_intervals, None),
     "stratified_risk": (stratified_risk, f"WITH {_PRED} SELECT c.category, count(t.cat) AS n, coalesce(sum(y30::INT), 0)::BIGINT AS events, round(coalesce(avg(y30::INT), 0), 8) AS rate, round(avg(b), 8) AS mean_b, round(stddev_pop(b), 8) AS sd_b, round(quantile_cont(b, 0.25), 8) AS q25_b, round(quantile_cont(b, 0.5), 8) AS median_b, round(quantile_cont(b, 0.75), 8) AS q75_b FROM (SELECT unnest({list(strata.CATEGORIES)}) AS category) c LEFT JOIN {_T} t ON t.cat = c.category GROUP BY c.category"),
     "tertiles": (tertiles, f"WITH {_PRED}, q AS (SELECT cat, quantile_cont(b, 0.3333333333333333) AS c1, quantile_cont(b, 0.6666666666666666) AS c2 FROM {_T} GROUP BY cat) SELECT cat AS category, CASE WHEN b < c1 THEN 'Low' WHEN b < c2 THEN 'Mid' ELSE 'High' END AS tertile, count(*) AS n, sum(y30::INT)::BIGINT AS events, round(avg(y30::INT), 8) AS rate FROM {_T} t JOIN q USING (cat) GROUP BY ALL"),
     "tertile_gradients": (tertile_gradients, f"WITH {_PRED}, q AS (SELECT cat, quantile_cont(b, 0.3333333333333333) AS c1, quantile_cont(b, 0.6666666666666666) AS c2 FROM {_T} GROUP BY cat), r AS (SELECT cat AS category, CASE WHEN b < c1 THEN 'Low' WHEN b < c2 THEN 'Mid' ELSE 'High' END AS tertile, count(*) AS n, sum(y30::INT)::BIGINT AS events, round(avg(y30::INT), 8) AS rate FROM {_T} t JOIN q USING (cat) GROUP BY ALL), o AS (SELECT *, CASE tertile WHEN 'Low' THEN 1 WHEN 'Mid' THEN 2 ELSE 3 END AS k FROM r), e AS (SELECT category, arg_min(rate, k) AS f, arg_max(rate, k) AS l FROM o GROUP BY 1), x AS (SELECT category, f = 0 AND l > 0 AS infinite, CASE WHEN f = 0 AND l > 0 THEN 3.0::DOUBLE WHEN f = 0 THEN 1.0::DOUBLE ELSE l / f END AS ratio FROM e) SELECT category, round(ratio, 6) AS ratio, infinite, ratio >= 1.5::DOUBLE AS meaningful FROM x"),
