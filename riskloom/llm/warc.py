@@ -8,7 +8,8 @@ response that their concurrent-to identifiers name (or that names them) and emit
 
 Defined results: null payloads are empty; a null url becomes urn:page:<page_id>; line breaks in a
 url are percent-encoded; of equal payloads the smallest page_id is the response (a null one
-comes last); rows that repeat page_id and payload are one page and give one capture; an empty table gives an empty result.
+comes last); rows that repeat page_id and payload are numbered and give a capture each,
+all responses where their page_id is the smallest; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,13 +59,21 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "20
     """Writes gzip-compressed archives to the folder `path`. Payloads of at least min_bytes that repeat become revisits."""
     light = pages.select(F.col(page_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     light = light.withColumn("digest", sha1_base32(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    first = light.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    per = light.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    first = per.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.sum("n").alias("copies"), F.max("n").alias("most")).where("copies > 1").drop("copies")
     # as a table, so that the join can split a payload that many pages share
     first = materialize(first, "digests")
     rows = light.join(first, "digest", "left")
+    repeated = F.coalesce(F.col("most") > 1, F.lit(False))
+    once = rows.where(~repeated).withColumn("copy", F.lit(0))
+    if first.where(repeated).isEmpty():
+        rows = once
+    else:
+        number = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")) - 1
+        rows = once.unionByName(rows.where(repeated).withColumn("copy", number))
     url = F.replace(F.replace(F.coalesce(F.col("url"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    revisit = F.col("first_page").isNotNull() & ~F.col("first_page").eqNullSafe(F.col("page_id"))
-    response_id, target = _record_id("response", F.col("page_id"), F.col("digest")), _record_id("response", F.col("first_page"), F.col("digest"))
+    revisit = (F.col("bytes") >= min_bytes) & F.col("first_page").isNotNull() & ~F.col("first_page").eqNullSafe(F.col("page_id"))
+    response_id, target = _record_id("response", F.col("page_id"), F.col("digest"), F.col("copy")), _record_id("response", F.col("first_page"), F.col("digest"), F.lit(0))
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", url)]
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     response = _record(
@@ -73,9 +82,9 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "20
         "application/http;msgtype=response",
         F.concat(http, F.when(revisit, "").otherwise(F.col("payload"))),
     )
-    request = _record("request", [("WARC-Record-ID", _record_id("request", F.col("page_id"), F.col("digest"))), *common, ("WARC-Concurrent-To", response_id)], "application/http;msgtype=request", F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1\r\nAccept: */*\r\n\r\n")))
+    request = _record("request", [("WARC-Record-ID", _record_id("request", F.col("page_id"), F.col("digest"), F.col("copy"))), *common, ("WARC-Concurrent-To", response_id)], "application/http;msgtype=request", F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1\r\nAccept: */*\r\n\r\n")))
     fields = F.coalesce(F.concat(F.lit("page_id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))
-    metadata = _record("metadata", [("WARC-Record-ID", _record_id("metadata", F.col("page_id"), F.col("digest"))), *common, ("WARC-Concurrent-To", response_id)], "application/warc-fields", fields)
+    metadata = _record("metadata", [("WARC-Record-ID", _record_id("metadata", F.col("page_id"), F.col("digest"), F.col("copy"))), *common, ("WARC-Concurrent-To", response_id)], "application/warc-fields", fields)
     rows.select(F.concat_ws(TERMINATOR, request, response, metadata).alias("value")).write.option("lineSep", TERMINATOR).option("compression", "gzip").option("maxRecordsPerFile", PAGES_PER_FILE).text(path)
 
 
