@@ -185,6 +185,34 @@ def anchoring_sensitivity(s, d):
     return _rounded(metrics.discrimination(both, ["cohort"], "mortality_30d", "model_b_score"))
 
 
+def _by_horizon(s, d):
+    p = _valid(s, d, "test")
+    return p.select("subject_id", "model_a_score", "model_b_score", F.explode(F.array(*(F.struct(F.lit(o).alias("horizon"), F.col(o).alias("y")) for o in OUTCOMES))).alias("x")).select("*", "x.*")
+
+
+def horizon_comparison(s, d):
+    return _rounded(sensitivity.compare(_by_horizon(s, d), ["horizon"], "y"))
+
+
+def horizon_comparison_intervals(s, d):
+    return sensitivity.compare_intervals(_by_horizon(s, d), ["horizon"], "y")
+
+
+def _by_subgroup(s, d):
+    p = _valid(s, d, "test").join(bind.patients(s, d), "subject_id")
+    long = p.withColumn("subgroup", F.explode(F.array(F.when(F.col("anchor_age") < 65, "<65").otherwise(">=65"), F.col("gender"))))
+    big = long.groupBy("subgroup").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 5")
+    return long.join(big.drop("_n"), "subgroup")
+
+
+def subgroup_comparison(s, d):
+    return _rounded(sensitivity.compare(_by_subgroup(s, d), ["subgroup"], "mortality_30d"))
+
+
+def subgroup_comparison_intervals(s, d):
+    return sensitivity.compare_intervals(_by_subgroup(s, d), ["subgroup"], "mortality_30d")
+
+
 def _index_cohorts(s, d):
     return sensitivity.index_cohorts(_valid(s, d, "test"), bind.records(s, d), bind.admissions(s, d))
 
@@ -339,6 +367,8 @@ def incremental_information(s, d):
 
 _V = "(SELECT * FROM pred WHERE va AND vb)"
 _T = "(SELECT * FROM pred WHERE va AND vb AND split = 'test')"
+_HORIZONS = " UNION ALL ".join(f"SELECT '{o}' AS h, a, b, {y}::INT AS y FROM {_T}" for y, o in zip(("y30", "y90", "y1"), OUTCOMES, strict=True))
+_SUBGROUPS = f"SELECT * FROM (SELECT unnest([CASE WHEN anchor_age < 65 THEN '<65' ELSE '>=65' END, gender]) AS h, a, b, y30::INT AS y FROM {_T} t JOIN pat USING (subject_id)) QUALIFY count(*) OVER (PARTITION BY h) >= 5"
 _INDEXED = f"SELECT 'earliest' AS h, a, b, y30::INT AS y FROM {_T} t SEMI JOIN rec USING (subject_id) UNION ALL SELECT 'admission', a, b, y30::INT FROM {_T} t SEMI JOIN (SELECT subject_id FROM rec JOIN adm USING (subject_id) WHERE ecg_datetime BETWEEN admit_dt AND disch_dt) l USING (subject_id)"
 _items = [f"abs(embedding[{k + 1}]::DOUBLE)" + (" * 200" if f.endswith("_ms") else "") + f" AS {f}" for k, f in enumerate(rulescore.FIELDS)]
 _SUMMARY = ", ".join(f"round(avg({c}), 8) AS mean_{n}, round(stddev_pop({c}), 8) AS sd_{n}" for c, n in (("a", "a"), ("b", "b"), ("lo", "log_odds_b"))) + "".join(f", round(quantile_cont({c}, {q / 100}), 8) AS q{q}_{c}" for c in "ab" for q in (25, 50, 75))
@@ -381,6 +411,10 @@ SELECT *, coalesce(lag(records) OVER (ORDER BY step) - records, 0) AS excluded_r
     "score_comparison": (score_comparison, f"WITH {_PRED}, {_rank_sql(' UNION ALL '.join(f'''SELECT '{m}' AS h, {x} AS s, y30::INT AS y FROM {_T}''' for x, m in (('a', 'model_a_score'), ('b', 'model_b_score'), ('a * a % 7.0::DOUBLE', 'alternative_score'))), 'h')} SELECT g AS model, auroc, auprc FROM r"),
     "subgroups": (subgroups, f"WITH {_PRED}, {_PATIENTS}, sg AS (SELECT unnest([CASE WHEN anchor_age < 65 THEN '<65' ELSE '>=65' END, gender]) AS h, b AS s, y30::INT AS y FROM {_T} t JOIN pat USING (subject_id)), {_rank_sql('SELECT * FROM sg', 'h')} SELECT g AS subgroup, auroc, auprc, n FROM r JOIN (SELECT h, count(*) AS n FROM sg GROUP BY h HAVING count(*) >= 5) ON h = g"),
     "anchoring_sensitivity": (anchoring_sensitivity, f"WITH {_PRED}, {_rank_sql('''SELECT 'all' AS h, b AS s, y30::INT AS y FROM pred WHERE vb UNION ALL SELECT 'joint', b, y30::INT FROM pred WHERE va AND vb UNION ALL SELECT 'anchored', b, y30::INT FROM pred WHERE vb AND subject_id % 2 = 0''', 'h')} SELECT g AS cohort, auroc, auprc FROM r"),
+    "horizon_comparison": (horizon_comparison, f"WITH {_PRED}, {_compare_sql(_HORIZONS, 'horizon')}"),
+    "horizon_comparison_intervals": (horizon_comparison_intervals, None),
+    "subgroup_comparison": (subgroup_comparison, f"WITH {_PRED}, {_PATIENTS}, {_compare_sql(_SUBGROUPS, 'subgroup')}"),
+    "subgroup_comparison_intervals": (subgroup_comparison_intervals, None),
     "admission_anchoring": (admission_anchoring, f"WITH {_RECORDS}, {_ADMISSIONS}, {_PRED}, {_compare_sql(_INDEXED, 'cohort')}"),
     "admission_anchoring_intervals": (admission_anchoring_intervals, None),
     "stratified_risk": (stratified_risk, f"WITH {_PRED} SELECT c.category, count(t.cat) AS n, coalesce(sum(y30::INT), 0)::BIGINT AS events, round(coalesce(avg(y30::INT), 0), 8) AS rate, round(avg(b), 8) AS mean_b, round(stddev_pop(b), 8) AS sd_b, round(quantile_cont(b, 0.25), 8) AS q25_b, round(quantile_cont(b, 0.5), 8) AS median_b, round(quantile_cont(b, 0.75), 8) AS q75_b FROM (SELECT unnest({list(strata.CATEGORIES)}) AS category) c LEFT JOIN {_T} t ON t.cat = c.category GROUP BY c.category"),

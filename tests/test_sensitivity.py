@@ -25,3 +25,11 @@ def test_intervals_pair_the_scores(spark):
     got = {r["measure"]: r for r in sensitivity.compare_intervals(df, ["cohort"], "mortality_30d", replicates=50).collect()}
     assert (got["delta_auroc"].low, got["delta_auroc"].high, got["delta_auroc"].p) == (0.0, 0.0, 1.0)
     assert got["auroc_a"].low < got["auroc_a"].high and got["auroc_a"].p is None
+
+
+def test_horizons_and_subgroups_compare_both_models(spark):
+    from riskloom.plans.queries import QUERIES
+
+    for name, groups in (("horizon_comparison", 3), ("subgroup_comparison", 4)):
+        rows = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        assert len(rows) == groups and all(r.delta_auroc == pytest.approx(r.auroc_b - r.auroc_a, abs=2e-8) and r.delta_auprc == pytest.approx(r.auprc_b - r.auprc_a, abs=2e-8) for r in rows)
