@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,22 +16,41 @@ from pyspark.sql import types as T
 
 from riskloom.session import ship
 
-#: Rows that a Python operator handles at once; results leave in pieces of this size.
-SLICE = 1000
+#: Rows and bytes that a Python operator handles at once; results leave in pieces of this size. One row may be larger.
+SLICE, SLICE_BYTES = 1000, 2_000_000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType, rows: int = SLICE) -> DataFrame:
-    """mapInArrow over slices of at most `rows` rows."""
+def slices(batch: pa.RecordBatch, rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows and about `size` bytes."""
+    for at in range(0, batch.num_rows, rows):
+        open_ = [batch.slice(at, rows)]
+        while open_:
+            part = open_.pop()
+            half = part.num_rows // 2
+            if half and part.nbytes > size:
+                open_ += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def small_batches(df: DataFrame) -> None:
+    """Halves and more the rows of an Arrow batch where the session has Spark's own default: batches of long texts take much memory."""
     ship(df.sparkSession)
     conf = df.sparkSession.conf
-    if int(conf.get(ARROW_ROWS)) == 10_000:  # Spark's own default: batches of long texts would take much memory
+    if int(conf.get(ARROW_ROWS)) == 10_000:
         conf.set(ARROW_ROWS, str(2 * SLICE))
 
+
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType, rows: int = SLICE) -> DataFrame:
+    """mapInArrow over slices of at most `rows` rows."""
+    small_batches(df)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield fn(batch.slice(at, rows))
+            for part in slices(batch, rows):
+                yield fn(part)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -88,36 +108,41 @@ def per_process(kind: str, key: str, make: Callable[[], object]) -> object:
 
 
 class WordStore:
-    """Integer ids of words, learnt once per distinct word while the store holds it.
+    """Numbers of words, learnt once per distinct word while the store holds it.
 
-    learn(words) gives the flat ids of these words and their number per word. The store starts anew
-    when it holds more than `limit` words or `chars` characters.
+    learn(words) gives the flat numbers of these words and how many each word has. The store starts anew before it
+    would hold more than about `size` bytes; only the words of a single call may take more.
     """
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 250_000, chars: int = 8_000_000):
-        self.learn, self.limit, self.chars = learn, limit, chars
+    #: Bytes of a word beside its characters and numbers: string, place and hash table.
+    WORD = 200
+
+    def __init__(self, learn: Callable[[list], tuple[np.ndarray, np.ndarray]], size: int = 32_000_000, dtype: type = np.int32):
+        self.learn, self.size, self.dtype = learn, size, dtype
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.start, self.count, self.held = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.place: dict = {}
+        self.flat, self.start, self.count, self.held = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-    def places(self, words: list[str]) -> np.ndarray:
+    def places(self, words: list) -> np.ndarray:
         """Each word's place in the store; the places hold until the next call."""
-        if len(self.place) > self.limit or self.held > self.chars:
+        distinct = set(words)
+        new = list(distinct.difference(self.place))
+        if self.place and self.held + self.WORD * len(new) + sum(map(len, new)) > self.size:
             self.clear()
-        new = list(set(words).difference(self.place))
+            new = list(distinct)
         if new:
             flat, count = self.learn(new)
             self.place.update(zip(new, range(len(self.start), len(self.start) + len(new)), strict=True))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
             self.count = np.concatenate([self.count, count])
-            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-            self.held += sum(map(len, new))
+            self.flat = np.concatenate([self.flat, flat.astype(self.dtype)])
+            self.held += self.WORD * len(new) + sum(map(len, new)) + self.flat.itemsize * len(flat)
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the words at these places, and their number per word."""
+        """Flat numbers of the words at these places, and how many each word has."""
         return ragged(self.flat, self.start[places], self.count[places]), self.count[places]
 
 
@@ -144,11 +169,11 @@ def split_on_space(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 class Shared:
-    """A broadcast value with an id that is the same on driver and executors. For values of a bounded size only."""
+    """A broadcast value with an id of its own, the same on driver and executors. For values of a bounded size only."""
 
     def __init__(self, spark, value: object):
         self._sent = spark.sparkContext.broadcast(value)
-        self.id = f"{spark.sparkContext.applicationId}-{id(self._sent)}-{type(value).__name__}"
+        self.id = uuid.uuid4().hex
 
     @property
     def value(self) -> object:

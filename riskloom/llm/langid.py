@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import Shared, kept_fields, map_slices, per_process, texts_of
+from riskloom.llm.common import Shared, WordStore, kept_fields, map_slices, per_process, slices, small_batches, texts_of
 
 BUCKETS = 1 << 15
 ROWS_PER_LANGUAGE = 1000
-CACHE_WORDS = 300_000
+#: Texts whose words are held at once.
+TEXTS = 250
 UNKNOWN = "und"
 #: Features are shares times this, so that they are about 1 in size.
 SCALE = 100.0
@@ -61,26 +62,20 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32), np.concatenate(owner)
 
 
-class Grams:
-    """Each word's buckets, as bytes of 32-bit integers."""
+def gram_store() -> WordStore:
+    """Each word's buckets."""
 
-    def __init__(self) -> None:
-        self.store: dict[str, bytes] = {}
+    def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, owner = grams(words)
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
-    def of(self, split: list[list[str]]) -> list[list[str]]:
-        if len(self.store) > CACHE_WORDS:
-            self.store.clear()
-        new = list(set().union(*split).difference(self.store))
-        if new:
-            ids, owner = grams(new)
-            by = np.argsort(owner, kind="stable")
-            ids, ends = ids[by], np.cumsum(np.bincount(owner, minlength=len(new)))
-            for w, a, b in zip(new, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self.store[w] = ids[a:b].tobytes()
-        return split
+    return WordStore(learn)
 
-    def flat(self, words) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.store.__getitem__, words)), np.int32)
+
+def flattened(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words of all texts one after the other, and their number per text."""
+    split = [words_of(t) for t in texts]
+    return [w for words in split for w in words], np.fromiter(map(len, split), np.int64, len(split))
 
 
 @dataclass(frozen=True)
@@ -94,26 +89,22 @@ class Model:
 def document_frequencies(df: DataFrame, text_col: str = "text") -> tuple[int, np.ndarray]:
     """Number of documents with a letter, and in how many each bucket occurs."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        store: Grams = per_process("language n-grams", "", Grams)
-        split = store.of([words_of(t) for t in texts_of(batch, text_col)])
-        seen = np.zeros(BUCKETS + 1, np.int64)
-        for words in split:
-            if words:
-                seen[:BUCKETS] += np.bincount(store.flat(set(words)), minlength=BUCKETS) > 0
-                seen[BUCKETS] += 1
-        return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["part", "seen"])
-
-    def fold(batches):
+    small_batches(df)
+
+    def run(batches):
         total = np.zeros(BUCKETS + 1, np.int64)
+        store = gram_store()
         for batch in batches:
-            for x in batch.column("seen"):
-                total += np.frombuffer(x.as_buffer(), "<i8")
+            for part in slices(batch, TEXTS):
+                words, counts = flattened(texts_of(part, text_col))
+                for places in np.split(store.places(words), np.cumsum(counts)[:-1]):
+                    if len(places):
+                        total[:BUCKETS] += np.bincount(store.gather(np.unique(places))[0], minlength=BUCKETS) > 0
+                        total[BUCKETS] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["bucket", "n"])
 
-    parts = map_slices(df.select(text_col), run, T._parse_datatype_string("part int, seen binary"), rows=100_000)
-    rows = parts.mapInArrow(fold, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = df.select(text_col).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS + 1, np.int64)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return int(out[BUCKETS]), out[:BUCKETS]
@@ -183,15 +174,15 @@ def fit(df: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: st
     share = F.element_at(F.create_map(*(x for name in languages for x in (F.lit(name), F.lit(min(1.0, rows / sizes[name]))))), F.col("l"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        store: Grams = per_process("language n-grams", "", Grams)
-        ids, counts = [], []
-        for words in store.of([words_of(t) for t in texts_of(batch, "t")]):
-            x, n = np.unique(store.flat(words), return_counts=True)
+        store, ids, counts = gram_store(), [], []
+        words, lengths = flattened(texts_of(batch, "t"))
+        for places in np.split(store.places(words), np.cumsum(lengths)[:-1]):
+            x, n = np.unique(store.gather(places)[0], return_counts=True)
             ids.append(x.astype("<i4").tobytes())
             counts.append(n.astype("<i4").tobytes())
         return pa.RecordBatch.from_arrays([batch.column("l"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["l", "ids", "counts"])
 
-    sample = map_slices(df.where(bucket < share * (1 << 30)), run, T._parse_datatype_string("l string, ids binary, counts binary")).toArrow().to_pylist()
+    sample = map_slices(df.where(bucket < share * (1 << 30)), run, T._parse_datatype_string("l string, ids binary, counts binary"), rows=TEXTS).toArrow().to_pylist()
     sample = sorted((r for r in sample if r["ids"]), key=lambda r: (r["ids"], r["counts"], r["l"]))
     if not sample:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
@@ -210,27 +201,27 @@ def fit(df: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: st
 
 
 class Scorer:
+    """Logits of texts. The store holds, of each word, the sums of its n-grams' weights and their number."""
+
     def __init__(self, model: Model):
-        self.model = model
-        self.place: dict[str, int] = {}
-        self.table = np.zeros((0, len(model.languages) + 1))
-
-    def logits(self, split: list[list[str]]) -> np.ndarray:
-        if len(self.place) > CACHE_WORDS:
-            self.place.clear()
-            self.table = self.table[:0]
-        new = list(set().union(*split).difference(self.place))
-        if new:
-            ids, owner = grams(new)
-            rows = np.stack([*(np.bincount(owner, self.model.weights[ids, k], len(new)) for k in range(len(self.model.languages))), np.bincount(owner, minlength=len(new))], 1)
-            self.place.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, rows])
-        out = np.zeros((len(split), len(self.model.languages)))
-        for r, words in enumerate(split):
-            if words:
-                total = self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(0)
-                out[r] = total[:-1] / total[-1] + self.model.bias
-        return out
+        self.model, self.width = model, len(model.languages) + 1
+        self.store = WordStore(self._learn, dtype=np.float64)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, owner = grams(words)
+        sums = [np.bincount(owner, self.model.weights[ids, k], len(words)) for k in range(self.width - 1)]
+        return np.stack([*sums, np.bincount(owner, minlength=len(words))], 1).ravel(), np.full(len(words), self.width, np.int64)
+
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text its logits, and whether it has a word."""
+        words, counts = flattened(texts)
+        out, some = np.zeros((len(texts), self.width - 1)), counts > 0
+        if some.any():
+            places = self.store.places(words)
+            rows = self.store.flat.reshape(-1, self.width)[places]
+            total = np.add.reduceat(rows, (np.cumsum(counts) - counts)[some])
+            out[some] = total[:, :-1] / total[:, -1:] + self.model.bias
+        return out, some
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "lang_pred", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -241,17 +232,17 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer: Scorer = per_process("language scorer", shared.id, lambda: Scorer(shared.value))
-        split = [words_of(t) for t in texts_of(batch, text_col)]
         known = scorer.model.languages
         if known:
-            s = scorer.logits(split) / scorer.model.temperature
+            s, some = scorer.logits(texts_of(batch, text_col))
+            s = s / scorer.model.temperature
             p = np.exp(s - s.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            names = [known[k] if words else UNKNOWN for words, k in zip(split, p.argmax(1).tolist(), strict=True)]
-            scores = np.where([bool(words) for words in split], p.max(1), 0.0)
+            names = [known[k] if has else UNKNOWN for has, k in zip(some.tolist(), p.argmax(1).tolist(), strict=True)]
+            scores = np.where(some, p.max(1), 0.0)
         else:
-            names, scores = [UNKNOWN] * len(split), np.zeros(len(split))
+            names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*passed, out_col, score_col])
 
     needed = [*passed, *([] if text_col in passed else [text_col])]
-    return map_slices(df.select(*needed), run, schema)
+    return map_slices(df.select(*needed), run, schema, rows=TEXTS)

@@ -21,6 +21,7 @@ than a shingle is one shingle; rows that repeat a document id count as one docum
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import kept_fields, map_slices, per_process, texts_of
+from riskloom.llm.common import WordStore, kept_fields, map_slices, per_process, texts_of
 from riskloom.llm.components import connected_components
 from riskloom.session import materialize
 
@@ -40,7 +41,8 @@ LONGS = KS * BITS // 64
 MARGIN = 6.0
 #: Documents of a bucket that meet in one task, and those of them that one matrix product compares.
 BLOCK, PRODUCT = 1024, 256
-CACHE_WORDS = 400_000
+#: Texts whose words are held at once.
+TEXTS = 250
 #: A-Z become lower case; blanks stay blanks.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(20240229)
@@ -53,21 +55,17 @@ class Words:
     """64-bit hashes of words, each computed once while the store holds it."""
 
     def __init__(self) -> None:
-        self.store: dict[bytes, int] = {}
+        self.store = WordStore(self._learn, dtype=np.uint64)
 
-    def split(self, text: str) -> list[bytes]:
-        return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    @staticmethod
+    def _learn(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), "<u8"), np.ones(len(words), np.int64)
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        store = self.store
-        if len(store) > CACHE_WORDS:
-            store.clear()
-        try:
-            return np.fromiter(map(store.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in set(words).difference(store):
-                store[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-            return np.fromiter(map(store.__getitem__, words), np.uint64, len(words))
+    def of(self, texts: list[str]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """Words of each text and their hashes."""
+        split = [t.encode("utf-8", "surrogatepass").translate(LOWER).split() for t in texts]
+        places = self.store.places([w for words in split for w in words])
+        return zip(split, np.split(self.store.flat[places], np.cumsum([len(words) for words in split])[:-1]), strict=True)
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -118,9 +116,8 @@ def signatures(df: DataFrame, key: str, text_col: str, size: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words: Words = per_process("shingle words", "", Words)
         counts, digests, bands, packed = [], [], [], []
-        for text in texts_of(batch, text_col):
-            parts = words.split(text)
-            found = shingles(words.hashes(parts), size)
+        for parts, hashes in words.of(texts_of(batch, text_col)):
+            found = shingles(hashes, size)
             counts.append(len(found))
             if len(found):
                 keys, bits = sketch(minima(found))
@@ -134,7 +131,7 @@ def signatures(df: DataFrame, key: str, text_col: str, size: int) -> DataFrame:
         columns = np.array(packed, np.int64).reshape(-1, LONGS)
         return pa.RecordBatch.from_arrays([batch.column(key), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(columns[:, k]) for k in range(LONGS))], schema.fieldNames())
 
-    return map_slices(df.select(key, text_col), run, schema)
+    return map_slices(df.select(key, text_col), run, schema, rows=TEXTS)
 
 
 def estimate(one: str, other: str) -> Column:
@@ -155,11 +152,11 @@ def full_sets(ids: DataFrame, docs: DataFrame, key: str, text_col: str, size: in
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
         words: Words = per_process("shingle words", "", Words)
-        out = [shingles(words.hashes(words.split(t)), size).astype("<u8").tobytes() for t in texts_of(batch, "t")]
+        out = [shingles(hashes, size).astype("<u8").tobytes() for _, hashes in words.of(texts_of(batch, "t"))]
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "found"])
 
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("found", T.BinaryType())])
-    return materialize(map_slices(texts, build, schema).groupBy("id").agg(F.min("found").alias("found")), "sets")
+    return materialize(map_slices(texts, build, schema, rows=TEXTS).groupBy("id").agg(F.min("found").alias("found")), "sets")
 
 
 def passes(shared: np.ndarray | int, one: np.ndarray | int, other: np.ndarray | int, percent: int):

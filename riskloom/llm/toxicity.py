@@ -25,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import Shared, kept_fields, map_slices, per_process, texts_of
+from riskloom.llm.common import Shared, WordStore, kept_fields, map_slices, per_process, texts_of
 from riskloom.llm.licenses import words_of
 
 BITS = 20
 SAMPLE_ROWS = 12_000
 #: A bucket is kept with at least so many rows and such a chi-square statistic; at most so many are.
 MIN_ROWS, MIN_CHI2, MAX_TERMS = 4, 20.0, 4096
-CACHE_WORDS = 400_000
+#: Texts whose words are held at once.
+TEXTS = 250
 
 
 def buckets(word: bytes) -> tuple[int, ...]:
@@ -47,10 +48,11 @@ class FactorizationMachine:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     factors: np.ndarray = field(default_factory=lambda: np.zeros((0, 1)))
 
-    def score(self, rows: list[int]) -> float:
+    def score(self, rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Scores of n texts; rows: the machine's rows of all texts, each once per text; owner: the text of each."""
         v = self.factors[rows]
-        pair = 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[rows].sum() + pair, -30, 30))))
+        pair = sum(0.5 * (np.bincount(owner, x, n) ** 2 - np.bincount(owner, x * x, n)) for x in v.T)
+        return 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(owner, self.weights[rows], n) + pair, -30, 30)))
 
 
 def fit_machine(terms: list[np.ndarray], labels: np.ndarray, rank: int = 4, steps: int = 400, rate: float = 0.05, seed: int = 7) -> FactorizationMachine:
@@ -115,7 +117,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "
 
     # the chosen rows are bounded by `rows`, so they go to every task and the texts stay where they are
     joined = df.select(F.col(key).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(wanted), "k").select("k", "y", "t")
-    table = map_slices(joined, run, T._parse_datatype_string("y double, terms binary")).toArrow()
+    table = map_slices(joined, run, T._parse_datatype_string("y double, terms binary"), rows=TEXTS).toArrow()
     order = sorted(zip(table.column("terms").to_pylist(), table.column("y").to_pylist(), strict=True))
     return fit_machine([np.frombuffer(t, "<u4").astype(np.int64) for t, _ in order], np.array([y for _, y in order]))
 
@@ -126,22 +128,25 @@ def score(df: DataFrame, model: FactorizationMachine, text_col: str = "text", ou
     shared = Shared(df.sparkSession, model)
     schema = T.StructType([*(df.schema[c] for c in passed), T.StructField(out_col, T.DoubleType(), False)])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def store() -> WordStore:
+        """Each word's rows of the machine."""
         machine: FactorizationMachine = shared.value
-        store: dict[bytes, tuple[int, ...]] = per_process("terms", shared.id, dict)
-        if len(store) > CACHE_WORDS:
-            store.clear()
-        out = []
-        for text in texts_of(batch, text_col):
-            rows: set[int] = set()
-            for w in set(words_of(text)):
-                found = store.get(w)
-                if found is None:
-                    found = store[w] = tuple(machine.place[b] for b in buckets(w) if b in machine.place)
-                if found:
-                    rows.update(found)
-            out.append(machine.score(sorted(rows)))
+
+        def learn(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            found = [[machine.place[b] for b in buckets(w) if b in machine.place] for w in words]
+            return np.array([r for rows in found for r in rows], np.int64), np.fromiter(map(len, found), np.int64, len(found))
+
+        return WordStore(learn)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        machine, held = shared.value, per_process("toxicity terms", shared.id, store)
+        split = [list(set(words_of(t))) for t in texts_of(batch, text_col)]
+        text = np.repeat(np.arange(len(split)), [len(words) for words in split])
+        rows, counts = held.gather(held.places([w for words in split for w in words]))
+        size = max(1, len(machine.weights))
+        pairs = np.unique(np.repeat(text, counts) * size + rows)
+        out = machine.score(pairs % size, pairs // size, len(split))
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(out, pa.float64())], [*passed, out_col])
 
     needed = [*passed, *([] if text_col in passed else [text_col])]
-    return map_slices(df.select(*needed), run, schema)
+    return map_slices(df.select(*needed), run, schema, rows=TEXTS)

@@ -5,7 +5,6 @@ import numpy as np
 
 from riskloom.llm import chat, langid, licenses, toxicity
 from riskloom.llm.licenses import BASE, Index, Template, words_of
-from riskloom.session import local_session  # noqa: F401
 
 
 def brute_licenses(words, templates):
@@ -53,7 +52,7 @@ def test_machine_learns_an_interaction():
         terms.append(np.array([*([11] if a else []), *([22] if b else []), 1000 + rng.integers(0, 500)]))
         labels.append(float(a and b))
     machine = toxicity.fit_machine(terms, np.array(labels))
-    p = lambda *t: machine.score([machine.place[x] for x in t])
+    p = lambda *t: machine.score(np.array([machine.place[x] for x in t], np.int64), np.zeros(len(t), np.int64), 1)[0]
     assert p(11, 22) > 0.7 > 0.3 > max(p(11), p(22), p())
     assert abs(machine.factors[machine.place[11]] @ machine.factors[machine.place[22]]) > 0.1
 
