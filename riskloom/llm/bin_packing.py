@@ -1,10 +1,14 @@
 """Best-fit packing of token pieces into fixed-length sequences by a grouping genetic algorithm.
 
 Pieces are spread evenly over shards of a bounded size. For each shard several islands evolve
-packings: crossover injects whole well-filled bins of one parent into the other, bins that now
+populations of packings: crossover injects whole well-filled bins of one parent into the other, bins that now
 hold a piece twice are dissolved, and the displaced pieces are placed by best fit, largest
 first. After each epoch an island receives the elite of its neighbour. A shard whose packing
-meets the lower bound on bins is optimal and stops.
+meets the lower bound on bins is optimal and stops; the others go on until PATIENCE epochs in a row save no bin.
+
+Then the shards meet again: each gives up its emptiest bins, at most one piece in REPACKED, and the pieces of all
+shards' emptiest bins are packed anew in the same way, level by level, until one shard holds what is left. So the
+loss of a part of a bin a shard does not add up. A level that doesn't save a bin is undone and is the last.
 
 Defined results: null text counts as empty (one piece, the end id alone); rows that repeat a
 key are packed as rows of their own; an empty table gives no rows.
@@ -14,7 +18,11 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import zlib
+from bisect import bisect_right, insort
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +39,12 @@ from riskloom.session import materialize
 JOINED = 2000
 #: Texts tokenized at once; with fewer a worker needs less memory for new words.
 TOKENIZED = 250
-#: A sequence's number is its shard's number times this plus the bin's place in the shard.
-SHARD_STRIDE = 1 << 24
+#: A sequence's number: its level's number, its shard's and the bin's place in the shard.
+LEVEL_STRIDE, SHARD_STRIDE = 1 << 56, 1 << 20
+#: Epochs without a saved bin after which a shard stops; the share of pieces, one in so many, that meet again.
+PATIENCE, REPACKED = 2, 8
+#: Pieces of a bin up to which exchanges are tried.
+SWAPPED = 8
 
 
 class WordTokenizer:
@@ -52,7 +64,10 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = special_as_text
-        model = json.loads(spec)["model"]
+        parsed = json.loads(spec)
+        model = parsed["model"]
+        # texts with the string of a special token are cut by the library, which may give it an id of its own
+        self.other = "|".join([self.OTHER, *("(?i:" + re.sub(r"(\W)", r"\\\1", t["content"]) + ")" for t in parsed.get("added_tokens", ()))])
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.pairs = PairTable([vocab[a] * WIDTH + vocab[b] for a, b in merges], list(range(len(merges))), [vocab[a + b] for a, b in merges])
@@ -98,7 +113,7 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and their number per text."""
         texts = texts.fill_null("")
-        other = pc.match_substring_regex(texts, self.OTHER)
+        other = pc.match_substring_regex(texts, self.other)
         odd = other.to_numpy(zero_copy_only=False)
         for blank in "\n\t\r":
             texts = pc.replace_substring(texts, blank, " ")
@@ -117,8 +132,10 @@ class WordTokenizer:
         return flat, segment_sums(lengths, counts)
 
 
-def pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text_col: str = "text", special_as_text: bool = True) -> DataFrame:
-    """(key, piece int, start long, length long, ids_crc32 long): each text's ids and an end id, cut at multiples of capacity."""
+def pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
+    """(key, piece int, start long, length long, ids_crc32 long): each text's ids and an end id, cut at multiples of capacity.
+
+    As in the library, the string of a special token in a text is that token, unless special_as_text."""
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = Shared(df.sparkSession, f.read())
     schema = T.StructType([df.schema[key], T.StructField("piece", T.IntegerType(), False), *(T.StructField(c, T.LongType(), False) for c in ("start", "length", "ids_crc32"))])
@@ -188,6 +205,51 @@ def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int
     return len(bins), -sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def exchange(bins: list[list[int]], loose: list[int], sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Fills bins better by giving one or two of their pieces for one or two of the loose ones; the smaller ones become loose.
+
+    For each bin the exchange that leaves the least room is taken. Only bins of at most SWAPPED pieces are tried.
+    """
+    free = sorted((sizes[i], i) for i in loose)
+    for bin_ in bins:
+        room = capacity - sum(sizes[i] for i in bin_)
+        if not room or not 1 <= len(bin_) <= SWAPPED or not free:
+            continue
+        best = None
+        for out in [*combinations(bin_, 2), *((i,) for i in bin_)]:
+            held = sum(sizes[i] for i in out)
+            most = held + room
+            one = bisect_right(free, (most, len(sizes))) - 1
+            if one >= 0 and free[one][0] > held and (best is None or most - free[one][0] < best[0]):
+                best = (most - free[one][0], out, (one,))
+            low, high = 0, len(free) - 1
+            while low < high:
+                both = free[low][0] + free[high][0]
+                if both > most:
+                    high -= 1
+                    continue
+                if both > held and (best is None or most - both < best[0]):
+                    best = (most - both, out, (low, high))
+                low += 1
+            if best and not best[0]:
+                break
+        if best:
+            _, out, taken = best
+            coming = [free[k][1] for k in taken]
+            for k in sorted(taken, reverse=True):
+                del free[k]
+            bin_[:] = [i for i in bin_ if i not in out] + coming
+            for i in out:
+                insort(free, (sizes[i], i))
+    return bins, [i for _, i in reversed(free)]
+
+
+def refill(bins: list[list[int]], loose: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Places loose pieces: exchanges first, then best fit by decreasing size."""
+    bins, loose = exchange(bins, loose, sizes, capacity)
+    return best_fit(sizes, loose, capacity, bins)
+
+
 def crossover(one: list[list[int]], other: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """`one` with whole well-filled bins of `other`; what they displace is placed by best fit."""
     filled = [b for b in other if sum(sizes[i] for i in b) >= 0.98 * capacity]
@@ -195,8 +257,7 @@ def crossover(one: list[list[int]], other: list[list[int]], sizes: list[int], ca
     taken = {i for b in injected for i in b}
     clean = [list(b) for b in one if taken.isdisjoint(b)]
     displaced = [i for b in one if not taken.isdisjoint(b) for i in b if i not in taken]
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(sizes, displaced, capacity, clean + [list(b) for b in injected])
+    return refill(clean + [list(b) for b in injected], displaced, sizes, capacity)
 
 
 def mutate(bins: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
@@ -205,22 +266,20 @@ def mutate(bins: list[list[int]], sizes: list[int], capacity: int, rng: random.R
     gone, stay = by[: max(2, len(by) // 20)], by[max(2, len(by) // 20) :]
     for _ in range(min(len(stay), max(1, len(by) // 50))):
         gone.append(stay.pop(rng.randrange(len(stay))))
-    loose = sorted((i for b in gone for i in b), key=lambda i: -sizes[i])
-    return best_fit(sizes, loose, capacity, [list(b) for b in stay])
+    return refill([list(b) for b in stay], [i for b in gone for i in b], sizes, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, seeds: list[list[list[int]]], generations: int, population: int = 3) -> list[list[int]]:
-    """The best packing after some generations, starting from `seeds` and from best fit over noisy decreasing orders."""
+def evolve(sizes: list[int], capacity: int, seed: int, pool: list[list[list[int]]], generations: int, population: int = 4) -> list[list[list[int]]]:
+    """The population after some generations, best first, from the packings in `pool` and best fit over noisy decreasing orders."""
     rng = random.Random(seed)
     bound = lower_bound(np.array(sizes, np.int64), capacity) if sizes else 0
     rank = lambda bins: fitness(bins, sizes, capacity)
-    pool = [s for s in seeds if s]
+    pool = list(pool)
     done = lambda: any(len(p) <= bound for p in pool)
-    noise = 0.0
     while len(pool) < population and not done():
+        noise = 0.05 * rng.random() if pool else 0.0
         keys = [s * (1 - noise * rng.random()) for s in sizes]
         pool.append(best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -keys[i]), capacity, []))
-        noise = 0.05 if not noise else noise * 2
     for _ in range(generations):
         if done():
             break
@@ -229,9 +288,9 @@ def evolve(sizes: list[int], capacity: int, seed: int, seeds: list[list[list[int
         if rng.random() < 0.5:
             child = mutate(child, sizes, capacity, rng)
         worst = max(range(len(pool)), key=lambda k: rank(pool[k]))
-        if rank(child) <= rank(pool[worst]):
+        if rank(child) <= rank(pool[worst]) and child not in pool:
             pool[worst] = child
-    return min(pool, key=rank) if pool else []
+    return sorted(pool, key=rank)[:population]
 
 
 def _bins(assignment: list[int] | None) -> list[list[int]]:
@@ -243,50 +302,111 @@ def _bins(assignment: list[int] | None) -> list[list[int]]:
     return out
 
 
-def pack(df: DataFrame, capacity: int = 2048, length_col: str = "length", shard_rows: int = 8192, islands: int = 2, epochs: int = 2, generations: int = 4) -> DataFrame:
-    """df with sequence_id long and offset long: rows of the same sequence stand gapless from 0 and fill at most capacity."""
-    fixed = materialize(df.drop("sequence_id", "offset"), "pieces")
-    shards = max(1, -(-fixed.count() // shard_rows))
-    items = F.struct(*(F.col(f"`{c}`") for c in fixed.columns))
-    table = materialize(
-        fixed.select(F.pmod(row_spread(length_col), F.lit(shards)).alias("shard"), items.alias("item")).groupBy("shard").agg(F.collect_list("item").alias("items")).repartition(shards, "shard"),
-        "shards",
-    )
-    lengths = table.select("shard", F.transform("items", lambda x: x[length_col].cast("int")).alias("lengths"))
-    state = lengths.select("*", F.explode(F.array(*(F.lit(k) for k in range(islands)))).alias("island"), F.lit(None).cast("array<int>").alias("own"), F.lit(None).cast("array<int>").alias("elite"))
-    schema = "shard long, lengths array<int>, island int, own array<int>"
+def _assignment(bins: list[list[int]], n: int) -> list[int]:
+    at = [0] * n
+    for k, members in enumerate(bins):
+        for i in members:
+            at[i] = k
+    return at
+
+
+def islands_evolve(lengths: DataFrame, shards: int, capacity: int, islands: int, epochs: int, generations: int) -> DataFrame:
+    """(shard, lengths, own): the best packing of each shard; own: the bin of each piece. lengths: (shard, lengths)."""
+    pools = "array<array<int>>"
+    state = lengths.select("shard", "lengths", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit(None).cast(pools).alias("pool"), F.lit(None).cast("array<int>").alias("elite"))
+    schema = T._parse_datatype_string(f"shard long, lengths array<int>, island int, pool {pools}, bins int, bound int")
+    finished: list[DataFrame] = []
+    fewest, idle = None, 0
     for epoch in range(epochs):
 
         def run(batch: pa.RecordBatch, epoch: int = epoch) -> pa.RecordBatch:
-            own = []
+            out = []
             for row in batch.to_pylist():
                 sizes = row["lengths"]
-                bins = evolve(sizes, capacity, hash((row["shard"], row["island"], epoch)), [_bins(row["own"]), _bins(row["elite"])], generations)
-                at = [0] * len(sizes)
-                for k, members in enumerate(bins):
-                    for i in members:
-                        at[i] = k
-                own.append(at)
-            return pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("lengths"), batch.column("island"), pa.array(own, pa.list_(pa.int32()))], ["shard", "lengths", "island", "own"])
+                held = [_bins(x) for x in [*(row["pool"] or ()), *([row["elite"]] if row["elite"] else [])]]
+                found = evolve(sizes, capacity, hash((row["shard"], row["island"], epoch)), held, generations)
+                out.append({"shard": row["shard"], "lengths": sizes, "island": row["island"], "pool": [_assignment(b, len(sizes)) for b in found], "bins": len(found[0]), "bound": lower_bound(np.array(sizes, np.int64), capacity)})
+            return pa.RecordBatch.from_pylist(out, arrow_schema)
 
+        arrow_schema = pa.schema([("shard", pa.int64()), ("lengths", pa.list_(pa.int32())), ("island", pa.int32()), ("pool", pa.list_(pa.list_(pa.int32()))), ("bins", pa.int32()), ("bound", pa.int32())])
         # islands of a shard run in tasks of their own
-        state = map_slices(state.repartition(shards * islands, "shard", "island"), run, T._parse_datatype_string(schema))
+        state = materialize(map_slices(state.repartition(shards * islands, "shard", "island"), run, schema, rows=4), "islands")
+        least = state.groupBy("shard").agg(F.min("bins").alias("least"), F.min("bound").alias("need"))
+        left, total = least.where("least > need").agg(F.count(F.lit(1)), F.sum("least")).first()
+        idle = idle + 1 if fewest is not None and (left, total) >= fewest else 0
+        fewest = (left, total)
+        if not left or epoch == epochs - 1 or idle >= PATIENCE:
+            finished.append(state)
+            break
+        named = state.join(least, "shard")
+        finished.append(named.where("least <= need").drop("least", "need"))
         ring = Window.partitionBy("shard").orderBy("island")
-        last = F.last("own").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        state = state.withColumn("elite", F.coalesce(F.lag("own").over(ring), last))
-    best = state.groupBy("shard").agg(F.min_by(F.struct("lengths", "own"), F.struct(F.array_max("own"), "island")).alias("b")).select("shard", "b.lengths", "b.own")
+        best = F.col("pool")[0]
+        last = F.last(best).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        state = named.where("least > need").select("shard", "lengths", "island", "pool", F.coalesce(F.lag(best).over(ring), last).alias("elite"))
+    every = reduce(DataFrame.unionByName, finished)
+    return every.groupBy("shard").agg(F.min_by(F.struct("lengths", F.col("pool")[0].alias("own")), F.struct("bins", "island")).alias("b")).select("shard", "b.lengths", "b.own")
+
+
+def emptiest(sizes: list[int], own: list[int], capacity: int) -> set[int]:
+    """The emptiest bins that aren't full, with at most one piece in REPACKED of all, but one bin at least."""
+    fill: dict[int, int] = {}
+    pieces: dict[int, int] = {}
+    for size, k in zip(sizes, own, strict=True):
+        fill[k] = fill.get(k, 0) + size
+        pieces[k] = pieces.get(k, 0) + 1
+    room, out = max(1, len(sizes) // REPACKED), set()
+    for k in sorted((k for k in fill if fill[k] < capacity), key=lambda k: (fill[k], k)):
+        if out and pieces[k] > room:
+            break
+        out.add(k)
+        room -= pieces[k]
+    return out
+
+
+def pack_level(pieces: DataFrame, count: int, level: int, capacity: int, length_col: str, shard_rows: int, islands: int, epochs: int, generations: int) -> DataFrame:
+    """(item, sequence_id, offset, open): the packed rows of (item), open where the bin may meet others again."""
+    shards = max(1, -(-count // shard_rows))
+    table = pieces.select(F.pmod(row_spread(F.col("item")[length_col]), F.lit(shards)).alias("shard"), "item")
+    table = materialize(table.groupBy("shard").agg(F.collect_list("item").alias("items")).repartition(shards, "shard"), "shards")
+    best = islands_evolve(table.select("shard", F.transform("items", lambda x: x[length_col].cast("int")).alias("lengths")), shards, capacity, islands, epochs, generations)
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        offsets = []
+        offsets, opened = [], []
         for sizes, own in zip(batch.column("lengths").to_pylist(), batch.column("own").to_pylist(), strict=True):
             fill: dict[int, int] = {}
             at = []
             for size, k in zip(sizes, own, strict=True):
                 at.append(fill.get(k, 0))
                 fill[k] = at[-1] + size
+            again = emptiest(sizes, own, capacity) if shards > 1 else set()
             offsets.append(at)
-        return pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("own"), pa.array(offsets, pa.list_(pa.int64()))], ["shard", "own", "offsets"])
+            opened.append([k in again for k in own])
+        return pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("own"), pa.array(offsets, pa.list_(pa.int64())), pa.array(opened, pa.list_(pa.bool_()))], ["shard", "own", "offsets", "opened"])
+
+    placed = map_slices(best, place, T._parse_datatype_string("shard long, own array<int>, offsets array<long>, opened array<boolean>"))
+    rows = placed.join(table, "shard").select("shard", F.explode(F.arrays_zip("items", "own", "offsets", "opened")).alias("x"))
+    number = F.lit(level * LEVEL_STRIDE) + F.col("shard") * SHARD_STRIDE + F.col("x.own")
+    return materialize(rows.select(F.col("x.items").alias("item"), number.alias("sequence_id"), F.col("x.offsets").alias("offset"), F.col("x.opened").alias("open")), "packed")
 
-    placed = map_slices(best, place, T._parse_datatype_string("shard long, own array<int>, offsets array<long>"))
-    rows = placed.join(table, "shard").select("shard", F.explode(F.arrays_zip("items", "own", "offsets")).alias("x"))
-    return rows.select(*(F.col(f"x.items.`{c}`").alias(c) for c in fixed.columns), (F.col("shard") * SHARD_STRIDE + F.col("x.own")).alias("sequence_id"), F.col("x.offsets").alias("offset"))
+
+def pack(df: DataFrame, capacity: int = 2048, length_col: str = "length", shard_rows: int = 8192, islands: int = 2, epochs: int = 12, generations: int = 25) -> DataFrame:
+    """df with sequence_id long and offset long: rows of the same sequence stand gapless from 0 and fill at most capacity."""
+    fixed = materialize(df.drop("sequence_id", "offset"), "pieces")
+    left = fixed.select(F.struct(*(F.col(f"`{c}`") for c in fixed.columns)).alias("item"))
+    done: list[DataFrame] = []
+    before, count, level = None, fixed.count(), 0
+    while True:
+        now = pack_level(left, count, level, capacity, length_col, shard_rows, islands, epochs, generations)
+        bins, = now.agg(F.count_if(F.col("offset") == 0)).first()
+        if before is not None and bins >= before[1]:
+            done.append(before[0])
+            break
+        done.append(now.where("NOT open"))
+        again = now.where("open")
+        count, bins = again.agg(F.count(F.lit(1)), F.count_if(F.col("offset") == 0)).first()
+        if not count:
+            break
+        before, left, level = (again, bins), again.select("item"), level + 1
+    rows = reduce(DataFrame.unionByName, done)
+    return rows.select(*(F.col(f"item.`{c}`").alias(c) for c in fixed.columns), "sequence_id", "offset")

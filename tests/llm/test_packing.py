@@ -11,23 +11,30 @@ from tokenizers import Tokenizer
 from riskloom.llm import bin_packing as bp
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-OWN = bp.WordTokenizer(open(PATH, encoding="utf-8").read(), True)
-LIB = Tokenizer.from_file(PATH)
-LIB.encode_special_tokens = True
+SPEC = open(PATH, encoding="utf-8").read()
+#: the library as it comes, and with the strings of special tokens as text
+LIB, LIB_TEXT = Tokenizer.from_file(PATH), Tokenizer.from_file(PATH)
+LIB_TEXT.encode_special_tokens = True
+OWN = ((bp.WordTokenizer(SPEC, False), LIB), (bp.WordTokenizer(SPEC, True), LIB_TEXT))
 
 
 def same(texts):
-    flat, counts = OWN.encode(pa.array(texts, pa.string()))
-    got = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
-    assert got == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
+    for own, lib in OWN:
+        flat, counts = own.encode(pa.array(texts, pa.string()))
+        got = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+        assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_ids_equal_the_library():
-    same(["", " ", "Hello, World!", "it's  I'LL\n\tdon't", "ÀÉÎ straße ÿ Ως ΑΣ İ", "<|endoftext|> a", "é ́x", "12 3456 ab12.", "[x](y)*%&", "a" * 3000, "\x1cq\x85r s", "日本 語"])
+    assert LIB.encode("x <|endoftext|> a", add_special_tokens=False).ids == [343, 49407, 320]
+    same(["x <|endoftext|> a", "x<|endoftext|>a <|startoftext|>", "<|ENDOFTEXT|> é<|endoftext|>日 '<|endoftext|>'s", "a\n<|endoftext|>\t<|endoftext|>b <|endoftext", "", " ", "Hello, World!", "it's  I'LL\n\tdon't", "ÀÉÎ straße ÿ Ως ΑΣ İ", "<|endoftext|> a", "é ́x", "12 3456 ab12.", "[x](y)*%&", "a" * 3000, "\x1cq\x85r s", "日本 語"])
+
+
+TEXT = st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\tABcdeinthero'.,!Éß")))
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\tABcdeinthero'.,!Éß"))), min_size=1, max_size=4))
+@given(st.lists(st.lists(st.one_of(TEXT, st.just("<|endoftext|>")), max_size=3).map("".join), min_size=1, max_size=4))
 def test_ids_of_any_text(texts):
     same(texts)
 
@@ -58,7 +65,7 @@ def test_packings_are_valid_and_near_the_optimum():
         sizes = [rng.randint(1, 20) for _ in range(9)]
         best = exact(sorted(sizes, reverse=True), 20)
         assert bp.lower_bound(np.array(sizes), 20) <= best
-        bins = bp.evolve(sizes, 20, 3, [], 30)
+        bins = bp.evolve(sizes, 20, 3, [], 30)[0]
         assert sorted(i for b in bins for i in b) == list(range(9))
         assert all(sum(sizes[i] for i in b) <= 20 for b in bins)
         assert len(bins) == best
@@ -74,6 +81,53 @@ def test_crossover_keeps_every_piece_once():
     assert all(sum(sizes[i] for i in b) <= 2048 for b in child)
 
 
+def triplets(n, capacity, seed):
+    """Sizes of which three by three fill bins exactly, but which best fit by decreasing size packs worse."""
+    rng, sizes = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randint(capacity * 38 // 100, capacity * 49 // 100)
+        b = rng.randint(capacity // 4, (capacity - a) // 2)
+        sizes += [a, b, capacity - a - b]
+    return sizes
+
+
+def test_evolution_beats_best_fit():
+    saved = 0
+    for seed in range(3):
+        sizes = triplets(40, 200, seed)
+        first = len(bp.best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), 200, []))
+        pool = bp.evolve(sizes, 200, seed, [], 300)
+        assert all(sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 200 for b in bins) for bins in pool)
+        assert 40 <= len(pool[0]) <= first
+        saved += first - len(pool[0])
+    assert saved >= 3
+
+
+def test_shards_meet_again(spark):
+    rng = random.Random(6)
+    sizes = [*triplets(60, 200, 9), *(rng.randint(1, 90) for _ in range(260))]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long")
+    least = -(-sum(sizes) // 200)
+    apart = bp.pack(df, 200, shard_rows=10**6).agg({"sequence_id": "count"}).first()[0]
+    assert apart == len(sizes)
+    rows = bp.pack(df, 200, shard_rows=40, epochs=3).collect()
+    by = {}
+    for r in rows:
+        assert r.length == sizes[r.doc_id]
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(r.doc_id for r in rows) == list(range(len(sizes)))
+    for held in by.values():
+        held.sort()
+        assert held[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(held, held[1:])) and sum(held[-1]) <= 200
+    assert len({s // bp.LEVEL_STRIDE for s in by}) > 1 and least <= len(by) <= least + 4
+
+
+def test_emptiest_bins():
+    assert bp.emptiest([100, 40, 50, 100], [0, 1, 2, 0], 200) == {1}
+    assert bp.emptiest([1] * 16 + [200], [k // 8 for k in range(16)] + [2], 200) == {0}
+    assert bp.emptiest([200], [0], 200) == set()
+
+
 def test_operator(spark):
     texts = [None, "", "a b c", "word " * 5000, "a b c", *("x y " * k for k in range(40))]
     rows = [(i if i != 4 else 2, t, "extra") for i, t in enumerate(texts)] + [(None, "null id", None)]
