@@ -43,6 +43,8 @@ TOKENIZED = 250
 LEVEL_STRIDE, SHARD_STRIDE = 1 << 56, 1 << 20
 #: Epochs without a saved bin after which a shard stops; the share of pieces, one in so many, that meet again.
 PATIENCE, REPACKED = 2, 8
+#: Sequences' worth of room that the bins of a shard that don't meet others again may leave.
+LEFT = 0.05
 #: Pieces of a bin up to which exchanges are tried.
 SWAPPED = 8
 
@@ -269,30 +271,6 @@ def mutate(bins: list[list[int]], sizes: list[int], capacity: int, rng: random.R
     return refill([list(b) for b in stay], [i for b in gone for i in b], sizes, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, pool: list[list[list[int]]], generations: int, population: int = 4) -> list[list[list[int]]]:
-    """The population after some generations, best first, from the packings in `pool` and best fit over noisy decreasing orders."""
-    rng = random.Random(seed)
-    bound = lower_bound(np.array(sizes, np.int64), capacity) if sizes else 0
-    rank = lambda bins: fitness(bins, sizes, capacity)
-    pool = list(pool)
-    done = lambda: any(len(p) <= bound for p in pool)
-    while len(pool) < population and not done():
-        noise = 0.05 * rng.random() if pool else 0.0
-        keys = [s * (1 - noise * rng.random()) for s in sizes]
-        pool.append(best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -keys[i]), capacity, []))
-    for _ in range(generations):
-        if done():
-            break
-        a, b = rng.sample(range(len(pool)), 2)
-        child = crossover(pool[a], pool[b], sizes, capacity, rng)
-        if rng.random() < 0.5:
-            child = mutate(child, sizes, capacity, rng)
-        worst = max(range(len(pool)), key=lambda k: rank(pool[k]))
-        if rank(child) <= rank(pool[worst]) and child not in pool:
-            pool[worst] = child
-    return sorted(pool, key=rank)[:population]
-
-
 def _bins(assignment: list[int] | None) -> list[list[int]]:
     out: list[list[int]] = []
     for i, k in enumerate(assignment or ()):
@@ -310,11 +288,63 @@ def _assignment(bins: list[list[int]], n: int) -> list[int]:
     return at
 
 
+def emptiest(sizes: list[int], own: list[int], capacity: int) -> set[int]:
+    """The emptiest bins that aren't full, with at most one piece in REPACKED of all, but one bin at least."""
+    fill: dict[int, int] = {}
+    pieces: dict[int, int] = {}
+    for size, k in zip(sizes, own, strict=True):
+        fill[k] = fill.get(k, 0) + size
+        pieces[k] = pieces.get(k, 0) + 1
+    room, out = max(1, len(sizes) // REPACKED), set()
+    for k in sorted((k for k in fill if fill[k] < capacity), key=lambda k: (fill[k], k)):
+        if out and pieces[k] > room:
+            break
+        out.add(k)
+        room -= pieces[k]
+    return out
+
+
+def settled(bins: list[list[int]], sizes: list[int], capacity: int, bound: int, again: bool) -> bool:
+    """Whether a packing needs no more work: it meets the bound or, where the emptiest bins meet those of other
+    shards again, the bins that stay leave hardly any room."""
+    if len(bins) <= bound:
+        return True
+    if not again:
+        return False
+    given = emptiest(sizes, _assignment(bins, len(sizes)), capacity)
+    return sum(capacity - sum(sizes[i] for i in b) for k, b in enumerate(bins) if k not in given) <= LEFT * capacity
+
+
+def evolve(sizes: list[int], capacity: int, seed: int, pool: list[list[list[int]]], generations: int, population: int = 4, again: bool = False) -> list[list[list[int]]]:
+    """The population after some generations, best first, from the packings in `pool` and best fit over noisy decreasing orders."""
+    rng = random.Random(seed)
+    bound = lower_bound(np.array(sizes, np.int64), capacity) if sizes else 0
+    rank = lambda bins: (not settled(bins, sizes, capacity, bound, again), *fitness(bins, sizes, capacity))
+    ranked = [(rank(p), p) for p in pool]
+    while len(ranked) < population and not any(not r[0] for r, _ in ranked):
+        noise = 0.05 * rng.random() if ranked else 0.0
+        keys = [s * (1 - noise * rng.random()) for s in sizes]
+        made = best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -keys[i]), capacity, [])
+        ranked.append((rank(made), made))
+    for _ in range(generations):
+        if any(not r[0] for r, _ in ranked):
+            break
+        (_, a), (_, b) = rng.sample(ranked, 2)
+        child = crossover(a, b, sizes, capacity, rng)
+        if rng.random() < 0.5:
+            child = mutate(child, sizes, capacity, rng)
+        new = rank(child)
+        worst = max(range(len(ranked)), key=lambda k: ranked[k][0])
+        if new <= ranked[worst][0] and all(child != p for _, p in ranked):
+            ranked[worst] = (new, child)
+    return [p for _, p in sorted(ranked, key=lambda x: x[0])[:population]]
+
+
 def islands_evolve(lengths: DataFrame, shards: int, capacity: int, islands: int, epochs: int, generations: int) -> DataFrame:
     """(shard, lengths, own): the best packing of each shard; own: the bin of each piece. lengths: (shard, lengths)."""
     pools = "array<array<int>>"
     state = lengths.select("shard", "lengths", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit(None).cast(pools).alias("pool"), F.lit(None).cast("array<int>").alias("elite"))
-    schema = T._parse_datatype_string(f"shard long, lengths array<int>, island int, pool {pools}, bins int, bound int")
+    schema = T._parse_datatype_string(f"shard long, lengths array<int>, island int, pool {pools}, bins int, open boolean")
     finished: list[DataFrame] = []
     fewest, idle = None, 0
     for epoch in range(epochs):
@@ -324,44 +354,29 @@ def islands_evolve(lengths: DataFrame, shards: int, capacity: int, islands: int,
             for row in batch.to_pylist():
                 sizes = row["lengths"]
                 held = [_bins(x) for x in [*(row["pool"] or ()), *([row["elite"]] if row["elite"] else [])]]
-                found = evolve(sizes, capacity, hash((row["shard"], row["island"], epoch)), held, generations)
-                out.append({"shard": row["shard"], "lengths": sizes, "island": row["island"], "pool": [_assignment(b, len(sizes)) for b in found], "bins": len(found[0]), "bound": lower_bound(np.array(sizes, np.int64), capacity)})
+                found = evolve(sizes, capacity, hash((row["shard"], row["island"], epoch)), held, generations, again=shards > 1)
+                more = not settled(found[0], sizes, capacity, lower_bound(np.array(sizes, np.int64), capacity), shards > 1)
+                out.append({"shard": row["shard"], "lengths": sizes, "island": row["island"], "pool": [_assignment(b, len(sizes)) for b in found], "bins": len(found[0]), "open": more})
             return pa.RecordBatch.from_pylist(out, arrow_schema)
 
-        arrow_schema = pa.schema([("shard", pa.int64()), ("lengths", pa.list_(pa.int32())), ("island", pa.int32()), ("pool", pa.list_(pa.list_(pa.int32()))), ("bins", pa.int32()), ("bound", pa.int32())])
+        arrow_schema = pa.schema([("shard", pa.int64()), ("lengths", pa.list_(pa.int32())), ("island", pa.int32()), ("pool", pa.list_(pa.list_(pa.int32()))), ("bins", pa.int32()), ("open", pa.bool_())])
         # islands of a shard run in tasks of their own
         state = materialize(map_slices(state.repartition(shards * islands, "shard", "island"), run, schema, rows=4), "islands")
-        least = state.groupBy("shard").agg(F.min("bins").alias("least"), F.min("bound").alias("need"))
-        left, total = least.where("least > need").agg(F.count(F.lit(1)), F.sum("least")).first()
+        least = state.groupBy("shard").agg(F.min("bins").alias("least"), F.min("open").alias("more"))
+        left, total = least.where("more").agg(F.count(F.lit(1)), F.sum("least")).first()
         idle = idle + 1 if fewest is not None and (left, total) >= fewest else 0
         fewest = (left, total)
         if not left or epoch == epochs - 1 or idle >= PATIENCE:
             finished.append(state)
             break
         named = state.join(least, "shard")
-        finished.append(named.where("least <= need").drop("least", "need"))
+        finished.append(named.where("NOT more").drop("least", "more"))
         ring = Window.partitionBy("shard").orderBy("island")
         best = F.col("pool")[0]
         last = F.last(best).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        state = named.where("least > need").select("shard", "lengths", "island", "pool", F.coalesce(F.lag(best).over(ring), last).alias("elite"))
+        state = named.where("more").select("shard", "lengths", "island", "pool", F.coalesce(F.lag(best).over(ring), last).alias("elite"))
     every = reduce(DataFrame.unionByName, finished)
-    return every.groupBy("shard").agg(F.min_by(F.struct("lengths", F.col("pool")[0].alias("own")), F.struct("bins", "island")).alias("b")).select("shard", "b.lengths", "b.own")
-
-
-def emptiest(sizes: list[int], own: list[int], capacity: int) -> set[int]:
-    """The emptiest bins that aren't full, with at most one piece in REPACKED of all, but one bin at least."""
-    fill: dict[int, int] = {}
-    pieces: dict[int, int] = {}
-    for size, k in zip(sizes, own, strict=True):
-        fill[k] = fill.get(k, 0) + size
-        pieces[k] = pieces.get(k, 0) + 1
-    room, out = max(1, len(sizes) // REPACKED), set()
-    for k in sorted((k for k in fill if fill[k] < capacity), key=lambda k: (fill[k], k)):
-        if out and pieces[k] > room:
-            break
-        out.add(k)
-        room -= pieces[k]
-    return out
+    return every.groupBy("shard").agg(F.min_by(F.struct("lengths", F.col("pool")[0].alias("own")), F.struct("open", "bins", "island")).alias("b")).select("shard", "b.lengths", "b.own")
 
 
 def pack_level(pieces: DataFrame, count: int, level: int, capacity: int, length_col: str, shard_rows: int, islands: int, epochs: int, generations: int) -> DataFrame:
