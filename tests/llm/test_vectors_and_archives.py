@@ -19,22 +19,36 @@ def vectors(spark, n=400, d=16, seed=0):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, Score string")
 
 
+def brute_top(rows, k):
+    ok = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v, *_ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for place, (q, w) in enumerate(ok):
+        if q % 20 == 0:
+            best = sorted((-int(w @ v), i) for other, (i, v) in enumerate(ok) if other != place and len(v) == len(w))[:k]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(want)
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     rows, df = vectors(spark)
-    for block in (1024, 50):
+    rows += [(0, rows[0][1], 1, "q"), (20, rows[40][1], 1, "q"), (20, rows[20][1], 1, "q"), (None, rows[0][1], 1, "q"), (7, rows[0][1], 1, "q")]
+    df = spark.createDataFrame(rows, df.schema).withColumn("RANK", F.lit("clash"))
+    for block, run, group in ((1024, 8, 32), (50, 2, 1)):
         monkeypatch.setattr(topk, "BLOCK", block)
         monkeypatch.setattr(topk, "BATCH", 8)
+        monkeypatch.setattr(topk, "RUN", run)
+        monkeypatch.setattr(topk, "GROUP", group)
         got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=7).collect())
-        ok = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v, *_ in rows if v and all(x is not None and np.isfinite(x) for x in v)]
-        want = []
-        for q, w in ok:
-            if q % 20 == 0:
-                best = sorted((-int(w @ v), i) for i, v in ok if i != q and len(v) == len(w))[:7]
-                want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
-        assert got == sorted(want)
+        assert got == brute_top(rows, 7)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_rows_that_repeat_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.9, 0.1]), (1, [0.8, 0.0]), (2, [0.7, 0.0]), (3, [0.6, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows, 3)
+
+
 def test_projections_find_the_links(spark, monkeypatch):
     rows, df = vectors(spark)
     good = [(i, np.array(v), y) for i, v, y, _ in rows if v and y is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
