@@ -1,11 +1,11 @@
 """Near-duplicate vectors by collision counting over one-dimensional projections.
 
-Within a label, equal vectors are one class. Unit vectors are projected onto M random directions.
-Two vectors collide in a projection when one lies in the window of half-width WINDOW around
-the other. A pair is verified by exact cosine when it collides in at least `least_count` of the
-M projections, the largest count that keeps RECALL of pairs at the threshold. The first projection also deals the work:
-vectors are sorted along it into slabs of SLAB's width, so near pairs lie in the same or
-neighbouring slabs, and crowded slabs are cut into blocks, so that every task compares two
+Within a label, equal vectors are one class. Unit vectors are projected onto M random directions and
+sorted along each. Around each vector a window of half-width WINDOW is cut out of every sorted projection by binary
+search, and the collisions of each pair that a window emits are counted. A pair is verified by exact cosine when it
+collides in at least `least_count` of the M projections, the largest count that keeps RECALL of pairs at the threshold.
+The first projection also deals the work: vectors are ranged along it into slabs of SLAB's width, so near pairs lie in
+the same or neighbouring slabs, and crowded slabs are cut into blocks, so that every task sorts and searches two
 blocks of a bounded size. Tasks return link counts and a spanning forest of their links, never all pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without a label,
@@ -15,6 +15,7 @@ vector each and share a component; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb, erf, sqrt
 
 import numpy as np
@@ -30,8 +31,9 @@ from riskloom.session import materialize, ship
 
 M, RECALL = 32, 0.9995
 #: Half-width of a window and width of a slab, in standard deviations of a projected difference at the threshold.
-WINDOW, SLAB = 2.0, 3.8
-BLOCK, CHUNK = 2048, 64
+WINDOW, SLAB = 1.0, 3.8
+#: Vectors of a block; pairs whose cosine is computed at once; the smallest distance that windows are made for.
+BLOCK, VERIFIED, LEAST_DISTANCE = 2048, 20_000, 1e-3
 
 
 def directions(d: int) -> np.ndarray:
@@ -47,56 +49,73 @@ def least_count(threshold: float) -> tuple[float, int]:
         if tail >= RECALL:
             break
         count -= 1
-    return sqrt(2 - 2 * threshold), count
+    return max(LEAST_DISTANCE, sqrt(max(0.0, 2 - 2 * threshold))), count
+
+
+def collisions(left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, places in right) of the pairs with enough collisions; left, right: projections, a row per vector."""
+    distance, least = least_count(threshold)
+    half = WINDOW * distance
+    order = np.argsort(right, axis=0, kind="stable")
+    held = np.take_along_axis(right, order, 0)
+    low, high = np.zeros(left.shape, np.int64), np.zeros(left.shape, np.int64)
+    for m in range(M):
+        low[:, m] = np.searchsorted(held[:, m], left[:, m] - half, "left")
+        high[:, m] = np.searchsorted(held[:, m], left[:, m] + half, "right")
+    columns = np.ascontiguousarray(order.T)
+    for i, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        emitted = np.concatenate([column[x:y] for column, x, y in zip(columns, a, b, strict=True)])
+        if len(emitted) >= least:
+            yield i, np.flatnonzero(np.bincount(emitted, minlength=len(right)) >= least)
 
 
 def links_between(left: dict, right: dict | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Places (i in left, j in right) of the linked pairs; with right None, those within left, i < j."""
-    distance, least = least_count(threshold)
     other = left if right is None else right
-    by, to = np.argsort(left["p"][:, 0], kind="stable"), np.argsort(other["p"][:, 0], kind="stable")
-    a, b = left["p"][by], np.ascontiguousarray(other["p"][to].T)
-    half = np.float32(WINDOW * distance)
-    out = []
-    for at in range(0, len(a), CHUNK):
-        part = a[at : at + CHUNK]
-        lo, hi = np.searchsorted(b[0], [part[0, 0] - SLAB * distance, part[-1, 0] + SLAB * distance])
-        if lo >= hi:
-            continue
-        counts = np.zeros((len(part), hi - lo), np.uint8)
-        for m in range(M):
-            counts += np.abs(part[:, m, None] - b[m, None, lo:hi]) <= half
-            if m == M // 2 and not (counts >= least - (M - m - 1)).any():
-                break
-        i, j = np.nonzero(counts >= least)
-        i, j = by[at + i], to[lo + j]
-        if right is None:
-            i, j = i[i < j], j[i < j]
-        if len(i):
-            x, y = left["v"][i], other["v"][j]
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def verify() -> None:
+        i, j = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+        for at in range(0, len(i), VERIFIED):
+            a, b = i[at : at + VERIFIED], j[at : at + VERIFIED]
+            x, y = left["v"][a], other["v"][b]
             cosine = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
-            out.append((i[cosine >= threshold], j[cosine >= threshold]))
+            out.append((a[cosine >= threshold], b[cosine >= threshold]))
+        held.clear()
+
+    for i, j in collisions(left["p"], other["p"], threshold):
+        if right is None:
+            j = j[j > i]
+        if len(j):
+            held.append((np.full(len(j), i), j))
+            size += len(j)
+            if size >= VERIFIED:
+                verify()
+                size = 0
+    if held:
+        verify()
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what all the edges connect."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    """Edges that connect what all the edges (a, b) connect; edges of equal a stand together."""
+    if not len(a):
+        return []
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    part = np.arange(len(nodes))
+    one, two = places[: len(a)], places[len(a) :]
+    starts = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
     out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((x, y))
+    for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(one)], strict=True):
+        found, at = np.unique(part[two[x:y]], return_index=True)
+        new = found != part[one[x]]
+        if new.any():
+            out += [(int(a[x]), int(b[x + k])) for k in at[new].tolist()]
+            part[np.isin(part, found[new])] = part[one[x]]
     return out
 
 

@@ -77,6 +77,35 @@ def test_projections_find_the_links(spark, monkeypatch):
         assert all(r.n_links <= links[r.vec_id] + (r.vec_id == 3) for r in got)
         assert np.mean([r.component_id == find(r.vec_id) and r.kept == (r.vec_id == r.component_id) for r in got]) > 0.98
     assert projections.near_duplicates(df.limit(0)).count() == 0
+    exact = {r.vec_id: r.n_links for r in projections.near_duplicates(df, threshold=1.0, keep=["vec_id"]).collect()}
+    assert exact[400 + 4] == 0 and exact[400 + 7] >= 1
+
+
+def test_collisions_equal_counts_over_all_pairs():
+    rng = np.random.default_rng(3)
+    left, right = rng.normal(0, 1, (70, projections.M)).astype("f4"), rng.normal(0, 1, (90, projections.M)).astype("f4")
+    right[:30] = left[:30] + rng.normal(0, 0.2, (30, projections.M)).astype("f4")
+    distance, least = projections.least_count(0.93)
+    counts = (np.abs(left[:, None, :].astype(float) - right[None].astype(float)) <= projections.WINDOW * distance).sum(2)
+    got = {(i, int(j)) for i, js in projections.collisions(left, right, 0.93) for j in js}
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(counts >= least)), strict=True)) and len(got) >= 25
+
+
+def test_forest_spans_the_links():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        edges = np.unique(rng.integers(0, 30, (25, 2)), axis=0)
+
+        def parts(pairs):
+            root = list(range(30))
+            for x, y in pairs:
+                p, q = root[x], root[y]
+                root = [p if r == q else r for r in root]
+            return [root.index(r) for r in root], len(set(root))
+
+        tree = projections.forest(edges[:, 0], edges[:, 1])
+        assert parts(tree) == parts(edges.tolist()) and len(tree) == 30 - parts(tree)[1]
+    assert projections.forest(np.zeros(0, int), np.zeros(0, int)) == []
 
 
 def test_warc_pages(spark, tmp_path):
