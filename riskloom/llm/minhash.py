@@ -14,8 +14,10 @@
 A pair at the threshold shares a band with probability 1 - (1 - 0.75 ** 5) ** 48 > 0.999997. Pairs are linked only if
 their full sets pass.
 
-Defined results: null and empty texts have no shingles and are linked with nothing; a text with fewer words
-than a shingle is one shingle; rows that repeat a document id count as one document; an empty table gives no rows.
+Defined results: one row comes back for each row. Null and empty texts have no shingles and are linked with nothing; a
+text with fewer words than a shingle is one shingle. Rows that repeat a document id are one document that has the
+links of all its texts: they share the component, and n_shingles is that of the largest set. Rows without an id take no
+part: no shingles, no component, kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -276,6 +278,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text_col: str = "text",
     best = materialize(near.groupBy("b").agg(F.max_by("a", F.struct("e", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
     sets = full_sets(best.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, key, text_col, size)
     links = materialize(confirm(best, sets, percent), "links")
+    # an id with several rows ties the classes of their texts together
+    repeated = signed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    tied = signed.where("words IS NOT NULL").join(repeated, key).select(F.col(key).alias("a"), "words").join(reps.select("words", F.col("id").alias("b")), "words").select("a", "b").where("a <> b")
+    links = materialize(links.unionByName(tied).distinct(), "links")
     labels = materialize(connected_components(links), "labels")
     more = second_round(members, bits, labels, docs, key, text_col, size, percent, floor)
     if not more.isEmpty():
@@ -283,8 +289,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text_col: str = "text",
 
     named_classes = materialize(reps.select("words", "id").join(labels, "id", "left").select("words", F.coalesce("component", "id").alias("component_id")), "named")
     result = signed.select(key, "n_shingles", "words").join(named_classes, "words", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    one = result.groupBy(key).agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
     passed = kept_fields(df, keep, ["n_shingles", "component_id", "kept"])
-    if passed != [key]:  # other columns come from the rows themselves
-        one = result.groupBy(key).agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-        result = source.select(*passed).join(one, key, "left").withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long")))
-    return result.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))).select(*passed, "n_shingles", "component_id", "kept")
+    # the join by id may meet a hot id, so both sides are tables that it can split
+    rows = source.select(*{key, *passed})
+    out = rows.join(materialize(one, "documents"), key, "left").withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long")))
+    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))).select(*passed, "n_shingles", "component_id", "kept")

@@ -61,4 +61,13 @@ def test_repeated_rows_other_columns_and_empty_tables(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, Kept string")
     got = sorted(((r.doc_id, r.text, r.component_id, r.kept) for r in m.near_duplicates(df).collect()), key=str)
     assert got == sorted([(7, rows[0][1], 7, True), (7, rows[0][1], 7, True), (9, rows[2][1], 7, False), (None, rows[3][1], None, True)], key=str)
-    assert m.near_duplicates(df.limit(0)).count() == 0
+    bare = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in m.near_duplicates(df, keep=["doc_id"]).collect()), key=str)
+    assert bare == sorted([(7, 3, 7, True), (7, 3, 7, True), (9, 3, 7, False), (None, 0, None, True)], key=str)
+    assert m.near_duplicates(df.limit(0)).count() == 0 and m.near_duplicates(df.limit(0), keep=["doc_id"]).count() == 0
+
+
+def test_an_id_with_two_texts_has_the_links_of_both(spark):
+    one, two = "a b c d e f g h", "q r s t u v w x y"
+    rows = [(5, one), (5, two), (3, one), (8, two), (9, two), (4, "lone words"), (2, None), (2, "")]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()}
+    assert got == {(5, 5, 3, False), (3, 4, 3, True), (8, 5, 3, False), (9, 5, 3, False), (4, 1, 4, True), (2, 0, 2, True)}
