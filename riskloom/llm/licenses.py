@@ -1,24 +1,29 @@
 """License scan by an exact set-similarity join between text blocks and license templates.
 
-A block is a window of BLOCK words, every STRIDE words. A template meets a block if the block
-holds at least `threshold` of the template's distinct words. Words are ordered by their
-frequency in the whole corpus, rare first; a template that meets a block shares one of its first
-|T| - need + 1 words with it (prefix filter), the block has at least `need` distinct words (length
-filter), and the places of the first shared word leave room for `need` shared words (positional
-filter). What passes is verified. Ordered templates are phrases: their words must also stand
-one after the other, and every place of theirs counts; as no template is longer than
-BLOCK - STRIDE + 1 words, each place lies within a block.
+A template is a whole license text, a notice, or a phrase. Its blocks in a text are all runs of `reach` consecutive
+words, REACH times as many as the template has, one starting at every word. A template meets a block if the block
+holds at least `threshold` of the template's distinct words. Words are ordered by their frequency in the whole corpus,
+rare first. A block that meets a template shares one of the template's first |T| - need + 1 words (prefix filter), so
+only the stretches of a text around such words are looked at; a stretch must have `need` words (length filter), and
+from the first word that it shares on, the template must have `need` words left (positional filter). In what passes,
+running counts over the places of the template's words give the shared words of every block, so that each block
+that meets the threshold is found. Blocks that follow each other are one match: its span runs from the first to
+the last of the template's words in them, its containment is that of the best block.
+
+Ordered templates are phrases: their words must stand one after the other, and every place of theirs counts.
 
 Only the templates are sent to the executors; they are bounded by MAX_TEMPLATE_WORDS.
 
-Defined results: null and empty texts have no words and no matches; rows that repeat a key are
-scanned each; an empty table gives no rows.
+Defined results: null and empty texts have no words and no matches; a template without words matches nothing; matches
+with equal bounds of several templates are all returned, in the order of templates, then places; rows that repeat a key
+are scanned each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +31,10 @@ from pyspark.sql import types as T
 
 from riskloom.llm.common import Shared, kept_fields, map_slices, texts_of
 
-BLOCK, STRIDE = 64, 32
-MAX_TEMPLATE_WORDS = 50_000
+#: Words of a block for each word of the template.
+REACH = 1.25
+#: Bound on what is sent to every executor; some ten MB.
+MAX_TEMPLATE_WORDS = 200_000
 #: Upper-case ASCII letters become lower case; whatever else is ASCII and no letter or digit becomes a blank.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -40,8 +47,9 @@ class Template:
     ordered: bool = False  # a phrase
 
 
-#: Phrases that name a license, and opening sentences of common public licenses.
+#: Phrases that name a license.
 BASE = (Template("cc-by", "cc by", ordered=True), Template("gpl", "general public license", ordered=True), Template("reserved", "all rights reserved", ordered=True))
+#: Sentences and notices of common public licenses.
 SENTENCES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 0.85),
     Template("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", 0.85),
@@ -50,6 +58,44 @@ SENTENCES = (
     Template("cc-by-sa", "licensed under a creative commons attribution sharealike license", 0.85),
     Template("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 0.85),
 )
+#: Whole texts of common public licenses, without names and years.
+TEXTS = (
+    Template(
+        "mit-text",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        0.8,
+    ),
+    Template(
+        "bsd-3-clause-text",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+        0.8,
+    ),
+    Template(
+        "isc-text",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+        0.8,
+    ),
+    Template(
+        "zlib-text",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+        0.8,
+    ),
+    Template(
+        "apache-notice-text",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        0.8,
+    ),
+    Template(
+        "gpl-notice-text",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+        0.8,
+    ),
+    Template(
+        "unlicense-text",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
+        0.8,
+    ),
+)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -77,54 +123,89 @@ class Index:
 
     def __init__(self, templates: tuple[Template, ...], frequency: dict[bytes, int]):
         self.templates = templates
-        self.rank = {w: r for r, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
-        self.words = [words_of(t.text) for t in templates]
-        if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
+        words = [words_of(t.text) for t in templates]
+        if sum(map(len, words)) > MAX_TEMPLATE_WORDS:
             raise ValueError("the templates hold more words than may be sent to every executor")
-        if max(map(len, self.words), default=0) > BLOCK - STRIDE + 1:
-            raise ValueError(f"a template may have {BLOCK - STRIDE + 1} words at most")
-        self.ordered = [sorted(set(w), key=self.rank.__getitem__) for w in self.words]
+        # a word's number is its place in the order of frequencies
+        self.number = {w: r for r, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
+        self.words = [np.array([self.number[w] for w in x], np.int64) for x in words]
+        self.ordered = [np.unique(x) for x in self.words]
+        self.reach = [max(1, int(REACH * len(x))) for x in self.words]
         self.need = [max(1, -int(-len(o) * t.threshold // 1)) for o, t in zip(self.ordered, templates, strict=True)]
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
+        self.prefix: dict[bytes, list[int]] = {}
+        name = list(self.number)
         for k, (o, need) in enumerate(zip(self.ordered, self.need, strict=True)):
-            for place, w in enumerate(o[: len(o) - need + 1]):
-                self.prefix.setdefault(w, []).append((k, place))
+            for r in o[: max(0, len(o) - need + 1)].tolist():
+                self.prefix.setdefault(name[r], []).append(k)
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(template, start, stop, containment) of each match: all places of a phrase, and the span of
-        the template's words in each block for the others; sorted."""
-        prefix = self.prefix
-        if prefix.keys().isdisjoint(words):
+        """(template, start, stop, containment) of each match, sorted."""
+        held = self.prefix.keys() & set(words)
+        if not held:
             return []
-        last = max(0, -(-(len(words) - BLOCK) // STRIDE))
-        blocks = sorted({b for i, w in enumerate(words) if w in prefix for b in range(max(0, -(-(i - BLOCK + 1) // STRIDE)), min(last, i // STRIDE) + 1)})
-        out: set[tuple[int, int, int, float]] = set()
-        for b in blocks:
-            block = words[b * STRIDE : b * STRIDE + BLOCK]
-            distinct = set(block)
-            known = sorted((w for w in distinct if w in self.rank), key=self.rank.__getitem__)
-            candidates: dict[int, bool] = {}
-            for j, w in enumerate(known):
-                for k, i in prefix.get(w, ()):
-                    if k not in candidates:  # its first shared word
-                        room = 1 + min(len(self.ordered[k]) - i - 1, len(known) - j - 1)
-                        candidates[k] = len(distinct) >= self.need[k] and room >= self.need[k]
-            for k in (k for k, passed in candidates.items() if passed):
-                shared = distinct.intersection(self.ordered[k])
-                if len(shared) < self.need[k]:
-                    continue
-                if self.templates[k].ordered:
-                    phrase = self.words[k]
-                    for i, w in enumerate(block):
-                        if w == phrase[0] and block[i : i + len(phrase)] == phrase:
-                            out.add((k, b * STRIDE + i, b * STRIDE + i + len(phrase), 1.0))
-                else:
-                    at = [i for i, w in enumerate(block) if w in shared]
-                    out.add((k, b * STRIDE + at[0], b * STRIDE + at[-1] + 1, len(shared) / len(self.ordered[k])))
+        number = self.number
+        places, numbers = [], []
+        for i, w in enumerate(words):
+            r = number.get(w)
+            if r is not None:
+                places.append(i)
+                numbers.append(r)
+        at, of = np.array(places, np.int64), np.array(numbers, np.int64)
+        out = []
+        for k in sorted({k for w in held for k in self.prefix[w]}):
+            out += self._phrase(k, at, of) if self.templates[k].ordered else self._blocks(k, at, of, len(words))
         return sorted(out)
 
-
-def scan(df: DataFrame, templates: tuple[Template, ...] = BASE + SENTENCES, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    def _phrase(self, k: int, at: np.ndarray, of: np.ndarray) -> list[tuple[int, int, int, float]]:
+        phrase, n = self.words[k], len(self.words[k])
+        start = np.arange(max(0, len(at) - n + 1))
+        good = at[start + n - 1] - at[start] == n - 1
+        for j in range(n):
+            good &= of[start + j] == phrase[j]
+        return [(k, int(a), int(a) + n, 1.0) for a in at[start[good]]]
+
+    def _blocks(self, k: int, at: np.ndarray, of: np.ndarray, n_words: int) -> list[tuple[int, int, int, float]]:
+        words, need, reach = self.ordered[k], self.need[k], self.reach[k]
+        own = np.isin(of, words)
+        at, of = at[own], of[own]
+        rare = at[of <= words[len(words) - need]]  # places of the template's prefix
+        out = []
+        # stretches that the blocks around these places cover, clipped to the text
+        cuts = np.flatnonzero(np.diff(rare) >= 2 * reach - 1) + 1
+        for part in np.split(rare, cuts):
+            if not len(part):
+                continue
+            low, high = max(0, int(part[0]) - reach + 1), min(n_words, int(part[-1]) + reach)
+            x, y = np.searchsorted(at, [low, high])
+            here, what = at[x:y], of[x:y]
+            first = int(np.searchsorted(words, what.min()))
+            if high - low < need or len(words) - first < need:
+                continue
+            out += self._verified(k, here, what, low, high)
+        return out
+
+    def _verified(self, k: int, here: np.ndarray, what: np.ndarray, low: int, high: int) -> list[tuple[int, int, int, float]]:
+        """Matches within words low to high; here, what: places and numbers of the template's words there."""
+        reach, need, size = self.reach[k], self.need[k], len(self.ordered[k])
+        # the place before at which the same word stands; a place counts for blocks that start after that one
+        by = np.argsort(what, kind="stable")
+        before = np.full(len(here), low - 1, np.int64)
+        same = what[by][1:] == what[by][:-1]
+        before[by[1:][same]] = here[by[:-1][same]]
+        change = np.zeros(high - low + 2, np.int64)
+        np.add.at(change, np.maximum(before + 1, np.maximum(low, here - reach + 1)) - low, 1)
+        np.add.at(change, here + 1 - low, -1)
+        shared = np.cumsum(change)[: high - low]  # of the block from each start
+        good = np.flatnonzero(shared >= need)
+        out = []
+        for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1):
+            if len(run):
+                x, y = np.searchsorted(here, [low + run[0], low + run[-1] + reach])
+                out.append((k, int(here[x]), int(here[y - 1]) + 1, float(shared[run].max()) / size))
+        return out
+
+
+def scan(df: DataFrame, templates: tuple[Template, ...] = BASE + SENTENCES + TEXTS, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df with n_words long and matches array<struct<label,ordered,start,stop,containment>>."""
     passed = kept_fields(df, keep, ["n_words", "matches"])
     shared = Shared(df.sparkSession, Index(templates, template_frequencies(df, templates, text_col)))

@@ -8,32 +8,73 @@ from riskloom.llm.licenses import BASE, Index, Template, words_of
 
 
 def brute_licenses(words, templates):
+    """Places of phrases, and (template, first word, last word, most shared) of each run of blocks, from every block."""
     out = set()
     for k, t in enumerate(templates):
         w = words_of(t.text)
         if t.ordered:
-            out |= {(k, i) for i in range(len(words)) if words[i : i + len(w)] == w}
-        else:
-            for b in range(max(0, -(-(len(words) - licenses.BLOCK) // licenses.STRIDE)) + 1):
-                block = set(words[b * licenses.STRIDE : b * licenses.STRIDE + licenses.BLOCK])
-                if len(block & set(w)) >= max(1, -int(-len(set(w)) * t.threshold // 1)):
-                    out.add((k, b))
-    return out
+            out |= {(k, i, i + len(w), 1.0) for i in range(len(words)) if words[i : i + len(w)] == w}
+            continue
+        reach, need, run = max(1, int(licenses.REACH * len(w))), max(1, -int(-len(set(w)) * t.threshold // 1)), []
+        for b in range(len(words) + 1):
+            block = words[b : b + reach] if b < len(words) else []
+            if len(set(block) & set(w)) >= need:
+                run.append(b)
+            elif run:
+                held = [i for i in range(run[0], min(len(words), run[-1] + reach)) if words[i] in w]
+                best = max(len(set(words[b : b + reach]) & set(w)) for b in run)
+                out.add((k, held[0], held[-1] + 1, best / len(set(w))))
+                run = []
+    return sorted(out)
 
 
 def test_license_join_equals_brute_force():
     rng = random.Random(5)
-    templates = (*BASE, Template("x", "a b c d e f g h", 0.75), Template("y", "all all rights cc", 0.6), Template("z", "a a a", ordered=True))
+    templates = (*BASE, Template("x", "a b c d e f g h", 0.75), Template("y", "all all rights cc", 0.6), Template("z", "a a a", ordered=True), Template("x again", "h g f e d c b a", 0.75), Template("none", "", 0.5))
     vocabulary = words_of("a b c d e f g h cc by general public license all rights reserved q r s t u v w")
-    for n in (0, 1, 5, 63, 64, 65, 97, 400):
-        for _ in range(15):
-            words = [rng.choice(vocabulary) for _ in range(n)]
+    for n in (0, 1, 5, 9, 10, 64, 400):
+        for _ in range(25):
+            words = [rng.choice(vocabulary[: rng.choice([8, 23])]) for _ in range(n)]
             counts = {w: rng.randint(0, 9) for t in templates for w in words_of(t.text)}
-            got = Index(templates, counts).matches(words)
-            phrase = {(k, a) for k, a, _, _ in got if templates[k].ordered}
-            want = brute_licenses(words, templates)
-            assert phrase == {x for x in want if templates[x[0]].ordered}
-            assert {k for k, *_ in got} == {k for k, _ in want}
+            assert Index(templates, counts).matches(words) == brute_licenses(words, templates)
+
+
+def test_license_texts_are_found_whole():
+    templates = licenses.BASE + licenses.SENTENCES + licenses.TEXTS
+    index = Index(templates, {w: len(w) for t in templates for w in words_of(t.text)})
+    rng = random.Random(7)
+    for k, t in enumerate(templates):
+        if t in licenses.TEXTS:
+            text = words_of(t.text)
+            for share, found in ((0, True), (8, True), (3, False)):  # every so many words another one
+                changed = [b"other%d" % i if share and i % share == 0 else w for i, w in enumerate(text)]
+                lead = [b"lead%d" % rng.randrange(99) for _ in range(rng.randrange(400))]
+                got = [m for m in index.matches(lead + changed + lead) if m[0] == k]
+                assert bool(got) == found, (t.label, share)
+                if not share:
+                    assert got == [(k, len(lead), len(lead) + len(text), 1.0)]
+
+
+def test_license_query_equals_brute_force(spark, tmp_path):
+    from riskloom.llm.queries import op5_licenses
+
+    mit = licenses.TEXTS[0].text
+    rows = [(1, None), (2, ""), (3, "CC-BY; all Rights reserved. cc by"), (4, "x " * 9000 + "GENERAL public License"), (4, f"intro {mit} cc by"), (5, "émission cc\tby"), (None, "all rights reserved")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    templates = licenses.BASE + licenses.SENTENCES + licenses.TEXTS
+    want = []
+    for i, t in rows:
+        words = words_of(t or "")
+        found = brute_licenses(words[-400:], templates) if len(words) > 8000 else brute_licenses(words, templates)
+        shift = max(0, len(words) - 400) if len(words) > 8000 else 0
+        starts = [a + shift for k, a, _, _ in found if templates[k].ordered]
+        names = lambda ordered: ",".join(sorted({templates[k].label for k, *_ in found if templates[k].ordered or not ordered}))
+        want.append((i, len(words), len(starts), min(starts, default=None), max(starts, default=None), names(True), names(False), max((c for *_, c in found), default=0.0)))
+    got = [tuple(r) for r in op5_licenses(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert ("mit-text" in got[0][6]) + sum("mit-text" in r[6] for r in got[1:]) == 1
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert op5_licenses(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_license_operator(spark):
@@ -41,7 +82,7 @@ def test_license_operator(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, N_WORDS string")
     got = {(r.doc_id, r.n_words): sorted((m.label, m.start) for m in r.matches) for r in licenses.scan(df).collect()}
     assert got == {(1, 0): [], (2, 0): [], (3, 7): [("cc-by", 0), ("cc-by", 5), ("reserved", 2)], (3, 30003): [("gpl", 30000)]}
-    assert licenses.scan(df.limit(0)).count() == 0
+    assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(df.limit(0), (Template("own", "p q r", 0.5),)).count() == 0
 
 
 def test_machine_learns_an_interaction():
