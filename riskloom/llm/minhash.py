@@ -258,10 +258,8 @@ def second_round(members: DataFrame, bits: DataFrame, labels: DataFrame, docs: D
     return materialize(tasks.select("band", "i", "j", "id", "c", "found").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, keep: list[str] | None = None) -> DataFrame:
-    """df with n_shingles long, component_id long (smallest key reachable by links) and kept boolean (key = component_id)."""
-    source = df.withColumn(key, F.col(key).cast("long"))
-    docs = source.where(F.col(key).isNotNull())
+def groups(docs: DataFrame, ties: DataFrame | None, key: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(key, n_shingles, component): one row for each row of docs, whose keys are unique longs; ties (a, b): keys that belong together anyway."""
     signed = materialize(signatures(docs, key, text_col, size), "signatures")
     names = [f"s{k}" for k in range(LONGS)]
     held = F.struct("bands", *names)
@@ -278,20 +276,41 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text_col: str = "text",
     best = materialize(near.groupBy("b").agg(F.max_by("a", F.struct("e", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
     sets = full_sets(best.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, key, text_col, size)
     links = materialize(confirm(best, sets, percent), "links")
-    # an id with several rows ties the classes of their texts together
-    repeated = signed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
-    tied = signed.where("words IS NOT NULL").join(repeated, key).select(F.col(key).alias("a"), "words").join(reps.select("words", F.col("id").alias("b")), "words").select("a", "b").where("a <> b")
-    links = materialize(links.unionByName(tied).distinct(), "links")
+    if ties is not None:  # between the classes of the tied texts
+        of = signed.where("words IS NOT NULL").select(F.col(key).alias("k"), "words").join(reps.select("words", F.col("id").alias("r")), "words")
+        one, two = of.select(F.col("k").alias("a"), F.col("r").alias("ra")), of.select(F.col("k").alias("b"), F.col("r").alias("rb"))
+        tied = ties.join(one, "a").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b")
+        links = materialize(links.unionByName(tied).distinct(), "links")
     labels = materialize(connected_components(links), "labels")
     more = second_round(members, bits, labels, docs, key, text_col, size, percent, floor)
     if not more.isEmpty():
         labels = materialize(connected_components(links.unionByName(more)), "labels")
+    named = materialize(reps.select("words", "id").join(labels, "id", "left").select("words", F.coalesce("component", "id").alias("component")), "named")
+    return signed.select(key, "n_shingles", "words").join(named, "words", "left").select(key, "n_shingles", F.coalesce("component", key).alias("component"))
+
 
-    named_classes = materialize(reps.select("words", "id").join(labels, "id", "left").select("words", F.coalesce("component", "id").alias("component_id")), "named")
-    result = signed.select(key, "n_shingles", "words").join(named_classes, "words", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
-    one = result.groupBy(key).agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+def near_duplicates(df: DataFrame, key: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, keep: list[str] | None = None) -> DataFrame:
+    """df with n_shingles long, component_id long (smallest key reachable by links) and kept boolean (key = component_id)."""
+    source = df.withColumn(key, F.col(key).cast("long"))
+    docs = source.where(F.col(key).isNotNull()).select(key, text_col)
+    repeated = materialize(docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated")
+    if repeated.isEmpty():
+        one = groups(docs, None, key, text_col, size, percent).select(F.col(key).alias("_id"), "n_shingles", F.col("component").alias("component_id"))
+    else:
+        # rows that repeat an id get numbers of their own, below all ids
+        low = docs.agg(F.min(key)).first()[0]
+        again = materialize(docs.join(repeated, key).withColumn("_node", F.lit(low) - 1 - F.monotonically_increasing_id()), "again")
+        nodes = docs.join(repeated, key, "left_anti").withColumn("_node", F.col(key)).unionByName(again)
+        lead = materialize(again.groupBy(key).agg(F.min("_node").alias("a")), "leads")
+        ties = again.join(lead, key).select("a", F.col("_node").alias("b")).where("a <> b")
+        found = materialize(groups(nodes.select("_node", text_col), ties, "_node", text_col, size, percent), "nodes")
+        found = found.join(again.select("_node", F.col(key).alias("_id")), "_node", "left").withColumn("_id", F.coalesce("_id", "_node"))
+        # the texts of an id without words are tied to nothing: they have the component of its other texts
+        smallest = materialize(found.groupBy("component").agg(F.min("_id").alias("component_id")), "smallest")
+        one = found.join(smallest, "component").groupBy("_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
     passed = kept_fields(df, keep, ["n_shingles", "component_id", "kept"])
     # the join by id may meet a hot id, so both sides are tables that it can split
-    rows = source.select(*{key, *passed})
-    out = rows.join(materialize(one, "documents"), key, "left").withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long")))
+    rows = source.select(*dict.fromkeys([key, *passed]))
+    out = rows.join(materialize(one, "documents").withColumnRenamed("_id", key), key, "left")
+    out = out.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long")))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))).select(*passed, "n_shingles", "component_id", "kept")
