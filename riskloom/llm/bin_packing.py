@@ -45,8 +45,8 @@ LEVEL_STRIDE, SHARD_STRIDE = 1 << 56, 1 << 20
 PATIENCE, REPACKED = 2, 8
 #: Sequences' worth of room that the bins of a shard that don't meet others again may leave.
 LEFT = 0.05
-#: Pieces of a bin up to which exchanges are tried.
-SWAPPED = 8
+#: Pieces of a bin up to which exchanges are tried; loose pieces, spread over their sizes, that are tried in pairs.
+SWAPPED, TRIED = 8, 48
 
 
 class WordTokenizer:
@@ -78,7 +78,7 @@ class WordTokenizer:
         char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
         self.inner = np.array([vocab[char[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[char[b] + end] for b in range(256)], np.int64)
-        self.store = WordStore(self._learn)
+        self.store = WordStore(self._learn, size=64_000_000)
         self.chunks = WordStore(self._library)
 
     def _merge(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -224,15 +224,14 @@ def exchange(bins: list[list[int]], loose: list[int], sizes: list[int], capacity
             one = bisect_right(free, (most, len(sizes))) - 1
             if one >= 0 and free[one][0] > held and (best is None or most - free[one][0] < best[0]):
                 best = (most - free[one][0], out, (one,))
-            low, high = 0, len(free) - 1
-            while low < high:
+            for low in range(0, len(free), max(1, len(free) // TRIED)):
+                # the largest partner that still fits
+                high = bisect_right(free, (most - free[low][0], len(sizes))) - 1
+                if high <= low:
+                    break
                 both = free[low][0] + free[high][0]
-                if both > most:
-                    high -= 1
-                    continue
                 if both > held and (best is None or most - both < best[0]):
                     best = (most - both, out, (low, high))
-                low += 1
             if best and not best[0]:
                 break
         if best:
@@ -405,7 +404,7 @@ def pack_level(pieces: DataFrame, count: int, level: int, capacity: int, length_
     return materialize(rows.select(F.col("x.items").alias("item"), number.alias("sequence_id"), F.col("x.offsets").alias("offset"), F.col("x.opened").alias("open")), "packed")
 
 
-def pack(df: DataFrame, capacity: int = 2048, length_col: str = "length", shard_rows: int = 8192, islands: int = 2, epochs: int = 12, generations: int = 25) -> DataFrame:
+def pack(df: DataFrame, capacity: int = 2048, length_col: str = "length", shard_rows: int = 8192, islands: int = 2, epochs: int = 12, generations: int = 12) -> DataFrame:
     """df with sequence_id long and offset long: rows of the same sequence stand gapless from 0 and fill at most capacity."""
     fixed = materialize(df.drop("sequence_id", "offset"), "pieces")
     left = fixed.select(F.struct(*(F.col(f"`{c}`") for c in fixed.columns)).alias("item"))
