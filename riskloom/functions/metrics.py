@@ -1,7 +1,8 @@
 """Rank and threshold statistics as grouped operators: metric(df, groups, y, score) gives a row per group.
 
-Ranks are built on distinct scores per group, so the window runs over fewer rows than the data and is
-partitioned by the group. y is 0/1 (or boolean), rows with a null y or score take no part.
+Ranks are built on distinct scores per group. The scores are cut into ZONES ranges of about equal size; windows run within
+a group's range, and the sums of the ranges before are added, so that no task sorts a whole group. y is 0/1 (or
+boolean), rows with a null y or score take no part.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of scores that are sorted apart.
+ZONES = 64
 #: Bootstrap replicates of a 95 % interval, unless a caller asks for another number.
 REPLICATES = 1000
 
@@ -37,9 +40,7 @@ def discrimination(df: DataFrame, groups: list[str], y: str, score: str, weight:
     prevalence with one class). `weight` counts rows, as a bootstrap replicate does."""
     d = _clean(df, groups, y, score, weight)
     by = d.groupBy(*groups, "_s").agg(F.sum(F.col("_y") * F.col("_w")).alias("_pos"), F.sum((1.0 - F.col("_y")) * F.col("_w")).alias("_neg"))
-    down = Window.partitionBy(*groups).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*groups)
-    by = by.withColumns({"_tp": F.sum("_pos").over(down), "_fp": F.sum("_neg").over(down), "_p": F.sum("_pos").over(all_), "_n": F.sum("_neg").over(all_)})
+    by = running(by, groups, "_s", zone_of(df.select(F.col(score).cast("double").alias("_s")), "_s"), {"_pos": ("_tp", "_p"), "_neg": ("_fp", "_n")}, down=True)
     # a negative below all positives above it, and half of those tied with it
     pairs = F.sum(F.col("_neg") * (F.col("_tp") - F.col("_pos") / 2.0))
     precision = F.sum(F.when(F.col("_tp") + F.col("_fp") > 0, F.col("_pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp"))).otherwise(0.0))
@@ -47,13 +48,42 @@ def discrimination(df: DataFrame, groups: list[str], y: str, score: str, weight:
     return by.groupBy(*groups).agg(F.when((p > 0) & (n > 0), pairs / (p * n)).otherwise(0.5).alias("auroc"), F.when(p > 0, precision / p).otherwise(0.0).alias("auprc"))
 
 
+def zone_of(df: DataFrame, c: str) -> Column:
+    """The range that a value of c falls into: the same for equal values, larger for larger ones. The ends are quantiles of df."""
+    cuts = df.agg(F.expr(f"percentile_approx({c}, array({', '.join(f'{k / ZONES!r}D' for k in range(1, ZONES))}), 1000)")).first()[0]
+    return sum(((F.col(c) >= x).cast("int") for x in sorted({x for x in cuts or [] if x == x})), F.lit(0))
+
+
+def running(df: DataFrame, groups: list[str], order: str, zone: Column, sums: dict[str, tuple[str, str]], down: bool = False) -> DataFrame:
+    """df with two columns for each column of `sums`: its sum over the group's rows up to this one, and over all rows of the group.
+    Values of `order` are distinct within a group."""
+    d = df.withColumn("_z", zone)
+    totals = d.groupBy(*groups, "_z").agg(*(F.sum(c).alias(f"_t{k}") for k, c in enumerate(sums)))  # ZONES rows a group at most
+    place = F.desc if down else F.asc
+    before = Window.partitionBy(*groups).orderBy(place("_z")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*groups)
+    totals = totals.select(*(F.col(g).alias(f"_h{k}") for k, g in enumerate(groups)), F.col("_z").alias("_hz"), *(x for k in range(len(sums)) for x in (F.coalesce(F.sum(f"_t{k}").over(before), F.lit(0.0)).alias(f"_b{k}"), F.sum(f"_t{k}").over(every).alias(f"_e{k}"))))
+    same = F.col("_z") == F.col("_hz")
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_h{k}"))
+    upto = Window.partitionBy(*groups, "_z").orderBy(place(order)).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({one: F.sum(c).over(upto) for c, (one, _) in sums.items()}).join(totals, same)
+    out = {name: x for k, (one, all_) in enumerate(sums.values()) for name, x in ((one, F.col(one) + F.col(f"_b{k}")), (all_, F.col(f"_e{k}")))}
+    return d.withColumns(out).drop("_z", "_hz", *(f"_h{k}" for k in range(len(groups))), *(f"_{x}{k}" for k in range(len(sums)) for x in "be"))
+
+
 def correlations(df: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
     """pearson and spearman; 0 with under 3 rows or a constant side."""
     d = df.select(*groups, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
     for c in ("_a", "_b"):
-        up = Window.partitionBy(*groups).orderBy(c)
-        peers = Window.partitionBy(*groups, c)
-        d = d.withColumn(f"_r{c}", F.rank().over(up) + (F.count(F.lit(1)).over(peers) - 1) / 2.0)
+        # the rank of a value: the rows up to it less half of its own, and a half
+        by = d.groupBy(*groups, c).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+        by = running(by, groups, c, zone_of(d, c), {"_n": ("_upto", "_all")})
+        ranks = by.select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)), F.col(c).alias("_v"), (F.col("_upto") - F.col("_n") / 2.0 + 0.5).alias(f"_r{c}"))
+        same = F.col(c).eqNullSafe(F.col("_v"))
+        for k, g in enumerate(groups):
+            same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+        d = d.join(ranks, same).drop("_v", *(f"_g{k}" for k in range(len(groups))))
     rho = lambda x, y: F.when((F.count(F.lit(1)) < 3) | (F.stddev_pop(x) < 1e-12) | (F.stddev_pop(y) < 1e-12), 0.0).otherwise(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
     return d.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), rho("_a", "_b").alias("pearson"), rho("_r_a", "_r_b").alias("spearman"))
 

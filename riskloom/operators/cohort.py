@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Columns taken from the patients where they exist.
 PATIENT_COLUMNS = ("subject_id", "gender", "anchor_age", "anchor_year", "anchor_year_group", "dod", "dod_date")
 
 
-def age_at_recording(records: DataFrame, patients: DataFrame) -> DataFrame:
-    """Records of known patients with age_at_ecg = anchor_age + (recording's year - anchor_year)."""
+def age_at_recording(records: DataFrame, patients: DataFrame, how: str = "inner") -> DataFrame:
+    """Records of known patients (of all with how="left") with age_at_ecg = anchor_age + (recording's year - anchor_year)."""
     if "ecg_year" not in records.columns:
         records = records.withColumn("ecg_year", F.year("ecg_datetime").cast("long"))
     known = [c for c in PATIENT_COLUMNS if c in patients.columns]
     taken = [c for c in known if c != "subject_id" and c in records.columns]
-    joined = records.drop(*taken).join(patients.select(*known), "subject_id")
+    joined = records.drop(*taken).join(patients.select(*known), "subject_id", how)
     return joined.withColumn("age_at_ecg", F.col("anchor_age") + F.col("ecg_year") - F.col("anchor_year"))
 
 
@@ -48,10 +49,15 @@ def linkage_statistics(records: DataFrame, patients: DataFrame, admissions: Data
     """One row of counts; each input is read once per kind of link."""
     size = records.agg(F.count(F.lit(1)).alias("total_records"), F.countDistinct("subject_id").alias("total_subjects"), F.countDistinct("study_id").alias("total_studies"))
     known = records.join(patients.select("subject_id").distinct(), "subject_id", "left_semi").agg(F.count(F.lit(1)).alias("linked_records"), F.countDistinct("subject_id").alias("linked_subjects"))
+    old = adults(age_at_recording(records, patients))
+    grown = old.agg(F.count(F.lit(1)).alias("adult_records"), F.countDistinct("subject_id").alias("adult_subjects")).withColumn("index_adult_records", F.col("adult_subjects"))
+    met = records.join(admissions.select("subject_id").distinct(), "subject_id", "left_semi").agg(F.countDistinct("subject_id").alias("subjects_with_admissions"))
     per = records.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("mean_per_subject"), F.expr("percentile(n, 0.5D)").alias("median_per_subject"), F.min("n").alias("min_per_subject"), F.max("n").alias("max_per_subject"))
     inside = [link_admissions(records, admissions, h).agg(F.countDistinct("study_id").alias(f"records_within_{h}h"), F.countDistinct("subject_id").alias(f"subjects_within_{h}h")) for h in (0, 24)]
-    out = reduce(lambda a, b: a.join(b), [size, known, per, *inside])  # frames of one row each
-    return out.withColumn("linked_subject_percent", 100.0 * F.col("linked_subjects") / F.col("total_subjects"))
+    frames = [f.withColumn("_one", F.lit(1)) for f in (size, known, grown, met, per, *inside)]  # of one row each
+    out = reduce(lambda a, b: a.join(b, "_one"), frames).drop("_one")
+    share = {"linked_subject_percent": ("linked_subjects", "total_subjects"), "linked_record_percent": ("linked_records", "total_records"), "subjects_with_admissions_percent": ("subjects_with_admissions", "total_subjects")}
+    return out.withColumns({name: 100.0 * F.try_divide(F.col(x).cast("double"), F.col(y)) for name, (x, y) in share.items()})
 
 
 def cohort_flow(records: DataFrame, steps: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -60,3 +66,27 @@ def cohort_flow(records: DataFrame, steps: list[tuple[str, DataFrame]]) -> DataF
     flow = reduce(DataFrame.unionByName, counts)
     w = Window.orderBy("step")
     return flow.withColumns({f"excluded_{c}": F.coalesce(F.lag(c).over(w) - F.col(c), F.lit(0).cast("long")) for c in ("records", "subjects")})
+
+
+def flow_by_flags(df: DataFrame, steps: list[tuple[str, Column]], subject: str = "subject_id") -> DataFrame:
+    """The flow of successive subsets that conditions on df's rows describe, by one aggregate per subject and one over all."""
+    per = df.groupBy(subject).agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"_{k}") for k, (_, c) in enumerate(steps)))
+    total = per.agg(*(x for k in range(len(steps)) for x in (F.sum(f"_{k}").alias(f"r{k}"), F.count_if((F.col(f"_{k}") > 0) & F.col(subject).isNotNull()).alias(f"s{k}"))))
+    zero = F.lit(0).cast("long")
+    at = lambda c, k: F.coalesce(F.col(f"{c}{k}"), zero)
+    rows = [F.struct(F.lit(k).alias("step"), F.lit(name).alias("name"), at("r", k).alias("records"), at("s", k).alias("subjects"), (at("r", k - 1) - at("r", k) if k else zero).alias("excluded_records"), (at("s", k - 1) - at("s", k) if k else zero).alias("excluded_subjects")) for k, (name, _) in enumerate(steps)]
+    return total.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def attrition(records: DataFrame, patients: DataFrame, admissions: DataFrame, min_age: int = 18) -> DataFrame:
+    """All recordings, those of known patients, of adults, with a valid outcome, and the index recordings. Every record
+    is tagged once; the tables are read once."""
+    from riskloom.operators.outcomes import mortality_outcomes
+
+    known = age_at_recording(records, patients.withColumn("dod", F.lit("known")), "left")
+    tagged = mortality_outcomes(known.withColumn("_known", F.col("dod").isNotNull()), patients, admissions)
+    grown = F.col("_known") & (F.col("age_at_ecg") >= min_age)
+    tagged = tagged.withColumn("_valid", F.coalesce(grown & F.col("is_valid"), F.lit(False)))
+    order = Window.partitionBy("subject_id").orderBy(F.desc("_valid"), F.col("ecg_datetime").asc_nulls_first(), F.col("study_id").asc_nulls_first())
+    tagged = tagged.withColumn("_first", F.row_number().over(order) == 1)
+    return flow_by_flags(tagged, [("all", F.lit(True)), ("linked", F.col("_known")), ("adult", grown), ("valid", F.col("_valid")), ("index", F.col("_valid") & F.col("_first"))])

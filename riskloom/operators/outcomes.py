@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.cohort import link_admissions
 
+#: Horizons in days, and the reason text of a recording after death.
 HORIZONS = (("30d", 30.0), ("90d", 90.0), ("1yr", 365.25))
 AFTER_DEATH = "ECG recorded after death timestamp"
 
@@ -17,7 +18,6 @@ AFTER_DEATH = "ECG recorded after death timestamp"
 class FollowUpPolicy:
     require_minimum_followup: bool = False
     minimum_followup_days: float = 30.0
-    censoring_strategy: str = "administrative"  # declared, and read by nothing
 
 
 def death_table(patients: DataFrame, admissions: DataFrame | None) -> DataFrame:
@@ -51,18 +51,24 @@ def mortality_outcomes(records: DataFrame, patients: DataFrame, admissions: Data
     return df
 
 
-def inhospital_mortality(records: DataFrame, admissions: DataFrame) -> DataFrame:
-    """(study_id, in_hospital_mortality, linked_hadm_id) of recordings inside an encounter, by its first admission."""
-    linked = link_admissions(records.select("subject_id", "study_id", "ecg_datetime"), admissions.select("subject_id", "hadm_id", "admit_dt", "disch_dt", "hospital_expire_flag", "death_dt"))
+def inhospital_mortality(records: DataFrame, admissions: DataFrame, pre_admit_hours: int = 0) -> DataFrame:
+    """(study_id, in_hospital_mortality, linked_hadm_id) of all recordings: by the first encounter that a recording falls into,
+    from pre_admit_hours before its admission; null where it falls into none."""
+    linked = link_admissions(records.select("subject_id", "study_id", "ecg_datetime"), admissions.select("subject_id", "hadm_id", "admit_dt", "disch_dt", "hospital_expire_flag", "death_dt"), pre_admit_hours)
     died = (F.col("hospital_expire_flag") == 1) & (F.col("death_dt").isNull() | (F.col("ecg_datetime") <= F.col("death_dt")))
     first = Window.partitionBy("study_id").orderBy(F.col("admit_dt").asc_nulls_first(), "hadm_id")
-    return linked.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("study_id", F.coalesce(died, F.lit(False)).alias("in_hospital_mortality"), F.col("hadm_id").alias("linked_hadm_id"))
+    found = linked.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("study_id", F.coalesce(died, F.lit(False)).alias("in_hospital_mortality"), F.col("hadm_id").alias("linked_hadm_id"))
+    return records.select("study_id").join(found, "study_id", "left")
 
 
 def outcome_statistics(outcomes: DataFrame, horizons=HORIZONS) -> DataFrame:
+    """One row of counts and rates; with a column in_hospital_mortality also those of recordings inside an encounter."""
     ok = F.col("is_valid")
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    parts = [F.count(F.lit(1)).alias("total_records"), n(ok).alias("valid_records"), n(~ok).alias("invalid_records"), n(ok & F.col("days_to_death").isNotNull()).alias("deaths")]
+    parts = [F.count(F.lit(1)).alias("total_records"), n(ok).alias("valid_records"), n(~ok).alias("invalid_records"), n(ok & F.col("days_to_death").isNotNull()).alias("deaths"), F.coalesce(100.0 * F.try_divide(n(~ok), F.count(F.lit(1))), F.lit(0.0)).alias("invalid_percent")]
+    if "in_hospital_mortality" in outcomes.columns:
+        inside = F.col("in_hospital_mortality")
+        parts += [F.count(inside).alias("inhospital_evaluable"), n(inside).alias("inhospital_events"), F.avg(inside.cast("double")).alias("inhospital_rate")]
     for name, _ in horizons:
         parts += [n(F.col(f"mortality_{name}")).alias(f"events_{name}"), F.avg(F.col(f"mortality_{name}").cast("double")).alias(f"rate_{name}")]
     return outcomes.agg(*parts)

@@ -5,38 +5,77 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions import bootstrap, metrics
+
 CATEGORIES = ("normal", "borderline", "possible_injury", "probable_infarction")
 QUADRANTS = (("A-low/B-low", False, False), ("A-low/B-high", False, True), ("A-high/B-low", True, False), ("A-high/B-high", True, True))
 THRESHOLDS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4)
 
 
 def stratified_risk(df: DataFrame, category: str, y: str, b: str) -> DataFrame:
-    """Per category, also empty ones: n, events, rate and the distribution of b."""
+    """Per category, also empty ones: n, events, rate, the distribution of b, and its auroc and auprc where both classes occur."""
     names = F.broadcast(df.sparkSession.createDataFrame([(k, c) for k, c in enumerate(CATEGORIES)], "place int, category string"))
     by = df.groupBy(F.col(category).alias("category")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("events"), F.avg(F.col(y).cast("double")).alias("rate"), F.avg(b).alias("mean_b"), F.stddev_pop(b).alias("sd_b"),
         F.expr(f"percentile({b}, array(0.25D, 0.5D, 0.75D))").alias("_q"),
     )
-    zero = F.lit(0).cast("long")
-    return names.join(by, "category", "left").select("category", F.coalesce("n", zero).alias("n"), F.coalesce("events", zero).alias("events"), F.coalesce("rate", F.lit(0.0)).alias("rate"), "mean_b", "sd_b", F.col("_q")[0].alias("q25_b"), F.col("_q")[1].alias("median_b"), F.col("_q")[2].alias("q75_b"))
+    zero, both = F.lit(0).cast("long"), (F.col("events") > 0) & (F.col("events") < F.col("n"))
+    ranks = metrics.discrimination(df, [category], y, b).withColumnRenamed(category, "category")
+    out = names.join(by, "category", "left").join(ranks, "category", "left")
+    return out.select("category", F.coalesce("n", zero).alias("n"), F.coalesce("events", zero).alias("events"), F.coalesce("rate", F.lit(0.0)).alias("rate"), "mean_b", "sd_b", F.col("_q")[0].alias("q25_b"), F.col("_q")[1].alias("median_b"), F.col("_q")[2].alias("q75_b"), F.when(both, F.col("auroc")).alias("auroc"), F.when(both, F.col("auprc")).alias("auprc"))
 
 
 def tertiles_within(df: DataFrame, category: str, y: str, b: str) -> DataFrame:
-    """Per category and third of b (value cuts, closed on the left): n, events, rate."""
-    cuts = df.groupBy(category).agg(F.expr(f"percentile({b}, array(0.3333333333333333D, 0.6666666666666666D))").alias("_c"))
-    d = df.join(cuts, category).withColumn("tertile", F.when(F.col(b) < F.col("_c")[0], "Low").when(F.col(b) < F.col("_c")[1], "Mid").otherwise("High"))
-    return d.groupBy(F.col(category).alias("category"), "tertile").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("events"), F.avg(F.col(y).cast("double")).alias("rate"))
+    """Per category of at least 3 rows and third of b (value cuts, closed on the left): n, events, rate; 0 in an empty third."""
+    cuts = df.groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("_n"), F.expr(f"percentile({b}, array(0.3333333333333333D, 0.6666666666666666D))").alias("_c")).where("_n >= 3").drop("_n")
+    rows = df.select(F.col(category).alias("category"), F.col(b).alias("_b"), F.col(y).alias("_y")).join(cuts, "category")
+    rows = rows.withColumn("tertile", F.when(F.col("_b") < F.col("_c")[0], "Low").when(F.col("_b") < F.col("_c")[1], "Mid").otherwise("High"))
+    by = rows.groupBy("category", "tertile").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_y").cast("long")).alias("events"), F.avg(F.col("_y").cast("double")).alias("rate"))
+    every = cuts.select("category", F.explode(F.array(*map(F.lit, ("Low", "Mid", "High")))).alias("tertile"))
+    zero = F.lit(0).cast("long")
+    return every.join(by, ["category", "tertile"], "left").select("category", "tertile", F.coalesce("n", zero).alias("n"), F.coalesce("events", zero).alias("events"), F.coalesce("rate", F.lit(0.0)).alias("rate"))
+
 
+def cuts_of(df: DataFrame, a: str, b: str, a_cut: float | None = 15.0, b_cut: float | None = None) -> tuple[float | None, float | None]:
+    """Both cuts; one that isn't given is the median of df."""
+    if a_cut is not None and b_cut is not None:
+        return a_cut, b_cut
+    middle = df.agg(F.expr(f"percentile({a}, 0.5D)"), F.expr(f"percentile({b}, 0.5D)")).first()
+    return tuple(m if c is None else c for c, m in zip((a_cut, b_cut), middle, strict=True))
 
-def discordance(df: DataFrame, y: str, a: str, b: str, a_cut: float = 15.0) -> DataFrame:
-    """The four quadrants in fixed order; b is cut at its median, high is at or above a cut."""
-    cut = df.agg(F.expr(f"percentile({b}, 0.5D)")).first()[0]
-    by = df.groupBy((F.col(a) >= a_cut).alias("a_high"), (F.col(b) >= F.lit(cut)).alias("b_high")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("events"))
+
+def discordance(df: DataFrame, y: str, a: str, b: str, a_cut: float | None = 15.0, b_cut: float | None = None) -> DataFrame:
+    """The four quadrants in fixed order; high is at or above a cut, a cut that isn't given is the median."""
+    a_cut, b_cut = cuts_of(df, a, b, a_cut, b_cut)
+    by = df.groupBy((F.col(a) >= F.lit(a_cut)).alias("a_high"), (F.col(b) >= F.lit(b_cut)).alias("b_high")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("events"))
     names = F.broadcast(df.sparkSession.createDataFrame(QUADRANTS, "quadrant string, a_high boolean, b_high boolean"))
     out = names.join(by, ["a_high", "b_high"], "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n", "events")})
     return out.select("quadrant", "n", "events", F.when(F.col("n") > 0, F.col("events") / F.col("n")).otherwise(0.0).alias("rate"))
 
 
+def discordance_intervals(df: DataFrame, y: str, a: str, b: str, a_cut: float | None = 15.0, b_cut: float | None = None, key: str = "subject_id", replicates: int = metrics.REPLICATES, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(measure, point, low, high): the event rate of each quadrant, and the contrasts rd_a_low, rr_a_low and rd_a_high. The cuts
+    stay those of df. A ratio takes part in replicates whose lower rate is above zero; a difference where both quadrants have rows."""
+    a_cut, b_cut = cuts_of(df, a, b, a_cut, b_cut)
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(y).isNotNull()).select(key, F.col(y).cast("double").alias("_y"), (2 * (F.col(a) >= F.lit(a_cut)).cast("int") + (F.col(b) >= F.lit(b_cut)).cast("int")).alias("_q"))
+    drawn = bootstrap.replicated(d, key, replicates, seed)
+    sums = lambda w: [x for k in range(4) for x in (F.sum(F.when(F.col("_q") == k, w)).alias(f"n{k}"), F.sum(F.when(F.col("_q") == k, w * F.col("_y"))).alias(f"e{k}"))]
+    rate = lambda k: F.try_divide(F.col(f"e{k}"), F.col(f"n{k}"))
+    names = [q for q, _, _ in QUADRANTS]
+
+    def measures(frame: DataFrame, whole: bool) -> DataFrame:
+        held = [F.coalesce(rate(k), F.lit(0.0)) if whole else rate(k) for k in range(4)]
+        ratio = F.when(held[0] > 0, held[1] / held[0])
+        values = [*held, held[1] - held[0], F.coalesce(ratio, F.lit(1.0)) if whole else ratio, held[3] - held[2]]
+        pairs = F.array(*(F.struct(F.lit(n).alias("measure"), v.alias("value")) for n, v in zip([*names, "rd_a_low", "rr_a_low", "rd_a_high"], values, strict=True)))
+        return frame.select(F.explode(pairs).alias("_m")).select("_m.*")
+
+    points = measures(d.agg(*sums(F.lit(1.0))), True).withColumnRenamed("value", "point")
+    draws = measures(drawn.groupBy("replicate").agg(*sums(F.col("_count"))), False).where("value IS NOT NULL")
+    out = points.join(metrics.interval(draws, ["measure"], "value", level), "measure", "left")
+    return out.select("measure", "point", F.coalesce("low", "point").alias("low"), F.coalesce("high", "point").alias("high"))
+
+
 def risk_contrasts(quadrants: DataFrame) -> DataFrame:
     """Risk difference and ratio of B-high against B-low; a ratio over zero is 1."""
     r = {q: F.max(F.when(F.col("quadrant") == q, F.col("rate"))) for q, _, _ in QUADRANTS}
@@ -58,11 +97,23 @@ def smoother(df: DataFrame, a: str, b: str, points: int = 25) -> DataFrame:
 
 
 def risk_surface(df: DataFrame, y: str, a: str, b: str, bins: int = 5) -> DataFrame:
-    """(a_bin, b_bin, n, events, rate) over distinct percentile edges; empty cells have no row."""
+    """(a_bin, b_bin, n, events, rate) of every cell between distinct percentile edges; the rate of an empty cell is null."""
     at = ", ".join(f"{k / bins!r}D" for k in range(bins + 1))
-    ea, eb = (sorted(set(e)) for e in df.agg(F.expr(f"percentile({a}, array({at}))"), F.expr(f"percentile({b}, array({at}))")).first())
+    ea, eb = (sorted(set(e or [])) for e in df.agg(F.expr(f"percentile({a}, array({at}))"), F.expr(f"percentile({b}, array({at}))")).first())
     place = lambda c, edges: sum(((F.col(c) >= e).cast("int") for e in edges[1:-1]), F.lit(0))
-    return df.groupBy(place(a, ea).alias("a_bin"), place(b, eb).alias("b_bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("events"), F.avg(F.col(y).cast("double")).alias("rate"))
+    by = df.groupBy(place(a, ea).alias("a_bin"), place(b, eb).alias("b_bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("events"), F.avg(F.col(y).cast("double")).alias("rate"))
+    cells = [(i, j) for i in range(max(1, len(ea) - 1)) for j in range(max(1, len(eb) - 1))]
+    zero = F.lit(0).cast("long")
+    grid = F.broadcast(df.sparkSession.createDataFrame(cells, "a_bin int, b_bin int"))  # bins x bins rows
+    return grid.join(by, ["a_bin", "b_bin"], "left").select("a_bin", "b_bin", F.coalesce("n", zero).alias("n"), F.coalesce("events", zero).alias("events"), "rate")
+
+
+def decile_calibration(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
+    """(bin, n, events, observed, predicted, low, high) over distinct percentile edges of the predicted probability."""
+    at = ", ".join(f"{k / bins!r}D" for k in range(bins + 1))
+    edges = sorted(set(df.agg(F.expr(f"percentile({p}, array({at}))")).first()[0] or []))
+    place = sum(((F.col(p) >= e).cast("int") for e in edges[1:-1]), F.lit(0))
+    return df.where(F.col(p).isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("events"), F.avg(F.col(y).cast("double")).alias("observed"), F.avg(p).alias("predicted"), F.min(p).alias("low"), F.max(p).alias("high"))
 
 
 def decision_curve(df: DataFrame, y: str, p: str, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:

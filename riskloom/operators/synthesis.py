@@ -14,11 +14,26 @@ A, B, CATEGORY = "model_a_score", "model_b_score", "model_a_category"
 SCHEMA = "finding string, value double, low double, high double, verdict string"
 
 
-def correlation_p(rho: float, n: int) -> float | None:
-    """Two-sided p-value by Fisher's transformation; None under 4 rows."""
-    if n <= 3:
-        return None
-    return 0.0 if abs(rho) >= 1 else math.erfc(abs(math.atanh(rho)) * math.sqrt(n - 3) / math.sqrt(2))
+def _beta_tail(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction from the inside out."""
+    if x <= 0 or x >= 1:
+        return min(max(x, 0.0), 1.0)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_tail(1 - x, b, a)
+    inner = 1.0
+    for k in range(200 + int(5 * math.sqrt(max(a, b))), 0, -1):
+        m = k // 2
+        weight = -(a + m) * (a + b + m) / ((a + 2 * m) * (a + 2 * m + 1)) if k % 2 else m * (b - m) / ((a + 2 * m - 1) * (a + 2 * m))
+        inner = 1 + weight * x / inner
+    return math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a / inner
+
+
+def correlation_p(rho: float, n: int) -> float:
+    """Two-sided p-value of a correlation by t with n - 2 degrees of freedom; 1 under 3 rows."""
+    if n < 3:
+        return 1.0
+    free = n - 2
+    return 0.0 if abs(rho) >= 1 else _beta_tail(1 - rho * rho, free / 2, 0.5)
 
 
 def failure_summary(df: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions import metrics
-from riskloom.operators import adapters, cohort, outcomes, rulescore, sensitivity, signals, splits, strata, synthesis, verdicts
+from riskloom.functions import bootstrap, metrics
+from riskloom.operators import adapters, battery, cohort, incremental, outcomes, rulescore, sensitivity, signals, splits, strata, synthesis, verdicts
 from riskloom.sources import bindings as bind
 
 OUTCOMES = ("mortality_30d", "mortality_90d", "mortality_1yr")
@@ -18,6 +18,9 @@ _ADMISSIONS = """lin AS (SELECT l_orderkey, min(l_shipdate) AS admit_dt, max(l_s
 adm AS (SELECT o_custkey AS subject_id, l_orderkey AS hadm_id, admit_dt, disch_dt, flag, CASE WHEN flag = 1 AND l_orderkey % 20 = 0 THEN disch_dt END AS death_dt FROM lin JOIN orders ON l_orderkey = o_orderkey)"""
 _STAYS = """stay AS (SELECT user_id AS subject_id, event_id AS hadm_id, ts AS admit_dt, ts + INTERVAL 3 DAY AS disch_dt FROM events WHERE event_type = 'signup'),
 vw AS (SELECT user_id AS subject_id, event_id AS study_id, ts AS ecg_datetime FROM events WHERE event_type = 'view')"""
+_FIRST_STAY = """, fst AS (SELECT study_id, coalesce(flag = 1 AND (death_dt IS NULL OR ecg_datetime <= death_dt), false) AS in_hospital_mortality, hadm_id AS linked_hadm_id FROM rec JOIN adm USING (subject_id)
+WHERE ecg_datetime BETWEEN admit_dt AND disch_dt QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY admit_dt, hadm_id) = 1)"""
+_FIRST_STAY_AGED, _FIRST_STAY_24H = _FIRST_STAY.replace("FROM rec", "FROM aged"), _FIRST_STAY.replace("BETWEEN admit_dt AND", "BETWEEN admit_dt - INTERVAL 24 HOUR AND")
 _AGED = "aged AS (SELECT rec.*, gender, anchor_age, dod_date, anchor_age + ecg_year - anchor_year AS age_at_ecg FROM rec JOIN pat USING (subject_id))"
 _DEATH = """dt AS (SELECT subject_id, dod_date, hd AS first_hosp_death_dt, coalesce(hf, 0) AS in_hosp_death_flag, ld AS last_disch_dt FROM pat LEFT JOIN (SELECT subject_id,
   min(CASE WHEN flag = 1 THEN death_dt END) AS hd, max((flag = 1)::BIGINT) AS hf, max(disch_dt) AS ld FROM adm GROUP BY 1) USING (subject_id))"""
@@ -110,14 +113,13 @@ def inhospital_mortality(s, d):
 
 
 def outcome_statistics(s, d):
-    return _rounded(outcomes.outcome_statistics(_outcomes(s, d)))
+    o = _outcomes(s, d)
+    inside = outcomes.inhospital_mortality(o, bind.admissions(s, d))
+    return _rounded(outcomes.outcome_statistics(o.join(inside, "study_id", "left")))
 
 
 def attrition(s, d):
-    aged = _aged(s, d)
-    grown = cohort.adults(aged)
-    o = outcomes.mortality_outcomes(grown, bind.patients(s, d), bind.admissions(s, d)).where("is_valid")
-    return cohort.cohort_flow(bind.records(s, d), [("linked", aged), ("adult", grown), ("valid", o), ("index", cohort.index_recordings(o))])
+    return cohort.attrition(bind.records(s, d), bind.patients(s, d), bind.admissions(s, d))
 
 
 def split_hashed(s, d):
@@ -125,7 +127,10 @@ def split_hashed(s, d):
 
 
 def split_overlap(s, d):
-    return splits.overlapping_subjects(splits.hashed_split(bind.records(s, d))).select("subject_id", "splits")
+    """The check on splits in which every 97th subject was put into one more split, as a leak would."""
+    dealt = splits.hashed_split(bind.records(s, d)).select("subject_id", "split")
+    leaked = dealt.where("subject_id % 97 = 0").withColumn("split", F.when(F.col("split") == "test", "dev").otherwise("test"))
+    return splits.overlapping_subjects(dealt.unionByName(leaked)).select("subject_id", "splits")
 
 
 def split_summary(s, d):
@@ -166,9 +171,11 @@ def horizon_sensitivity(s, d):
 
 
 def score_comparison(s, d):
-    p = _valid(s, d, "test").withColumn("alternative_score", F.col("model_a_score") * F.col("model_a_score") % 7.0)
-    long = p.select("mortality_30d", F.explode(F.array(*(F.struct(F.lit(c).alias("model"), F.col(c).alias("v")) for c in ("model_a_score", "model_b_score", "alternative_score")))).alias("x")).select("mortality_30d", "x.*")
-    return _rounded(metrics.discrimination(long, ["model"], "mortality_30d", "v"))
+    """The rule score of the predictions against other rule scores of the same subjects, over those with a measured vector."""
+    e, v = _measured(s, d)
+    scores = e.select(F.col("vec_id").alias("subject_id"), rulescore.rule_score(v).alias("rule_score"), rulescore.simplified_score(v).alias("simplified_score"))
+    p = _valid(s, d, "test").join(scores, "subject_id")
+    return _rounded(battery.alternative_scores(p, "mortality_30d", "model_b_score", ["model_a_score", "rule_score", "simplified_score"]))
 
 
 def subgroups(s, d):
@@ -180,8 +187,10 @@ def subgroups(s, d):
 
 
 def anchoring_sensitivity(s, d):
+    """B in all subjects, in those that both models scored, and in those with a recording inside an encounter."""
     p = bind.predictions(s, d).where("model_b_valid")
-    both = p.withColumn("cohort", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("model_a_valid"), "joint"), F.when(F.col("subject_id") % 2 == 0, "anchored")))))
+    anchored = cohort.link_admissions(bind.records(s, d), bind.admissions(s, d)).select("subject_id").distinct().withColumn("_anchored", F.lit(True))
+    both = p.join(anchored, "subject_id", "left").withColumn("cohort", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("model_a_valid"), "joint"), F.when(F.col("_anchored"), "anchored")))))
     return _rounded(metrics.discrimination(both, ["cohort"], "mortality_30d", "model_b_score"))
 
 
@@ -267,9 +276,7 @@ def capacity_capture(s, d):
 
 
 def min_max(s, d):
-    low, high = _valid(s, d).agg(F.min("model_a_score"), F.max("model_a_score")).first()
-    x = F.lit(0.5) if low == high else (F.col("model_a_score") - low) / (high - low)
-    return _rounded(_valid(s, d).select("subject_id", x.alias("p")))
+    return _rounded(_valid(s, d).select("subject_id", incremental.min_max(_valid(s, d), "model_a_score").alias("p")))
 
 
 def _measured(s, d):
@@ -350,19 +357,64 @@ def bootstrap_auroc(s, d):
 
 
 def incremental_information(s, d):
-    dev = _valid(s, d, "dev")
-    mean, sd = dev.agg(F.avg("model_a_score"), F.stddev_pop("model_a_score")).first()
-    z = (F.col("model_a_score") - mean) / max(sd, 1e-12)
-    out = []
-    for name, xs in (("A", [z, z * z]), ("B", [F.col("model_b_score")]), ("A+B", [z, z * z, F.col("model_b_score")])):
-        beta = metrics.logistic_fit(dev, "mortality_30d", xs)
-        p = metrics.clip(1.0 / (1.0 + F.exp(-sum((F.lit(w) * x for w, x in zip(beta[1:], xs, strict=True)), F.lit(beta[0])))), 1e-15, 1 - 1e-15)
-        y = F.col("mortality_30d").cast("double")
-        n, ll = dev.agg(F.count(F.lit(1)), F.sum(y * F.ln(p) + (1.0 - y) * F.ln(1.0 - p))).first()
-        k = len(beta)
-        out.append((name, float(ll), float(2 * k - 2 * ll), float(k * __import__("math").log(n) - 2 * ll)))
-    lrt = max(2 * (out[2][1] - out[0][1]), 0.0)
-    return s.createDataFrame([(*r, lrt, metrics.chi2_sf_1(lrt)) for r in out], "model string, log_likelihood double, aic double, bic double, lrt double, p_value double")
+    table, _, _ = incremental.nested_models(_valid(s, d, "dev"), _valid(s, d, "test"), "mortality_30d", "model_a_score", "model_b_score")
+    gain, p = incremental.likelihood_ratio(table)
+    return table.withColumn("lrt", F.lit(gain)).withColumn("p_value", F.lit(p))
+
+
+def incremental_gains(s, d):
+    _, scored, _ = incremental.nested_models(_valid(s, d, "dev"), _valid(s, d, "test"), "mortality_30d", "model_a_score", "model_b_score")
+    return incremental.gains(scored, "mortality_30d")
+
+
+def model_comparison(s, d):
+    """The four gains of B over A with their intervals; A's probability is calibrated on dev."""
+    dev, test = _valid(s, d, "dev"), _valid(s, d, "test")
+    test = test.withColumn("p_a", incremental.calibrated(dev, test, "model_a_score", "mortality_30d"))
+    return bootstrap.compare_models(test, [], "mortality_30d", "model_a_score", "model_b_score", "p_a", "model_b_score")
+
+
+def performance_intervals(s, d):
+    test = _valid(s, d, "test")
+    parts = [bootstrap.intervals(test, [], metric, "mortality_30d", "model_b_score").select(F.lit(name).alias("measure"), "point", "low", "high") for name, (metric, _, _) in bootstrap.METRICS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def discordance_intervals(s, d):
+    return strata.discordance_intervals(_valid(s, d, "test"), "mortality_30d", "model_a_score", "model_b_score")
+
+
+def discordance_by_medians(s, d):
+    return _rounded(strata.discordance(_valid(s, d, "test"), "mortality_30d", "model_a_score", "model_b_score", a_cut=None))
+
+
+def decile_calibration(s, d):
+    return _rounded(strata.decile_calibration(_valid(s, d, "test"), "mortality_30d", "model_b_score"))
+
+
+def direction_summary(s, d):
+    found = [compared(s, d).select(F.lit(name).alias("analysis"), "delta_auroc") for name, compared in (("horizon", horizon_comparison), ("subgroup", subgroup_comparison))]
+    return battery.direction_summary(found[0].unionByName(found[1]), "delta_auroc")
+
+
+def centroid_probability(s, d):
+    """The probability of label < 3 by the cosines to the mean vectors of both outcomes."""
+    e = bind.table(s, d, "embeddings").where("label IS NOT NULL").withColumn("y", F.col("label") < 3)
+    return _rounded(battery.centroid_probability(e, "vec_id", "embedding", "y"), 6)
+
+
+def _embedded(s, d):
+    bucket = (F.col("vec_id") * 31 + 42) % 10
+    e = bind.table(s, d, "embeddings").where("label IS NOT NULL")
+    return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), (F.col("label") < 3).alias("y"), F.when(bucket < 6, "dev").when(bucket < 8, "val").otherwise("test").alias("split"))
+
+
+def probe_variants(s, d):
+    return battery.probe_variants(_embedded(s, d), "embedding", "y")
+
+
+def inhospital_24h(s, d):
+    return outcomes.inhospital_mortality(bind.records(s, d), bind.admissions(s, d), 24)
 
 
 _V = "(SELECT * FROM pred WHERE va AND vb)"
@@ -375,6 +427,12 @@ _SUMMARY = ", ".join(f"round(avg({c}), 8) AS mean_{n}, round(stddev_pop({c}), 8)
 _LOSS = "round(-avg(y30::INT * ln(b) + (1 - y30::INT) * ln(1 - b)), 8) AS log_loss, round(avg(pow(b - y30::INT, 2)), 8) AS brier"
 
 #: name -> (query, SQL or None)
+_RULES = f"""m AS (SELECT vec_id, {', '.join(_items)} FROM embeddings),
+i AS (SELECT vec_id, (CASE WHEN avl_q_ms <= 0 THEN 5 WHEN avl_q_ms <= 15 THEN 1 WHEN avl_q_ms <= 25 THEN 3 WHEN avl_q_ms <= 35 THEN 9 WHEN avl_q_ms <= 45 THEN 10 ELSE 12 END)::DOUBLE AS item1,
+(CASE WHEN avl_t_neg > 0.025::DOUBLE THEN 3 + 23.0::DOUBLE * avl_t_neg WHEN avl_t_pos <= 0.05::DOUBLE OR avl_t_pos > 0.3::DOUBLE THEN 3 ELSE 0 END)::DOUBLE AS item2, (CASE WHEN avr_r * 10 < 5 THEN -avr_r * 10 ELSE 0 END)::DOUBLE AS item3,
+(CASE WHEN avr_t_pos * 10 <= 0.5::DOUBLE THEN 6 WHEN avr_t_pos * 10 <= 1.5::DOUBLE THEN 3 WHEN avr_t_pos * 10 <= 2.5::DOUBLE THEN 0 WHEN avr_t_pos * 10 <= 3.5::DOUBLE THEN -2 WHEN avr_t_pos * 10 <= 4.5::DOUBLE THEN -5 ELSE -5 - 2.0::DOUBLE * (avr_t_pos * 10 - 4) END)::DOUBLE AS item4,
+{', '.join(f"(CASE WHEN {c} THEN {p} ELSE 0 END)::DOUBLE AS item{k}" for k, c, p in ((5, 'greatest(ii_qr, avf_qr) >= 0.25', 12), (6, 'greatest(iii_q_ms, avl_q_ms) >= 40', 5), (7, 'iii_t_neg > 0.1::DOUBLE', 7), (8, 'v1_t_pos > 0.2::DOUBLE', 5), (9, 'v2_r < 0.3::DOUBLE OR v2_r > 1.4::DOUBLE', 5), (10, 'v2_t_neg >= 0.025::DOUBLE', 5), (11, 'v3_qr > 0.05::DOUBLE', 9), (12, 'v5_s < 0.2::DOUBLE', 5)))} FROM m),
+t AS (SELECT *, {' + '.join(f'item{k}' for k in range(1, 13))} AS tot FROM i)"""
 REGISTRY = {
     "age_at_recording": (age_at_recording, f"WITH {_RECORDS}, {_PATIENTS}, {_AGED} SELECT subject_id, study_id, ecg_year, anchor_age, age_at_ecg FROM aged"),
     "adult_records": (adult_records, f"WITH {_RECORDS}, {_PATIENTS}, {_AGED} SELECT subject_id, study_id, age_at_ecg FROM aged WHERE age_at_ecg >= 18"),
@@ -382,25 +440,27 @@ REGISTRY = {
     "link_24h_stays": (link_24h_stays, f"WITH {_STAYS} SELECT subject_id, study_id, hadm_id FROM vw JOIN stay USING (subject_id) WHERE ecg_datetime BETWEEN admit_dt - INTERVAL 24 HOUR AND disch_dt"),
     "index_earliest": (index_earliest, f"WITH {_RECORDS} SELECT subject_id, study_id FROM rec QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY ecg_datetime, study_id) = 1"),
     "index_latest": (index_latest, f"WITH {_RECORDS} SELECT subject_id, study_id FROM rec QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY ecg_datetime DESC, study_id DESC) = 1"),
-    "linkage_statistics": (linkage_statistics, f"""WITH {_STAYS}, {_PATIENTS}, per AS (SELECT count(*) AS n FROM vw GROUP BY subject_id),
+    "linkage_statistics": (linkage_statistics, f"""WITH {_STAYS}, {_PATIENTS}, per AS (SELECT count(*) AS n FROM vw GROUP BY subject_id), grown AS (SELECT vw.* FROM vw JOIN pat USING (subject_id) WHERE anchor_age + year(ecg_datetime) - anchor_year >= 18),
 l0 AS (SELECT DISTINCT study_id, subject_id FROM vw JOIN stay USING (subject_id) WHERE ecg_datetime BETWEEN admit_dt AND disch_dt), l24 AS (SELECT DISTINCT study_id, subject_id FROM vw JOIN stay USING (subject_id) WHERE ecg_datetime BETWEEN admit_dt - INTERVAL 24 HOUR AND disch_dt)
 SELECT (SELECT count(*) FROM vw) AS total_records, (SELECT count(DISTINCT subject_id) FROM vw) AS total_subjects, (SELECT count(DISTINCT study_id) FROM vw) AS total_studies, (SELECT count(*) FROM vw SEMI JOIN pat USING (subject_id)) AS linked_records,
 (SELECT count(DISTINCT subject_id) FROM vw SEMI JOIN pat USING (subject_id)) AS linked_subjects, round((SELECT avg(n) FROM per), 8) AS mean_per_subject, (SELECT quantile_cont(n, 0.5) FROM per)::DOUBLE AS median_per_subject, (SELECT min(n) FROM per) AS min_per_subject, (SELECT max(n) FROM per) AS max_per_subject,
 (SELECT count(DISTINCT study_id) FROM l0) AS records_within_0h, (SELECT count(DISTINCT subject_id) FROM l0) AS subjects_within_0h, (SELECT count(DISTINCT study_id) FROM l24) AS records_within_24h, (SELECT count(DISTINCT subject_id) FROM l24) AS subjects_within_24h,
-round(100.0::DOUBLE * (SELECT count(DISTINCT subject_id) FROM vw SEMI JOIN pat USING (subject_id)) / (SELECT count(DISTINCT subject_id) FROM vw), 8) AS linked_subject_percent"""),
+(SELECT count(*) FROM grown) AS adult_records, (SELECT count(DISTINCT subject_id) FROM grown) AS adult_subjects, (SELECT count(DISTINCT subject_id) FROM grown) AS index_adult_records, (SELECT count(DISTINCT subject_id) FROM vw SEMI JOIN stay USING (subject_id)) AS subjects_with_admissions,
+round(100.0::DOUBLE * (SELECT count(DISTINCT subject_id) FROM vw SEMI JOIN pat USING (subject_id)) / (SELECT count(DISTINCT subject_id) FROM vw), 8) AS linked_subject_percent, round(100.0::DOUBLE * (SELECT count(*) FROM vw SEMI JOIN pat USING (subject_id)) / (SELECT count(*) FROM vw), 8) AS linked_record_percent,
+round(100.0::DOUBLE * (SELECT count(DISTINCT subject_id) FROM vw SEMI JOIN stay USING (subject_id)) / (SELECT count(DISTINCT subject_id) FROM vw), 8) AS subjects_with_admissions_percent"""),
     "death_table": (death_table, f"WITH {_RECORDS}, {_PATIENTS}, {_ADMISSIONS}, {_DEATH} SELECT subject_id, dod_date::VARCHAR AS dod_date, first_hosp_death_dt::VARCHAR AS first_hosp_death_dt, last_disch_dt::VARCHAR AS last_disch_dt, in_hosp_death_flag FROM dt"),
     "mortality_outcomes": (mortality_outcomes, f"""WITH {_RECORDS}, {_PATIENTS}, {_AGED}, {_ADMISSIONS}, {_DEATH}, {_OUT} SELECT subject_id, study_id, round(days_to_death, 8) AS days_to_death, round(activity_followup_days, 8) AS activity_followup_days, is_valid,
 CASE WHEN NOT is_valid THEN '{outcomes.AFTER_DEATH}' END AS exclusion_reason, m30 AS mortality_30d, m90 AS mortality_90d, m1 AS mortality_1yr, {', '.join(f"CASE WHEN is_valid THEN CASE WHEN {m} THEN round(days_to_death, 8) ELSE {h}::DOUBLE END END AS time_to_{n}_days" for m, (n, h) in zip(('m30', 'm90', 'm1'), outcomes.HORIZONS, strict=True))} FROM o3"""),
-    "inhospital_mortality": (inhospital_mortality, f"""WITH {_RECORDS}, {_ADMISSIONS} SELECT study_id, coalesce(flag = 1 AND (death_dt IS NULL OR ecg_datetime <= death_dt), false) AS in_hospital_mortality, hadm_id AS linked_hadm_id FROM rec JOIN adm USING (subject_id)
-WHERE ecg_datetime BETWEEN admit_dt AND disch_dt QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY admit_dt, hadm_id) = 1"""),
-    "outcome_statistics": (outcome_statistics, f"""WITH {_RECORDS}, {_PATIENTS}, {_AGED}, {_ADMISSIONS}, {_DEATH}, {_OUT} SELECT count(*) AS total_records, count(*) FILTER (is_valid) AS valid_records, count(*) FILTER (NOT is_valid) AS invalid_records, count(*) FILTER (is_valid AND days_to_death IS NOT NULL) AS deaths,
+    "inhospital_mortality": (inhospital_mortality, f"""WITH {_RECORDS}, {_ADMISSIONS} {_FIRST_STAY} SELECT study_id, in_hospital_mortality, linked_hadm_id FROM rec LEFT JOIN fst USING (study_id)"""),
+    "outcome_statistics": (outcome_statistics, f"""WITH {_RECORDS}, {_PATIENTS}, {_AGED}, {_ADMISSIONS}, {_DEATH}, {_OUT}{_FIRST_STAY_AGED} SELECT count(*) AS total_records, count(*) FILTER (is_valid) AS valid_records, count(*) FILTER (NOT is_valid) AS invalid_records, count(*) FILTER (is_valid AND days_to_death IS NOT NULL) AS deaths, round(100.0::DOUBLE * count(*) FILTER (NOT is_valid) / count(*), 8) AS invalid_percent,
+(SELECT count(in_hospital_mortality) FROM fst) AS inhospital_evaluable, (SELECT count(*) FILTER (in_hospital_mortality) FROM fst) AS inhospital_events, round((SELECT avg(in_hospital_mortality::INT) FROM fst), 8) AS inhospital_rate,
 {', '.join(f"count(*) FILTER ({m}) AS events_{n}, round(avg({m}::INT), 8) AS rate_{n}" for m, n in (('m30', '30d'), ('m90', '90d'), ('m1', '1yr')))} FROM o3"""),
     "attrition": (attrition, f"""WITH {_RECORDS}, {_PATIENTS}, {_AGED}, {_ADMISSIONS}, {_DEATH}, {_OUT}, ok AS (SELECT * FROM o3 WHERE is_valid AND age_at_ecg >= 18),
 f AS (SELECT 0 AS step, 'all' AS name, count(*) AS records, count(DISTINCT subject_id) AS subjects FROM rec UNION ALL SELECT 1, 'linked', count(*), count(DISTINCT subject_id) FROM aged UNION ALL SELECT 2, 'adult', count(*), count(DISTINCT subject_id) FROM aged WHERE age_at_ecg >= 18
 UNION ALL SELECT 3, 'valid', count(*), count(DISTINCT subject_id) FROM ok UNION ALL SELECT 4, 'index', count(DISTINCT subject_id), count(DISTINCT subject_id) FROM ok)
 SELECT *, coalesce(lag(records) OVER (ORDER BY step) - records, 0) AS excluded_records, coalesce(lag(subjects) OVER (ORDER BY step) - subjects, 0) AS excluded_subjects FROM f"""),
     "split_hashed": (split_hashed, "SELECT DISTINCT o_custkey AS subject_id, CASE WHEN (o_custkey % 1000003 * 7919 + 42) % 10000 < 6000 THEN 'dev' WHEN (o_custkey % 1000003 * 7919 + 42) % 10000 < 8000 THEN 'val' ELSE 'test' END AS split FROM orders"),
-    "split_overlap": (split_overlap, "SELECT o_custkey AS subject_id, 2::BIGINT AS splits FROM orders WHERE false"),
+    "split_overlap": (split_overlap, "SELECT DISTINCT o_custkey AS subject_id, 2::BIGINT AS splits FROM orders WHERE o_custkey % 97 = 0"),
     "split_summary": (split_summary, f"WITH {_PRED} SELECT split, count(*) AS records, count(DISTINCT subject_id) AS subjects, {', '.join(f'count(*) FILTER ({y}) AS events_{o}, round(avg({y}::INT), 8) AS rate_{o}' for y, o in zip(('y30', 'y90', 'y1'), OUTCOMES, strict=True))} FROM pred GROUP BY split"),
     "prediction_summary": (prediction_summary, f"WITH {_PRED}, {_rank_sql(f'SELECT split, b AS s, y30::INT AS y FROM {_V}', 'split')} SELECT split, n, mean_a, sd_a, q25_a, q50_a, q75_a, mean_b, sd_b, q25_b, q50_b, q75_b, mean_log_odds_b, sd_log_odds_b, auroc, auprc, log_loss, brier FROM (SELECT split, count(*) AS n, {_SUMMARY}, {_LOSS} FROM {_V} GROUP BY split) JOIN r ON g = split"),
     "category_counts": (category_counts, f"WITH {_PRED} SELECT split, cat AS category, count(*) AS n FROM pred GROUP BY ALL"),
@@ -408,32 +468,35 @@ SELECT *, coalesce(lag(records) OVER (ORDER BY step) - records, 0) AS excluded_r
     "discrimination": (discrimination, f"WITH {_PRED}, {_rank_sql(f'SELECT split, b AS s, y30::INT AS y FROM {_V}', 'split')} SELECT g AS split, auroc, auprc FROM r"),
     "correlations": (correlations, f"WITH {_PRED}, k AS (SELECT *, rank() OVER (PARTITION BY split ORDER BY a) + (count(*) OVER (PARTITION BY split, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY split ORDER BY b) + (count(*) OVER (PARTITION BY split, b) - 1) / 2.0::DOUBLE AS rb FROM {_V}) SELECT split, count(*) AS n, round(corr(a, b), 8) AS pearson, round(corr(ra, rb), 8) AS spearman FROM k GROUP BY split"),
     "horizon_sensitivity": (horizon_sensitivity, f"WITH {_PRED}, {_rank_sql(' UNION ALL '.join(f'''SELECT '{o}' AS h, b AS s, {y}::INT AS y FROM {_T}''' for y, o in zip(('y30', 'y90', 'y1'), OUTCOMES, strict=True)), 'h')} SELECT g AS horizon, auroc, auprc FROM r"),
-    "score_comparison": (score_comparison, f"WITH {_PRED}, {_rank_sql(' UNION ALL '.join(f'''SELECT '{m}' AS h, {x} AS s, y30::INT AS y FROM {_T}''' for x, m in (('a', 'model_a_score'), ('b', 'model_b_score'), ('a * a % 7.0::DOUBLE', 'alternative_score'))), 'h')} SELECT g AS model, auroc, auprc FROM r"),
+    "score_comparison": (score_comparison, f"""WITH {_PRED}, {_RULES}, alt AS (SELECT p.a, p.b, p.y30::INT AS y, tot, item1 + item5 + item10 + item12 AS sim FROM {_T} p JOIN t ON vec_id = subject_id),
+lng AS ({' UNION ALL '.join(f"SELECT '{m}' AS h, {x} AS s, b, y FROM alt" for x, m in (('a', 'model_a_score'), ('tot', 'rule_score'), ('sim', 'simplified_score')))}),
+{_rank_sql("SELECT h, s, y FROM lng UNION ALL SELECT 'b', b, y FROM alt", 'h')}, u AS (SELECT g, CASE WHEN max(p) > 0 AND max(n) > 0 THEN sum(neg * (tp - pos / 2)) / (max(p) * max(n)) ELSE 0.5 END AS auc FROM w GROUP BY g),
+k AS (SELECT h, rank() OVER (PARTITION BY h ORDER BY s) + (count(*) OVER (PARTITION BY h, s) - 1) / 2.0::DOUBLE AS rs, rank() OVER (PARTITION BY h ORDER BY b) + (count(*) OVER (PARTITION BY h, b) - 1) / 2.0::DOUBLE AS rb FROM lng),
+c AS (SELECT h, round(corr(rs, rb), 8) AS spearman_b FROM k GROUP BY h)
+SELECT r.g AS model, r.auroc, r.auprc, c.spearman_b, round((SELECT auc FROM u WHERE g = 'b') - u.auc, 8) AS delta_auroc FROM r JOIN c ON c.h = r.g JOIN u ON u.g = r.g"""),
     "subgroups": (subgroups, f"WITH {_PRED}, {_PATIENTS}, sg AS (SELECT unnest([CASE WHEN anchor_age < 65 THEN '<65' ELSE '>=65' END, gender]) AS h, b AS s, y30::INT AS y FROM {_T} t JOIN pat USING (subject_id)), {_rank_sql('SELECT * FROM sg', 'h')} SELECT g AS subgroup, auroc, auprc, n FROM r JOIN (SELECT h, count(*) AS n FROM sg GROUP BY h HAVING count(*) >= 5) ON h = g"),
-    "anchoring_sensitivity": (anchoring_sensitivity, f"WITH {_PRED}, {_rank_sql('''SELECT 'all' AS h, b AS s, y30::INT AS y FROM pred WHERE vb UNION ALL SELECT 'joint', b, y30::INT FROM pred WHERE va AND vb UNION ALL SELECT 'anchored', b, y30::INT FROM pred WHERE vb AND subject_id % 2 = 0''', 'h')} SELECT g AS cohort, auroc, auprc FROM r"),
+    "anchoring_sensitivity": (anchoring_sensitivity, f"WITH {_RECORDS}, {_ADMISSIONS}, {_PRED}, {_rank_sql('''SELECT 'all' AS h, b AS s, y30::INT AS y FROM pred WHERE vb UNION ALL SELECT 'joint', b, y30::INT FROM pred WHERE va AND vb UNION ALL SELECT 'anchored', b, y30::INT FROM pred WHERE vb AND subject_id IN (SELECT subject_id FROM rec JOIN adm USING (subject_id) WHERE ecg_datetime BETWEEN admit_dt AND disch_dt)''', 'h')} SELECT g AS cohort, auroc, auprc FROM r"),
     "horizon_comparison": (horizon_comparison, f"WITH {_PRED}, {_compare_sql(_HORIZONS, 'horizon')}"),
     "horizon_comparison_intervals": (horizon_comparison_intervals, None),
     "subgroup_comparison": (subgroup_comparison, f"WITH {_PRED}, {_PATIENTS}, {_compare_sql(_SUBGROUPS, 'subgroup')}"),
     "subgroup_comparison_intervals": (subgroup_comparison_intervals, None),
     "admission_anchoring": (admission_anchoring, f"WITH {_RECORDS}, {_ADMISSIONS}, {_PRED}, {_compare_sql(_INDEXED, 'cohort')}"),
     "admission_anchoring_intervals": (admission_anchoring_intervals, None),
-    "stratified_risk": (stratified_risk, f"WITH {_PRED} SELECT c.category, count(t.cat) AS n, coalesce(sum(y30::INT), 0)::BIGINT AS events, round(coalesce(avg(y30::INT), 0), 8) AS rate, round(avg(b), 8) AS mean_b, round(stddev_pop(b), 8) AS sd_b, round(quantile_cont(b, 0.25), 8) AS q25_b, round(quantile_cont(b, 0.5), 8) AS median_b, round(quantile_cont(b, 0.75), 8) AS q75_b FROM (SELECT unnest({list(strata.CATEGORIES)}) AS category) c LEFT JOIN {_T} t ON t.cat = c.category GROUP BY c.category"),
-    "tertiles": (tertiles, f"WITH {_PRED}, q AS (SELECT cat, quantile_cont(b, 0.3333333333333333) AS c1, quantile_cont(b, 0.6666666666666666) AS c2 FROM {_T} GROUP BY cat) SELECT cat AS category, CASE WHEN b < c1 THEN 'Low' WHEN b < c2 THEN 'Mid' ELSE 'High' END AS tertile, count(*) AS n, sum(y30::INT)::BIGINT AS events, round(avg(y30::INT), 8) AS rate FROM {_T} t JOIN q USING (cat) GROUP BY ALL"),
+    "stratified_risk": (stratified_risk, f"WITH {_PRED}, {_rank_sql(f'SELECT cat, b AS s, y30::INT AS y FROM {_T}', 'cat')} SELECT c.category, count(t.cat) AS n, coalesce(sum(y30::INT), 0)::BIGINT AS events, round(coalesce(avg(y30::INT), 0), 8) AS rate, round(avg(b), 8) AS mean_b, round(stddev_pop(b), 8) AS sd_b, round(quantile_cont(b, 0.25), 8) AS q25_b, round(quantile_cont(b, 0.5), 8) AS median_b, round(quantile_cont(b, 0.75), 8) AS q75_b, CASE WHEN sum(y30::INT) > 0 AND sum(y30::INT) < count(t.cat) THEN any_value(r.auroc) END AS auroc, CASE WHEN sum(y30::INT) > 0 AND sum(y30::INT) < count(t.cat) THEN any_value(r.auprc) END AS auprc FROM (SELECT unnest({list(strata.CATEGORIES)}) AS category) c LEFT JOIN {_T} t ON t.cat = c.category LEFT JOIN r ON r.g = c.category GROUP BY c.category"),
+    "tertiles": (tertiles, f"WITH {_PRED}, q AS (SELECT cat, quantile_cont(b, 0.3333333333333333) AS c1, quantile_cont(b, 0.6666666666666666) AS c2 FROM {_T} GROUP BY cat HAVING count(*) >= 3) SELECT q.cat AS category, l.tertile, count(t.b) AS n, coalesce(sum(y30::INT), 0)::BIGINT AS events, round(coalesce(avg(y30::INT), 0), 8) AS rate FROM q CROSS JOIN (VALUES ('Low'), ('Mid'), ('High')) l(tertile) LEFT JOIN {_T} t ON t.cat = q.cat AND l.tertile = CASE WHEN t.b < c1 THEN 'Low' WHEN t.b < c2 THEN 'Mid' ELSE 'High' END GROUP BY ALL"),
     "tertile_gradients": (tertile_gradients, f"WITH {_PRED}, q AS (SELECT cat, quantile_cont(b, 0.3333333333333333) AS c1, quantile_cont(b, 0.6666666666666666) AS c2 FROM {_T} GROUP BY cat), r AS (SELECT cat AS category, CASE WHEN b < c1 THEN 'Low' WHEN b < c2 THEN 'Mid' ELSE 'High' END AS tertile, count(*) AS n, sum(y30::INT)::BIGINT AS events, round(avg(y30::INT), 8) AS rate FROM {_T} t JOIN q USING (cat) GROUP BY ALL), o AS (SELECT *, CASE tertile WHEN 'Low' THEN 1 WHEN 'Mid' THEN 2 ELSE 3 END AS k FROM r), e AS (SELECT category, arg_min(rate, k) AS f, arg_max(rate, k) AS l FROM o GROUP BY 1), x AS (SELECT category, f = 0 AND l > 0 AS infinite, CASE WHEN f = 0 AND l > 0 THEN 3.0::DOUBLE WHEN f = 0 THEN 1.0::DOUBLE ELSE l / f END AS ratio FROM e) SELECT category, round(ratio, 6) AS ratio, infinite, ratio >= 1.5::DOUBLE AS meaningful FROM x"),
     "discordance": (discordance, f"WITH {_PRED}, t AS {_T}, c AS (SELECT quantile_cont(b, 0.5) AS m FROM t) SELECT 'A-' || CASE WHEN a >= 15 THEN 'high' ELSE 'low' END || '/B-' || CASE WHEN b >= m THEN 'high' ELSE 'low' END AS quadrant, count(*) AS n, sum(y30::INT)::BIGINT AS events, round(avg(y30::INT), 8) AS rate FROM t, c GROUP BY ALL"),
     "risk_contrasts": (risk_contrasts, f"WITH {_PRED}, t AS {_T}, c AS (SELECT quantile_cont(b, 0.5) AS m FROM t), x AS (SELECT avg(y30::INT) FILTER (a < 15 AND b < m) AS ll, avg(y30::INT) FILTER (a < 15 AND b >= m) AS lh, avg(y30::INT) FILTER (a >= 15 AND b < m) AS hl, avg(y30::INT) FILTER (a >= 15 AND b >= m) AS hh FROM t, c) SELECT round(lh - ll, 8) AS rd_a_low, round(CASE WHEN ll > 0 THEN lh / ll ELSE 1 END, 8) AS rr_a_low, round(hh - hl, 8) AS rd_a_high FROM x"),
     "smoother": (smoother, f"WITH {_PRED}, t AS {_T}, m AS (SELECT min(a) AS lo, max(a) AS hi, greatest((max(a) - min(a)) / 12.5::DOUBLE, 1) AS w FROM t), g AS (SELECT lo + (hi - lo) * k / 24 AS x, w FROM m, range(25) r(k)) SELECT round(x, 8) AS x, round(sum(exp(-0.5::DOUBLE * pow((a - x) / w, 2)) * b) / sum(exp(-0.5::DOUBLE * pow((a - x) / w, 2))), 8) AS expected_b FROM t, g GROUP BY x"),
-    "risk_surface": (risk_surface, f"WITH {_PRED}, t AS {_T}, e AS (SELECT quantile_cont(a, [0.2, 0.4, 0.6, 0.8]) AS ea, quantile_cont(b, [0.2, 0.4, 0.6, 0.8]) AS eb FROM t) SELECT len(list_filter(ea, lambda x: x <= a))::INT AS a_bin, len(list_filter(eb, lambda x: x <= b))::INT AS b_bin, count(*) AS n, sum(y30::INT)::BIGINT AS events, round(avg(y30::INT), 8) AS rate FROM t, e GROUP BY ALL"),
+    "risk_surface": (risk_surface, f"""WITH {_PRED}, t AS {_T}, e AS (SELECT list_sort(list_distinct(quantile_cont(a, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS ea, list_sort(list_distinct(quantile_cont(b, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS eb FROM t),
+x AS (SELECT len(list_filter(ea[2:-2], lambda x: x <= a))::INT AS a_bin, len(list_filter(eb[2:-2], lambda x: x <= b))::INT AS b_bin, count(*) AS n, sum(y30::INT)::BIGINT AS events, round(avg(y30::INT), 8) AS rate FROM t, e GROUP BY ALL),
+ga AS (SELECT unnest(range(greatest(1, len(ea) - 1)))::INT AS a_bin FROM e), gb AS (SELECT unnest(range(greatest(1, len(eb) - 1)))::INT AS b_bin FROM e)
+SELECT a_bin, b_bin, coalesce(n, 0) AS n, coalesce(events, 0) AS events, rate FROM ga CROSS JOIN gb LEFT JOIN x USING (a_bin, b_bin)"""),
     "decision_curve": (decision_curve, f"WITH {_PRED}, s AS (SELECT h AS threshold, h / (1 - h) AS odds, count(*) AS n, count(*) FILTER (b >= h AND y30) AS tp, count(*) FILTER (b >= h AND NOT y30) AS fp, count(*) FILTER (y30) AS e FROM {_T} t, (SELECT unnest({list(strata.THRESHOLDS)})::DOUBLE AS h) GROUP BY h) SELECT threshold, round(tp / n - fp / n * odds, 8) AS net_benefit, round(e / n - (n - e) / n * odds, 8) AS treat_all FROM s"),
     "score_distribution": (score_distribution, f"WITH {_PRED} SELECT y30::INT AS outcome, count(*) AS n, round(avg(a), 8) AS mean, round(stddev_pop(a), 8) AS sd, round(quantile_cont(a, 0.25), 8) AS q25, round(quantile_cont(a, 0.5), 8) AS median, round(quantile_cont(a, 0.75), 8) AS q75 FROM {_T} GROUP BY ALL"),
     "capacity_capture": (capacity_capture, f"WITH {_PRED}, k AS (SELECT *, row_number() OVER (ORDER BY b DESC, subject_id) AS r, count(*) OVER () AS n, count(*) FILTER (y30) OVER () AS e FROM {_T}) SELECT h AS share, count(*) FILTER (r <= ceil(h * n)) AS flagged, count(*) FILTER (r <= ceil(h * n) AND y30) AS captured, round(captured / any_value(e), 8) AS sensitivity, round(captured / flagged, 8) AS ppv FROM k, (SELECT unnest([0.01, 0.025, 0.05, 0.1, 0.2])::DOUBLE AS h) GROUP BY h"),
     "min_max": (min_max, f"WITH {_PRED} SELECT subject_id, round((a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()), 8) AS p FROM {_V}"),
-    "rule_score": (rule_score, f"""WITH m AS (SELECT vec_id, {', '.join(_items)} FROM embeddings),
-i AS (SELECT vec_id, (CASE WHEN avl_q_ms <= 0 THEN 5 WHEN avl_q_ms <= 15 THEN 1 WHEN avl_q_ms <= 25 THEN 3 WHEN avl_q_ms <= 35 THEN 9 WHEN avl_q_ms <= 45 THEN 10 ELSE 12 END)::DOUBLE AS item1,
-(CASE WHEN avl_t_neg > 0.025::DOUBLE THEN 3 + 23.0::DOUBLE * avl_t_neg WHEN avl_t_pos <= 0.05::DOUBLE OR avl_t_pos > 0.3::DOUBLE THEN 3 ELSE 0 END)::DOUBLE AS item2, (CASE WHEN avr_r * 10 < 5 THEN -avr_r * 10 ELSE 0 END)::DOUBLE AS item3,
-(CASE WHEN avr_t_pos * 10 <= 0.5::DOUBLE THEN 6 WHEN avr_t_pos * 10 <= 1.5::DOUBLE THEN 3 WHEN avr_t_pos * 10 <= 2.5::DOUBLE THEN 0 WHEN avr_t_pos * 10 <= 3.5::DOUBLE THEN -2 WHEN avr_t_pos * 10 <= 4.5::DOUBLE THEN -5 ELSE -5 - 2.0::DOUBLE * (avr_t_pos * 10 - 4) END)::DOUBLE AS item4,
-{', '.join(f"(CASE WHEN {c} THEN {p} ELSE 0 END)::DOUBLE AS item{k}" for k, c, p in ((5, 'greatest(ii_qr, avf_qr) >= 0.25', 12), (6, 'greatest(iii_q_ms, avl_q_ms) >= 40', 5), (7, 'iii_t_neg > 0.1::DOUBLE', 7), (8, 'v1_t_pos > 0.2::DOUBLE', 5), (9, 'v2_r < 0.3::DOUBLE OR v2_r > 1.4::DOUBLE', 5), (10, 'v2_t_neg >= 0.025::DOUBLE', 5), (11, 'v3_qr > 0.05::DOUBLE', 9), (12, 'v5_s < 0.2::DOUBLE', 5)))} FROM m),
-t AS (SELECT *, {' + '.join(f'item{k}' for k in range(1, 13))} AS tot FROM i)
+    "rule_score": (rule_score, f"""WITH {_RULES}
 SELECT vec_id, {', '.join(f'round(item{k}, 8) AS item{k}' for k in range(1, 13))}, round(tot, 8) AS total, round(item1 + item5 + item10 + item12, 8) AS simplified, CASE WHEN tot < 10 THEN 'normal' WHEN tot < 15 THEN 'borderline' WHEN tot < 20 THEN 'possible_injury' ELSE 'probable_infarction' END AS category FROM t"""),
     "cosine_to_centroid": (cosine_to_centroid, "WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL), p AS (SELECT label, i, avg(x) AS m FROM u GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS c FROM p GROUP BY label) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c), 6) AS cosine FROM embeddings JOIN c USING (label)"),
     "pad_crop_scale": (pad_crop_scale, "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) SELECT vec_id, round(list_sum(x[13:52]), 5) AS center40, round(list_sum(x[25:64]), 5) AS end40, round(list_sum(x) + 6 * x[64], 5) AS edge70, round(1000 * list_sum(x), 5) AS uv FROM e"),
@@ -442,6 +505,18 @@ SELECT vec_id, {', '.join(f'round(item{k}, 8) AS item{k}' for k in range(1, 13))
     "waveform_embeddings": (waveform_embeddings, None),
     "failure_summary": (failure_summary, f"WITH {_PRED}, f AS (SELECT count(*) AS n, count(*) FILTER (NOT va) AS failed_a, count(*) FILTER (NOT vb) AS failed_b FROM pred) SELECT *, round(failed_a / n, 8) AS failure_rate_a, round(failed_b / n, 8) AS failure_rate_b, n - greatest(failed_a, failed_b) AS joint FROM f"),
     "findings": (findings, None),
+    "incremental_gains": (incremental_gains, None),
+    "model_comparison": (model_comparison, None),
+    "performance_intervals": (performance_intervals, None),
+    "discordance_intervals": (discordance_intervals, None),
+    "probe_variants": (probe_variants, None),
+    "discordance_by_medians": (discordance_by_medians, f"WITH {_PRED}, t AS {_T}, c AS (SELECT quantile_cont(a, 0.5) AS ma, quantile_cont(b, 0.5) AS mb FROM t), x AS (SELECT 'A-' || CASE WHEN a >= ma THEN 'high' ELSE 'low' END || '/B-' || CASE WHEN b >= mb THEN 'high' ELSE 'low' END AS quadrant, y30 FROM t, c) SELECT q.quadrant, count(y30) AS n, coalesce(sum(y30::INT), 0)::BIGINT AS events, round(coalesce(avg(y30::INT), 0), 8) AS rate FROM (SELECT unnest({[q for q, _, _ in strata.QUADRANTS]}) AS quadrant) q LEFT JOIN x USING (quadrant) GROUP BY q.quadrant"),
+    "decile_calibration": (decile_calibration, f"""WITH {_PRED}, t AS {_T}, e AS (SELECT list_sort(list_distinct(quantile_cont(b, [k / 10.0::DOUBLE for k in range(11)]))) AS eb FROM t)
+SELECT len(list_filter(eb[2:-2], lambda x: x <= b))::INT AS bin, count(*) AS n, sum(y30::INT)::BIGINT AS events, round(avg(y30::INT), 8) AS observed, round(avg(b), 8) AS predicted, round(min(b), 8) AS low, round(max(b), 8) AS high FROM t, e GROUP BY ALL"""),
+    "centroid_probability": (centroid_probability, """WITH v AS (SELECT vec_id, label < 3 AS y, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL),
+u AS (SELECT y, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM v), m AS (SELECT y, i, avg(x) AS m FROM u GROUP BY ALL), c AS (SELECT y, list(m ORDER BY i) AS c FROM m GROUP BY y)
+SELECT vec_id, round(1 / (1 + exp(-(list_cosine_similarity(e, p.c) - list_cosine_similarity(e, q.c)))), 6) AS probability FROM v, (SELECT c FROM c WHERE y) p, (SELECT c FROM c WHERE NOT y) q"""),
+    "inhospital_24h": (inhospital_24h, f"""WITH {_RECORDS}, {_ADMISSIONS}{_FIRST_STAY_24H} SELECT study_id, in_hospital_mortality, linked_hadm_id FROM rec LEFT JOIN fst USING (study_id)"""),
     "document_quality": (document_quality, f"WITH {_rank_sql('SELECT lang, n_chars AS s, quality AS y FROM documents JOIN labels USING (doc_id)', 'lang')} SELECT g AS lang, auroc, auprc FROM r"),
     "calibration": (calibration, None),
     "bootstrap_auroc": (bootstrap_auroc, None),
