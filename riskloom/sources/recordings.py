@@ -3,7 +3,8 @@
 A header's first line is `name signals rate samples`, then a line per signal: `file format gain(baseline)/units resolution
 zero first checksum block description`. Lines after # are comments. Samples are little-endian, signal by signal within
 each time; the lowest value stands for a missing sample. Defined results: a header that can't be parsed keeps its row with
-a message in `error`; a record without its file of samples, or with too few of them, too; an empty folder gives no rows.
+a message in `error`; a record without its file of samples, or with too few of them, too; an empty folder gives no rows, nor does a file
+without a byte, which Spark's file sources leave out.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom.operators.signals import CANONICAL
 from riskloom.session import ship
 
 #: What a header leaves out.
 RATE, GAIN, UNITS, MISSING = 250.0, 200.0, "mV", -32768
-HEADER = T._parse_datatype_string("record string, record_name string, n_sig int, fs int, sig_len long, duration_seconds double, sig_name array<string>, units array<string>, adc_gain array<double>, baseline array<int>, files array<string>, formats array<string>, comments array<string>, error string")
+HEADER = {
+    "record": "string", "record_name": "string", "n_sig": "int", "fs": "int", "sig_len": "long", "duration_seconds": "double", "sig_name": "array<string>", "units": "array<string>",
+    "adc_gain": "array<double>", "baseline": "array<int>", "files": "array<string>", "formats": "array<string>", "comments": "array<string>", "error": "string",
+}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
 _GAIN = re.compile(r"([-+0-9.eE]+)(?:\((-?\d+)\))?(?:/(.+))?")
 
 
@@ -80,7 +84,7 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             rows = []
             for path, content in zip(batch.column("record").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                row = dict.fromkeys(HEADER.fieldNames()) | {"record": path}
+                row = dict.fromkeys(HEADER) | {"record": path}
                 try:
                     row |= parse_header(content.decode("utf-8", "replace"))
                 except (ValueError, IndexError) as e:
@@ -88,10 +92,8 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    lists = {"sig_name": pa.string(), "units": pa.string(), "adc_gain": pa.float64(), "baseline": pa.int32(), "files": pa.string(), "formats": pa.string(), "comments": pa.string()}
-    plain = {"record": pa.string(), "record_name": pa.string(), "n_sig": pa.int32(), "fs": pa.int32(), "sig_len": pa.int64(), "duration_seconds": pa.float64(), "error": pa.string()}
-    arrow = pa.schema([(n, pa.list_(lists[n]) if n in lists else plain[n]) for n in HEADER.fieldNames()])
-    return text.select(record_of(F.col("path")).alias("record"), "content").mapInArrow(run, HEADER)
+    arrow = pa.schema([(n, _ARROW[t]) for n, t in HEADER.items()])
+    return text.select(record_of(F.col("path")).alias("record"), "content").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in HEADER.items()))
 
 
 def read_recordings(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +102,7 @@ def read_recordings(spark: SparkSession, folder: str) -> DataFrame:
     data = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.dat").format("binaryFile").load(folder).select(F.col("path").alias("data_path"), "content")
     beside = F.concat(F.regexp_extract("record", r"^(.*/)", 1), F.get("files", F.lit(0)))
     joined = headers.withColumn("data_path", beside).join(data, "data_path", "left")
-    schema = T._parse_datatype_string("record string, fs int, leads array<string>, signal array<array<double>>, units array<string>, error string")
+    schema = "record string, fs int, leads array<string>, signal array<array<double>>, units array<string>, error string"
     arrow = pa.schema([("record", pa.string()), ("fs", pa.int32()), ("leads", pa.list_(pa.string())), ("signal", pa.list_(pa.list_(pa.float64()))), ("units", pa.list_(pa.string())), ("error", pa.string())])
 
     def decode(row: dict) -> list[np.ndarray]:

@@ -96,6 +96,15 @@ def test_probe_and_provenance(spark, tmp_path):
     assert Probe.from_json(probe.to_json()) == probe and set(probe.history) == {"0.01", "1.0"}
     scored = df.withColumn("p", sigmoid(probe.log_odds(F.col("e"))))
     assert metrics.discrimination(scored, [], "y", "p").first().auroc > 0.99
+    held = bindings.predictions(spark, "/root/testdata/sf0.001")
+    said = provenance.run_manifest(held, "real", 42, probe)
+    assert said["rows"]["all"] == held.count() == sum(said["rows"][s] for s in ("dev", "val", "test")) and said["events"]["all"] == held.where("mortality_30d").count() and said["probe_c"] == probe.best_c
+    assert said["rows_sha256"] == provenance.rows_checksum(held.repartition(5), bucket_rows=10**6) != provenance.rows_checksum(held.where("subject_id > 1"))
+    for name in ("p.csv", "other"):
+        provenance.save_predictions(held, str(tmp_path / name))
+        assert provenance.load_predictions(spark, str(tmp_path / name)).count() == held.count()
+    with pytest.raises(ValueError):
+        provenance.save_predictions(held.unionByName(held), str(tmp_path / "twice"))
     path = tmp_path / "p.parquet"
     bindings.predictions(spark, "/root/testdata/sf0.001").write.parquet(str(path))
     with pytest.raises(ValueError):
