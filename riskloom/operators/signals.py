@@ -29,9 +29,9 @@ QRS_BAND = (5.0, 18.0)
 ENERGY_WINDOW, REFRACTORY, REFINE = 0.10, 0.28, 0.08
 ENERGY_DEVIATIONS = 0.4
 BEFORE, AFTER = 0.25, 0.45
-BASELINE = (0.08, 0.03)
-ONSET_SEARCH, QUIET, LEAST_Q, LEAST_R, NO_R_RATIO = 0.08, 0.015, 0.02, 0.02, 10.0
-R_WINDOW, S_WINDOW, T_WINDOW = (0.02, 0.04), 0.08, (0.06, 0.40)
+QUIET, LEAST_Q, LEAST_R, NO_R_RATIO = 0.015, 0.02, 0.02, 10.0
+#: Parts of a beat, from and up to seconds after the R peak.
+SPANS = {"baseline": (-0.08, -0.03), "onset": (-0.08, 0.0), "r": (-0.02, 0.04), "s": (0.0, 0.08), "t": (0.06, 0.40)}
 #: Lead and feature of each measurement of the rule score.
 MEASURED = {
     "avl_q_ms": ("aVL", "q_ms"), "avl_t_pos": ("aVL", "t_pos"), "avl_t_neg": ("aVL", "t_neg"), "avr_r": ("-aVR", "r"), "avr_t_pos": ("-aVR", "t_pos"),
@@ -63,20 +63,20 @@ def reorder(signal: Column, names: Column, target: Sequence[str] = CANONICAL) ->
 
 def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
     """Fourier resampling along the last axis, to round(n * target / source) samples."""
-    if source <= 0 or target <= 0:
+    if min(source, target) <= 0:
         raise ValueError("sampling rates must be positive")
     n = x.shape[-1]
-    if n == 0 or source == target:
+    m = n if source == target else int(round(n * (target / source)))
+    if n == m:  # also of no samples at all
         return x.copy()
-    m = int(round(n * (target / source)))
-    if m <= 0:
+    if m < 1:
         raise ValueError("no samples are left at the target rate")
-    spectrum, least = np.fft.rfft(x, axis=-1), min(n, m)
-    out = np.zeros((*x.shape[:-1], m // 2 + 1), complex)
-    out[..., : least // 2 + 1] = spectrum[..., : least // 2 + 1]
-    if least % 2 == 0 and n != m:  # the shared top frequency stands for two
-        out[..., least // 2] *= 2.0 if m < n else 0.5
-    return np.fft.irfft(out, m, axis=-1) * (m / n)
+    kept = min(n, m) // 2 + 1
+    spectrum = np.zeros((*x.shape[:-1], m // 2 + 1), complex)
+    spectrum[..., :kept] = np.fft.rfft(x, axis=-1)[..., :kept]
+    if min(n, m) % 2 == 0:  # the top frequency of the shorter one stands for two of the longer one
+        spectrum[..., kept - 1] *= 2.0 if m < n else 0.5
+    return np.fft.irfft(spectrum, m, axis=-1) * (m / n)
 
 
 def _digital(analog: Sequence[float]) -> np.ndarray:
@@ -146,26 +146,42 @@ def peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
     return at[stays]
 
 
-def qrs_peaks(x: np.ndarray, fs: int, banded: np.ndarray | None = None) -> np.ndarray:
-    """Places of the R peaks of one lead; none for under a second."""
-    if len(x) < fs:
-        return np.zeros(0, int)
-    banded = zero_phase(*band_pass(fs), x[None])[0] if banded is None else banded
-    window = max(1, int(ENERGY_WINDOW * fs))
-    energy = np.convolve(np.diff(banded, prepend=banded[0]) ** 2, np.full(window, 1.0 / window), "same")
-    reach = int(REFINE * fs)
-    found = peaks(energy, energy.mean() + ENERGY_DEVIATIONS * energy.std(), max(1, int(REFRACTORY * fs)))
-    starts = [(max(0, p - reach), min(len(x), p + reach)) for p in found]
-    return np.array([s + int(np.argmax(np.abs(x[s:e]))) for s, e in starts if e > s], int)
+def slope_energy(banded: np.ndarray, width: int) -> np.ndarray:
+    """Squared steps of each row, averaged over `width` samples around each; beyond the ends there is none."""
+    n = banded.shape[-1]
+    steps = np.zeros_like(banded)
+    steps[:, 1:] = banded[:, 1:] - banded[:, :-1]
+    total = np.zeros((len(banded), n + 1))
+    np.cumsum(steps * steps, axis=1, out=total[:, 1:])
+    ends = np.minimum(np.arange(n) + (width - 1) // 2 + 1, n)
+    return (total[:, ends] - total[:, np.maximum(np.arange(n) - width // 2, 0)]) / width
+
+
+def r_peaks(leads: np.ndarray, fs: int, banded: np.ndarray | None = None) -> list[np.ndarray]:
+    """Places of the R peaks in each row of leads, all of one length; none for under a second."""
+    n = leads.shape[-1]
+    if n < fs:
+        return [np.zeros(0, int)] * len(leads)
+    energy = slope_energy(zero_phase(*band_pass(fs), leads) if banded is None else banded, max(1, int(ENERGY_WINDOW * fs)))
+    floors = energy.mean(1) + ENERGY_DEVIATIONS * energy.std(1)
+    around = np.arange(-int(REFINE * fs), int(REFINE * fs))
+    size, out = np.abs(leads), []
+    for row, height, own in zip(energy, floors, size, strict=True):
+        # every peak moves to the largest deflection around it
+        grid = peaks(row, height, max(1, int(REFRACTORY * fs)))[:, None] + around
+        inside = (grid >= 0) & (grid < n)
+        best = np.where(inside, own[np.clip(grid, 0, n - 1)], -1.0).argmax(1) if grid.size else np.zeros(0, int)
+        out.append(grid[np.arange(len(grid)), best] if grid.size else np.zeros(0, int))
+    return out
 
 
 def median_beat(leads: np.ndarray, at: np.ndarray, fs: int) -> np.ndarray:
     """Median over the complete beats, per lead and sample."""
-    before, after = int(BEFORE * fs), int(AFTER * fs)
-    whole = [leads[:, r - before : r + after] for r in at if r >= before and r + after <= leads.shape[1]]
-    if not whole:
+    grid = at[:, None] + np.arange(-int(BEFORE * fs), int(AFTER * fs))
+    grid = grid[(grid[:, 0] >= 0) & (grid[:, -1] < leads.shape[1])]
+    if not len(grid):
         raise ValueError("no complete beat")
-    return np.median(np.stack(whole), axis=0)
+    return np.median(leads[:, grid], axis=1)
 
 
 def _recordings(column: pa.ListArray) -> list[np.ndarray | None]:
@@ -206,10 +222,12 @@ def _beats(found: list[np.ndarray | None], fs: int, primary: int, second: int) -
             except ValueError as e:
                 out = [(None, str(e)) if k in block else o for k, o in enumerate(out)]
                 continue
-            for k, x, b in zip(block, clean, banded, strict=True):
+            found_r = r_peaks(clean[:, primary], fs, banded)
+            few = [i for i, r in enumerate(found_r) if len(r) < 2]
+            if few:
+                found_r = [dict(zip(few, r_peaks(clean[few][:, second], fs), strict=True)).get(i, r) for i, r in enumerate(found_r)]
+            for k, x, r in zip(block, clean, found_r, strict=True):
                 try:
-                    r = qrs_peaks(x[primary], fs, b)
-                    r = r if len(r) >= 2 else qrs_peaks(x[second], fs)
                     if len(r) < 2:
                         raise ValueError(f"too few R peaks: {len(r)}")
                     out[k] = (median_beat(x, r, fs), None)
@@ -240,25 +258,27 @@ def median_beats(df: DataFrame, signal: str, fs: int, keep: Sequence[str], prima
 
 def lead_features(beats: Column, fs: int) -> Column:
     """Per lead of a median beat: q_ms, q, r, s, t_pos, t_neg, qr. Staged, so that no part is worked out twice."""
-    r, n = int(BEFORE * fs), int(BEFORE * fs) + int(AFTER * fs)
-    part = lambda z, start, end: F.slice(z, start + 1, max(end - start, 1))
-    b0 = max(0, r - int(BASELINE[0] * fs))
-    width = max(1, r - int(BASELINE[1] * fs) - b0)
-    first = max(0, r - int(ONSET_SEARCH * fs))
+    r = int(BEFORE * fs)
+    n = r + int(AFTER * fs)
+    # first sample and length of each part, at least one sample within the beat
+    parts = {}
+    for name, span in SPANS.items():
+        start, stop = (min(max(r + int(np.sign(x)) * int(abs(x) * fs), 0), n) for x in span)
+        start = min(start, n - 1)
+        parts[name] = (start, max(1, stop - start))
+    of = lambda z, name: F.slice(z, parts[name][0] + 1, parts[name][1])
+    above = lambda z, name: F.greatest(F.lit(0.0), F.array_max(of(z, name)))
+    below = lambda z, name: F.greatest(F.lit(0.0), -F.array_min(of(z, name)))
+    first, width = parts["onset"][0], parts["baseline"][1]
 
     def level(x: Column) -> Column:
-        return F.transform(F.array(F.sort_array(part(x, b0, b0 + width))), lambda s: (F.get(s, (width - 1) // 2) + F.get(s, width // 2)) / 2.0)[0]
+        return F.transform(F.array(F.sort_array(of(x, "baseline"))), lambda s: (F.get(s, (width - 1) // 2) + F.get(s, width // 2)) / 2.0)[0]
 
     def shapes(z: Column) -> Column:
-        quiet = F.transform(part(z, first + 1, r + 1), lambda v, k: F.when(F.abs(v) < QUIET, k + first + 1))
-        return F.struct(
-            z.alias("z"),
-            F.coalesce(F.array_max(quiet), F.lit(first)).alias("onset"),
-            F.greatest(F.lit(0.0), F.array_max(part(z, max(0, r - int(R_WINDOW[0] * fs)), min(n, r + int(R_WINDOW[1] * fs))))).alias("r"),
-            F.greatest(F.lit(0.0), -F.array_min(part(z, r, min(n, r + int(S_WINDOW * fs))))).alias("s"),
-            F.greatest(F.lit(0.0), F.array_max(part(z, min(n - 1, r + int(T_WINDOW[0] * fs)), min(n, r + int(T_WINDOW[1] * fs))))).alias("t_pos"),
-            F.greatest(F.lit(0.0), -F.array_min(part(z, min(n - 1, r + int(T_WINDOW[0] * fs)), min(n, r + int(T_WINDOW[1] * fs))))).alias("t_neg"),
-        )
+        # the last quiet sample after the first of the search, up to the R peak
+        quiet = F.transform(F.slice(z, first + 2, max(r - first, 1)), lambda v, k: F.when(F.abs(v) < QUIET, k + first + 1))
+        onset = F.coalesce(F.array_max(quiet), F.lit(first))
+        return F.struct(z.alias("z"), onset.alias("onset"), above(z, "r").alias("r"), below(z, "s").alias("s"), above(z, "t").alias("t_pos"), below(z, "t").alias("t_neg"))
 
     def with_q(f: Column) -> Column:
         lowest = F.when(f["onset"] < r, F.array_min(F.slice(f["z"], f["onset"] + 1, F.greatest(F.lit(r) - f["onset"], F.lit(1)))))

@@ -93,3 +93,56 @@ def test_scores_and_errors_as_rows(spark):
     assert 0.7 < got[1]["v2_r"] < 1.2 and got[1]["avr_r"] < 0.2 and got[1]["cornell"] > 0.7
     assert all(not got[k]["is_valid"] and got[k]["error"] and got[k]["total"] is None and got[k]["category"] is None for k in range(2, 8))
     assert signals.score_recordings(df.where("id < 0"), fs, keep=["id"]).count() == 0
+
+
+def plain_r_peaks(x, banded, fs):
+    steps = [0.0, *((b - a) ** 2 for a, b in zip(banded, banded[1:]))]
+    w = int(0.10 * fs)
+    energy = [sum(steps[j] for j in range(max(0, i - w // 2), min(len(x), i + (w - 1) // 2 + 1))) / w for i in range(len(x))]
+    found = signals.peaks(np.array(energy), statistics.fmean(energy) + 0.4 * statistics.pstdev(energy), int(0.28 * fs))
+    return [max(range(max(0, p - int(0.08 * fs)), min(len(x), p + int(0.08 * fs))), key=lambda i: abs(x[i])) for p in found]
+
+
+def beat_train(fs, seconds, at, seed):
+    t, rng = np.arange(int(fs * seconds)) / fs, np.random.default_rng(seed)
+    x = sum(np.exp(-(((t - a) / 0.012) ** 2)) - 0.3 * np.exp(-(((t - a - 0.03) / 0.012) ** 2)) + 0.25 * np.exp(-(((t - a - 0.25) / 0.04) ** 2)) for a in at)
+    return x + 0.01 * rng.normal(size=len(t))
+
+
+def test_r_peaks_equal_a_plain_version():
+    fs = 200
+    leads = np.stack([beat_train(fs, 5, (0.05, 1.0, 2.0, 3.0, 4.0, 4.97), 1), -beat_train(fs, 5, (0.6, 1.3, 2.2, 3.9), 2), np.zeros(5 * fs)])
+    banded = signals.zero_phase(*signals.band_pass(fs), leads)
+    assert np.allclose(signals.slope_energy(leads[:1], 5), np.convolve(np.diff(leads[0], prepend=leads[0, 0]) ** 2, np.full(5, 0.2), "same"))
+    got = signals.r_peaks(leads, fs)
+    for k in range(2):
+        assert got[k].tolist() == plain_r_peaks(leads[k].tolist(), banded[k].tolist(), fs)
+    assert [round(p / fs, 1) for p in got[1]] == [0.6, 1.3, 2.2, 3.9] and len(got[2]) == 0
+    assert [len(x) for x in signals.r_peaks(leads[:, : fs - 1], fs)] == [0, 0, 0]
+
+
+def test_median_beat_equals_a_plain_version():
+    fs, rng = 100, np.random.default_rng(5)
+    leads = rng.normal(size=(3, 400))
+    at = np.array([10, 60, 130, 200, 340, 370])
+    got = signals.median_beat(leads, at, fs)
+    whole = [r for r in at.tolist() if r - 25 >= 0 and r + 45 <= 400]
+    assert whole == [60, 130, 200, 340] and got.shape == (3, 70)
+    assert all(got[k, i] == pytest.approx(statistics.median(leads[k, r - 25 + i] for r in whole)) for k in range(3) for i in range(70))
+    with pytest.raises(ValueError):
+        signals.median_beat(leads, np.array([5, 390]), fs)
+
+
+def test_scores_of_a_beat_train_have_their_values(spark):
+    fs = 500
+    lead = beat_train(fs, 10, np.arange(0.7, 9.5, 1.0), 3)
+    sizes = [1.0, 0.9, 0.5, -0.6, 0.7, 0.8, 0.4, 0.6, 0.8, 1.0, 1.2, 0.9]  # in clinical order: aVR, aVL, aVF, V1 ... V6
+    df = spark.createDataFrame([(1, [(k * lead).tolist() for k in sizes])], "id int, signal array<array<double>>").withColumn("leads", F.array(*map(F.lit, signals.CLINICAL)))
+    got = signals.score_recordings(df, fs, keep=["id"]).first()
+    r = 0.94  # what the high-pass filter and the baseline leave of the R wave
+    s = got["v5_s"] / 1.2
+    assert got["is_valid"] and got["v2_r"] == pytest.approx(0.6 * r, abs=0.05) and 0.1 < s < 0.4
+    place = dict(zip(signals.CLINICAL, sizes, strict=True))
+    assert got["cornell"] == pytest.approx(place["aVL"] / place["V2"] * got["v2_r"] + place["V3"] * s, rel=0.05)
+    assert got["sokolow_lyon"] == pytest.approx(place["V1"] * s + max(place["V5"], place["V6"]) / place["V2"] * got["v2_r"], rel=0.05)
+    assert got["total"] is not None and got["simplified"] <= got["total"] + 60
