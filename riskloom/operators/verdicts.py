@@ -37,3 +37,18 @@ def contrast_verdict(difference_low: Column, difference_high: Column, ratio_low:
 def recommendation(low: Column, point: Column, high: Column) -> Column:
     """Whether an external validation is justified by the interval of the gain."""
     return F.when(low > 0, "justified").when((point > 0) & (high > 0), "inconclusive").otherwise("not justified")
+
+
+#: Claims that an evaluation within the same domain must not make.
+PROHIBITED_CLAIMS = ("external validation", "externally validated", "independent validation cohort", "independent external validation", "zero prior exposure to mimic", "completely unseen dataset")
+
+
+def prohibited_claims(text: Column) -> Column:
+    """The prohibited phrases that a text holds, in any case; none for a null text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.filter(F.array(*map(F.lit, PROHIBITED_CLAIMS)), lambda p: F.contains(low, p))
+
+
+def gain_is_significant(low: Column) -> Column:
+    """Whether a gain counts as incremental information: its interval lies above zero. It says nothing of clinical use."""
+    return F.coalesce(low > 0, F.lit(False))

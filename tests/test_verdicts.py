@@ -16,3 +16,9 @@ def test_verdicts(spark):
         verdicts.recommendation(*c(0.01, 0.1, 0.2)), verdicts.recommendation(*c(-0.1, 0.1, 0.2)), verdicts.recommendation(*c(-0.3, -0.1, 0.1)),
     ).first()
     assert list(row) == ["supported", "partly supported", "inconclusive", "justified", "inconclusive", "not justified"]
+
+
+def test_claims_and_gains(spark):
+    df = spark.createDataFrame([("An INDEPENDENT external validation of B", 0.1), ("probing within the domain", 0.0), (None, None)], "t string, low double")
+    got = [(r.c, r.g) for r in df.select(verdicts.prohibited_claims(F.col("t")).alias("c"), verdicts.gain_is_significant(F.col("low")).alias("g")).collect()]
+    assert got == [(["external validation", "independent external validation"], True), ([], False), ([], False)]
