@@ -118,11 +118,12 @@ def embed(df: DataFrame, make: Callable[[], Model], spec: Spec, fs: int, keep: S
 def embed_resumable(df: DataFrame, make: Callable[[], Model], spec: Spec, fs: int, key: str, path: str, chunks: int = 8, **names: str) -> DataFrame:
     """embed() written under `path` in `chunks` parts dealt by a hash of the key; a second call writes only missing parts.
 
-    The folder's name holds a fingerprint of the model, the rates and the keys, so other input or another model starts anew.
+    The folder's name holds a fingerprint of the model, the rates, the keys and the signals, so other input or another model starts anew.
     Each missing part reads df again: chunks trades that against the work that a stop loses.
     """
     spark = df.sparkSession
-    n, mixed = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(key))).first()
+    held = [names.get("signal", "signal"), names.get("names", "leads")]
+    n, mixed = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(key, *held))).first()
     base = f"{path.rstrip('/')}/{fingerprint(spec, fs, rows=n, keys=mixed, chunks=chunks)[:16]}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     files = hadoop(base).getFileSystem(spark._jsc.hadoopConfiguration())

@@ -40,6 +40,8 @@ def test_embedding_resumes(spark, tmp_path):
     assert adapters.embed_resumable(df, Picky, SPEC, 10, "id", path, chunks=3).count() == 7
     assert all(p.stat().st_mtime_ns == t for p, t in kept.items())
     assert adapters.embed_resumable(df.where("id < 4"), Picky, SPEC, 10, "id", path, chunks=3).count() == 3 and len(list((tmp_path / "e").iterdir())) == 2
+    louder = df.withColumn("signal", F.transform("signal", lambda lead: F.transform(lead, lambda x: x * 2.0)))
+    assert adapters.embed_resumable(louder, Picky, SPEC, 10, "id", path, chunks=3).count() == 7 and len(list((tmp_path / "e").iterdir())) == 3
 
 
 def test_command_line(spark, tmp_path, capsys):
