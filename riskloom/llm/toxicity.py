@@ -58,16 +58,21 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(owner, self.weights[rows], n) + pair, -30, 30)))
 
 
-def association(bucket: np.ndarray, y: np.ndarray, labels: np.ndarray, size: int, least: int) -> np.ndarray:
-    """The chi-square statistic of every bucket with the label; 0 for those of fewer than `least` texts. bucket, y: each
-    text's distinct buckets and its label beside them; labels: one a text."""
-    n, positive = len(labels), labels.sum()
-    every, a = np.bincount(bucket, minlength=size).astype(float), np.bincount(bucket, y, size)
-    b = every - a
+def association(terms: list[np.ndarray], labels: np.ndarray, least: int) -> np.ndarray:
+    """The chi-square statistic of every bucket with the label; 0 for those of fewer than `least` texts. terms: each
+    text's distinct buckets."""
+    n, positive = len(labels), int(labels.sum())
+    a, b = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for x, y in zip(terms, labels, strict=True):
+        (a if y else b)[x] += 1
+    found = np.flatnonzero(a + b >= least)
+    a, b = a[found].astype(float), b[found].astype(float)
     c, d = positive - a, n - positive - b
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
-    return np.where((every >= least) & np.isfinite(chi2), chi2, 0)
+    out = np.zeros(1 << BITS)
+    out[found] = np.where(np.isfinite(chi2), chi2, 0)
+    return out
 
 
 def fit_machine(terms: list[np.ndarray], labels: np.ndarray, rank: int = 4, steps: int = 400, rate: float = 0.05, seed: int = 7) -> FactorizationMachine:
@@ -76,16 +81,14 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, rank: int = 4, step
     if positive in (0, n):
         share = positive / n if n else 0.0
         return FactorizationMachine(float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
-    size, text, bucket = 1 << BITS, np.repeat(np.arange(n), [len(x) for x in terms]), np.concatenate(terms)
-    labels = np.asarray(labels, np.float64)
-    chi2 = association(bucket, labels[text], labels, size, MIN_ROWS)
+    chi2 = association(terms, labels, MIN_ROWS)
     kept = np.flatnonzero(chi2 >= MIN_CHI2)
     kept = kept[np.argsort(-chi2[kept], kind="stable")[:MAX_TERMS]]
-    for anchor in kept[:ANCHORS].tolist():
-        inside = np.zeros(n, bool)
-        inside[text[bucket == anchor]] = True
-        near = inside[text]
-        within = association(bucket[near], labels[text[near]], labels[inside], size, PAIR_ROWS)
+    anchors = kept[:ANCHORS]
+    holds = np.stack([np.isin(anchors, x) for x in terms])
+    for k in range(len(anchors)):
+        inside = np.flatnonzero(holds[:, k])
+        within = association([terms[i] for i in inside], labels[inside], PAIR_ROWS)
         kept = np.union1d(kept, np.flatnonzero(within >= PAIR_CHI2))
     kept = np.sort(kept)
     place = {int(k): i for i, k in enumerate(kept)}
@@ -132,7 +135,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "
     joined = df.select(F.col(key).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(wanted), "k").select("k", "y", "t")
     table = map_slices(joined, run, T._parse_datatype_string("y double, terms binary"), rows=TEXTS).toArrow()
     order = sorted(zip(table.column("terms").to_pylist(), table.column("y").to_pylist(), strict=True))
-    return fit_machine([np.frombuffer(t, "<u4").astype(np.int64) for t, _ in order], np.array([y for _, y in order]))
+    return fit_machine([np.frombuffer(t, "<u4") for t, _ in order], np.array([y for _, y in order]))
 
 
 def score(df: DataFrame, model: FactorizationMachine, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None) -> DataFrame:

@@ -53,7 +53,7 @@ def test_a_term_that_counts_only_beside_others_is_learnt():
     terms = [np.array(sorted({b for w in words for b in toxicity.buckets(w)}), np.int64) for words, _ in made]
     labels = np.array([y for _, y in made])
     (group,) = set(toxicity.buckets(b"group")[:1])
-    alone = toxicity.association(np.concatenate(terms), np.repeat(labels, [len(t) for t in terms]), labels, 1 << toxicity.BITS, toxicity.MIN_ROWS)
+    alone = toxicity.association(terms, labels, toxicity.MIN_ROWS)
     assert alone[group] < toxicity.MIN_CHI2
     machine = toxicity.fit_machine(terms[:2000], labels[:2000])
     assert group in machine.place
