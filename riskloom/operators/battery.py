@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -117,3 +118,38 @@ def centroid_probability(df: DataFrame, key: str, embedding: str, y: str, temper
         raise ValueError("both outcomes must occur")
     near = lambda k: rulescore.cosine(F.col(embedding), F.lit(means[k]))
     return df.select(key, sigmoid((near(True) - near(False)) / max(temperature, 1e-6)).alias("probability"))
+
+
+def run(
+    scored: DataFrame, outcomes: Sequence[str], records: DataFrame | None = None, admissions: DataFrame | None = None, patients: DataFrame | None = None, embeddings: DataFrame | None = None, second: DataFrame | None = None,
+    quality: Column | None = None, scores: Sequence[str] = (), replicates: int = metrics.REPLICATES, seed: int = 42,
+) -> dict[str, DataFrame]:
+    """Every analysis whose inputs are there, by name, and `directions`, which counts the gains in AUROC of all. scored: predictions of both models
+    in all splits; the first outcome is the primary one; embeddings, second: subject_id, split, the primary outcome, embedding. Intervals
+    are beside each comparison, all from one seed; with 0 replicates there are none."""
+    test, y = scored.where("split = 'test'"), outcomes[0]
+    compared = {"horizons": (sensitivity.by_horizon(test, outcomes), "horizon", "y")}
+    if records is not None and admissions is not None:
+        compared["anchoring"] = (sensitivity.index_cohorts(test, records, admissions), "cohort", y)
+    if patients is not None:
+        compared["subgroups"] = (sensitivity.by_subgroup(test, patients), "subgroup", y)
+    found = {}
+    for name, (df, group, label) in compared.items():
+        found[name] = sensitivity.compare(df, [group], label)
+        if replicates:
+            found[f"{name}_intervals"] = sensitivity.compare_intervals(df, [group], label, replicates=replicates, seed=seed)
+    if quality is not None:
+        found["quality"] = quality_subset(test, quality, y)
+    if scores:
+        found["alternative_scores"] = alternative_scores(test, y, sensitivity.B, list(scores))
+    if embeddings is not None:
+        found["probe_variants"] = probe_variants(embeddings, "embedding", y)
+    if second is not None:
+        beside = second.join(scored.select("subject_id", sensitivity.A, sensitivity.B), "subject_id")
+        found["second_embedding"] = second_embedding(beside, "embedding", y, sensitivity.A, sensitivity.B, replicates=max(replicates, 1), seed=seed)
+    gains = [df.select(F.lit(name).alias("analysis"), "delta_auroc") for name, df in found.items() if "delta_auroc" in df.columns]
+    every = gains[0]
+    for more in gains[1:]:
+        every = every.unionByName(more)
+    found["directions"] = direction_summary(every, "delta_auroc")
+    return found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,20 @@ def index_cohorts(predictions: DataFrame, records: DataFrame, admissions: DataFr
     return predictions.join(frames[0].unionByName(frames[1]), "subject_id")
 
 
+def by_horizon(df: DataFrame, outcomes: Sequence[str]) -> DataFrame:
+    """df's rows once for each outcome that it has, under `horizon` and `y`; a horizon without a label gives no rows."""
+    return df.withColumn("_h", F.explode(F.array(*(F.struct(F.lit(o).alias("horizon"), F.col(o).alias("y")) for o in outcomes if o in df.columns)))).select("*", "_h.*").drop("_h").where("y IS NOT NULL")
+
+
+def by_subgroup(df: DataFrame, patients: DataFrame, least: int = 5) -> DataFrame:
+    """df's rows once for each group of their subject: under 65 or not, and the sex. Groups of fewer than `least` rows are left out,
+    an unknown age or sex gives no group."""
+    age = F.when(F.col("anchor_age") < 65, "<65").when(F.col("anchor_age") >= 65, ">=65")
+    groups = patients.select("subject_id", F.explode(F.array_compact(F.array(age, F.col("gender")))).alias("subgroup"))
+    long = df.join(groups, "subject_id")
+    return long.join(long.groupBy("subgroup").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n"), "subgroup")
+
+
 def _complete(df: DataFrame, y: str) -> DataFrame:
     return df.where(F.col(y).isNotNull() & F.col(A).isNotNull() & F.col(B).isNotNull() & ~F.isnan(A) & ~F.isnan(B))
 

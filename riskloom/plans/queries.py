@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import bootstrap, metrics
-from riskloom.operators import adapters, battery, cohort, incremental, outcomes, rulescore, sensitivity, signals, splits, strata, synthesis, verdicts
+from riskloom.operators import adapters, battery, cohort, incremental, outcomes, registry, rulescore, scoring, sensitivity, signals, splits, strata, synthesis, verdicts
 from riskloom.sources import bindings as bind
+from riskloom.sources import synthetic
 
 OUTCOMES = ("mortality_30d", "mortality_90d", "mortality_1yr")
 
@@ -138,14 +139,11 @@ def split_summary(s, d):
 
 
 def prediction_summary(s, d):
-    p = _valid(s, d)
-    q = lambda c: F.expr(f"percentile({c}, array(0.25D, 0.5D, 0.75D))")
-    one = p.groupBy("split").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("model_a_score").alias("mean_a"), F.stddev_pop("model_a_score").alias("sd_a"), q("model_a_score").alias("qa"), F.avg("model_b_score").alias("mean_b"), F.stddev_pop("model_b_score").alias("sd_b"),
-        q("model_b_score").alias("qb"), F.avg("model_b_log_odds").alias("mean_log_odds_b"), F.stddev_pop("model_b_log_odds").alias("sd_log_odds_b"),
-    )
-    one = one.select("split", "n", "mean_a", "sd_a", *(F.col("qa")[k].alias(f"q{n}_a") for k, n in enumerate((25, 50, 75))), "mean_b", "sd_b", *(F.col("qb")[k].alias(f"q{n}_b") for k, n in enumerate((25, 50, 75))), "mean_log_odds_b", "sd_log_odds_b")
-    return _rounded(one.join(metrics.discrimination(p, ["split"], "mortality_30d", "model_b_score"), "split").join(metrics.proper_scores(p, ["split"], "mortality_30d", "model_b_score").drop("n", "events"), "split"))
+    return _rounded(scoring.prediction_summary(bind.predictions(s, d)))
+
+
+def prediction_validity(s, d):
+    return _rounded(scoring.validity(bind.predictions(s, d)))
 
 
 def category_counts(s, d):
@@ -195,8 +193,7 @@ def anchoring_sensitivity(s, d):
 
 
 def _by_horizon(s, d):
-    p = _valid(s, d, "test")
-    return p.select("subject_id", "model_a_score", "model_b_score", F.explode(F.array(*(F.struct(F.lit(o).alias("horizon"), F.col(o).alias("y")) for o in OUTCOMES))).alias("x")).select("*", "x.*")
+    return sensitivity.by_horizon(_valid(s, d, "test"), OUTCOMES)
 
 
 def horizon_comparison(s, d):
@@ -208,10 +205,7 @@ def horizon_comparison_intervals(s, d):
 
 
 def _by_subgroup(s, d):
-    p = _valid(s, d, "test").join(bind.patients(s, d), "subject_id")
-    long = p.withColumn("subgroup", F.explode(F.array(F.when(F.col("anchor_age") < 65, "<65").otherwise(">=65"), F.col("gender"))))
-    big = long.groupBy("subgroup").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 5")
-    return long.join(big.drop("_n"), "subgroup")
+    return sensitivity.by_subgroup(_valid(s, d, "test"), bind.patients(s, d))
 
 
 def subgroup_comparison(s, d):
@@ -341,6 +335,17 @@ def findings(s, d):
     return synthesis.findings(_valid(s, d, "test"))
 
 
+def pretraining_audit(s, d):
+    return registry.pretraining_audit(s).select("model", F.size("corpora").alias("corpora"), "exposed", "label")
+
+
+def simulated_predictions(s, d):
+    """Made-up scores for the first recording of every subject, summed up by category."""
+    index = splits.hashed_split(cohort.index_recordings(bind.records(s, d)))
+    made, _ = synthetic.simulate(index)
+    return made.groupBy("model_a_category").agg(F.count(F.lit(1)).alias("n"), F.avg("model_a_score").alias("mean_a"), F.avg("model_b_score").alias("mean_b"), F.count_if("mortality_30d").alias("events"))
+
+
 def document_quality(s, d):
     docs = bind.table(s, d, "documents").select("doc_id", "lang", "n_chars").join(bind.table(s, d, "labels"), "doc_id")
     return _rounded(metrics.discrimination(docs, ["lang"], "quality", "n_chars"))
@@ -518,6 +523,12 @@ u AS (SELECT y, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM v), m AS (SE
 SELECT vec_id, round(1 / (1 + exp(-(list_cosine_similarity(e, p.c) - list_cosine_similarity(e, q.c)))), 6) AS probability FROM v, (SELECT c FROM c WHERE y) p, (SELECT c FROM c WHERE NOT y) q"""),
     "inhospital_24h": (inhospital_24h, f"""WITH {_RECORDS}, {_ADMISSIONS}{_FIRST_STAY_24H} SELECT study_id, in_hospital_mortality, linked_hadm_id FROM rec LEFT JOIN fst USING (study_id)"""),
     "document_quality": (document_quality, f"WITH {_rank_sql('SELECT lang, n_chars AS s, quality AS y FROM documents JOIN labels USING (doc_id)', 'lang')} SELECT g AS lang, auroc, auprc FROM r"),
+    "pretraining_audit": (pretraining_audit, """SELECT model, len(list_filter(c, lambda x: x IS NOT NULL))::INT AS corpora, list_contains(c, 'MIMIC-IV-ECG') AS exposed,
+CASE WHEN list_contains(c, 'MIMIC-IV-ECG') THEN 'probing within the domain' WHEN len(c) = 0 THEN 'baseline without training' ELSE 'no known exposure' END AS label
+FROM (VALUES ('rule score', []::VARCHAR[]), ('waveform encoder', ['MIMIC-IV-ECG', 'PTB-XL']), ('image encoder', ['MIMIC-IV-ECG'])) t(model, c)"""),
+    "prediction_validity": (prediction_validity, f"""WITH {_PRED} SELECT split, count(*) AS n, count_if(va)::BIGINT AS valid_a, count_if(vb)::BIGINT AS valid_b, count_if(va AND vb)::BIGINT AS valid_both,
+round(100.0::DOUBLE * count_if(va) / count(*), 8) AS percent_a, round(100.0::DOUBLE * count_if(vb) / count(*), 8) AS percent_b, round(100.0::DOUBLE * count_if(va AND vb) / count(*), 8) AS percent_both FROM pred GROUP BY 1"""),
+    "simulated_predictions": (simulated_predictions, None),
     "calibration": (calibration, None),
     "bootstrap_auroc": (bootstrap_auroc, None),
     "incremental_information": (incremental_information, None),

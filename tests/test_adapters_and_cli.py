@@ -47,8 +47,8 @@ def test_embedding_resumes(spark, tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     assert cli.main([], spark) == 0 and "usage" in capsys.readouterr().out
     assert cli.main(["inventory", "--data", str(tmp_path / "none"), "--out", str(tmp_path)], spark) == 1
-    assert cli.main(["pipeline", "--data", "/root/testdata/sf0.001", "--out", str(tmp_path / "out"), "--bootstraps", "5"], spark) == 0
-    for stage in cli.STAGES:
+    for stage in ("inventory", "cohort", "probe", "interpret"):
+        assert cli.main([stage, "--data", "/root/testdata/sf0.001", "--out", str(tmp_path / "out"), "--simulate", "--bootstraps", "5", "--verbose"], spark) == 0
         assert (tmp_path / "out" / stage / "report.md").read_text().startswith(f"# {stage}")
     assert "gain in AUROC" in (tmp_path / "out" / "interpret" / "report.md").read_text()
 
