@@ -1,10 +1,9 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
 Terms are a text's distinct words and their first 4 and 5 bytes, hashed into 2**BITS buckets. Screening
-keeps buckets that are tied to the label in the training sample, and those that are tied to it only among the
-texts that hold one of the ANCHORS strongest of these; the machine then learns a weight and a factor vector per kept
-bucket, so pairs of terms can raise or lower a score beyond what each adds by itself, also where one of the two
-says nothing alone.
+keeps buckets that are tied to the label in the training sample; the machine then learns a
+weight and a factor vector per kept bucket, so pairs of terms can raise or lower a score
+beyond what each adds by itself.
 
 The training sample is the SAMPLE_ROWS labelled rows with the smallest hash of their key; a sample of
 that size, its screened terms and the model are bounded whatever the corpus' size. Scoring
@@ -33,8 +32,6 @@ BITS = 20
 SAMPLE_ROWS = 12_000
 #: A bucket is kept with at least so many rows and such a chi-square statistic; at most so many are.
 MIN_ROWS, MIN_CHI2, MAX_TERMS = 4, 20.0, 4096
-#: Kept buckets whose texts are searched for partners, and what a partner needs among them (more, as more are tried).
-ANCHORS, PAIR_ROWS, PAIR_CHI2 = 64, 8, 30.0
 #: Texts whose words are held at once.
 TEXTS = 250
 
@@ -58,39 +55,26 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(owner, self.weights[rows], n) + pair, -30, 30)))
 
 
-def association(terms: list[np.ndarray], labels: np.ndarray, least: int) -> np.ndarray:
-    """The chi-square statistic of every bucket with the label; 0 for those of fewer than `least` texts. terms: each
-    text's distinct buckets."""
-    n, positive = len(labels), int(labels.sum())
-    a, b = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-    for x, y in zip(terms, labels, strict=True):
-        (a if y else b)[x] += 1
-    found = np.flatnonzero(a + b >= least)
-    a, b = a[found].astype(float), b[found].astype(float)
-    c, d = positive - a, n - positive - b
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
-    out = np.zeros(1 << BITS)
-    out[found] = np.where(np.isfinite(chi2), chi2, 0)
-    return out
-
-
 def fit_machine(terms: list[np.ndarray], labels: np.ndarray, rank: int = 4, steps: int = 400, rate: float = 0.05, seed: int = 7) -> FactorizationMachine:
     """terms: each row's distinct buckets. Adam on the logistic loss with quadratic penalties."""
     n, positive = len(labels), int(labels.sum())
     if positive in (0, n):
         share = positive / n if n else 0.0
         return FactorizationMachine(float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
-    chi2 = association(terms, labels, MIN_ROWS)
+    size = 1 << BITS
+    all_rows = np.zeros(size)
+    toxic_rows = np.zeros(size)
+    for x, y in zip(terms, labels, strict=True):
+        all_rows[x] += 1
+        if y:
+            toxic_rows[x] += 1
+    a, b = toxic_rows, all_rows - toxic_rows
+    c, d = positive - a, n - positive - b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi2 = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
+    chi2 = np.where((all_rows >= MIN_ROWS) & np.isfinite(chi2), chi2, 0)
     kept = np.flatnonzero(chi2 >= MIN_CHI2)
-    kept = kept[np.argsort(-chi2[kept], kind="stable")[:MAX_TERMS]]
-    anchors = kept[:ANCHORS]
-    holds = np.stack([np.isin(anchors, x) for x in terms])
-    for k in range(len(anchors)):
-        inside = np.flatnonzero(holds[:, k])
-        within = association([terms[i] for i in inside], labels[inside], PAIR_ROWS)
-        kept = np.union1d(kept, np.flatnonzero(within >= PAIR_CHI2))
-    kept = np.sort(kept)
+    kept = np.sort(kept[np.argsort(-chi2[kept], kind="stable")[:MAX_TERMS]])
     place = {int(k): i for i, k in enumerate(kept)}
     rows = [np.array(sorted({place[t] for t in x.tolist() if t in place}), np.int64) for x in terms]
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
@@ -135,7 +119,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "
     joined = df.select(F.col(key).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(wanted), "k").select("k", "y", "t")
     table = map_slices(joined, run, T._parse_datatype_string("y double, terms binary"), rows=TEXTS).toArrow()
     order = sorted(zip(table.column("terms").to_pylist(), table.column("y").to_pylist(), strict=True))
-    return fit_machine([np.frombuffer(t, "<u4") for t, _ in order], np.array([y for _, y in order]))
+    return fit_machine([np.frombuffer(t, "<u4").astype(np.int64) for t, _ in order], np.array([y for _, y in order]))
 
 
 def score(df: DataFrame, model: FactorizationMachine, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None) -> DataFrame:

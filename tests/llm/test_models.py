@@ -42,26 +42,6 @@ def test_toxicity_equals_a_plain_machine_also_with_two_models_in_a_session(spark
                     assert r.score == pytest.approx(plain_toxicity(model, r.text), rel=1e-9)
 
 
-def test_a_term_that_counts_only_beside_others_is_learnt():
-    """`group` is as common in toxic as in other texts: it makes one insult toxic and the other harmless."""
-    rng = random.Random(3)
-    made = []
-    for _ in range(3000):
-        one, two, group = rng.random() < 0.2, rng.random() < 0.2, rng.random() < 0.5
-        words = [b"plain%d" % k for k in rng.sample(range(60), 8)] + [b"insult"] * one + [b"mocking"] * two + [b"group"] * group
-        made.append((words, float((one and group) or (two and not group))))
-    terms = [np.array(sorted({b for w in words for b in toxicity.buckets(w)}), np.int64) for words, _ in made]
-    labels = np.array([y for _, y in made])
-    (group,) = set(toxicity.buckets(b"group")[:1])
-    alone = toxicity.association(terms, labels, toxicity.MIN_ROWS)
-    assert alone[group] < toxicity.MIN_CHI2
-    machine = toxicity.fit_machine(terms[:2000], labels[:2000])
-    assert group in machine.place
-    rows = [np.array(sorted(machine.place[t] for t in x.tolist() if t in machine.place), np.int64) for x in terms[2000:]]
-    scores = machine.score(np.concatenate(rows), np.repeat(np.arange(1000), [len(r) for r in rows]), 1000)
-    assert ((scores >= 0.5) == (labels[2000:] > 0)).mean() > 0.98
-
-
 def test_shared_values_have_ids_of_their_own(spark):
     assert len({Shared(spark, k).id for k in range(40)}) == 40
 
