@@ -2,7 +2,8 @@
 
 A metric is a function (df, groups, y, score, weight) that gives a row per group with the column `value`. All replicates
 run in one plan: a row's count in a replicate is Poisson(1), drawn from a hash of key, replicate and seed, so a lost task
-draws the same again, and rows that a replicate leaves out are dropped before they are shuffled.
+draws the same again. The metrics of this module are drawn as vectors of all replicates (`resampling`); any other metric runs
+on rows multiplied by their replicates (`replicated`), with the same counts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions import metrics
+from riskloom.functions import metrics, resampling
 
 Metric = Callable[[DataFrame, list[str], str, str, "Column | None"], DataFrame]
 #: Groups with fewer rows have an interval of no width, and a p-value of 1.
@@ -33,13 +34,21 @@ def _mean_of(term: Column, df: DataFrame, groups: list[str], y: str, score: str,
     return d.groupBy(*groups).agg(F.coalesce(F.try_divide(F.sum(F.col("_w") * term), F.sum("_w")), F.lit(0.0)).alias("value"))
 
 
+def _squared() -> Column:
+    return F.pow(F.col("_s") - F.col("_y"), 2.0)
+
+
+def _surprise(eps: float = 1e-15) -> Column:
+    p = metrics.clip(F.col("_s"), eps, 1 - eps)
+    return -(F.col("_y") * F.ln(p) + (1.0 - F.col("_y")) * F.ln(1.0 - p))
+
+
 def brier(df: DataFrame, groups: list[str], y: str, score: str, weight: Column | None = None) -> DataFrame:
-    return _mean_of(F.pow(F.col("_s") - F.col("_y"), 2.0), df, groups, y, score, weight)
+    return _mean_of(_squared(), df, groups, y, score, weight)
 
 
 def log_loss(df: DataFrame, groups: list[str], y: str, score: str, weight: Column | None = None, eps: float = 1e-15) -> DataFrame:
-    p = metrics.clip(F.col("_s"), eps, 1 - eps)
-    return _mean_of(-(F.col("_y") * F.ln(p) + (1.0 - F.col("_y")) * F.ln(1.0 - p)), df, groups, y, score, weight)
+    return _mean_of(_surprise(eps), df, groups, y, score, weight)
 
 
 def event_rate(df: DataFrame, groups: list[str], y: str, score: str, weight: Column | None = None) -> DataFrame:
@@ -50,6 +59,10 @@ def event_rate(df: DataFrame, groups: list[str], y: str, score: str, weight: Col
 METRICS: dict[str, tuple[Metric, bool, bool]] = {"auroc": (auroc, True, False), "auprc": (auprc, True, False), "brier": (brier, False, True), "log_loss": (log_loss, False, True)}
 
 
+#: Metrics that are means of a term over rows.
+MEANS: dict[Metric, Callable[[], Column]] = {brier: _squared, log_loss: _surprise, event_rate: lambda: F.col("_y")}
+
+
 def poisson_count(key: Column, replicate: Column, seed: int) -> Column:
     """How often a row occurs in a replicate."""
     u = F.pmod(F.xxhash64(key, replicate, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
@@ -66,6 +79,31 @@ def replicated(df: DataFrame, key: str, replicates: int = metrics.REPLICATES, se
     return rows.withColumn("_count", poisson_count(F.col(key), F.col("replicate"), seed)).where("_count > 0")
 
 
+def draws(df: DataFrame, groups: list[str], metric: Metric, y: str, score: str, key: str, replicates: int, seed: int) -> DataFrame:
+    """(groups, replicate, value) of a metric. A replicate without a row of a group gives none."""
+    if metric in (auroc, auprc):
+        return discrimination_sums(df, groups, y, score, key, replicates, seed, metric is auprc).select(*groups, "replicate", F.col("auroc" if metric is auroc else "auprc").alias("value"))
+    if metric in MEANS:
+        d = metrics._clean(df.withColumn("_key", F.col(key)), [*groups, "_key"], y, score)
+        sums = resampling.weighted_sums(d, groups, [F.lit(1.0), MEANS[metric]()], "_key", replicates, seed)
+        return sums.where("s0 > 0").select(*groups, "replicate", (F.col("s1") / F.col("s0")).alias("value"))
+    return metric(replicated(df.select(*dict.fromkeys([*groups, key, y, score])), key, replicates, seed), [*groups, "replicate"], y, score, F.col("_count"))
+
+
+def discrimination_sums(df: DataFrame, groups: list[str], y: str, score: str, key: str, replicates: int, seed: int, precision: bool = True) -> DataFrame:
+    """(groups, replicate, auroc, auprc); one class gives 0.5 and the prevalence, as without replicates."""
+    sums = resampling.ranked_sums(df, groups, y, score, key, replicates, seed, precision=precision).where("positives + negatives > 0")
+    ranked = F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("pairs") / (F.col("positives") * F.col("negatives"))).otherwise(0.5)
+    return sums.select(*groups, "replicate", ranked.alias("auroc"), F.when(F.col("positives") > 0, F.col("precision") / F.col("positives")).otherwise(0.0).alias("auprc"))
+
+
+def discrimination_draws(df: DataFrame, groups: list[str], y: str, scores: list[str], key: str = "subject_id", replicates: int = metrics.REPLICATES, seed: int = 42) -> DataFrame:
+    """(groups, replicate, score, auroc, auprc) of several scores on replicates that they share."""
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("_value")) for s in scores)))
+    long = df.select(*dict.fromkeys([*groups, key, y]), each.alias("_x")).select(*dict.fromkeys([*groups, key, y]), "_x.*")
+    return discrimination_sums(long, [*groups, "score"], y, "_value", key, replicates, seed).select(*groups, "replicate", "score", "auroc", "auprc")
+
+
 def _bounds(draws: DataFrame, groups: list[str], level: float) -> DataFrame:
     return metrics.interval(draws.where("value IS NOT NULL AND NOT isnan(value)"), groups, "value", level)
 
@@ -74,9 +112,9 @@ def intervals(df: DataFrame, groups: list[str], metric: Metric, y: str, score: s
     """(groups, point, low, high, level, replicates) of a metric."""
     d = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
     point = metric(d, groups, y, score, None).withColumnRenamed("value", "point")
-    draws = _bounds(metric(replicated(d.select(*groups, key, y, score), key, replicates, seed), [*groups, "replicate"], y, score, F.col("_count")), groups, level)
+    drawn = _bounds(draws(d, groups, metric, y, score, key, replicates, seed), groups, level)
     sizes = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    return _joined(groups, point, sizes, draws).select(*groups, "point", *_held("point"), F.lit(level).alias("level"), F.lit(replicates).alias("replicates"))
+    return _joined(groups, point, sizes, drawn).select(*groups, "point", *_held("point"), F.lit(level).alias("level"), F.lit(replicates).alias("replicates"))
 
 
 def _joined(groups: list[str], *frames: DataFrame) -> DataFrame:
@@ -99,18 +137,18 @@ def differences(df: DataFrame, groups: list[str], metric: Metric, y: str, b: str
     of zero than the point, between 1 / replicates and 1."""
     d = df.where(F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
     both = F.explode(F.array(*(F.struct(F.lit(n).alias("which"), F.col(c).cast("double").alias("x")) for n, c in (("a", a), ("b", b)))))
+    kept = list(dict.fromkeys([*groups, key, y]))
+    long = d.select(*kept, both.alias("_s")).select(*kept, "_s.*")
 
-    def wide(rows: DataFrame, by: list[str], weight: Column | None) -> DataFrame:
-        names = [*by, y, *(["_count"] if weight is not None else [])]
-        long = rows.select(*names, both.alias("_s")).select(*names, "_s.*")
+    def wide(values: DataFrame, by: list[str]) -> DataFrame:
         of = lambda n: F.max(F.when(F.col("which") == n, F.col("value"))).alias(n)
-        return metric(long, [*by, "which"], y, "x", weight).groupBy(*by).agg(of("a"), of("b")).withColumn("value", F.col("b") - F.col("a"))
+        return values.groupBy(*by).agg(of("a"), of("b")).withColumn("value", F.col("b") - F.col("a"))
 
-    point = wide(d, groups, None).withColumnRenamed("value", "point")
-    draws = wide(replicated(d.select(*groups, key, y, a, b), key, replicates, seed), [*groups, "replicate"], F.col("_count"))
-    tails = draws.groupBy(*groups).agg(F.avg((F.col("value") <= 0).cast("double")).alias("_under"), F.avg((F.col("value") >= 0).cast("double")).alias("_over"))
+    point = wide(metric(long, [*groups, "which"], y, "x", None), groups).withColumnRenamed("value", "point")
+    drawn = wide(draws(long, [*groups, "which"], metric, y, "x", key, replicates, seed), [*groups, "replicate"])
+    tails = drawn.groupBy(*groups).agg(F.avg((F.col("value") <= 0).cast("double")).alias("_under"), F.avg((F.col("value") >= 0).cast("double")).alias("_over"))
     sizes = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    out = _joined(groups, point, sizes, _bounds(draws, groups, level), tails)
+    out = _joined(groups, point, sizes, _bounds(drawn, groups, level), tails)
     p = metrics.clip(2.0 * F.when(F.col("point") >= 0, F.col("_under")).otherwise(F.col("_over")), 1.0 / replicates, 1.0)
     return out.select(*groups, "a", "b", "point", *_held("point"), F.when(F.col("_n") < LEAST_ROWS, 1.0).otherwise(p).alias("p"))
 

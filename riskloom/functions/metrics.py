@@ -144,20 +144,6 @@ def calibration(df: DataFrame, y: str, p: str, eps: float = 1e-6) -> tuple[float
     return slope, intercept
 
 
-def bootstrap_discrimination(df: DataFrame, key: str, y: str, scores: list[str], replicates: int = REPLICATES, seed: int = 42, groups: list[str] | None = None) -> DataFrame:
-    """(*groups, replicate, score, auroc, auprc): all replicates in one plan. A row's count in a replicate is Poisson(1), drawn from a hash
-    of key, replicate and seed, so a lost task draws the same again."""
-    groups = groups or []
-    long = df.select(*groups, F.col(key).alias("_k"), F.col(y).alias("_label"), F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("value")) for s in scores))).alias("_x")).select(*groups, "_k", "_label", "_x.*")
-    rows = long.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64("_k", "replicate", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    count, tail = F.lit(0.0), 0.0
-    for k in range(9):
-        tail += math.exp(-1) / math.factorial(k)
-        count = count + (u >= tail).cast("double")
-    return discrimination(rows, [*groups, "replicate", "score"], "_label", "value", count)
-
-
 def interval(df: DataFrame, groups: list[str], value: str, level: float = 0.95) -> DataFrame:
     """Percentile interval of replicated values."""
     low = (1 - level) / 2

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions import metrics
+from riskloom.functions import bootstrap, metrics
 from riskloom.operators import cohort
 
 A, B = "model_a_score", "model_b_score"
@@ -60,7 +60,7 @@ def compare(df: DataFrame, groups: list[str], y: str) -> DataFrame:
 def compare_intervals(df: DataFrame, groups: list[str], y: str, key: str = "subject_id", replicates: int = metrics.REPLICATES, seed: int = 42) -> DataFrame:
     """(measure, low, high, p) per group for what `compare` measures, on replicates that A and B share. p is two-sided, for the differences
     only, and no less than 1 / replicates."""
-    draws = _beside(metrics.bootstrap_discrimination(_complete(df, y), key, y, [A, B], replicates, seed, groups), [*groups, "replicate"])
+    draws = _beside(bootstrap.discrimination_draws(_complete(df, y), groups, y, [A, B], key, replicates, seed), [*groups, "replicate"])
     names = [c for c in draws.columns if c not in (*groups, "replicate")]
     long = draws.select(*groups, F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in names))).alias("_x")).select(*groups, "_x.*")
     tails = long.groupBy(*groups, "measure").agg(F.least(F.avg((F.col("v") <= 0).cast("double")), F.avg((F.col("v") >= 0).cast("double"))).alias("_t"))

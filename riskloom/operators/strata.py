@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions import bootstrap, metrics
+from riskloom.functions import metrics, resampling
 
 CATEGORIES = ("normal", "borderline", "possible_injury", "probable_infarction")
 QUADRANTS = (("A-low/B-low", False, False), ("A-low/B-high", False, True), ("A-high/B-low", True, False), ("A-high/B-high", True, True))
@@ -58,8 +58,9 @@ def discordance_intervals(df: DataFrame, y: str, a: str, b: str, a_cut: float |
     stay those of df. A ratio takes part in replicates whose lower rate is above zero; a difference where both quadrants have rows."""
     a_cut, b_cut = cuts_of(df, a, b, a_cut, b_cut)
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(y).isNotNull()).select(key, F.col(y).cast("double").alias("_y"), (2 * (F.col(a) >= F.lit(a_cut)).cast("int") + (F.col(b) >= F.lit(b_cut)).cast("int")).alias("_q"))
-    drawn = bootstrap.replicated(d, key, replicates, seed)
-    sums = lambda w: [x for k in range(4) for x in (F.sum(F.when(F.col("_q") == k, w)).alias(f"n{k}"), F.sum(F.when(F.col("_q") == k, w * F.col("_y"))).alias(f"e{k}"))]
+    inside = [(F.col("_q") == k).cast("double") for k in range(4)]
+    terms = [x for here in inside for x in (here, here * F.col("_y"))]
+    names_of = [f"{c}{k}" for k in range(4) for c in "ne"]
     rate = lambda k: F.try_divide(F.col(f"e{k}"), F.col(f"n{k}"))
     names = [q for q, _, _ in QUADRANTS]
 
@@ -70,8 +71,9 @@ def discordance_intervals(df: DataFrame, y: str, a: str, b: str, a_cut: float |
         pairs = F.array(*(F.struct(F.lit(n).alias("measure"), v.alias("value")) for n, v in zip([*names, "rd_a_low", "rr_a_low", "rd_a_high"], values, strict=True)))
         return frame.select(F.explode(pairs).alias("_m")).select("_m.*")
 
-    points = measures(d.agg(*sums(F.lit(1.0))), True).withColumnRenamed("value", "point")
-    draws = measures(drawn.groupBy("replicate").agg(*sums(F.col("_count"))), False).where("value IS NOT NULL")
+    points = measures(d.agg(*(F.sum(x).alias(c) for x, c in zip(terms, names_of, strict=True))), True).withColumnRenamed("value", "point")
+    sums = resampling.weighted_sums(d, [], terms, key, replicates, seed)
+    draws = measures(sums.select(*(F.col(f"s{k}").alias(c) for k, c in enumerate(names_of))), False).where("value IS NOT NULL")
     out = points.join(metrics.interval(draws, ["measure"], "value", level), "measure", "left")
     return out.select("measure", "point", F.coalesce("low", "point").alias("low"), F.coalesce("high", "point").alias("high"))
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions import metrics
+from riskloom.functions import bootstrap, metrics
 from riskloom.operators import rulescore, strata, verdicts
 
 A, B, CATEGORY = "model_a_score", "model_b_score", "model_a_category"
@@ -59,7 +59,7 @@ def findings(df: DataFrame, y: str = "mortality_30d", key: str = "subject_id", r
     gain = F.col(B) - F.col(A)
     both = F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("x")) for s in (A, B))))
     point = value(metrics.discrimination(df.select(y, both.alias("_s")).select(y, "_s.*"), ["score"], y, "x")).select(gain.alias("v")).first()["v"]
-    draws = value(metrics.bootstrap_discrimination(df, key, y, [A, B], replicates, seed)).select(gain.alias("v"))
+    draws = value(bootstrap.discrimination_draws(df, [], y, [A, B], key, replicates, seed)).select(gain.alias("v"))
     low, high = metrics.interval(draws, [], "v").first()
     rows = [("rank correlation", found["spearman"], correlation_p(found["spearman"], found["n"])), ("mean gradient ratio", strong["mean"], None), ("gain in AUROC", point, None)]
     n, k = strong["groups"], strong["meaningful"]

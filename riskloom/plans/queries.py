@@ -357,7 +357,7 @@ def calibration(s, d):
 
 
 def bootstrap_auroc(s, d):
-    reps = metrics.bootstrap_discrimination(_valid(s, d, "test"), "subject_id", "mortality_30d", ["model_a_score", "model_b_score"])
+    reps = bootstrap.discrimination_draws(_valid(s, d, "test"), [], "mortality_30d", ["model_a_score", "model_b_score"])
     return metrics.interval(reps, ["score"], "auroc")
 
 
