@@ -7,8 +7,9 @@ down, each with the exact binomial test of "more than ALPHA / number of rules of
 first that can't be refuted ends the sequence. Tests of one sequence need no correction among themselves (a
 fixed sequence); over strata and rules the error DELTA is split evenly (Bonferroni). So with probability 1 - DELTA all
 certified cutoffs of all strata hold at once, and a stratum loses at most ALPHA of its good texts to all its rules
-together. Among the certified cutoffs the one in use rejects the most bad texts less COST times the good ones, the more
-lenient of equals; none if that is never above 0. A stratum with too few labelled texts certifies nothing and rejects nothing.
+together, whichever certified cutoffs are taken. Rule by rule the one is taken that rejects the most bad texts less COST
+times the good ones among those that the rules before it keep, the more lenient of equals; none if that isn't above 0.
+A stratum with too few labelled texts certifies nothing and rejects nothing.
 
 Counts over labelled rows are aggregates of all of them; what is tested are at most LEVELS + 1 rows per stratum and rule.
 
@@ -139,53 +140,81 @@ def _beta(a: float, b: float, x: float) -> float:
     return front * out
 
 
-def certify(levels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, cost: float = COST) -> DataFrame:
-    """(stratum, rule, cutoff, good, lost, caught, certified): the cutoff in use of each stratum and rule, null if none.
+def certify(levels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, rule, good, certified): the strictest certified cutoff of each stratum and rule, null if none.
     levels: (stratum, rule, level, good, bad), numbers of labelled texts at each level, at most LEVELS + 1 rows a group."""
     ship(levels.sparkSession)
-    tests = levels.select("stratum", "rule").distinct()
-    sizes = tests.agg(F.count(F.lit(1)).alias("tests"), F.count_distinct("rule").alias("rules")).first()
-    if not sizes.tests:
-        return levels.sparkSession.createDataFrame([], _CERTIFIED)
-    risk, error = alpha / sizes.rules, delta / sizes.tests
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        by_level = group.groupby("level")[["good", "bad"]].sum().reindex(range(LEVELS + 1), fill_value=0)
-        n = int(by_level["good"].sum())
-        lost, caught = (by_level[c].to_numpy()[::-1].cumsum()[::-1] for c in ("good", "bad"))
-        best, last, worth = None, None, 0.0
+    sizes = levels.select("stratum", "rule").distinct().agg(F.count(F.lit(1)).alias("tests"), F.count_distinct("rule").alias("rules")).first()
+    risk, error = alpha / max(1, sizes.rules), delta / max(1, sizes.tests)
+
+    def strictest(group: pd.DataFrame) -> pd.DataFrame:
+        good, lost, _ = _upwards(group)
+        certified = None
         for cutoff in range(LEVELS, 0, -1):
-            if binomial_cdf(int(lost[cutoff]), n, risk) > error:
+            if binomial_cdf(int(lost[cutoff]), good, risk) > error:
                 break
-            last = cutoff
-            gain = float(caught[cutoff]) - cost * float(lost[cutoff])
-            if gain > worth:
-                best, worth = cutoff, gain
-        at = best if best is not None else LEVELS
-        row = (group["stratum"].iloc[0], group["rule"].iloc[0], best, n, int(lost[at]) if best else 0, int(caught[at]) if best else 0, last)
-        return pd.DataFrame([row], columns=[f.name for f in _CERTIFIED]).astype({"cutoff": "Int32", "certified": "Int32"})
+            certified = cutoff
+        return pd.DataFrame({"stratum": group["stratum"].iloc[:1], "rule": group["rule"].iloc[:1], "good": good, "certified": pd.array([certified], "Int32")})
+
+    return levels.groupBy("stratum", "rule").applyInPandas(strictest, "stratum string, rule string, good long, certified int")
+
+
+def _upwards(group: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of good texts, and of the good and of the bad at each level or above."""
+    by_level = group.groupby("level")[["good", "bad"]].sum().reindex(range(LEVELS + 1), fill_value=0)
+    lost, caught = (by_level[c].to_numpy()[::-1].cumsum()[::-1] for c in ("good", "bad"))
+    return int(by_level["good"].sum()), lost, caught
+
 
-    return levels.groupBy("stratum", "rule").applyInPandas(choose, _CERTIFIED)
+def choose(levels: DataFrame, certified: DataFrame, cost: float = COST) -> DataFrame:
+    """(stratum, cutoff) of one rule, for strata in which one is worth its losses. levels: numbers of texts as for certify;
+    certified: (stratum, certified) of the rule."""
 
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        _, lost, caught = _upwards(group)
+        last = int(group["certified"].iloc[0])
+        worth = [(float(caught[c]) - cost * float(lost[c]), c) for c in range(last, LEVELS + 1)]
+        gain, cutoff = max(worth)
+        return pd.DataFrame({"stratum": group["stratum"].iloc[:1], "cutoff": pd.array([cutoff if gain > 0 else None], "Int32")})
 
-_CERTIFIED = T.StructType([T.StructField("stratum", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("cutoff", T.IntegerType()), T.StructField("good", T.LongType()), T.StructField("lost", T.LongType()), T.StructField("caught", T.LongType()), T.StructField("certified", T.IntegerType())])
+    met = levels.join(certified.where("certified IS NOT NULL"), "stratum")
+    return met.groupBy("stratum").applyInPandas(best, "stratum string, cutoff int").where("cutoff IS NOT NULL")
 
 
-def holdout_levels(measured: DataFrame, labels: DataFrame, key: str, stratum_col: str, label_col: str) -> DataFrame:
-    """Numbers of good and bad labelled texts by stratum, rule and level, without those that the base rule rejects."""
+def holdouts(measured: DataFrame, labels: DataFrame, key: str, stratum_col: str, label_col: str) -> DataFrame:
+    """(stratum, good, levels) of the labelled texts that the base rule keeps; levels has one level per rule."""
     best = labels.where(F.col(key).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label_col).alias("_good"))
     labelled = measured.where(~base_failed()).join(best, F.col(key) == F.col("_key"))
-    levels = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), level.alias("level")) for name, level in rules().items())))
-    rows = labelled.select(F.coalesce(F.col(stratum_col), F.lit("und")).alias("stratum"), (F.col("_good") > 0).cast("long").alias("good"), levels.alias("_level"))
-    return rows.groupBy("stratum", "_level.rule", "_level.level").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    return labelled.select(F.coalesce(F.col(stratum_col), F.lit("und")).alias("stratum"), (F.col("_good") > 0).cast("long").alias("good"), F.array(*rules().values()).alias("levels"))
+
+
+def level_counts(held: DataFrame) -> DataFrame:
+    """(stratum, rule, level, good, bad) over all rules."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.col("levels")[k].alias("level")) for k, name in enumerate(rules()))))
+    return held.select("stratum", "good", each.alias("_l")).groupBy("stratum", "_l.rule", "_l.level").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+
+
+def cutoffs(held: DataFrame, alpha: float = ALPHA, delta: float = DELTA, cost: float = COST) -> DataFrame:
+    """(stratum, rule, cutoff) in use. Rules take their turn in the order of rules(): what a rule catches or loses counts only among
+    the texts that the rules before it keep, so a rule that adds nothing isn't used."""
+    held = materialize(held, "holdouts")
+    certified = materialize(certify(level_counts(held), alpha, delta), "certified")
+    out, left = None, held
+    for k, name in enumerate(rules()):
+        by_level = left.groupBy("stratum", F.col("levels")[k].alias("level")).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+        found = materialize(choose(by_level, certified.where(F.col("rule") == name).select("stratum", "certified"), cost), "cutoff")
+        left = left.join(found, "stratum", "left").where(F.col("cutoff").isNull() | (F.col("levels")[k] < F.col("cutoff"))).drop("cutoff")
+        found = found.select("stratum", F.lit(name).alias("rule"), "cutoff")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", keep: list[str] | None = None, alpha: float = ALPHA, delta: float = DELTA, cost: float = COST) -> DataFrame:
     """df with COUNTS, base_failed, failed_rules (names of the certified rules that reject the text) and kept."""
     passed = kept_fields(df, keep, [*COUNTS, "base_failed", "failed_rules", "kept"])
     measured = materialize(measure(df, text_col, list(dict.fromkeys([*passed, key, stratum_col]))), "measured")
-    cutoffs = certify(holdout_levels(measured, labels, key, stratum_col, label_col), alpha, delta, cost).where("cutoff IS NOT NULL")
-    by_stratum = materialize(cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs")), "cutoffs")
+    found = cutoffs(holdouts(measured, labels, key, stratum_col, label_col), alpha, delta, cost)
+    by_stratum = materialize(found.groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs")), "cutoffs")
     met = measured.join(by_stratum, F.coalesce(F.col(stratum_col), F.lit("und")) == F.col("_stratum"), "left")
     failed = F.array_compact(F.array(*(F.when(level >= F.col("_cutoffs")[name], F.lit(name)) for name, level in rules().items())))
     out = met.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)
