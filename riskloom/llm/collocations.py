@@ -8,7 +8,7 @@ those of all phrases inside them) are set into an Aho-Corasick automaton, scans
 matches, overlapping ones too. Words are guarded by blanks and pieces by a line feed, so no match starts inside a word or
 crosses a piece. An automaton is bounded by its shard, not by the corpus. Whether a phrase is compiled depends on the
 phrase and its language alone, so each phrase is counted in all shards or in none: sums over shards are exact,
-and the sketch only spares work. With more cells fewer phrases are counted in vain; the result is the same.
+and the sketch only spares work. Counts leave a task packed by buckets of phrases, which are summed one at a time. With more cells fewer phrases are counted in vain; the result is the same.
 
 Defined results: null text counts as empty, null lang as `und`; an empty table gives no rows; rows that repeat an id are
 texts of their own; other columns of the table are not read; ties are ranked by the phrase's UTF-8 bytes. Long texts are
@@ -17,6 +17,7 @@ cut between pieces into shards of about SHARD_BYTES; a piece is never cut, so a
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from operator import itemgetter
@@ -39,6 +40,8 @@ CELLS = 1 << 27
 BLOCK = 1 << 16
 #: Bytes of a shard, of all open shards of a task, and phrases of a task that are held before they are sent.
 SHARD_BYTES, OPEN_BYTES, HELD_CELLS, HELD_PHRASES = 4_000_000, 16_000_000, 1 << 23, 300_000
+#: Parts of a language's phrases that are summed apart; a task holds the sums of one.
+BUCKETS = 1024
 _TABLE = byte_table(True, b"\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 
 
@@ -177,38 +180,62 @@ def guarded(words: Words) -> str:
     return f" {' '.join(map(strings.__getitem__, codes.tolist()))} "
 
 
-def phrase_counts(docs: DataFrame, bits: np.ndarray, cells: int = CELLS, least: int = LEAST) -> DataFrame:
-    """(lang, phrase, f) of all phrases of 1 to LONGEST words with f >= least, and a row with null phrase and the number
+def packed(held: dict[tuple[str, str], int], buckets: int) -> pa.RecordBatch:
+    """Counts in one row per language and bucket of phrases: the phrases a line each, and their counts."""
+    dealt: dict[tuple[str, int], list[tuple[str, int]]] = defaultdict(list)
+    for (lang, phrase), n in held.items():
+        dealt[lang, zlib.crc32(phrase.encode()) % buckets].append((phrase, n))
+    columns = [pa.array([k[0] for k in dealt], pa.string()), pa.array([k[1] for k in dealt], pa.int32()), pa.array(["\n".join(p for p, _ in x) for x in dealt.values()], pa.string())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([np.array([n for _, n in x], "<i8").tobytes() for x in dealt.values()], pa.binary())], ["lang", "bucket", "phrases", "counts"])
+
+
+def phrase_counts(docs: DataFrame, bits: np.ndarray, cells: int = CELLS, least: int = LEAST, buckets: int = BUCKETS) -> DataFrame:
+    """(lang, phrase, f) of all phrases of 1 to LONGEST words with f >= least, and a row with the empty phrase and the number
     of words per language. docs: (lang, text)."""
     sent = Shared(docs.sparkSession, bits)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str | None], int] = defaultdict(int)
-
-        def send() -> pa.RecordBatch:
-            keys = list(held)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "phrase", "f"])
-            held.clear()
-            return out
-
+        held: dict[tuple[str, str], int] = defaultdict(int)
         for lang, texts in shards(batches):
             words = split_words(texts, _TABLE)
             if not len(words.codes):
                 continue
-            held[lang, None] += len(words.codes)
+            held[lang, ""] += len(words.codes)
             phrases, automaton = compile_shard(words, lang, sent.value, cells)
             if phrases:
                 found = np.fromiter(map(itemgetter(1), automaton.iter(guarded(words))), np.int64)
                 for k, n in enumerate(np.bincount(found, minlength=len(phrases)).tolist()):
                     held[lang, phrases[k]] += n
             if len(held) >= HELD_PHRASES:
-                yield send()
+                yield packed(held, buckets)
+                held.clear()
         if held:
-            yield send()
+            yield packed(held, buckets)
         release_memory()
 
-    counted = docs.mapInArrow(scan, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return counted.where(F.col("phrase").isNull() | (F.col("f") >= least))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of one bucket at a time; the rows come ordered by language and bucket."""
+        key, sums = None, defaultdict(int)
+
+        def send() -> pa.RecordBatch:
+            kept = [(p, n) for p, n in sums.items() if n >= least or not p]
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["lang", "phrase", "f"])
+
+        for batch in batches:
+            for lang, bucket, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "bucket", "phrases", "counts")), strict=True):
+                if (lang, bucket) != key:
+                    if sums:
+                        yield send()
+                    key = (lang, bucket)
+                for p, n in zip(phrases.split("\n"), np.frombuffer(counts, "<i8").tolist(), strict=True):
+                    sums[p] += n
+        if sums:
+            yield send()
+
+    by = ["lang", "bucket"]
+    parts = docs.mapInArrow(scan, "lang string, bucket int, phrases string, counts binary").repartition(*by).sortWithinPartitions(*by)
+    return parts.mapInArrow(merge, "lang string, phrase string, f long")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, cells: int = CELLS) -> DataFrame:
@@ -216,9 +243,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     small_batches(docs)
     read = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = materialize(phrase_counts(read, sketch(read, cells, least), cells, least), "phrases")
-    words = counts.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
+    words = counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
     size = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1
-    f = counts.where("phrase IS NOT NULL").select("lang", "phrase", "f", size.alias("size"))
+    f = counts.where("phrase <> ''").select("lang", "phrase", "f", size.alias("size"))
     scored = materialize(cohesion(f), "scored")
     kept = drop_parts(scored, f).select("lang", "phrase", "a", "l", "r", "score")
     best = top_per_group(materialize(kept, "candidates"), ["lang"], ["score", "a"], "phrase", top)
