@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import metrics
+from riskloom.functions.quantiles import quantiles
 from riskloom.operators import adapters, signals, splits
 from riskloom.operators.incremental import both_classes
 from riskloom.operators.probe import Probe, fit_probe, sigmoid
@@ -83,11 +84,11 @@ def validity(df: DataFrame) -> DataFrame:
 def prediction_summary(df: DataFrame, y: str = "mortality_30d") -> DataFrame:
     """Per split, over rows that both models scored: moments and quartiles of A and B, and how well B tells and predicts y."""
     p = df.where("model_a_valid AND model_b_valid")
-    q = lambda c: F.expr(f"percentile({c}, array(0.25D, 0.5D, 0.75D))")
-    parts = [F.count(F.lit(1)).alias("n")]
-    for name, c in (("a", "model_a_score"), ("b", "model_b_score"), ("log_odds_b", "model_b_log_odds")):
-        parts += [F.avg(c).alias(f"mean_{name}"), F.stddev_pop(c).alias(f"sd_{name}"), q(c).alias(f"_{name}")]
-    one = p.groupBy("split").agg(*parts)
-    quarters = lambda m: [F.col(f"_{m}")[k].alias(f"q{n}_{m}") for k, n in enumerate((25, 50, 75))]
-    one = one.select("split", "n", "mean_a", "sd_a", *quarters("a"), "mean_b", "sd_b", *quarters("b"), "mean_log_odds_b", "sd_log_odds_b")
+    kinds = {"a": "model_a_score", "b": "model_b_score", "log_odds_b": "model_b_log_odds"}
+    moments = [f(c).alias(f"{name}_{kind}") for kind, c in kinds.items() for name, f in (("mean", F.avg), ("sd", F.stddev_pop))]
+    one = p.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *moments)
+    scores = [kinds["a"], kinds["b"]]
+    quarters = quantiles(p, ["split"], scores, [0.25, 0.5, 0.75])
+    quarters = quarters.select("split", *(F.col(f"{c}_q")[k].alias(f"q{n}_{m}") for m, c in zip("ab", scores, strict=True) for k, n in enumerate((25, 50, 75))))
+    one = one.join(quarters, "split").select("split", "n", *(c for m in "ab" for c in (f"mean_{m}", f"sd_{m}", *(f"q{n}_{m}" for n in (25, 50, 75)))), "mean_log_odds_b", "sd_log_odds_b")
     return one.join(metrics.discrimination(p, ["split"], y, "model_b_score"), "split").join(metrics.proper_scores(p, ["split"], y, "model_b_score").drop("n", "events"), "split")

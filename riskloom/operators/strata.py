@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import metrics, resampling
+from riskloom.functions.quantiles import quantiles
 
 CATEGORIES = ("normal", "borderline", "possible_injury", "probable_infarction")
 QUADRANTS = (("A-low/B-low", False, False), ("A-low/B-high", False, True), ("A-high/B-low", True, False), ("A-high/B-high", True, True))
+QUARTERS = [0.25, 0.5, 0.75]
 THRESHOLDS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4)
 
 
@@ -17,18 +19,20 @@ def stratified_risk(df: DataFrame, category: str, y: str, b: str) -> DataFrame:
     names = F.broadcast(df.sparkSession.createDataFrame([(k, c) for k, c in enumerate(CATEGORIES)], "place int, category string"))
     by = df.groupBy(F.col(category).alias("category")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("events"), F.avg(F.col(y).cast("double")).alias("rate"), F.avg(b).alias("mean_b"), F.stddev_pop(b).alias("sd_b"),
-        F.expr(f"percentile({b}, array(0.25D, 0.5D, 0.75D))").alias("_q"),
     )
+    quarters = quantiles(df.select(F.col(category).alias("category"), b), ["category"], [b], QUARTERS).withColumnRenamed(f"{b}_q", "_q")
     zero, both = F.lit(0).cast("long"), (F.col("events") > 0) & (F.col("events") < F.col("n"))
     ranks = metrics.discrimination(df, [category], y, b).withColumnRenamed(category, "category")
-    out = names.join(by, "category", "left").join(ranks, "category", "left")
+    out = names.join(by, "category", "left").join(ranks, "category", "left").join(quarters, "category", "left")
     return out.select("category", F.coalesce("n", zero).alias("n"), F.coalesce("events", zero).alias("events"), F.coalesce("rate", F.lit(0.0)).alias("rate"), "mean_b", "sd_b", F.col("_q")[0].alias("q25_b"), F.col("_q")[1].alias("median_b"), F.col("_q")[2].alias("q75_b"), F.when(both, F.col("auroc")).alias("auroc"), F.when(both, F.col("auprc")).alias("auprc"))
 
 
 def tertiles_within(df: DataFrame, category: str, y: str, b: str) -> DataFrame:
     """Per category of at least 3 rows and third of b (value cuts, closed on the left): n, events, rate; 0 in an empty third."""
-    cuts = df.groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("_n"), F.expr(f"percentile({b}, array(0.3333333333333333D, 0.6666666666666666D))").alias("_c")).where("_n >= 3").drop("_n")
-    rows = df.select(F.col(category).alias("category"), F.col(b).alias("_b"), F.col(y).alias("_y")).join(cuts, "category")
+    rows = df.select(F.col(category).alias("category"), F.col(b).alias("_b"), F.col(y).alias("_y"))
+    sizes = rows.groupBy("category").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3").drop("_n")
+    cuts = quantiles(rows, ["category"], ["_b"], [1 / 3, 2 / 3]).withColumnRenamed("_b_q", "_c").join(sizes, "category")
+    rows = rows.join(cuts, "category")
     rows = rows.withColumn("tertile", F.when(F.col("_b") < F.col("_c")[0], "Low").when(F.col("_b") < F.col("_c")[1], "Mid").otherwise("High"))
     by = rows.groupBy("category", "tertile").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_y").cast("long")).alias("events"), F.avg(F.col("_y").cast("double")).alias("rate"))
     every = cuts.select("category", F.explode(F.array(*map(F.lit, ("Low", "Mid", "High")))).alias("tertile"))
@@ -40,8 +44,8 @@ def cuts_of(df: DataFrame, a: str, b: str, a_cut: float | None = 15.0, b_cut: fl
     """Both cuts; one that isn't given is the median of df."""
     if a_cut is not None and b_cut is not None:
         return a_cut, b_cut
-    middle = df.agg(F.expr(f"percentile({a}, 0.5D)"), F.expr(f"percentile({b}, 0.5D)")).first()
-    return tuple(m if c is None else c for c, m in zip((a_cut, b_cut), middle, strict=True))
+    middle = quantiles(df, [], [a, b], [0.5]).first()
+    return tuple((m[0] if m else None) if c is None else c for c, m in zip((a_cut, b_cut), middle, strict=True))
 
 
 def discordance(df: DataFrame, y: str, a: str, b: str, a_cut: float | None = 15.0, b_cut: float | None = None) -> DataFrame:
@@ -100,8 +104,7 @@ def smoother(df: DataFrame, a: str, b: str, points: int = 25) -> DataFrame:
 
 def risk_surface(df: DataFrame, y: str, a: str, b: str, bins: int = 5) -> DataFrame:
     """(a_bin, b_bin, n, events, rate) of every cell between distinct percentile edges; the rate of an empty cell is null."""
-    at = ", ".join(f"{k / bins!r}D" for k in range(bins + 1))
-    ea, eb = (sorted(set(e or [])) for e in df.agg(F.expr(f"percentile({a}, array({at}))"), F.expr(f"percentile({b}, array({at}))")).first())
+    ea, eb = (sorted(set(e or [])) for e in quantiles(df, [], [a, b], [k / bins for k in range(bins + 1)]).first())
     place = lambda c, edges: sum(((F.col(c) >= e).cast("int") for e in edges[1:-1]), F.lit(0))
     by = df.groupBy(place(a, ea).alias("a_bin"), place(b, eb).alias("b_bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("events"), F.avg(F.col(y).cast("double")).alias("rate"))
     cells = [(i, j) for i in range(max(1, len(ea) - 1)) for j in range(max(1, len(eb) - 1))]
@@ -112,8 +115,7 @@ def risk_surface(df: DataFrame, y: str, a: str, b: str, bins: int = 5) -> DataFr
 
 def decile_calibration(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
     """(bin, n, events, observed, predicted, low, high) over distinct percentile edges of the predicted probability."""
-    at = ", ".join(f"{k / bins!r}D" for k in range(bins + 1))
-    edges = sorted(set(df.agg(F.expr(f"percentile({p}, array({at}))")).first()[0] or []))
+    edges = sorted(set(quantiles(df, [], [p], [k / bins for k in range(bins + 1)]).first()[0] or []))
     place = sum(((F.col(p) >= e).cast("int") for e in edges[1:-1]), F.lit(0))
     return df.where(F.col(p).isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("events"), F.avg(F.col(y).cast("double")).alias("observed"), F.avg(p).alias("predicted"), F.min(p).alias("low"), F.max(p).alias("high"))
 
@@ -128,7 +130,11 @@ def decision_curve(df: DataFrame, y: str, p: str, thresholds: tuple[float, ...]
 
 
 def score_distribution(df: DataFrame, y: str, score: str) -> DataFrame:
-    return df.groupBy(F.col(y).cast("int").alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("sd"), F.expr(f"percentile({score}, 0.25D)").alias("q25"), F.expr(f"percentile({score}, 0.5D)").alias("median"), F.expr(f"percentile({score}, 0.75D)").alias("q75"))
+    d = df.select(F.col(y).cast("int").alias("outcome"), F.col(score).alias("_s"))
+    moments = d.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("_s").alias("mean"), F.stddev_pop("_s").alias("sd"))
+    quarters = quantiles(d, ["outcome"], ["_s"], QUARTERS).withColumnRenamed("outcome", "_outcome")
+    out = moments.join(quarters, F.col("outcome").eqNullSafe(F.col("_outcome")))
+    return out.select("outcome", "n", "mean", "sd", *(F.col("_s_q")[k].alias(name) for k, name in enumerate(("q25", "median", "q75"))))
 
 
 def capacity_capture(df: DataFrame, key: str, y: str, p: str, shares: tuple[float, ...] = (0.01, 0.025, 0.05, 0.1, 0.2)) -> DataFrame:

@@ -204,6 +204,21 @@ def horizon_comparison_intervals(s, d):
     return sensitivity.compare_intervals(_by_horizon(s, d), ["horizon"], "y")
 
 
+def _battery_rows(s, d):
+    p = sensitivity.with_inhospital(_valid(s, d), bind.records(s, d), bind.admissions(s, d))
+    return p.where("split = 'dev'"), p.where("split = 'test'")
+
+
+def horizon_battery(s, d):
+    found = _rounded(sensitivity.horizon_battery(*_battery_rows(s, d), sensitivity.HORIZONS), 6)
+    # p_value follows from lrt, and SQL has no chi-square
+    return found.withColumn("lrt", F.round("lrt", 4)).drop("p_value")
+
+
+def horizon_battery_intervals(s, d):
+    return sensitivity.horizon_intervals(*_battery_rows(s, d), sensitivity.HORIZONS)
+
+
 def _by_subgroup(s, d):
     return sensitivity.by_subgroup(_valid(s, d, "test"), bind.patients(s, d))
 
@@ -431,6 +446,24 @@ _items = [f"abs(embedding[{k + 1}]::DOUBLE)" + (" * 200" if f.endswith("_ms") el
 _SUMMARY = ", ".join(f"round(avg({c}), 8) AS mean_{n}, round(stddev_pop({c}), 8) AS sd_{n}" for c, n in (("a", "a"), ("b", "b"), ("lo", "log_odds_b"))) + "".join(f", round(quantile_cont({c}, {q / 100}), 8) AS q{q}_{c}" for c in "ab" for q in (25, 50, 75))
 _LOSS = "round(-avg(y30::INT * ln(b) + (1 - y30::INT) * ln(1 - b)), 8) AS log_loss, round(avg(pow(b - y30::INT, 2)), 8) AS brier"
 
+_BATTERY_ROWS = f"""fi AS (SELECT subject_id, study_id, ecg_datetime FROM rec QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY ecg_datetime, study_id) = 1),
+ih AS (SELECT subject_id, coalesce(flag = 1 AND (death_dt IS NULL OR ecg_datetime <= death_dt), false)::INT AS y FROM fi JOIN adm USING (subject_id) WHERE ecg_datetime BETWEEN admit_dt AND disch_dt QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY admit_dt, hadm_id) = 1),
+rows4 AS (SELECT 'inhospital_mortality' AS h, split, a, b, y FROM {_V} v JOIN ih USING (subject_id) UNION ALL {' UNION ALL '.join(f"SELECT '{o}', split, a, b, {y}::INT FROM {_V} v" for y, o in zip(("y30", "y90", "y1"), OUTCOMES, strict=True))})"""
+#: Newton's method on dev as a recursive query: k counts the steps, the weights' penalty is 1.
+_NEWTON = """f1(h, k, c0, c1) AS (SELECT DISTINCT h, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM rows4 WHERE split = 'dev' UNION ALL
+  SELECT h, k + 1, c0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), c1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT h, k, c0, c1, sum(p - y) AS g0, sum((p - y) * a) + c1 AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * a) AS h01, sum(p * (1 - p) * a * a) + 1 AS h11 FROM (
+      SELECT f1.h, k, c0, c1, a, y, 1 / (1 + exp(-(c0 + c1 * a))) AS p FROM f1 JOIN rows4 r ON r.h = f1.h AND split = 'dev' WHERE k < 25) GROUP BY h, k, c0, c1)),
+f2(h, k, c0, c1, c2) AS (SELECT DISTINCT h, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM rows4 WHERE split = 'dev' UNION ALL
+  SELECT h, k + 1, c0 - (g0 * (m11 * m22 - m12 * m12) - m01 * (g1 * m22 - m12 * g2) + m02 * (g1 * m12 - m11 * g2)) / det, c1 - (m00 * (g1 * m22 - m12 * g2) - g0 * (m01 * m22 - m12 * m02) + m02 * (m01 * g2 - g1 * m02)) / det,
+    c2 - (m00 * (m11 * g2 - g1 * m12) - m01 * (m01 * g2 - g1 * m02) + g0 * (m01 * m12 - m11 * m02)) / det FROM (
+    SELECT *, m00 * (m11 * m22 - m12 * m12) - m01 * (m01 * m22 - m12 * m02) + m02 * (m01 * m12 - m11 * m02) AS det FROM (
+      SELECT h, k, c0, c1, c2, sum(p - y) AS g0, sum((p - y) * a) + c1 AS g1, sum((p - y) * b) + c2 AS g2, sum(w) AS m00, sum(w * a) AS m01, sum(w * b) AS m02, sum(w * a * a) + 1 AS m11, sum(w * a * b) AS m12, sum(w * b * b) + 1 AS m22 FROM (
+        SELECT *, p * (1 - p) AS w FROM (SELECT f2.h, k, c0, c1, c2, a, b, y, 1 / (1 + exp(-(c0 + c1 * a + c2 * b))) AS p FROM f2 JOIN rows4 r ON r.h = f2.h AND split = 'dev' WHERE k < 25)) GROUP BY h, k, c0, c1, c2))),
+e1 AS (SELECT * FROM f1 WHERE k = 25), e2 AS (SELECT * FROM f2 WHERE k = 25),
+lk AS (SELECT r.h, greatest(2 * (sum(y * ln(p2) + (1 - y) * ln(1 - p2)) - sum(y * ln(p1) + (1 - y) * ln(1 - p1))), 0) AS lrt FROM (
+  SELECT r.h, y, 1 / (1 + exp(-(e1.c0 + e1.c1 * a))) AS p1, 1 / (1 + exp(-(e2.c0 + e2.c1 * a + e2.c2 * b))) AS p2 FROM rows4 r JOIN e1 ON e1.h = r.h JOIN e2 ON e2.h = r.h WHERE split = 'dev') r GROUP BY r.h),
+br AS (SELECT r.h, avg(pow(1 / (1 + exp(-(c0 + c1 * a))) - y, 2)) AS ba, avg(pow(b - y, 2)) AS bb FROM rows4 r JOIN e1 ON e1.h = r.h WHERE split = 'test' GROUP BY r.h)"""
 #: name -> (query, SQL or None)
 _RULES = f"""m AS (SELECT vec_id, {', '.join(_items)} FROM embeddings),
 i AS (SELECT vec_id, (CASE WHEN avl_q_ms <= 0 THEN 5 WHEN avl_q_ms <= 15 THEN 1 WHEN avl_q_ms <= 25 THEN 3 WHEN avl_q_ms <= 35 THEN 9 WHEN avl_q_ms <= 45 THEN 10 ELSE 12 END)::DOUBLE AS item1,
@@ -483,6 +516,9 @@ SELECT r.g AS model, r.auroc, r.auprc, c.spearman_b, round((SELECT auc FROM u WH
     "anchoring_sensitivity": (anchoring_sensitivity, f"WITH {_RECORDS}, {_ADMISSIONS}, {_PRED}, {_rank_sql('''SELECT 'all' AS h, b AS s, y30::INT AS y FROM pred WHERE vb UNION ALL SELECT 'joint', b, y30::INT FROM pred WHERE va AND vb UNION ALL SELECT 'anchored', b, y30::INT FROM pred WHERE vb AND subject_id IN (SELECT subject_id FROM rec JOIN adm USING (subject_id) WHERE ecg_datetime BETWEEN admit_dt AND disch_dt)''', 'h')} SELECT g AS cohort, auroc, auprc FROM r"),
     "horizon_comparison": (horizon_comparison, f"WITH {_PRED}, {_compare_sql(_HORIZONS, 'horizon')}"),
     "horizon_comparison_intervals": (horizon_comparison_intervals, None),
+    "horizon_battery": (horizon_battery, f"""WITH RECURSIVE {_RECORDS}, {_ADMISSIONS}, {_PRED}, {_BATTERY_ROWS}, {_NEWTON}, cm AS (WITH {_compare_sql("SELECT h, a, b, y FROM rows4 WHERE split = 'test'", 'horizon').replace(', 8)', ', 6)')})
+SELECT cm.*, round(ba, 6) AS brier_a, round(bb, 6) AS brier_b, round(ba - bb, 6) AS delta_brier, round(lrt, 4) AS lrt FROM cm JOIN br ON br.h = horizon JOIN lk ON lk.h = horizon"""),
+    "horizon_battery_intervals": (horizon_battery_intervals, None),
     "subgroup_comparison": (subgroup_comparison, f"WITH {_PRED}, {_PATIENTS}, {_compare_sql(_SUBGROUPS, 'subgroup')}"),
     "subgroup_comparison_intervals": (subgroup_comparison_intervals, None),
     "admission_anchoring": (admission_anchoring, f"WITH {_RECORDS}, {_ADMISSIONS}, {_PRED}, {_compare_sql(_INDEXED, 'cohort')}"),
