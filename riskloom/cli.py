@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import bootstrap, metrics
-from riskloom.operators import adapters, battery, cohort, incremental, outcomes, registry, reports, scoring, sensitivity, splits, strata, synthesis
+from riskloom.operators import adapters, battery, cohort, incremental, outcomes, reports, scoring, sensitivity, splits, strata, synthesis
 from riskloom.operators.probe import Probe, fit_probe
 from riskloom.session import local_session, materialize
 from riskloom.sources import bindings as bind
@@ -91,8 +91,7 @@ class Context:
         module, _, name = self.args.model.partition(":")
         make = getattr(importlib.import_module(module), name)
         spec = adapters.Spec(self.args.model, "1", dim=make().dim)
-        adapters.BATCH = self.args.batch_size
-        made, probe = scoring.build(self.index, self.roots.recordings, make, spec, checkpoint=self.args.checkpoint_path)
+        made, probe = scoring.build(self.index, self.roots.recordings, make, spec, checkpoint=self.args.checkpoint_path, batch_size=self.args.batch_size)
         self.mode = "real"
         return made, None, probe
 
@@ -181,8 +180,8 @@ def battery_of(c: Context) -> dict[str, DataFrame]:
 def interpret(c: Context) -> dict[str, DataFrame]:
     _, gains, lrt, p = c.nested
     return {
-        "failures": synthesis.failure_summary(c.predictions), "findings": synthesis.findings(c.predictions.where("split = 'test'"), replicates=c.replicates, seed=c.args.seed),
-        "utility": registry.utility_distinction(gains, lrt, p), "audit": registry.pretraining_audit(c.spark), "registry": registry.analysis_registry(c.spark).orderBy("position"),
+        "failures": synthesis.failure_summary(c.predictions), "utility": synthesis.utility_distinction(gains, lrt, p),
+        "findings": synthesis.findings(c.predictions.where("split = 'dev'"), c.predictions.where("split = 'test'"), replicates=c.replicates, seed=c.args.seed, gains=gains),
     }
 
 

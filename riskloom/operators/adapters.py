@@ -14,6 +14,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,9 +57,18 @@ class SpectrumProjection:
         return np.tanh(lines @ weights)
 
 
+#: What a worker process has built, by what builds it.
 _MODELS: dict[str, Model] = {}
 
 
+def held_model(key: str, make: Callable[[], Model]) -> Model:
+    """make() once per process and key. Tasks reach this function through its module, so they share the process's models."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = make()
+    return _MODELS[key]
+
+
 def fingerprint(spec: Spec, fs: int, **more: object) -> str:
     return hashlib.sha256(json.dumps({**asdict(spec), "source_fs": fs, **more}, sort_keys=True).encode()).hexdigest()
 
@@ -88,20 +98,19 @@ def _embedded(model: Model, batch: np.ndarray) -> list[tuple[np.ndarray | None,
     return [(v, None) if np.isfinite(v).all() else (None, "the embedding isn't finite") for v in out]
 
 
-def embed(df: DataFrame, make: Callable[[], Model], spec: Spec, fs: int, keep: Sequence[str], signal: str = "signal", names: str = "leads") -> DataFrame:
-    """(keep, embedding, is_valid, error): make() runs once per worker process."""
+def embed(df: DataFrame, make: Callable[[], Model], spec: Spec, fs: int, keep: Sequence[str], signal: str = "signal", names: str = "leads", batch_size: int = BATCH) -> DataFrame:
+    """(keep, embedding, is_valid, error): make() runs once per worker process, also over several calls; the model gets batch_size
+    recordings at once. A process keeps one model, the one it used last."""
     ship(df.sparkSession)
     ordered = df.select(*keep, signals.reorder(F.col(signal), F.col(names), spec.leads).alias("_ordered"), signals.lead_error(F.col(signal), F.col(names), spec.leads).alias("_lead_error"))
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("is_valid", T.BooleanType()), T.StructField("error", T.StringType())])
-    key = fingerprint(spec, fs)
+    key = hashlib.sha256(cloudpickle.dumps((make, spec))).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _MODELS:
-            _MODELS[key] = make()
-        model = _MODELS[key]
+        model = held_model(key, make)
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
+            for at in range(0, whole.num_rows, batch_size):
+                batch = whole.slice(at, batch_size)
                 made = [_prepared(x, spec, fs) for x in signals._recordings(batch.column("_ordered"))]
                 errors = [lead or e for lead, (_, e) in zip(batch.column("_lead_error").to_pylist(), made, strict=True)]
                 fit = [k for k, e in enumerate(errors) if e is None]
@@ -115,21 +124,29 @@ def embed(df: DataFrame, make: Callable[[], Model], spec: Spec, fs: int, keep: S
     return ordered.mapInArrow(run, schema)
 
 
-def embed_resumable(df: DataFrame, make: Callable[[], Model], spec: Spec, fs: int, key: str, path: str, chunks: int = 8, **names: str) -> DataFrame:
+def embed_resumable(df: DataFrame, make: Callable[[], Model], spec: Spec, fs: int, key: str, path: str, chunks: int = 8, batch_size: int = BATCH, signal: str = "signal", names: str = "leads") -> DataFrame:
     """embed() written under `path` in `chunks` parts dealt by a hash of the key; a second call writes only missing parts.
 
     The folder's name holds a fingerprint of the model, the rates, the keys and the signals, so other input or another model starts anew.
-    Each missing part reads df again: chunks trades that against the work that a stop loses.
+    df is read once for the fingerprint and once more to deal the rows of all missing parts into a table beside the folder; each part
+    then reads its own rows there. That table stays until no part is missing, so a call after a stop doesn't read df for it again.
     """
     spark = df.sparkSession
-    held = [names.get("signal", "signal"), names.get("names", "leads")]
-    n, mixed = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(key, *held))).first()
+    n, mixed = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(key, signal, names))).first()
     base = f"{path.rstrip('/')}/{fingerprint(spec, fs, rows=n, keys=mixed, chunks=chunks)[:16]}"
+    dealt = f"{base}-input"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     files = hadoop(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    for part in range(chunks):
-        out = f"{base}/part={part}"
-        if not files.exists(hadoop(f"{out}/_SUCCESS")):
-            mine = df.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == part)
-            embed(mine, make, spec, fs, [key], **names).write.mode("overwrite").parquet(out)
+    done = lambda folder: files.exists(hadoop(f"{folder}/_SUCCESS"))
+    missing = [part for part in range(chunks) if not done(f"{base}/part={part}")]
+    if missing and not done(dealt):
+        rows = df.select(key, signal, names).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(chunks)))
+        rows.where(F.col("_part").isin(missing)).write.mode("overwrite").partitionBy("_part").parquet(dealt)
+    for part in missing:
+        mine = f"{dealt}/_part={part}"
+        read = spark.read.schema(df.select(key, signal, names).schema)
+        rows = read.parquet(mine) if files.exists(hadoop(mine)) else df.select(key, signal, names).where("false")
+        embed(rows, make, spec, fs, [key], signal, names, batch_size).write.mode("overwrite").parquet(f"{base}/part={part}")
+    if missing:
+        files.delete(hadoop(dealt), True)
     return spark.read.parquet(base).drop("part")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Columns taken from the patients where they exist.
 PATIENT_COLUMNS = ("subject_id", "gender", "anchor_age", "anchor_year", "anchor_year_group", "dod", "dod_date")
+#: Days of a span of the interval join: a few stays long, so that most encounters touch one or two.
+BUCKET_DAYS = 30
 
 
 def age_at_recording(records: DataFrame, patients: DataFrame, how: str = "inner") -> DataFrame:
@@ -27,14 +29,20 @@ def adults(records: DataFrame, min_age: int = 18) -> DataFrame:
     return records.where(F.col("age_at_ecg") >= min_age)
 
 
-def link_admissions(records: DataFrame, admissions: DataFrame, pre_admit_hours: int = 0) -> DataFrame:
+def link_admissions(records: DataFrame, admissions: DataFrame, pre_admit_hours: int = 0, days: int = BUCKET_DAYS) -> DataFrame:
     """Recordings with each encounter they fall into, pre_admit_hours before admission to discharge, both inclusive.
-    One join: the subject is the key, the range a residual condition."""
+
+    One join on the subject and a span of `days`: a recording lies in one span, an encounter has a row for each span it
+    touches, so a pair meets once and a subject with very many rows meets in many tasks. The exact range stays as a residual
+    condition. Encounters that end before they start, or with a null end, have no pair."""
     shared = [c for c in admissions.columns if c in records.columns and c != "subject_id"]
-    a = admissions.drop(*shared).withColumnRenamed("subject_id", "_subject")
     start = F.col("admit_dt") - F.expr(f"INTERVAL {int(pre_admit_hours)} HOURS")
-    inside = (F.col("ecg_datetime") >= start) & (F.col("ecg_datetime") <= F.col("disch_dt"))
-    return records.join(a, (F.col("subject_id") == F.col("_subject")) & inside).drop("_subject")
+    span = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / (days * 86_400))
+    a = admissions.drop(*shared).withColumnRenamed("subject_id", "_subject").withColumn("_start", start).where(F.col("_start") <= F.col("disch_dt"))
+    a = a.withColumn("_span", F.explode(F.sequence(span(F.col("_start")), span(F.col("disch_dt")))))
+    r = records.withColumn("_at", span(F.col("ecg_datetime")))
+    inside = (F.col("ecg_datetime") >= F.col("_start")) & (F.col("ecg_datetime") <= F.col("disch_dt"))
+    return r.join(a, (F.col("subject_id") == F.col("_subject")) & (F.col("_at") == F.col("_span")) & inside).drop("_subject", "_start", "_span", "_at")
 
 
 def index_recordings(records: DataFrame, which: str = "earliest") -> DataFrame:

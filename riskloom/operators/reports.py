@@ -31,7 +31,7 @@ SECTIONS = {
         "quality": "All recordings and those of good quality.", "alternative_scores": "Other rule scores.", "second_embedding": "A probe on another encoder.", "directions": "How many differences favour B.",
     }),
     "interpret": ("Interpretation", {
-        "failures": "Recordings that a model couldn't score.", "findings": "Findings and verdicts.", "utility": "What a gain shows and what it leaves open.", "audit": "Models and what they learnt from.", "registry": "Planned and later analyses.",
+        "failures": "Recordings that a model couldn't score.", "findings": "Findings and verdicts.", "utility": "What a gain shows and what it leaves open.",
     }),
 }
 

@@ -60,15 +60,15 @@ def model_b(cohort: DataFrame, embedded: DataFrame, y: str = "mortality_30d") ->
     return rows.select(*KEYS, sigmoid(z).alias("model_b_score"), z.alias("model_b_log_odds"), F.col("is_valid").alias("model_b_valid"), F.col("error").alias("model_b_error")), probe
 
 
-def build(cohort: DataFrame, root: str, make: Callable[[], adapters.Model], spec: adapters.Spec, fs: int = 500, checkpoint: str | None = None) -> tuple[DataFrame, Probe]:
+def build(cohort: DataFrame, root: str, make: Callable[[], adapters.Model], spec: adapters.Spec, fs: int = 500, checkpoint: str | None = None, batch_size: int = adapters.BATCH) -> tuple[DataFrame, Probe]:
     """(predictions, probe) of a cohort with `path`, `split` and outcomes. With a checkpoint folder the scores of A are kept there and
     the embeddings written part by part, so a second call goes on where the first one stopped."""
     recorded = with_signals(cohort, root, fs)
     a = cached(cohort, f"{checkpoint}/model_a" if checkpoint else None, lambda: model_a(recorded, fs))
     if checkpoint:
-        embedded = adapters.embed_resumable(recorded, make, spec, fs, "study_id", f"{checkpoint}/embeddings")
+        embedded = adapters.embed_resumable(recorded, make, spec, fs, "study_id", f"{checkpoint}/embeddings", batch_size=batch_size)
     else:
-        embedded = materialize(adapters.embed(recorded, make, spec, fs, ["study_id"]))
+        embedded = materialize(adapters.embed(recorded, make, spec, fs, ["study_id"], batch_size=batch_size))
     b, probe = model_b(cohort, embedded)
     return splits.build_predictions(cohort, a, b), probe
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import materialize
+
 SPLITS = ("dev", "val", "test")
 #: A predictor may hold none of these words, but these columns aren't predictors.
 FORBIDDEN = ("age", "gender", "sex", "race", "ethnicity", "admit", "disch", "hadm", "icd", "drg", "vital", "lab", "med", "note", "anchor", "insurance", "language", "marital")
@@ -15,6 +19,7 @@ ALLOWED = (
     "subject_id", "study_id", "split", "mortality_30d", "mortality_90d", "mortality_1yr", "inhospital_mortality", "model_a_score",
     "model_a_category", "model_a_valid", "model_a_error", "model_b_score", "model_b_log_odds", "model_b_valid", "model_b_error",
 )
+#: Columns that a table of predictions has.
 REQUIRED = ("subject_id", "study_id", "split", "mortality_30d", "model_a_score", "model_a_category", "model_a_valid", "model_b_score", "model_b_log_odds", "model_b_valid")
 
 
@@ -36,16 +41,39 @@ def hashed_split(df: DataFrame, ratios: SplitRatios = SplitRatios(), seed: int =
     return df.withColumn("split", F.when(bucket < dev, "dev").when(bucket < val, "val").otherwise("test"))
 
 
+def positions(df: DataFrame, key: str = "subject_id") -> DataFrame:
+    """(key, position): the distinct keys and their places in ascending order, from 0. Ranges of keys are sorted apart; a range's
+    first place is the number of keys in the ranges before it."""
+    ranged = df.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
+    # the id holds the range above bit 33 and the row's place within it below
+    held = materialize(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    range_ = F.shiftrightunsigned("_id", 33)
+    sizes = held.groupBy(range_.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))  # a row per range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_range", before.alias("_before"))
+    within = F.col("_id") - F.shiftleft(range_, 33)
+    return held.join(F.broadcast(offsets), range_ == F.col("_range")).select(key, (F.col("_before") + within).alias("position"))
+
+
 def permuted_split(df: DataFrame, ratios: SplitRatios = SplitRatios(), seed: int = 42) -> DataFrame:
-    """The exact sizes of a seeded permutation of the sorted subjects. Subjects are gathered on the driver: for studies, not for corpora."""
-    if df.isEmpty():
-        return df.withColumn("split", F.lit(None).cast("string"))
-    ids = np.array(sorted(r[0] for r in df.select("subject_id").distinct().collect()))
-    order = ids[np.random.default_rng(seed).permutation(len(ids))]
-    dev, val = round(len(ids) * ratios.dev), round(len(ids) * ratios.val)
-    names = ["dev"] * dev + ["val"] * val + ["test"] * (len(ids) - dev - val)
-    table = df.sparkSession.createDataFrame(list(zip(order.tolist(), names, strict=True)), "subject_id long, split string")
-    return df.drop("split").join(table, "subject_id", "left")
+    """The exact sizes of a seeded permutation of the sorted subjects. The permutation is drawn in one task, which holds 8 bytes a
+    subject and writes it in pieces; subjects meet it by their places, and none reach the driver."""
+    placed = materialize(positions(df.where("subject_id IS NOT NULL")), "positions")
+    n = placed.count()
+    dev, val = round(n * ratios.dev), round(n * ratios.val)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            order = np.random.default_rng(seed).permutation(n)
+            for at in range(0, n, 1_000_000):
+                rank = np.arange(at, min(n, at + 1_000_000))
+                names = pa.array(["dev", "val", "test"]).take(pa.array((rank >= dev).astype(int) + (rank >= dev + val)))
+                yield pa.RecordBatch.from_arrays([pa.array(order[rank]), names], ["position", "split"])
+
+    drawn = df.sparkSession.range(1).coalesce(1).mapInArrow(draw, "position long, split string")
+    return df.drop("split").join(placed.join(drawn, "position").select("subject_id", "split"), "subject_id", "left")
 
 
 def overlapping_subjects(df: DataFrame) -> DataFrame:

@@ -34,6 +34,11 @@ def contrast_verdict(difference_low: Column, difference_high: Column, ratio_low:
     return F.when((difference_low > 0) & (ratio_low > 1), "supported").when((difference_low <= 0) & (difference_high >= 0), "inconclusive").otherwise("not supported")
 
 
+def gain_verdict(low: Column, point: Column, high: Column) -> Column:
+    """Whether B adds to A, by the interval of the gain."""
+    return F.when(low > 0, "supported").when((point > 0) & (high > 0), "inconclusive").otherwise("not supported")
+
+
 def recommendation(low: Column, point: Column, high: Column) -> Column:
     """Whether an external validation is justified by the interval of the gain."""
     return F.when(low > 0, "justified").when((point > 0) & (high > 0), "inconclusive").otherwise("not justified")

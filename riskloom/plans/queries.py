@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import bootstrap, metrics
-from riskloom.operators import adapters, battery, cohort, incremental, outcomes, registry, rulescore, scoring, sensitivity, signals, splits, strata, synthesis, verdicts
+from riskloom.operators import adapters, battery, cohort, incremental, outcomes, rulescore, scoring, sensitivity, signals, splits, strata, synthesis, verdicts
 from riskloom.sources import bindings as bind
-from riskloom.sources import synthetic
 
 OUTCOMES = ("mortality_30d", "mortality_90d", "mortality_1yr")
 
@@ -347,18 +346,11 @@ def failure_summary(s, d):
 
 
 def findings(s, d):
-    return synthesis.findings(_valid(s, d, "test"))
+    return synthesis.findings(_valid(s, d, "dev"), _valid(s, d, "test"))
 
 
-def pretraining_audit(s, d):
-    return registry.pretraining_audit(s).select("model", F.size("corpora").alias("corpora"), "exposed", "label")
-
-
-def simulated_predictions(s, d):
-    """Made-up scores for the first recording of every subject, summed up by category."""
-    index = splits.hashed_split(cohort.index_recordings(bind.records(s, d)))
-    made, _ = synthetic.simulate(index)
-    return made.groupBy("model_a_category").agg(F.count(F.lit(1)).alias("n"), F.avg("model_a_score").alias("mean_a"), F.avg("model_b_score").alias("mean_b"), F.count_if("mortality_30d").alias("events"))
+def discordant_readings(s, d):
+    return _rounded(synthesis.discordant_readings(strata.discordance(_valid(s, d, "test"), "mortality_30d", "model_a_score", "model_b_score")))
 
 
 def document_quality(s, d):
@@ -546,6 +538,11 @@ SELECT vec_id, {', '.join(f'round(item{k}, 8) AS item{k}' for k in range(1, 13))
     "waveform_embeddings": (waveform_embeddings, None),
     "failure_summary": (failure_summary, f"WITH {_PRED}, f AS (SELECT count(*) AS n, count(*) FILTER (NOT va) AS failed_a, count(*) FILTER (NOT vb) AS failed_b FROM pred) SELECT *, round(failed_a / n, 8) AS failure_rate_a, round(failed_b / n, 8) AS failure_rate_b, n - greatest(failed_a, failed_b) AS joint FROM f"),
     "findings": (findings, None),
+    "discordant_readings": (discordant_readings, f"""WITH {_PRED}, t AS {_T}, c AS (SELECT quantile_cont(b, 0.5) AS m FROM t),
+x AS (SELECT avg(y30::INT) FILTER (a < 15 AND b < m) AS ll, avg(y30::INT) FILTER (a < 15 AND b >= m) AS lh, avg(y30::INT) FILTER (a >= 15 AND b < m) AS hl, avg(y30::INT) FILTER (a >= 15 AND b >= m) AS hh, (count(*) FILTER (a < 15 AND b >= m))::DOUBLE / count(*) AS sh FROM t, c),
+u AS (SELECT unnest([{{'reading': 'share with B alone high', 'v': sh}}, {{'reading': 'risk difference where A is low', 'v': lh - ll}}, {{'reading': 'risk ratio where A is low', 'v': CASE WHEN ll > 0 THEN lh / ll ELSE 1 END}},
+  {{'reading': 'risk difference where A is high', 'v': hh - hl}}, {{'reading': 'risk ratio where A is high', 'v': CASE WHEN hl > 0 THEN hh / hl ELSE 1 END}}]) AS u FROM x)
+SELECT u.reading AS reading, round(u.v, 8) AS value FROM u"""),
     "incremental_gains": (incremental_gains, None),
     "model_comparison": (model_comparison, None),
     "performance_intervals": (performance_intervals, None),
@@ -559,12 +556,8 @@ u AS (SELECT y, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM v), m AS (SE
 SELECT vec_id, round(1 / (1 + exp(-(list_cosine_similarity(e, p.c) - list_cosine_similarity(e, q.c)))), 6) AS probability FROM v, (SELECT c FROM c WHERE y) p, (SELECT c FROM c WHERE NOT y) q"""),
     "inhospital_24h": (inhospital_24h, f"""WITH {_RECORDS}, {_ADMISSIONS}{_FIRST_STAY_24H} SELECT study_id, in_hospital_mortality, linked_hadm_id FROM rec LEFT JOIN fst USING (study_id)"""),
     "document_quality": (document_quality, f"WITH {_rank_sql('SELECT lang, n_chars AS s, quality AS y FROM documents JOIN labels USING (doc_id)', 'lang')} SELECT g AS lang, auroc, auprc FROM r"),
-    "pretraining_audit": (pretraining_audit, """SELECT model, len(list_filter(c, lambda x: x IS NOT NULL))::INT AS corpora, list_contains(c, 'MIMIC-IV-ECG') AS exposed,
-CASE WHEN list_contains(c, 'MIMIC-IV-ECG') THEN 'probing within the domain' WHEN len(c) = 0 THEN 'baseline without training' ELSE 'no known exposure' END AS label
-FROM (VALUES ('rule score', []::VARCHAR[]), ('waveform encoder', ['MIMIC-IV-ECG', 'PTB-XL']), ('image encoder', ['MIMIC-IV-ECG'])) t(model, c)"""),
     "prediction_validity": (prediction_validity, f"""WITH {_PRED} SELECT split, count(*) AS n, count_if(va)::BIGINT AS valid_a, count_if(vb)::BIGINT AS valid_b, count_if(va AND vb)::BIGINT AS valid_both,
 round(100.0::DOUBLE * count_if(va) / count(*), 8) AS percent_a, round(100.0::DOUBLE * count_if(vb) / count(*), 8) AS percent_b, round(100.0::DOUBLE * count_if(va AND vb) / count(*), 8) AS percent_both FROM pred GROUP BY 1"""),
-    "simulated_predictions": (simulated_predictions, None),
     "calibration": (calibration, None),
     "bootstrap_auroc": (bootstrap_auroc, None),
     "incremental_information": (incremental_information, None),

@@ -134,14 +134,15 @@ def read_recordings(spark: SparkSession, folder: str) -> DataFrame:
 
 def ineligible(criteria: Criteria = Criteria()) -> Column:
     """The first reason why a header isn't eligible, null where it is."""
-    listed = lambda xs: F.concat(F.lit("["), F.array_join(F.transform(xs, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    listed = lambda xs: F.array_join(xs, ", ")
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
     missing = F.filter(F.array(*map(F.lit, criteria.leads)), lambda x: ~F.array_contains("sig_name", x))
-    out = F.when(~F.col("fs").eqNullSafe(criteria.fs), F.concat(F.lit("Unexpected sampling rate: "), F.coalesce(F.col("fs").cast("string"), F.lit("none")), F.lit(f" Hz (expected {criteria.fs} Hz)")))
-    out = out.when(~F.col("sig_len").eqNullSafe(criteria.samples), F.concat(F.lit("Unexpected signal length: "), F.col("sig_len").cast("string"), F.lit(f" samples (expected {criteria.samples} samples)")))
+    out = F.when(~F.col("fs").eqNullSafe(criteria.fs), F.format_string(f"sampling rate is %s Hz, not {criteria.fs} Hz", said("fs")))
+    out = out.when(~F.col("sig_len").eqNullSafe(criteria.samples), F.format_string(f"signal length is %s samples, not {criteria.samples}", said("sig_len")))
     out = out.when(F.size(missing) > 0, F.concat(F.lit("Missing required leads: "), listed(missing)))
     if criteria.units:
         other = F.array_sort(F.array_distinct(F.filter("units", lambda u: u != criteria.units)))
-        out = out.when(F.size(other) > 0, F.concat(F.lit("Non-standard signal units found: "), listed(other)))
+        out = out.when(F.size(other) > 0, F.concat(F.lit(f"units other than {criteria.units}: "), listed(other)))
     return out
 
 

@@ -57,6 +57,6 @@ def test_synthesis_edges(spark):
     assert synthesis.correlation_p(0.5, 3) == pytest.approx(2 / 3) and synthesis.correlation_p(0.5, 2) == 1.0 and synthesis.correlation_p(1.0, 9) == 0.0 and synthesis.correlation_p(0.0, 9) == 1.0
     empty = spark.createDataFrame([], "subject_id long, model_a_score double, model_b_score double, model_a_valid boolean, model_b_valid boolean, model_a_category string, mortality_30d boolean")
     with pytest.raises(ValueError):
-        synthesis.findings(empty)
+        synthesis.findings(empty, empty)
     row = synthesis.failure_summary(spark.createDataFrame([(True, None), (False, True), (True, True), (None, True)], "model_a_valid boolean, model_b_valid boolean")).first()
     assert list(row) == [4, 2, 1, 0.5, 0.25, 2]

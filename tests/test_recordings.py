@@ -41,9 +41,9 @@ def test_headers_and_their_eligibility(spark, folder):
     assert (good.n_sig, good.fs, good.sig_len, good.duration_seconds) == (12, 500, 5000, 10.0) and tuple(good.sig_name) == CANONICAL
     assert set(good.units) == {"mV"} and set(good.adc_gain) == {200.0} and set(good.baseline) == {10} and good.comments == ["a comment", "another"]
     assert good.eligible and good.reason is None
-    assert got["slow"].reason == "Unexpected sampling rate: 250 Hz (expected 500 Hz)"
-    assert got["short"].reason == "Unexpected signal length: 4000 samples (expected 5000 samples)"
-    assert got["few"].reason == "Missing required leads: ['V6']" and got["micro"].reason == "Non-standard signal units found: ['uV']"
+    assert got["slow"].reason == "sampling rate is 250 Hz, not 500 Hz"
+    assert got["short"].reason == "signal length is 4000 samples, not 5000"
+    assert got["few"].reason == "Missing required leads: V6" and got["micro"].reason == "units other than mV: uV"
     assert (got["plain"].adc_gain, got["plain"].baseline, got["plain"].units) == ([200.0], [0], ["mV"])
     assert got["broken"].error.startswith("header:") and not got["broken"].eligible and got["empty"].error == "header: empty header"
 

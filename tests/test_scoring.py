@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom import cli
-from riskloom.operators import adapters, battery, registry, reports, scoring, splits
+from riskloom.operators import adapters, battery, reports, scoring, splits, synthesis
 from riskloom.sources import provenance, synthetic
 
 
@@ -102,12 +102,10 @@ def test_battery_runs_what_it_has_inputs_for(spark):
 
 def test_utility_and_claims(spark):
     gains = spark.createDataFrame([("auroc", 0.1, 0.05, 0.2), ("brier", 0.01, -0.01, 0.02)], "measure string, point double, low double, high double")
-    row = registry.utility_distinction(gains, 80.0, 1e-20).first()
-    assert row["adds_information"] and "p < 10^-15" in row["summary"] and "0.1000 (0.0500 to 0.2000)" in row["summary"] and len(row["missing"]) == 5
-    none = registry.utility_distinction(gains.where("measure = 'brier'")).first()
+    row = synthesis.utility_distinction(gains, 80.0, 1e-20).first()
+    assert row["adds_information"] and "p < 10^-15" in row["summary"] and "0.1000 (0.0500 to 0.2000)" in row["summary"] and "0.1500 wide" in row["boundary"]
+    none = synthesis.utility_distinction(gains.where("measure = 'brier'")).first()
     assert not none["adds_information"] and none["gain_auroc"] is None and "no test" in none["summary"]
-    assert {r["model"]: r["exposed"] for r in registry.pretraining_audit(spark).collect()} == {"rule score": False, "waveform encoder": True, "image encoder": True}
-    assert registry.analysis_registry(spark).groupBy("kind").count().orderBy("kind").collect()[0][1] == 6
     claim = spark.createDataFrame([("This was Externally Validated.",)], "text string")
     with pytest.raises(ValueError, match="externally validated"):
         reports.render("interpret", "real", {"findings": claim})
