@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import bootstrap, metrics
-from riskloom.operators import adapters, battery, cohort, incremental, outcomes, rulescore, scoring, sensitivity, signals, splits, strata, synthesis, verdicts
+from riskloom.operators import adapters, battery, cohort, images, incremental, outcomes, rulescore, scoring, sensitivity, signals, splits, strata, synthesis, verdicts
 from riskloom.sources import bindings as bind
 
 OUTCOMES = ("mortality_30d", "mortality_90d", "mortality_1yr")
@@ -341,6 +341,12 @@ def waveform_embeddings(s, d):
     return adapters.embed(recordings(s, d), lambda: adapters.SpectrumProjection(16), spec, 100, ["vec_id"])
 
 
+def recording_images(s, d):
+    """Every recording drawn in both layouts: size and digest of each file, and how many pixels are dark."""
+    drawn = [images.render(recordings(s, d), ["vec_id"], images.Sheet(layout)).withColumn("layout", F.lit(layout)) for layout in images.LAYOUTS]
+    return drawn[0].unionByName(drawn[1]).select("vec_id", "layout", F.octet_length("image").cast("long").alias("bytes"), F.sha2("image", 256).alias("sha256"), "dark", "is_valid", "error")
+
+
 def failure_summary(s, d):
     return _rounded(synthesis.failure_summary(bind.predictions(s, d)))
 
@@ -536,6 +542,7 @@ SELECT vec_id, {', '.join(f'round(item{k}, 8) AS item{k}' for k in range(1, 13))
     "lead_order": (lead_order, "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) SELECT vec_id, " + ", ".join(f"round({'-' if c == '-aVR' else ''}list_sum(x[{k + 1}:{k + 5}]), 6) AS lead{i + 1}" for i, c in enumerate(signals.CABRERA) for k in [5 * signals.CLINICAL.index(c.removeprefix('-'))]) + " FROM e"),
     "waveform_score": (waveform_score, None),
     "waveform_embeddings": (waveform_embeddings, None),
+    "recording_images": (recording_images, None),
     "failure_summary": (failure_summary, f"WITH {_PRED}, f AS (SELECT count(*) AS n, count(*) FILTER (NOT va) AS failed_a, count(*) FILTER (NOT vb) AS failed_b FROM pred) SELECT *, round(failed_a / n, 8) AS failure_rate_a, round(failed_b / n, 8) AS failure_rate_b, n - greatest(failed_a, failed_b) AS joint FROM f"),
     "findings": (findings, None),
     "discordant_readings": (discordant_readings, f"""WITH {_PRED}, t AS {_T}, c AS (SELECT quantile_cont(b, 0.5) AS m FROM t),

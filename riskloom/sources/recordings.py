@@ -1,9 +1,9 @@
-"""Binary recordings: a text header (.hea) and a file of 16-bit samples (.dat) each, read through Spark's file sources.
+"""Binary recordings: a text header (.hea) and one or more files of samples each, read through Spark's file sources.
 
 A header's first line is `name signals rate samples`, then a line per signal: `file format gain(baseline)/units resolution
-zero first checksum block description`. Lines after # are comments. Samples are little-endian, signal by signal within
-each time; the lowest value stands for a missing sample. Defined results: a header that can't be parsed keeps its row with
-a message in `error`; a record without its file of samples, or with too few of them, too; an empty folder gives no rows, nor does a file
+zero first checksum block description`. Lines after # are comments. Formats are those of `samples.BITS`, with samples per frame
+and byte offset; records of segments aren't read. Defined results: a header that can't be parsed keeps its row with
+a message in `error`; a record without a file of samples, with too few samples, or in another format, too; an empty folder gives no rows, nor does a file
 without a byte, which Spark's file sources leave out.
 """
 
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.signals import CANONICAL
 from riskloom.session import ship
+from riskloom.sources.samples import parse_format, read_file
 
 #: What a header leaves out.
-RATE, GAIN, UNITS, MISSING = 250.0, 200.0, "mV", -32768
+RATE, GAIN, UNITS = 250.0, 200.0, "mV"
 HEADER = {
     "record": "string", "record_name": "string", "n_sig": "int", "fs": "int", "sig_len": "long", "duration_seconds": "double", "sig_name": "array<string>", "units": "array<string>",
     "adc_gain": "array<double>", "baseline": "array<int>", "files": "array<string>", "formats": "array<string>", "comments": "array<string>", "error": "string",
@@ -53,12 +54,14 @@ def parse_header(text: str) -> dict:
     first = rows[0].split()
     if len(first) < 2:
         raise ValueError("no number of signals")
+    if "/" in first[0]:
+        raise ValueError("a record of segments")
     n_sig = int(first[1])
     fs = int(float(first[2].split("/")[0].split("(")[0])) if len(first) > 2 else int(RATE)
     sig_len = int(first[3]) if len(first) > 3 else 0
     if len(rows) - 1 < n_sig:
         raise ValueError(f"{len(rows) - 1} signal lines for {n_sig} signals")
-    out: dict = {"record_name": first[0].split("/")[0], "n_sig": n_sig, "fs": fs, "sig_len": sig_len, "duration_seconds": sig_len / fs if fs > 0 else 0.0, "comments": comments}
+    out: dict = {"record_name": first[0], "n_sig": n_sig, "fs": fs, "sig_len": sig_len, "duration_seconds": sig_len / fs if fs > 0 else 0.0, "comments": comments}
     for name in ("sig_name", "units", "adc_gain", "baseline", "files", "formats"):
         out[name] = []
     for row in rows[1 : n_sig + 1]:
@@ -99,24 +102,27 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
 def read_recordings(spark: SparkSession, folder: str) -> DataFrame:
     """(record, fs, leads, signal, units, error): physical values, one array per lead."""
     headers = read_headers(spark, folder)
-    data = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.dat").format("binaryFile").load(folder).select(F.col("path").alias("data_path"), "content")
-    beside = F.concat(F.regexp_extract("record", r"^(.*/)", 1), F.get("files", F.lit(0)))
-    joined = headers.withColumn("data_path", beside).join(data, "data_path", "left")
+    data = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(folder).where("path NOT LIKE '%.hea'").select(F.col("path").alias("data_path"), "content")
+    # one file of samples a row, then all files of a record together; a record has a few
+    parts = headers.select("record", F.explode(F.array_distinct("files")).alias("file"))
+    parts = parts.withColumn("data_path", F.concat(F.regexp_extract("record", r"^(.*/)", 1), "file")).join(data, "data_path")
+    held = parts.groupBy("record").agg(F.collect_list(F.struct("file", "content")).alias("contents"))
+    joined = headers.join(held, "record", "left")
     schema = "record string, fs int, leads array<string>, signal array<array<double>>, units array<string>, error string"
     arrow = pa.schema([("record", pa.string()), ("fs", pa.int32()), ("leads", pa.list_(pa.string())), ("signal", pa.list_(pa.list_(pa.float64()))), ("units", pa.list_(pa.string())), ("error", pa.string())])
 
     def decode(row: dict) -> list[np.ndarray]:
-        if set(row["formats"]) - {"16"} or len(set(row["files"])) != 1:
-            raise ValueError("only one file of 16-bit samples a record is supported")
-        if row["content"] is None:
-            raise ValueError("no file of samples")
-        raw, n = np.frombuffer(row["content"], "<i2"), row["n_sig"]
-        length = row["sig_len"] or len(raw) // n
-        if len(raw) < n * length:
-            raise ValueError(f"{len(raw) // n} of {length} samples")
-        raw = raw[: n * length].reshape(length, n).astype(float)
-        raw[raw == MISSING] = np.nan
-        return list(((raw - np.array(row["baseline"], float)) / np.array(row["adc_gain"], float)).T)
+        formats, contents = [parse_format(f) for f in row["formats"]], {c["file"]: c["content"] for c in row["contents"] or []}
+        signals: list[np.ndarray] = [np.zeros(0)] * row["n_sig"]
+        for file in dict.fromkeys(row["files"]):
+            if file not in contents:
+                raise ValueError("no file of samples")
+            at = [k for k, f in enumerate(row["files"]) if f == file]
+            for k, x in zip(at, read_file(contents[file], [formats[k] for k in at], row["sig_len"]), strict=True):
+                signals[k] = (x - row["baseline"][k]) / row["adc_gain"][k]
+        if len({len(x) for x in signals}) > 1:
+            raise ValueError("files of several lengths")
+        return signals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +135,7 @@ def read_recordings(spark: SparkSession, folder: str) -> DataFrame:
                         out["error"] = str(e)
                 yield pa.RecordBatch.from_pylist([out], arrow)
 
-    return joined.select("record", "fs", "n_sig", "sig_len", "sig_name", "units", "adc_gain", "baseline", "files", "formats", "error", "content").mapInArrow(run, schema)
+    return joined.select("record", "fs", "n_sig", "sig_len", "sig_name", "units", "adc_gain", "baseline", "files", "formats", "error", "contents").mapInArrow(run, schema)
 
 
 def ineligible(criteria: Criteria = Criteria()) -> Column:
