@@ -26,7 +26,7 @@ from riskloom.operators import adapters, battery, cohort, incremental, outcomes,
 from riskloom.operators.probe import Probe, fit_probe
 from riskloom.session import local_session, materialize
 from riskloom.sources import bindings as bind
-from riskloom.sources import paths, provenance, synthetic
+from riskloom.sources import files, paths, provenance, synthetic
 from riskloom.sources.recordings import waveforms_available
 from riskloom.sources.tables import save_table
 
@@ -143,8 +143,8 @@ def probe(c: Context) -> dict[str, DataFrame]:
     provenance.save_predictions(made, target)
     if embedded is not None:
         save_table(embedded, f"{c.args.out}/embeddings")
-    held = c.spark.read.parquet(target)
-    provenance.write_manifest(target, mode, **{k: v for k, v in provenance.run_manifest(held, mode, c.args.seed, fitted, c.args.model).items() if k != "mode"})
+    held = provenance.load_predictions(c.spark, target)
+    provenance.write_manifest(c.spark, target, mode, **{k: v for k, v in provenance.run_manifest(held, mode, c.args.seed, fitted, c.args.model).items() if k != "mode"})
     c.predictions, c.mode = held, mode
     history = c.spark.createDataFrame([(float(k), float(v), float(k) == fitted.best_c) for k, v in fitted.history.items()], "c double, log_loss double, chosen boolean")
     return {"probe": history, "validity": scoring.validity(held), "predictions": scoring.prediction_summary(held)}
@@ -213,16 +213,6 @@ def build_parser() -> argparse.ArgumentParser:
     return parser
 
 
-def _report(spark: SparkSession, path: str, text: str) -> None:
-    """A text file in any store that Spark reaches."""
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file, True)
-    try:
-        out.write(bytearray(text, "utf-8"))
-    finally:
-        out.close()
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = build_parser()
     args = parser.parse_args(argv)
@@ -238,7 +228,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 save_table(df, f"{args.out}/{name}/{table}")
             held = {table: c.spark.read.parquet(f"{args.out}/{name}/{table}") for table in found}
             mode = c.mode if name not in ("inventory", "cohort") else None
-            _report(c.spark, args.report_out if args.report_out and args.command == name else f"{args.out}/{name}/report.md", reports.render(name, mode, held))
+            files.write_text(c.spark, args.report_out if args.report_out and args.command == name else f"{args.out}/{name}/report.md", reports.render(name, mode, held))
         except (AnalysisException, FileNotFoundError, ValueError) as e:
             print(f"{name}: {e}", file=sys.stderr)
             return 1

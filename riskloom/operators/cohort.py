@@ -37,7 +37,7 @@ def link_admissions(records: DataFrame, admissions: DataFrame, pre_admit_hours:
     condition. Encounters that end before they start, or with a null end, have no pair."""
     shared = [c for c in admissions.columns if c in records.columns and c != "subject_id"]
     start = F.col("admit_dt") - F.expr(f"INTERVAL {int(pre_admit_hours)} HOURS")
-    span = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / (days * 86_400))
+    span = lambda t: F.floor(F.unix_date(F.to_date(t)) / days)
     a = admissions.drop(*shared).withColumnRenamed("subject_id", "_subject").withColumn("_start", start).where(F.col("_start") <= F.col("disch_dt"))
     a = a.withColumn("_span", F.explode(F.sequence(span(F.col("_start")), span(F.col("disch_dt")))))
     r = records.withColumn("_at", span(F.col("ecg_datetime")))

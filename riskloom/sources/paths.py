@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.sources import tables
+from riskloom.sources.files import exists
 
 #: Environment variables, defaults, and places below the roots, the first that exists wins.
 CLINICAL_ENV, RECORDING_ENVS = "MIMIC_ROOT", ("MIMIC_ECG_ROOT", "ECG_ROOT")
@@ -31,11 +32,6 @@ def resolve(clinical: str | None = None, recordings: str | None = None) -> DataP
     return DataPaths(*(p if ":" in p else os.path.abspath(os.path.expanduser(p)) for p in (clinical, recordings)))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
-
-
 def find(spark: SparkSession, base: str, candidates: tuple[str, ...]) -> str:
     """The first candidate that exists, else the first."""
     return next((p for c in candidates if exists(spark, p := f"{base}/{c}")), f"{base}/{candidates[0]}")

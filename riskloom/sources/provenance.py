@@ -6,35 +6,26 @@ import hashlib
 import json
 import subprocess
 from datetime import datetime, timezone
-from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.splits import verify_predictions
+from riskloom.sources import files
 from riskloom.sources.tables import load_table, save_table
 
 
-def sha256_of(path: str | Path) -> str:
-    """SHA-256 of a file, or of a table folder's data files in order of name."""
-    path, digest = Path(path), hashlib.sha256()
-    for file in sorted(p for p in path.rglob("*") if p.is_file() and p.name[0] not in "._") if path.is_dir() else [path]:
-        with file.open("rb") as f:
-            while piece := f.read(1 << 16):
-                digest.update(piece)
-    return digest.hexdigest()
+def manifest_of(spark: SparkSession, path: str) -> str | None:
+    """The manifest beside a table: by its whole name, its name without ending, or the run's."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    names = (f"{name}.manifest.json", f"{name.rpartition('.')[0] or name}.manifest.json", "run_manifest.json")
+    return next((p for n in names if files.exists(spark, p := f"{folder}/{n}" if folder else n)), None)
 
 
-def manifest_of(path: str | Path) -> Path | None:
-    path = Path(path)
-    names = (f"{path.name}.manifest.json", f"{path.stem}.manifest.json", "run_manifest.json")
-    return next((path.parent / n for n in names if (path.parent / n).exists()), None)
-
-
-def write_manifest(path: str | Path, mode: str, **more: object) -> Path:
-    path = Path(path)
-    out = path.parent / f"{path.name}.manifest.json"
-    out.write_text(json.dumps({"created": datetime.now(timezone.utc).isoformat(), "execution_mode": mode, "artifact_sha256": sha256_of(path), **more}, indent=1))
+def write_manifest(spark: SparkSession, path: str, mode: str, **more: object) -> str:
+    out = f"{path.rstrip('/')}.manifest.json"
+    files.write_text(spark, out, json.dumps({"created": datetime.now(timezone.utc).isoformat(), "execution_mode": mode, "artifact_sha256": files.sha256_of(spark, path), **more}, indent=1))
     return out
 
 
@@ -72,7 +63,7 @@ def run_manifest(df: DataFrame, mode: str, seed: int, probe: object = None, mode
 
 
 def save_predictions(df: DataFrame, path: str) -> None:
-    """Checks a table of predictions, then writes it: CSV or Parquet by the path's ending, Parquet without one."""
+    """Checks a table of predictions, then writes it in the format of the path's ending."""
     verify_predictions(df)
     save_table(df, path)
 
@@ -87,26 +78,24 @@ def load_predictions(spark: SparkSession, path: str) -> DataFrame:
 def load_verified(spark: SparkSession, path: str, real: bool = True, allow_unverified: bool = False) -> tuple[DataFrame, str]:
     """(table, mode). In real mode a missing, unreadable, simulated or mismatched manifest is an error, or with
     allow_unverified degrades the mode to `unverified`."""
-    problem, mode, found = None, "unverified", manifest_of(path)
+    problem, mode, found = None, "unverified", manifest_of(spark, path)
     if found is None:
         problem = "no manifest"
     else:
         try:
-            held = json.loads(found.read_text())
-        except ValueError:
-            held = None
+            held, digest = json.loads(files.read_text(spark, found)), files.sha256_of(spark, path)
+        except (ValueError, Py4JJavaError):  # no JSON, or a store that finds the file or the table damaged
+            held, digest = None, None
         if not isinstance(held, dict):
-            problem = "the manifest can't be read"
+            problem = "the manifest or the table can't be read"
         elif not held.get("execution_mode"):
             problem = "the manifest names no mode"
         elif real and held["execution_mode"] != "real":
             problem = f"made in {held['execution_mode']} mode"
-        elif held.get("artifact_sha256") != sha256_of(path):
+        elif held.get("artifact_sha256") != digest:
             problem = "the artifact's hash is missing or differs"
         else:
             mode = held["execution_mode"]
     if problem and real and not allow_unverified:
         raise ValueError(f"{path}: {problem}")
-    df = spark.read.parquet(str(path))
-    verify_predictions(df)
-    return df, "unverified" if problem else mode
+    return load_predictions(spark, path), "unverified" if problem else mode

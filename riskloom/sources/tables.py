@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.sources import files, ipc
+
 RECORD_LIST = "subject_id long, study_id long, file_name long, ecg_time string, path string"
 MEASUREMENTS = ("subject_id", "study_id", "cart_id", "rr_interval", "p_onset", "p_end", "qrs_onset", "qrs_end", "t_end", "p_axis", "qrs_axis", "t_axis")
 PATIENTS = "subject_id long, gender string, anchor_age long, anchor_year long, anchor_year_group string, dod string"
@@ -42,13 +46,26 @@ def load_admissions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_table(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """CSV where the path ends in .csv, else Parquet; of `columns` those that exist."""
+    """By the path's ending CSV or Arrow IPC, else Parquet; of `columns` those that exist."""
     out = df.select(*(c for c in columns if c in df.columns)) if columns else df
     if path.endswith(".csv"):
         out.write.mode("overwrite").option("header", True).csv(path)
+    elif path.endswith(ipc.ENDINGS):
+        ipc.write_ipc(out, path)
     else:
         out.write.mode("overwrite").parquet(path)
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    """By the path's ending; with another ending as Parquet, and as CSV where it isn't."""
+    csv = lambda: spark.read.option("header", True).option("inferSchema", True).csv(path)
+    if path.endswith(".csv"):
+        return csv()
+    if path.endswith(ipc.ENDINGS):
+        return ipc.read_ipc(spark, path)
+    try:
+        return spark.read.parquet(path)
+    except (PySparkException, Py4JJavaError):
+        if path.endswith(".parquet") or not files.exists(spark, path):
+            raise
+        return csv()

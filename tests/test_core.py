@@ -109,7 +109,7 @@ def test_probe_and_provenance(spark, tmp_path):
     bindings.predictions(spark, "/root/testdata/sf0.001").write.parquet(str(path))
     with pytest.raises(ValueError):
         provenance.load_verified(spark, str(path))
-    provenance.write_manifest(path, "real", seed=42)
+    provenance.write_manifest(spark, str(path), "real", seed=42)
     assert provenance.load_verified(spark, str(path))[1] == "real"
     (tmp_path / "p.parquet.manifest.json").write_text(json.dumps([1]))
     assert provenance.load_verified(spark, str(path), allow_unverified=True)[1] == "unverified"

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 import math
 
 import numpy as np
@@ -116,7 +117,7 @@ def test_real_mode_fails_closed(spark, tmp_path, capsys):
     out, data = str(tmp_path / "o"), "/root/testdata/sf0.001"
     assert cli.main(["probe", "--data", data, "--out", out], spark) == 1 and "no recordings" in capsys.readouterr().err
     assert cli.main(["probe", "--data", data, "--out", out, "--simulate", "--max-records", "40"], spark) == 0
-    manifest = json.loads(provenance.manifest_of(f"{out}/predictions.parquet").read_text())
+    manifest = json.loads(Path(provenance.manifest_of(spark, f"{out}/predictions.parquet")).read_text())
     assert manifest["execution_mode"] == "simulation" and manifest["rows"]["all"] == 40 and spark.read.parquet(f"{out}/predictions.parquet").count() == 40
     assert cli.main(["interpret", "--data", data, "--out", out], spark) == 1 and "simulation mode" in capsys.readouterr().err
     assert cli.main(["inventory", "--clinical-root", str(tmp_path), "--recordings-root", str(tmp_path), "--out", out], spark) == 1 and "not found" in capsys.readouterr().err
