@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import bootstrap, metrics
 from riskloom.operators import rulescore, sensitivity
 from riskloom.operators.probe import Probe, sigmoid
+from riskloom.session import materialize
 
 #: Name, penalty, inverse penalty, share of the absolute penalty.
 VARIANTS = (
@@ -56,9 +57,8 @@ def probability(probe: Probe, embedding: str) -> Column:
     return sigmoid(metrics.clip(probe.log_odds(F.col(embedding)), -LOGIT_BOUND, LOGIT_BOUND))
 
 
-def probe_variants(df: DataFrame, embedding: str, y: str, split: str = "split", primary: str | None = None) -> DataFrame:
-    """(variant, penalty, c, n, auroc, auprc, brier, log_loss, rank_correlation) on the test split, fitted on dev; the rank correlation is
-    with the column `primary`, or with the first variant's probabilities."""
+def rated_variants(df: DataFrame, embedding: str, y: str, split: str = "split", primary: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, _label, _primary, variant, penalty, c, p): the test rows once per variant, rated by a probe fitted on dev."""
     standard = Standard(df.where(F.col(split) == "dev"), embedding, y)
     try:
         fits = {name: standard.fit(c, ratio) for name, _, c, ratio in VARIANTS}
@@ -67,12 +67,28 @@ def probe_variants(df: DataFrame, embedding: str, y: str, split: str = "split",
     test = df.where(F.col(split) == "test").where(F.col(embedding).isNotNull() & F.col(y).isNotNull())
     against = F.col(primary) if primary else probability(fits[VARIANTS[0][0]], embedding)
     every = F.array(*(F.struct(F.lit(name).alias("variant"), F.lit(penalty).alias("penalty"), F.lit(c).alias("c"), probability(fits[name], embedding).alias("p")) for name, penalty, c, _ in VARIANTS))
-    long = test.select(F.col(y).alias("_label"), against.alias("_primary"), F.explode(every).alias("_v")).select("_label", "_primary", "_v.*")
+    return test.select(*keep, F.col(y).alias("_label"), against.alias("_primary"), F.explode(every).alias("_v")).select(*keep, "_label", "_primary", "_v.*")
+
+
+def probe_variants(df: DataFrame, embedding: str, y: str, split: str = "split", primary: str | None = None) -> DataFrame:
+    """(variant, penalty, c, n, auroc, auprc, brier, log_loss, rank_correlation) on the test split, fitted on dev; the rank correlation is
+    with the column `primary`, or with the first variant's probabilities."""
+    long = rated_variants(df, embedding, y, split, primary)
     groups = ["variant", "penalty", "c"]
     ranks = metrics.correlations(long, groups, "_primary", "p").select(*groups, F.col("spearman").alias("rank_correlation"))
     return metrics.proper_scores(long, groups, "_label", "p").join(metrics.discrimination(long, groups, "_label", "p"), groups).join(ranks, groups).select(*groups, "n", "auroc", "auprc", "brier", "log_loss", "rank_correlation")
 
 
+def probe_variant_intervals(df: DataFrame, embedding: str, y: str, key: str, split: str = "split", replicates: int = metrics.REPLICATES, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(variant, measure, low, high) of what probe_variants measures but the rank correlation. All variants share their replicates."""
+    long = materialize(rated_variants(df, embedding, y, split, keep=[key]), "rated")
+    parts = [bootstrap.draws(long, ["variant"], metric, "_label", "p", key, replicates, seed).withColumn("measure", F.lit(name)) for name, (metric, _, _) in bootstrap.METRICS.items()]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return metrics.interval(every, ["variant", "measure"], "value", level)
+
+
 def second_embedding(df: DataFrame, embedding: str, y: str, rule_score: str, primary: str, split: str = "split", key: str = "subject_id", replicates: int = metrics.REPLICATES, seed: int = 42) -> DataFrame:
     """(n, auroc, auprc, brier, delta_auroc, low, high, p, rank_correlation) of a probe on another embedding: its gain in AUROC over the rule score
     with an interval, and its rank correlation with the primary probabilities."""
@@ -127,23 +143,33 @@ def run(
     """Every analysis whose inputs are there, by name, and `directions`, which counts the gains in AUROC of all. scored: predictions of both models
     in all splits; the first outcome is the primary one; embeddings, second: subject_id, split, the primary outcome, embedding. Intervals
     are beside each comparison, all from one seed; with 0 replicates there are none."""
-    test, y = scored.where("split = 'test'"), outcomes[0]
-    compared = {"horizons": (sensitivity.by_horizon(test, outcomes), "horizon", "y")}
+    horizons = list(outcomes)
+    if records is not None and admissions is not None and "inhospital_mortality" not in scored.columns:
+        scored = sensitivity.with_inhospital(scored, records, admissions)
+        horizons.append("inhospital_mortality")
+    dev, test, y = scored.where("split = 'dev'"), scored.where("split = 'test'"), outcomes[0]
+    compared = {}
     if records is not None and admissions is not None:
         compared["anchoring"] = (sensitivity.index_cohorts(test, records, admissions), "cohort", y)
     if patients is not None:
         compared["subgroups"] = (sensitivity.by_subgroup(test, patients), "subgroup", y)
-    found = {}
+    found = {"horizons": sensitivity.horizon_battery(dev, test, horizons)}
+    if replicates:
+        found["horizons_intervals"] = sensitivity.horizon_intervals(dev, test, horizons, replicates=replicates, seed=seed)
     for name, (df, group, label) in compared.items():
         found[name] = sensitivity.compare(df, [group], label)
         if replicates:
             found[f"{name}_intervals"] = sensitivity.compare_intervals(df, [group], label, replicates=replicates, seed=seed)
+            if name == "subgroups":
+                found["subgroup_contrasts"] = sensitivity.gain_contrasts(df, group, label, replicates=replicates, seed=seed)
     if quality is not None:
         found["quality"] = quality_subset(test, quality, y)
     if scores:
         found["alternative_scores"] = alternative_scores(test, y, sensitivity.B, list(scores))
     if embeddings is not None:
         found["probe_variants"] = probe_variants(embeddings, "embedding", y)
+        if replicates:
+            found["probe_variants_intervals"] = probe_variant_intervals(embeddings, "embedding", y, "subject_id", replicates=replicates, seed=seed)
     if second is not None:
         beside = second.join(scored.select("subject_id", sensitivity.A, sensitivity.B), "subject_id")
         found["second_embedding"] = second_embedding(beside, "embedding", y, sensitivity.A, sensitivity.B, replicates=max(replicates, 1), seed=seed)

@@ -27,7 +27,7 @@ SECTIONS = {
         "nested": "Models of A, of B and of both, fitted on dev.", "gains": "What both gain over A on the test split.", "decision_curve": "Net benefit by threshold.",
     }),
     "sensitivity": ("Sensitivity analyses", {
-        "horizons": "A, B and B - A by horizon.", "anchoring": "By how the index recording was chosen.", "subgroups": "By age and sex; groups under five subjects are left out.", "probe_variants": "Probes with other penalties.",
+        "horizons": "A, B and B - A by horizon.", "anchoring": "By how the index recording was chosen.", "subgroups": "By age and sex; groups under five subjects are left out.", "subgroup_contrasts": "How the gain of B over A differs between two groups.", "probe_variants": "Probes with other penalties.",
         "quality": "All recordings and those of good quality.", "alternative_scores": "Other rule scores.", "second_embedding": "A probe on another encoder.", "directions": "How many differences favour B.",
     }),
     "interpret": ("Interpretation", {

@@ -127,3 +127,24 @@ def horizon_intervals(dev: DataFrame, test: DataFrame, horizons: Sequence[str],
     sums = resampling.weighted_sums(rated, ["horizon"], [F.lit(1.0), *squared], key, replicates, seed).where("s0 > 0")
     draws = sums.select("horizon", (F.col("s1") / F.col("s0")).alias("brier_a"), (F.col("s2") / F.col("s0")).alias("brier_b")).withColumn("delta_brier", F.col("brier_a") - F.col("brier_b"))
     return ranks.unionByName(_measured(draws, ["horizon"], ["brier_a", "brier_b", "delta_brier"], replicates))
+
+
+def gain_contrasts(df: DataFrame, group: str, y: str, key: str = "subject_id", replicates: int = metrics.REPLICATES, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(first, second, gain_first, gain_second, contrast, low, high, p): how the gain in AUROC of B over A differs between each two groups,
+    in order of their names. Groups may share subjects: a subject counts as often in one group's replicate as in the other's. p is
+    two-sided and no less than 1 / replicates. One group gives no row; a group of one class has gain 0."""
+    d = _complete(df, y)
+    gain = compare(d, [group], y).select(group, "delta_auroc")
+    draws = materialize(_beside(bootstrap.discrimination_draws(d, [group], y, [A, B], key, replicates, seed), [group, "replicate"]).select(group, "replicate", "delta_auroc"), "gains")
+
+    def beside(rows: DataFrame, on: list[str]) -> DataFrame:
+        one = rows.select(F.col(group).alias("first"), *on, F.col("delta_auroc").alias("gain_first"))
+        two = rows.select(F.col(group).alias("second"), *on, F.col("delta_auroc").alias("gain_second"))
+        met = one.join(two, on) if on else one.join(two, F.col("first") < F.col("second"))
+        return met.where("first < second").withColumn("contrast", F.col("gain_first") - F.col("gain_second"))
+
+    # a row per pair of groups and replicate
+    drawn = beside(draws, ["replicate"])
+    tails = drawn.groupBy("first", "second").agg(F.least(F.avg((F.col("contrast") <= 0).cast("double")), F.avg((F.col("contrast") >= 0).cast("double"))).alias("_t"))
+    out = beside(materialize(gain, "points"), []).join(metrics.interval(drawn, ["first", "second"], "contrast", level), ["first", "second"]).join(tails, ["first", "second"])
+    return out.withColumn("p", metrics.clip(2.0 * F.col("_t"), 1.0 / replicates, 1.0)).drop("_t")

@@ -230,6 +230,10 @@ def subgroup_comparison_intervals(s, d):
     return sensitivity.compare_intervals(_by_subgroup(s, d), ["subgroup"], "mortality_30d")
 
 
+def subgroup_contrasts(s, d):
+    return sensitivity.gain_contrasts(_by_subgroup(s, d), "subgroup", "mortality_30d")
+
+
 def _index_cohorts(s, d):
     return sensitivity.index_cohorts(_valid(s, d, "test"), bind.records(s, d), bind.admissions(s, d))
 
@@ -431,6 +435,10 @@ def probe_variants(s, d):
     return battery.probe_variants(_embedded(s, d), "embedding", "y")
 
 
+def probe_variant_intervals(s, d):
+    return battery.probe_variant_intervals(_embedded(s, d), "embedding", "y", "vec_id")
+
+
 def inhospital_24h(s, d):
     return outcomes.inhospital_mortality(bind.records(s, d), bind.admissions(s, d), 24)
 
@@ -519,6 +527,7 @@ SELECT cm.*, round(ba, 6) AS brier_a, round(bb, 6) AS brier_b, round(ba - bb, 6)
     "horizon_battery_intervals": (horizon_battery_intervals, None),
     "subgroup_comparison": (subgroup_comparison, f"WITH {_PRED}, {_PATIENTS}, {_compare_sql(_SUBGROUPS, 'subgroup')}"),
     "subgroup_comparison_intervals": (subgroup_comparison_intervals, None),
+    "subgroup_contrasts": (subgroup_contrasts, None),
     "admission_anchoring": (admission_anchoring, f"WITH {_RECORDS}, {_ADMISSIONS}, {_PRED}, {_compare_sql(_INDEXED, 'cohort')}"),
     "admission_anchoring_intervals": (admission_anchoring_intervals, None),
     "stratified_risk": (stratified_risk, f"WITH {_PRED}, {_rank_sql(f'SELECT cat, b AS s, y30::INT AS y FROM {_T}', 'cat')} SELECT c.category, count(t.cat) AS n, coalesce(sum(y30::INT), 0)::BIGINT AS events, round(coalesce(avg(y30::INT), 0), 8) AS rate, round(avg(b), 8) AS mean_b, round(stddev_pop(b), 8) AS sd_b, round(quantile_cont(b, 0.25), 8) AS q25_b, round(quantile_cont(b, 0.5), 8) AS median_b, round(quantile_cont(b, 0.75), 8) AS q75_b, CASE WHEN sum(y30::INT) > 0 AND sum(y30::INT) < count(t.cat) THEN any_value(r.auroc) END AS auroc, CASE WHEN sum(y30::INT) > 0 AND sum(y30::INT) < count(t.cat) THEN any_value(r.auprc) END AS auprc FROM (SELECT unnest({list(strata.CATEGORIES)}) AS category) c LEFT JOIN {_T} t ON t.cat = c.category LEFT JOIN r ON r.g = c.category GROUP BY c.category"),
@@ -555,6 +564,7 @@ SELECT u.reading AS reading, round(u.v, 8) AS value FROM u"""),
     "performance_intervals": (performance_intervals, None),
     "discordance_intervals": (discordance_intervals, None),
     "probe_variants": (probe_variants, None),
+    "probe_variant_intervals": (probe_variant_intervals, None),
     "discordance_by_medians": (discordance_by_medians, f"WITH {_PRED}, t AS {_T}, c AS (SELECT quantile_cont(a, 0.5) AS ma, quantile_cont(b, 0.5) AS mb FROM t), x AS (SELECT 'A-' || CASE WHEN a >= ma THEN 'high' ELSE 'low' END || '/B-' || CASE WHEN b >= mb THEN 'high' ELSE 'low' END AS quadrant, y30 FROM t, c) SELECT q.quadrant, count(y30) AS n, coalesce(sum(y30::INT), 0)::BIGINT AS events, round(coalesce(avg(y30::INT), 0), 8) AS rate FROM (SELECT unnest({[q for q, _, _ in strata.QUADRANTS]}) AS quadrant) q LEFT JOIN x USING (quadrant) GROUP BY q.quadrant"),
     "decile_calibration": (decile_calibration, f"""WITH {_PRED}, t AS {_T}, e AS (SELECT list_sort(list_distinct(quantile_cont(b, [k / 10.0::DOUBLE for k in range(11)]))) AS eb FROM t)
 SELECT len(list_filter(eb[2:-2], lambda x: x <= b))::INT AS bin, count(*) AS n, sum(y30::INT)::BIGINT AS events, round(avg(y30::INT), 8) AS observed, round(avg(b), 8) AS predicted, round(min(b), 8) AS low, round(max(b), 8) AS high FROM t, e GROUP BY ALL"""),

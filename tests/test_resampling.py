@@ -63,3 +63,50 @@ def test_empty_tables(rows):
     none = rows.where("subject_id < -1")
     assert bootstrap.draws(none, ["g"], bootstrap.auroc, "y", "b", "subject_id", 10, 1).count() == 0
     assert bootstrap.draws(none, ["g"], bootstrap.brier, "y", "b", "subject_id", 10, 1).count() == 0
+
+
+def test_contrasts_of_gains_equal_plain_python(spark):
+    """Two groups that share subjects, on replicates that they share."""
+    from riskloom.operators import sensitivity
+
+    rng = np.random.default_rng(8)
+    data = []
+    for i in range(240):
+        a, b = float(rng.random()), float(rng.random())
+        y = bool(rng.random() < (0.2 + 0.6 * (b if i % 2 else a)))
+        data += [(i, g, a, b, y) for g in (("odd", "all") if i % 2 else ("even", "all"))]
+    df = spark.createDataFrame(data, "subject_id long, g string, model_a_score double, model_b_score double, y boolean").repartition(3)
+    got = {(r["first"], r["second"]): r for r in sensitivity.gain_contrasts(df, "g", "y", replicates=50, seed=3).collect()}
+    assert set(got) == {("all", "even"), ("all", "odd"), ("even", "odd")}
+    hashes = {r.subject_id: r.h for r in df.select("subject_id", F.xxhash64("subject_id").alias("h")).distinct().collect()}
+
+    def auroc(y, s, w):
+        less = (s[:, None] < s[None, :]) + 0.5 * (s[:, None] == s[None, :])
+        pairs = (w * (1 - y))[:, None] * (w * y)[None, :]
+        return (less * pairs).sum() / pairs.sum()
+
+    def gain(g, column):
+        rows = [r for r in data if r[1] == g]
+        y, a, b = (np.array([r[k] for r in rows], float) for k in (4, 2, 3))
+        w = np.ones(len(rows)) if column is None else resampling.counts(np.array([hashes[r[0]] for r in rows]), 50, 3)[:, column]
+        return auroc(y, b, w) - auroc(y, a, w)
+
+    for (g, h), r in got.items():
+        draws = np.array([gain(g, k) - gain(h, k) for k in range(50)])
+        assert r.contrast == pytest.approx(gain(g, None) - gain(h, None)) and (r.low, r.high) == pytest.approx((np.percentile(draws, 2.5), np.percentile(draws, 97.5)))
+        assert r.p == pytest.approx(min(max(2 * min(np.mean(draws <= 0), np.mean(draws >= 0)), 1 / 50), 1))
+    assert sensitivity.gain_contrasts(df.where("g = 'all'"), "g", "y", replicates=5).collect() == []
+
+
+def test_intervals_of_probes_hold_their_points(spark):
+    from riskloom.operators import battery
+
+    rng = np.random.default_rng(1)
+    data = []
+    for i in range(400):
+        x = rng.normal(0, 1, 4)
+        data.append((i, ("dev", "test")[i % 2], x.tolist(), bool(rng.random() < 1 / (1 + np.exp(-x[0] - x[1])))))
+    df = spark.createDataFrame(data, "k long, split string, e array<double>, y boolean").cache()
+    points = {r.variant: r for r in battery.probe_variants(df, "e", "y").collect()}
+    got = battery.probe_variant_intervals(df, "e", "y", "k", replicates=60).collect()
+    assert len(got) == 4 * len(battery.VARIANTS) and all(r.low <= points[r.variant][r.measure] <= r.high for r in got)

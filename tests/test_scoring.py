@@ -96,7 +96,7 @@ def test_battery_runs_what_it_has_inputs_for(spark):
     assert set(alone) == {"horizons", "directions"} and [r["horizon"] for r in alone["horizons"].collect()] == ["mortality_30d"]
     people = spark.range(600).select(F.col("id").alias("subject_id"), F.when(F.col("id") < 4, "M").otherwise("F").alias("gender"), F.when(F.col("id") % 2 == 0, 70).cast("long").alias("anchor_age"))
     more = battery.run(made, ("mortality_30d",), patients=people, embeddings=embedded, quality=F.col("subject_id") % 2 == 0, scores=["model_a_score"], replicates=5)
-    assert set(more) == {"horizons", "horizons_intervals", "subgroups", "subgroups_intervals", "quality", "alternative_scores", "probe_variants", "directions"}
+    assert set(more) == {"horizons", "horizons_intervals", "subgroups", "subgroups_intervals", "subgroup_contrasts", "quality", "alternative_scores", "probe_variants", "probe_variants_intervals", "directions"}
     assert {r["subgroup"] for r in more["subgroups"].collect()} == {">=65", "F"}
     assert more["directions"].first()["comparisons"] == 1 + 2 + 2 + 1
 
