@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import bootstrap, metrics
-from riskloom.operators import adapters, battery, cohort, incremental, outcomes, reports, scoring, sensitivity, splits, strata, synthesis
+from riskloom.operators import adapters, battery, cohort, figures, incremental, outcomes, reports, scoring, sensitivity, splits, strata, synthesis
 from riskloom.operators.probe import Probe, fit_probe
 from riskloom.session import local_session, materialize
 from riskloom.sources import bindings as bind
@@ -110,12 +110,12 @@ class Context:
         return self.derived()[0]
 
     @cached_property
-    def nested(self) -> tuple[DataFrame, DataFrame, float, float]:
-        """(models, gains, likelihood ratio, p) of nested models, fitted once a run."""
+    def nested(self) -> tuple[DataFrame, DataFrame, float, float, DataFrame]:
+        """(models, gains, likelihood ratio, p, rated test rows) of nested models, fitted once a run."""
         dev, test = self.scored.where("split = 'dev'"), self.scored.where("split = 'test'")
         table, scored, _ = incremental.nested_models(dev, test, OUTCOMES[0], A, B)
         gains = materialize(incremental.gains(scored, OUTCOMES[0], replicates=self.replicates, seed=self.args.seed), "gains")
-        return table, gains, *incremental.likelihood_ratio(table)
+        return table, gains, *incremental.likelihood_ratio(table), scored
 
     @property
     def scored(self) -> DataFrame:
@@ -155,13 +155,14 @@ def analyze(c: Context) -> dict[str, DataFrame]:
     if test.isEmpty():
         raise ValueError("no rows of the test split that both models scored")
     quadrants = strata.discordance(test, y, A, B)
-    table, gains, _, _ = c.nested
+    table, gains, _, _, nested = c.nested
     rated = test.withColumn("p_a", incremental.calibrated(dev, test, A, y))
     return {
         "discrimination": metrics.discrimination(test, [], y, B), "proper_scores": metrics.proper_scores(test, [], y, B), "correlations": metrics.correlations(test, [], A, B),
         "comparison": bootstrap.compare_models(rated, [], y, A, B, "p_a", B, **own), "stratified_risk": strata.stratified_risk(test, "model_a_category", y, B), "tertiles": strata.tertiles_within(test, "model_a_category", y, B),
         "discordance": quadrants, "discordance_intervals": strata.discordance_intervals(test, y, A, B, **own), "risk_contrasts": strata.risk_contrasts(quadrants), "nested": table, "gains": gains,
-        "decision_curve": strata.decision_curve(test, y, B),
+        "decision_curves": strata.decision_curves(nested, y, {"a": "p_a", "b": B, "ab": "p_ab"}), "smoother": strata.smoother(test, A, B), "risk_surface": strata.risk_surface(test, y, A, B),
+        "calibration": c.spark.createDataFrame([metrics.calibration(test, y, B)], "slope double, intercept double"), "deciles": strata.decile_calibration(test, y, B).orderBy("bin"),
     }
 
 
@@ -178,7 +179,7 @@ def battery_of(c: Context) -> dict[str, DataFrame]:
 
 
 def interpret(c: Context) -> dict[str, DataFrame]:
-    _, gains, lrt, p = c.nested
+    _, gains, lrt, p, _ = c.nested
     return {
         "failures": synthesis.failure_summary(c.predictions), "utility": synthesis.utility_distinction(gains, lrt, p),
         "findings": synthesis.findings(c.predictions.where("split = 'dev'"), c.predictions.where("split = 'test'"), replicates=c.replicates, seed=c.args.seed, gains=gains),
@@ -209,6 +210,8 @@ def build_parser() -> argparse.ArgumentParser:
         p.add_argument("--checkpoint-path", help="folder in which scoring goes on where it stopped")
         p.add_argument("--max-records", type=int, help="keep the first subjects only")
         p.add_argument("--report-out", help="the report's path")
+        p.add_argument("--generate-figures", action=argparse.BooleanOptionalAction, default=True, help="write the charts of the primary results")
+        p.add_argument("--skip-figures", action="store_true", help="write no charts")
         p.add_argument("--verbose", action="store_true")
     return parser
 
@@ -227,6 +230,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for table, df in found.items():
                 save_table(df, f"{args.out}/{name}/{table}")
             held = {table: c.spark.read.parquet(f"{args.out}/{name}/{table}") for table in found}
+            if name == "analyze" and args.generate_figures and not args.skip_figures:
+                for chart, content in figures.draw(held).items():
+                    files.write_bytes(c.spark, f"{args.out}/figures/{chart}.png", content)
             mode = c.mode if name not in ("inventory", "cohort") else None
             files.write_text(c.spark, args.report_out if args.report_out and args.command == name else f"{args.out}/{name}/report.md", reports.render(name, mode, held))
         except (AnalysisException, FileNotFoundError, ValueError) as e:

@@ -24,7 +24,8 @@ SECTIONS = {
     "analyze": ("Primary results", {
         "discrimination": "AUROC and AUPRC of B on the test split.", "proper_scores": "Log-loss and Brier score of B.", "correlations": "Agreement of A and B by value and by rank.", "comparison": "Gains of B over A; above zero B is better.",
         "stratified_risk": "Risk by category of A.", "tertiles": "Risk by thirds of B within each category of A.", "discordance": "Quadrants of A and B.", "risk_contrasts": "Differences and ratios of risk between quadrants.",
-        "nested": "Models of A, of B and of both, fitted on dev.", "gains": "What both gain over A on the test split.", "decision_curve": "Net benefit by threshold.",
+        "nested": "Models of A, of B and of both, fitted on dev.", "gains": "What both gain over A on the test split.", "decision_curves": "Net benefit of A, B, both and of treating all, by threshold.",
+        "smoother": "What B is expected to be at a score of A.", "risk_surface": "Risk by fifths of both scores.", "calibration": "Slope and intercept of the outcome on the log odds of B.", "deciles": "Observed and predicted risk by tenths of B.",
     }),
     "sensitivity": ("Sensitivity analyses", {
         "horizons": "A, B and B - A by horizon.", "anchoring": "By how the index recording was chosen.", "subgroups": "By age and sex; groups under five subjects are left out.", "subgroup_contrasts": "How the gain of B over A differs between two groups.", "probe_variants": "Probes with other penalties.",

@@ -129,6 +129,17 @@ def decision_curve(df: DataFrame, y: str, p: str, thresholds: tuple[float, ...]
     return s.select("threshold", (F.col("tp") / F.col("n") - F.col("fp") / F.col("n") * odds).alias("net_benefit"), (F.col("e") / F.col("n") - (F.col("n") - F.col("e")) / F.col("n") * odds).alias("treat_all"))
 
 
+def decision_curves(df: DataFrame, y: str, models: dict[str, str], thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """(threshold, net_benefit_<model> of each, treat_all) over the rows that all models rate; models: name -> column of probabilities."""
+    d = df.dropna(subset=list(models.values())).select(F.col(y).cast("double").alias("_y"), *models.values(), F.explode(F.array(*(F.lit(t) for t in thresholds))).alias("threshold"))
+    odds, n = F.col("threshold") / (1.0 - F.col("threshold")), F.count(F.lit(1))
+    part = lambda p, term: F.sum(F.when(F.col(p) >= F.col("threshold"), term).otherwise(0.0))
+    sums = [x for m, p in models.items() for x in (part(p, F.col("_y")).alias(f"tp_{m}"), part(p, 1.0 - F.col("_y")).alias(f"fp_{m}"))]
+    s = d.groupBy("threshold").agg(n.alias("n"), F.sum("_y").alias("e"), *sums)
+    benefit = lambda tp, fp: F.col(tp) / F.col("n") - F.col(fp) / F.col("n") * odds
+    return s.select("threshold", *(benefit(f"tp_{m}", f"fp_{m}").alias(f"net_benefit_{m}") for m in models), (F.col("e") / F.col("n") - (F.col("n") - F.col("e")) / F.col("n") * odds).alias("treat_all"))
+
+
 def score_distribution(df: DataFrame, y: str, score: str) -> DataFrame:
     d = df.select(F.col(y).cast("int").alias("outcome"), F.col(score).alias("_s"))
     moments = d.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("_s").alias("mean"), F.stddev_pop("_s").alias("sd"))

@@ -24,15 +24,19 @@ def qualified(spark: SparkSession, path: str) -> str:
     return f"file://{found.removeprefix('file:')}" if found.startswith("file:/") and not found.startswith("file://") else found
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     file, system = _open(spark, path)
     out = system.create(file, True)
     try:
-        out.write(bytearray(text, "utf-8"))
+        out.write(bytearray(content))
     finally:
         out.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     file, system = _open(spark, path)
     stream = system.open(file)
