@@ -62,7 +62,7 @@ def discordant_readings(quadrants: DataFrame) -> DataFrame:
 def findings(dev: DataFrame, test: DataFrame, y: str = "mortality_30d", key: str = "subject_id", replicates: int = metrics.REPLICATES, seed: int = 42, gains: DataFrame | None = None) -> DataFrame:
     """(finding, value, low, high, verdict) over the test rows that both models scored: H1, the rank correlation; H2, residual gradients within
     the categories of A; H3, what a high B adds to the risk where A is low; H4, the gain in AUROC of A and B together over A alone,
-    fitted on dev, which also decides on external validation. `gains`, as incremental.gains gives them, spares the fit. An empty table is an error."""
+    fitted on dev, which also decides whether a study on other data is justified. `gains`, as incremental.gains gives them, spares the fit. An empty table is an error."""
     usable = lambda df: df.where("model_a_valid AND model_b_valid").where(F.col(y).isNotNull())
     df = usable(test)
     spark = df.sparkSession
@@ -83,14 +83,14 @@ def findings(dev: DataFrame, test: DataFrame, y: str = "mortality_30d", key: str
         ("H1", "rank correlation", found["spearman"], None, None), ("H2", "mean gradient ratio", strong["mean"], None, None),
         ("H3", "risk difference where A is low", *bounds(low_rd)), ("", "risk ratio where A is low", *bounds(low_rr)), ("", "risk difference where A is high", *bounds(held["rd_a_high"])),
         *(("", name, readings[name], None, None) for name in ("risk ratio where A is high", "share with B alone high")),
-        ("H4", "gain in AUROC", *bounds(gain)), ("", "external validation", *bounds(gain)),
+        ("H4", "gain in AUROC", *bounds(gain)), ("", "study on other data", *bounds(gain)),
     ]
     t = spark.createDataFrame([(f"{h}: {name}" if h else name, None if v is None else float(v), low, high) for h, name, v, low, high in rows], "finding string, value double, low double, high double")
     is_ = lambda name: F.col("finding") == name
     aligned = F.concat_ws(", ", verdicts.correlation_verdict(F.col("value"), F.lit(correlation_p(found["spearman"], found["n"]))), rulescore.alignment_strength(F.col("value")))
     verdict = F.when(is_("H1: rank correlation"), aligned).when(is_("H2: mean gradient ratio"), verdicts.gradient_verdict(F.lit(strong["meaningful"]), F.lit(strong["groups"])))
     verdict = verdict.when(is_("H3: risk difference where A is low"), verdicts.contrast_verdict(F.col("low"), F.col("high"), F.lit(low_rr["low"])))
-    verdict = verdict.when(is_("H4: gain in AUROC"), verdicts.gain_verdict(F.col("low"), F.col("value"), F.col("high"))).when(is_("external validation"), verdicts.recommendation(F.col("low"), F.col("value"), F.col("high")))
+    verdict = verdict.when(is_("H4: gain in AUROC"), verdicts.gain_verdict(F.col("low"), F.col("value"), F.col("high"))).when(is_("study on other data"), verdicts.recommendation(F.col("low"), F.col("value"), F.col("high")))
     return t.select("finding", "value", "low", "high", verdict.alias("verdict"))
 
 

@@ -91,7 +91,7 @@ def test_validity_counts_nulls_as_failures(spark):
 
 
 def test_battery_runs_what_it_has_inputs_for(spark):
-    made, embedded = synthetic.simulate(index(spark, 600), 3)
+    made, embedded = (df.cache() for df in synthetic.simulate(index(spark, 600), 3))
     alone = battery.run(made, ("mortality_30d", "no_such_column"), replicates=0)
     assert set(alone) == {"horizons", "directions"} and [r["horizon"] for r in alone["horizons"].collect()] == ["mortality_30d"]
     people = spark.range(600).select(F.col("id").alias("subject_id"), F.when(F.col("id") < 4, "M").otherwise("F").alias("gender"), F.when(F.col("id") % 2 == 0, 70).cast("long").alias("anchor_age"))

@@ -41,7 +41,7 @@ def test_findings_judge_the_joint_gain_and_the_discordant_groups(spark):
     y, a, b = (np.array([r[k] for r in rows if r[1] == "test"], float) for k in (5, 2, 3))
     auroc = lambda s: np.mean(s[y == 1][:, None] > s[y == 0])
     assert auroc(b) < auroc(a) and got["H4: gain in AUROC"].low > 0
-    assert got["H4: gain in AUROC"].verdict == "supported" and got["external validation"].verdict == "justified"
+    assert got["H4: gain in AUROC"].verdict == "supported" and got["study on other data"].verdict == "justified"
     high = np.median(b)
     rate = lambda m: y[m].mean()
     low_rd = rate((a < 15) & (b >= high)) - rate((a < 15) & (b < high))
