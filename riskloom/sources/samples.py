@@ -1,6 +1,7 @@
 """Samples of signal files from packed bytes, by numpy.
 
-A file's signals share a format and lie frame by frame; a signal may have several samples a frame, which are averaged.
+A file's signals share a format and lie frame by frame; a signal may have several samples a frame, which are averaged. A signal with a skew of s
+frames starts s frames later in the file; what the file doesn't hold of its end is missing.
 """
 
 from __future__ import annotations
@@ -67,16 +68,20 @@ def read_file(raw: bytes, formats: list[Format], length: int) -> np.ndarray:
     code, offset = formats[0].code, formats[0].offset
     if any((f.code, f.offset) != (code, offset) for f in formats):
         raise ValueError("signals of one file differ in format")
-    if any(f.skew for f in formats):
-        raise ValueError("skewed signals aren't supported")
     frame = sum(f.per_frame for f in formats)
     raw = raw[offset:]
     size, each = PACKED.get(code, (BITS[code] // 8, 1))
     held = len(raw) * each // size // frame
-    length = length or held
+    most = max(f.skew for f in formats)
+    length = length or max(0, held - most)
     if held < length:
         raise ValueError(f"{held} of {length} samples")
-    x = unpack(raw, code, length * frame).reshape(length, frame).astype(float)
+    frames = min(held, length + most)
+    x = unpack(raw, code, frames * frame).reshape(frames, frame).astype(float)
     x[x == -(1 << (BITS[code] - 1))] = np.nan
+    out = np.full((len(formats), length), np.nan)
     ends = np.cumsum([f.per_frame for f in formats])
-    return np.stack([x[:, end - f.per_frame : end].mean(1) for f, end in zip(formats, ends, strict=True)])
+    for row, f, end in zip(out, formats, ends, strict=True):
+        own = x[f.skew : f.skew + length, end - f.per_frame : end].mean(1)
+        row[: len(own)] = own
+    return out
