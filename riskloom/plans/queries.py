@@ -10,6 +10,8 @@ from riskloom.operators import adapters, battery, cohort, images, incremental, o
 from riskloom.sources import bindings as bind
 
 OUTCOMES = ("mortality_30d", "mortality_90d", "mortality_1yr")
+#: Replicates of queries that return points only, which don't depend on them.
+FEW = 2
 
 _RECORDS = "rec AS (SELECT o_custkey AS subject_id, o_orderkey AS study_id, o_orderdate AS ecg_datetime, year(o_orderdate)::BIGINT AS ecg_year FROM orders)"
 _PATIENTS = """pat AS (SELECT c_custkey AS subject_id, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, 12 + c_custkey % 70 AS anchor_age, 1998 AS anchor_year,
@@ -359,6 +361,10 @@ def findings(s, d):
     return synthesis.findings(_valid(s, d, "dev"), _valid(s, d, "test"))
 
 
+def finding_points(s, d):
+    return _rounded(synthesis.findings(_valid(s, d, "dev"), _valid(s, d, "test"), replicates=FEW).select("finding", "value"), 6)
+
+
 def discordant_readings(s, d):
     return _rounded(synthesis.discordant_readings(strata.discordance(_valid(s, d, "test"), "mortality_30d", "model_a_score", "model_b_score")))
 
@@ -370,7 +376,7 @@ def document_quality(s, d):
 
 def calibration(s, d):
     slope, intercept = metrics.calibration(_valid(s, d, "test"), "mortality_30d", "model_b_score")
-    return s.createDataFrame([(slope, intercept)], "slope double, intercept double")
+    return _rounded(s.createDataFrame([(slope, intercept)], "slope double, intercept double"), 6)
 
 
 def bootstrap_auroc(s, d):
@@ -381,29 +387,61 @@ def bootstrap_auroc(s, d):
 def incremental_information(s, d):
     table, _, _ = incremental.nested_models(_valid(s, d, "dev"), _valid(s, d, "test"), "mortality_30d", "model_a_score", "model_b_score")
     gain, p = incremental.likelihood_ratio(table)
-    return table.withColumn("lrt", F.lit(gain)).withColumn("p_value", F.lit(p))
+    return _rounded(table.withColumn("lrt", F.lit(gain)).withColumn("p_value", F.lit(p)), 6)
 
 
-def incremental_gains(s, d):
+def _gains(s, d, replicates):
     _, scored, _ = incremental.nested_models(_valid(s, d, "dev"), _valid(s, d, "test"), "mortality_30d", "model_a_score", "model_b_score")
-    return incremental.gains(scored, "mortality_30d")
+    return incremental.gains(scored, "mortality_30d", replicates=replicates)
 
 
-def model_comparison(s, d):
-    """The four gains of B over A with their intervals; A's probability is calibrated on dev."""
+def incremental_gains(s, d):
+    return _gains(s, d, metrics.REPLICATES)
+
+
+def incremental_gain_points(s, d):
+    return _rounded(_gains(s, d, FEW).select("measure", "point"), 6)
+
+
+def _comparison(s, d, replicates):
     dev, test = _valid(s, d, "dev"), _valid(s, d, "test")
     test = test.withColumn("p_a", incremental.calibrated(dev, test, "model_a_score", "mortality_30d"))
-    return bootstrap.compare_models(test, [], "mortality_30d", "model_a_score", "model_b_score", "p_a", "model_b_score")
+    return bootstrap.compare_models(test, [], "mortality_30d", "model_a_score", "model_b_score", "p_a", "model_b_score", replicates=replicates)
 
 
-def performance_intervals(s, d):
+def model_comparison(s, d):
+    """The four gains of B over A with their intervals; A's probability is calibrated on dev."""
+    return _comparison(s, d, metrics.REPLICATES)
+
+
+def model_comparison_points(s, d):
+    return _rounded(_comparison(s, d, FEW).select("measure", "a", "b", "gain"), 6)
+
+
+def _performance(s, d, replicates):
     test = _valid(s, d, "test")
-    parts = [bootstrap.intervals(test, [], metric, "mortality_30d", "model_b_score").select(F.lit(name).alias("measure"), "point", "low", "high") for name, (metric, _, _) in bootstrap.METRICS.items()]
+    parts = [bootstrap.intervals(test, [], metric, "mortality_30d", "model_b_score", replicates=replicates).select(F.lit(name).alias("measure"), "point", "low", "high") for name, (metric, _, _) in bootstrap.METRICS.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def performance_intervals(s, d):
+    return _performance(s, d, metrics.REPLICATES)
+
+
+def performance_points(s, d):
+    return _rounded(_performance(s, d, FEW).select("measure", "point"))
+
+
+def _discordance(s, d, replicates):
+    return strata.discordance_intervals(_valid(s, d, "test"), "mortality_30d", "model_a_score", "model_b_score", replicates=replicates)
+
+
 def discordance_intervals(s, d):
-    return strata.discordance_intervals(_valid(s, d, "test"), "mortality_30d", "model_a_score", "model_b_score")
+    return _discordance(s, d, metrics.REPLICATES)
+
+
+def discordance_points(s, d):
+    return _rounded(_discordance(s, d, FEW).select("measure", "point"))
 
 
 def discordance_by_medians(s, d):
@@ -470,6 +508,50 @@ e1 AS (SELECT * FROM f1 WHERE k = 25), e2 AS (SELECT * FROM f2 WHERE k = 25),
 lk AS (SELECT r.h, greatest(2 * (sum(y * ln(p2) + (1 - y) * ln(1 - p2)) - sum(y * ln(p1) + (1 - y) * ln(1 - p1))), 0) AS lrt FROM (
   SELECT r.h, y, 1 / (1 + exp(-(e1.c0 + e1.c1 * a))) AS p1, 1 / (1 + exp(-(e2.c0 + e2.c1 * a + e2.c2 * b))) AS p2 FROM rows4 r JOIN e1 ON e1.h = r.h JOIN e2 ON e2.h = r.h WHERE split = 'dev') r GROUP BY r.h),
 br AS (SELECT r.h, avg(pow(1 / (1 + exp(-(c0 + c1 * a))) - y, 2)) AS ba, avg(pow(b - y, 2)) AS bb FROM rows4 r JOIN e1 ON e1.h = r.h WHERE split = 'test' GROUP BY r.h)"""
+
+
+def _newton_sql(name: str, rows: str, xs: list[str], penalty: float = 1e-9, steps: int = 25) -> str:
+    """A recursive query name(k, c0, c1, ...): Newton's method for a logistic regression of rows' y on xs; each step's equations are solved by elimination."""
+    n = len(xs) + 1
+    x, cs = ["1.0::DOUBLE", *xs], ", ".join(f"c{i}" for i in range(n))
+    q = f"SELECT {name}.*, {', '.join([*xs, 'y'])}, 1 / (1 + exp(-({' + '.join(f'c{i} * {v}' for i, v in enumerate(x))}))) AS p FROM {name} CROSS JOIN {rows} WHERE k < {steps}"
+    sums = [f"sum((p - y) * {x[i]}) + {penalty if i else 0.0!r}::DOUBLE * c{i} AS r{i}" for i in range(n)]
+    sums += [f"sum(p * (1 - p) * {x[i]} * {x[j]}) + {penalty if i == j and i else 0.0!r}::DOUBLE AS m{i}_{j}" for i in range(n) for j in range(i, n)]
+    q = f"SELECT k, {cs}, {', '.join(sums)} FROM ({q}) GROUP BY k, {cs}"
+    for t in range(n - 1):
+        less = [f"r{i} - m{t}_{i} / m{t}_{t} * r{t} AS r{i}" for i in range(t + 1, n)]
+        less += [f"m{i}_{j} - m{t}_{i} / m{t}_{t} * m{t}_{j} AS m{i}_{j}" for i in range(t + 1, n) for j in range(i, n)]
+        q = f"SELECT * REPLACE ({', '.join(less)}) FROM ({q})"
+    for i in reversed(range(n)):
+        q = f"SELECT *, ({' - '.join([f'r{i}', *(f'm{i}_{j} * d{j}' for j in range(i + 1, n))])}) / m{i}_{i} AS d{i} FROM ({q})"
+    return f"{name}(k, {cs}) AS (SELECT 0, {', '.join(['0.0::DOUBLE'] * n)} UNION ALL SELECT k + 1, {', '.join(f'c{i} - d{i}' for i in range(n))} FROM ({q})), {name}_end AS (SELECT * FROM {name} WHERE k = {steps})"
+
+
+def _chance_sql(fit: str, xs: list[str]) -> str:
+    return f"least(greatest(1 / (1 + exp(-({' + '.join([f'{fit}_end.c0', *(f'{fit}_end.c{i + 1} * {v}' for i, v in enumerate(xs))])}))), 1e-15), 1 - 1e-15)"
+
+
+_LOSSES = "-avg(y * ln(p) + (1 - y) * ln(1 - p))"
+#: The nested models: a row per row of dev and test and model, with its probability p.
+_NESTED_XS = {"A": ("fa", ["z", "z2"]), "B": ("fb", ["b"]), "A+B": ("fab", ["z", "z2", "b"])}
+_NESTED = f"""ms AS (SELECT avg(a) AS m, greatest(stddev_pop(a), 1e-12) AS sd FROM {_V} v WHERE split = 'dev'), zs AS (SELECT split, (a - m) / sd AS z, pow((a - m) / sd, 2) AS z2, b, y30::INT AS y FROM {_V} v, ms),
+dv AS (SELECT * FROM zs WHERE split = 'dev'), {', '.join(_newton_sql(fit, 'dv', xs) for fit, xs in _NESTED_XS.values())},
+mp AS ({' UNION ALL '.join(f"SELECT '{m}' AS model, {len(xs) + 1} AS parameters, split, y, {_chance_sql(fit, xs)} AS p FROM zs, {fit}_end" for m, (fit, xs) in _NESTED_XS.items())}),
+nr AS (WITH {_rank_sql("SELECT model, p AS s, y FROM mp WHERE split = 'test'", 'model')} SELECT g AS model, max_by(auroc, 1) AS auroc FROM r GROUP BY g),
+nl AS (SELECT model, any_value(parameters) AS parameters, count(*) AS n, sum(y * ln(p) + (1 - y) * ln(1 - p)) AS ll FROM mp WHERE split = 'dev' GROUP BY model),
+nt AS (SELECT model, {_LOSSES} AS log_loss, avg(pow(p - y, 2)) AS brier FROM mp WHERE split = 'test' GROUP BY model)"""
+_GAIN = "(SELECT auroc FROM nr WHERE model = 'A+B') - (SELECT auroc FROM nr WHERE model = 'A')"
+#: Areas of B and A by raw scores, and losses of B's probability and of A's, which is fitted on dev.
+_COMPARED = f"""da AS (SELECT a, y30::INT AS y FROM {_V} v WHERE split = 'dev'), {_newton_sql('fc', 'da', ['a'])},
+cp AS (SELECT a, b, y30::INT AS y, {_chance_sql('fc', ['a'])} AS pa FROM {_T} t, fc_end), cr AS (WITH {_rank_sql("SELECT 'a' AS which, a AS s, y FROM cp UNION ALL SELECT 'b', b, y FROM cp", 'which')} SELECT * FROM r),
+cl AS (SELECT which, avg(pow(p - y, 2)) AS brier, {_LOSSES} AS log_loss FROM (SELECT 'a' AS which, y, pa AS p FROM cp UNION ALL SELECT 'b', y, b FROM cp) GROUP BY which),
+cm AS ({' UNION ALL '.join(f"SELECT '{m}' AS measure, max(CASE WHEN {k} = 'a' THEN {m} END) AS a, max(CASE WHEN {k} = 'b' THEN {m} END) AS b, {sign} AS up FROM {t}" for m, k, t, sign in (('auroc', 'g', 'cr', 1), ('auprc', 'g', 'cr', 1), ('brier', 'which', 'cl', -1), ('log_loss', 'which', 'cl', -1)))})"""
+#: Counts and rates of the quadrants beside each other.
+_QUADRANTS = f"""tq AS {_T}, cq AS (SELECT quantile_cont(b, 0.5) AS m FROM tq), qd AS (SELECT avg(y30::INT) FILTER (a < 15 AND b < m) AS ll, avg(y30::INT) FILTER (a < 15 AND b >= m) AS lh, avg(y30::INT) FILTER (a >= 15 AND b < m) AS hl, avg(y30::INT) FILTER (a >= 15 AND b >= m) AS hh,
+count(*) FILTER (a < 15 AND b >= m) / count(*) AS share FROM tq, cq)"""
+_GRADIENTS = f"""gq AS (SELECT cat, quantile_cont(b, 0.3333333333333333) AS c1, quantile_cont(b, 0.6666666666666666) AS c2 FROM {_T} GROUP BY cat HAVING count(*) >= 3),
+gk AS (SELECT cat, CASE WHEN b < c1 THEN 1 WHEN b < c2 THEN 2 ELSE 3 END AS k, avg(y30::INT) AS rate FROM {_T} t JOIN gq USING (cat) GROUP BY ALL),
+gm AS (SELECT avg(CASE WHEN f = 0 AND l > 0 THEN 3 WHEN f = 0 THEN 1 ELSE l / f END) AS ratio FROM (SELECT arg_min(rate, k) AS f, arg_max(rate, k) AS l FROM gk GROUP BY cat))"""
 #: name -> (query, SQL or None)
 _RULES = f"""m AS (SELECT vec_id, {', '.join(_items)} FROM embeddings),
 i AS (SELECT vec_id, (CASE WHEN avl_q_ms <= 0 THEN 5 WHEN avl_q_ms <= 15 THEN 1 WHEN avl_q_ms <= 25 THEN 3 WHEN avl_q_ms <= 35 THEN 9 WHEN avl_q_ms <= 45 THEN 10 ELSE 12 END)::DOUBLE AS item1,
@@ -554,14 +636,22 @@ SELECT vec_id, {', '.join(f'round(item{k}, 8) AS item{k}' for k in range(1, 13))
     "recording_images": (recording_images, None),
     "failure_summary": (failure_summary, f"WITH {_PRED}, f AS (SELECT count(*) AS n, count(*) FILTER (NOT va) AS failed_a, count(*) FILTER (NOT vb) AS failed_b FROM pred) SELECT *, round(failed_a / n, 8) AS failure_rate_a, round(failed_b / n, 8) AS failure_rate_b, n - greatest(failed_a, failed_b) AS joint FROM f"),
     "findings": (findings, None),
+    "finding_points": (finding_points, f"""WITH RECURSIVE {_PRED}, {_NESTED}, {_QUADRANTS}, {_GRADIENTS}, rk AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS rb FROM {_T}),
+fp(finding, value) AS (SELECT 'H1: rank correlation', corr(ra, rb) FROM rk UNION ALL SELECT 'H2: mean gradient ratio', ratio FROM gm UNION ALL SELECT unnest(['H3: risk difference where A is low', 'risk ratio where A is low', 'risk difference where A is high', 'risk ratio where A is high', 'share with B alone high']),
+unnest([lh - ll, CASE WHEN ll > 0 THEN lh / ll ELSE 1 END, hh - hl, CASE WHEN hl > 0 THEN hh / hl ELSE 1 END, share]) FROM qd UNION ALL SELECT unnest(['H4: gain in AUROC', 'study on other data']), {_GAIN}) SELECT finding, round(value, 6) AS value FROM fp"""),
     "discordant_readings": (discordant_readings, f"""WITH {_PRED}, t AS {_T}, c AS (SELECT quantile_cont(b, 0.5) AS m FROM t),
 x AS (SELECT avg(y30::INT) FILTER (a < 15 AND b < m) AS ll, avg(y30::INT) FILTER (a < 15 AND b >= m) AS lh, avg(y30::INT) FILTER (a >= 15 AND b < m) AS hl, avg(y30::INT) FILTER (a >= 15 AND b >= m) AS hh, (count(*) FILTER (a < 15 AND b >= m))::DOUBLE / count(*) AS sh FROM t, c),
 u AS (SELECT unnest([{{'reading': 'share with B alone high', 'v': sh}}, {{'reading': 'risk difference where A is low', 'v': lh - ll}}, {{'reading': 'risk ratio where A is low', 'v': CASE WHEN ll > 0 THEN lh / ll ELSE 1 END}},
   {{'reading': 'risk difference where A is high', 'v': hh - hl}}, {{'reading': 'risk ratio where A is high', 'v': CASE WHEN hl > 0 THEN hh / hl ELSE 1 END}}]) AS u FROM x)
 SELECT u.reading AS reading, round(u.v, 8) AS value FROM u"""),
     "incremental_gains": (incremental_gains, None),
+    "incremental_gain_points": (incremental_gain_points, f"""WITH RECURSIVE {_PRED}, {_NESTED}, gp(measure, point) AS (SELECT 'auroc', {_GAIN} UNION ALL SELECT unnest(['brier', 'log_loss']), unnest([x.brier - y.brier, x.log_loss - y.log_loss]) FROM nt x, nt y WHERE x.model = 'A' AND y.model = 'A+B') SELECT measure, round(point, 6) AS point FROM gp"""),
     "model_comparison": (model_comparison, None),
+    "model_comparison_points": (model_comparison_points, f"WITH RECURSIVE {_PRED}, {_COMPARED} SELECT measure, round(a, 6) AS a, round(b, 6) AS b, round(up * (b - a), 6) AS gain FROM cm"),
     "performance_intervals": (performance_intervals, None),
+    "performance_points": (performance_points, f"WITH RECURSIVE {_PRED}, {_COMPARED} SELECT measure, round(b, 8) AS point FROM cm"),
+    "discordance_points": (discordance_points, f"""WITH {_PRED}, {_QUADRANTS} SELECT unnest(['A-low/B-low', 'A-low/B-high', 'A-high/B-low', 'A-high/B-high', 'rd_a_low', 'rr_a_low', 'rd_a_high']) AS measure,
+unnest([round(v, 8) FOR v IN [coalesce(ll, 0), coalesce(lh, 0), coalesce(hl, 0), coalesce(hh, 0), coalesce(lh, 0) - coalesce(ll, 0), CASE WHEN ll > 0 THEN coalesce(lh, 0) / ll ELSE 1 END, coalesce(hh, 0) - coalesce(hl, 0)]]) AS point FROM qd"""),
     "discordance_intervals": (discordance_intervals, None),
     "probe_variants": (probe_variants, None),
     "probe_variant_intervals": (probe_variant_intervals, None),
@@ -575,9 +665,12 @@ SELECT vec_id, round(1 / (1 + exp(-(list_cosine_similarity(e, p.c) - list_cosine
     "document_quality": (document_quality, f"WITH {_rank_sql('SELECT lang, n_chars AS s, quality AS y FROM documents JOIN labels USING (doc_id)', 'lang')} SELECT g AS lang, auroc, auprc FROM r"),
     "prediction_validity": (prediction_validity, f"""WITH {_PRED} SELECT split, count(*) AS n, count_if(va)::BIGINT AS valid_a, count_if(vb)::BIGINT AS valid_b, count_if(va AND vb)::BIGINT AS valid_both,
 round(100.0::DOUBLE * count_if(va) / count(*), 8) AS percent_a, round(100.0::DOUBLE * count_if(vb) / count(*), 8) AS percent_b, round(100.0::DOUBLE * count_if(va AND vb) / count(*), 8) AS percent_both FROM pred GROUP BY 1"""),
-    "calibration": (calibration, None),
+    "calibration": (calibration, f"WITH RECURSIVE {_PRED}, lg AS (SELECT ln(q / (1 - q)) AS l, y FROM (SELECT least(greatest(b, 1e-6), 1 - 1e-6) AS q, y30::INT AS y FROM {_T})), {_newton_sql('fl', 'lg', ['l'])} SELECT round(c1, 6) AS slope, round(c0, 6) AS intercept FROM fl_end"),
     "bootstrap_auroc": (bootstrap_auroc, None),
-    "incremental_information": (incremental_information, None),
+    # the p-value is the normal density beyond the root of the likelihood ratio, summed by Simpson's rule
+    "incremental_information": (incremental_information, f"""WITH RECURSIVE {_PRED}, {_NESTED}, lr AS (SELECT greatest(2 * (max(ll) FILTER (model = 'A+B') - max(ll) FILTER (model = 'A')), 0) AS lrt FROM nl),
+pv AS (SELECT lrt, least(1, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(sqrt(lrt) + i * 0.0025::DOUBLE, 2) / 2)) * 0.0025::DOUBLE / 3 * sqrt(2 / pi())) AS p FROM lr, range(4001) t(i) GROUP BY lrt)
+SELECT model, parameters, round(ll, 6) AS log_likelihood, round(2 * parameters - 2 * ll, 6) AS aic, round(ln(n) * parameters - 2 * ll, 6) AS bic, round(log_loss, 6) AS log_loss, round(auroc, 6) AS auroc, round(brier, 6) AS brier, round(lrt, 6) AS lrt, round(p, 6) AS p_value FROM nl JOIN nt USING (model) JOIN nr USING (model), pv"""),
 }
 QUERIES = {name: query for name, (query, _) in REGISTRY.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in REGISTRY.items() if sql}
