@@ -12,7 +12,8 @@ the last of the template's words in them, its containment is that of the best bl
 
 Ordered templates are phrases: their words must stand one after the other, and every place of theirs counts.
 
-Only the templates are sent to the executors; they are bounded by MAX_TEMPLATE_WORDS.
+Only templates are sent to the executors, in batches of at most BATCH_WORDS words in the order given (a template with more words is a
+batch of its own); each batch is a pass over the texts, so any number of templates is scanned for, with the same matches.
 
 Defined results: null and empty texts have no words and no matches; a template without words matches nothing; matches
 with equal bounds of several templates are all returned, in the order of templates, then places; rows that repeat a key
@@ -33,8 +34,8 @@ from riskloom.llm.common import Shared, kept_fields, map_slices, texts_of
 
 #: Words of a block for each word of the template.
 REACH = 1.25
-#: Bound on what is sent to every executor; some ten MB.
-MAX_TEMPLATE_WORDS = 200_000
+#: Words of the templates that are sent to every executor at once; some ten MB.
+BATCH_WORDS = 200_000
 #: Upper-case ASCII letters become lower case; whatever else is ASCII and no letter or digit becomes a blank.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -124,8 +125,6 @@ class Index:
     def __init__(self, templates: tuple[Template, ...], frequency: dict[bytes, int]):
         self.templates = templates
         words = [words_of(t.text) for t in templates]
-        if sum(map(len, words)) > MAX_TEMPLATE_WORDS:
-            raise ValueError("the templates hold more words than may be sent to every executor")
         # a word's number is its place in the order of frequencies
         self.number = {w: r for r, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
         self.words = [np.array([self.number[w] for w in x], np.int64) for x in words]
@@ -205,22 +204,52 @@ class Index:
         return out
 
 
-def scan(df: DataFrame, templates: tuple[Template, ...] = BASE + SENTENCES + TEXTS, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df with n_words long and matches array<struct<label,ordered,start,stop,containment>>."""
-    passed = kept_fields(df, keep, ["n_words", "matches"])
+def batches_of(templates: tuple[Template, ...], words: int) -> list[tuple[Template, ...]]:
+    """The templates in order, in batches of at most so many words, but one template at least; one batch if there is none."""
+    out: list[list[Template]] = [[]]
+    held = 0
+    for t in templates:
+        size = len(words_of(t.text))
+        if out[-1] and held + size > words:
+            out.append([])
+            held = 0
+        out[-1].append(t)
+        held += size
+    return [tuple(x) for x in out]
+
+
+MATCHES = "array<struct<label:string,ordered:boolean,start:long,stop:long,containment:double>>"
+
+
+def _scan_batch(df: DataFrame, templates: tuple[Template, ...], text_col: str, through: list[str], found: bool) -> DataFrame:
+    """The columns in `through`, n_words and matches; found: df has both, and the matches of these templates come after those."""
     shared = Shared(df.sparkSession, Index(templates, template_frequencies(df, templates, text_col)))
-    kind = T._parse_datatype_string("array<struct<label:string,ordered:boolean,start:long,stop:long,containment:double>>")
-    schema = T.StructType([*(df.schema[c] for c in passed), T.StructField("n_words", T.LongType(), False), T.StructField("matches", kind, False)])
+    schema = T.StructType([*(df.schema[c] for c in through), T.StructField("n_words", T.LongType(), False), T.StructField("matches", T._parse_datatype_string(MATCHES), False)])
     arrow = pa.list_(pa.struct([("label", pa.string()), ("ordered", pa.bool_()), ("start", pa.int64()), ("stop", pa.int64()), ("containment", pa.float64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         index: Index = shared.value
-        counts, found = [], []
-        for text in texts_of(batch, text_col):
+        counts, matches = [], batch.column("matches").to_pylist() if found else [[] for _ in range(batch.num_rows)]
+        for text, own in zip(texts_of(batch, text_col), matches, strict=True):
             words = words_of(text)
             counts.append(len(words))
-            found.append([{"label": index.templates[k].label, "ordered": index.templates[k].ordered, "start": a, "stop": b, "containment": c} for k, a, b, c in index.matches(words)])
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(counts, pa.int64()), pa.array(found, arrow)], [*passed, "n_words", "matches"])
+            own += [{"label": index.templates[k].label, "ordered": index.templates[k].ordered, "start": a, "stop": b, "containment": c} for k, a, b, c in index.matches(words)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), pa.array(counts, pa.int64()), pa.array(matches, arrow)], [*through, "n_words", "matches"])
+
+    return map_slices(df.select(*dict.fromkeys([*through, text_col, *(["matches"] if found else [])])), run, schema)
 
-    needed = [*passed, *([] if text_col in passed else [text_col])]
-    return map_slices(df.select(*needed), run, schema)
+
+def scan(df: DataFrame, templates: tuple[Template, ...] = BASE + SENTENCES + TEXTS, text_col: str = "text", keep: list[str] | None = None, batch_words: int = BATCH_WORDS) -> DataFrame:
+    """df with n_words long and matches array<struct<label,ordered,start,stop,containment>>; columns of these names are replaced."""
+    passed = kept_fields(df, keep, ["n_words", "matches"])
+    if text_col not in passed:
+        # texts travel under a name that nothing else has
+        own = "_text"
+        while any(own == c.lower() for c in df.columns):
+            own += "_"
+        df, text_col = df.select(*passed, F.col(text_col).alias(own)), own
+    batches = batches_of(templates, batch_words)
+    for k, batch in enumerate(batches):
+        through = passed if k == len(batches) - 1 else list(dict.fromkeys([*passed, text_col]))
+        df = _scan_batch(df, batch, text_col, through, k > 0)
+    return df

@@ -152,3 +152,22 @@ def test_chat_round_trip_and_parts(spark):
     assert [(a["index"], a.type, a.ref, a.tokens) for a in r.attachments] == [(1, "image", "a.png", 85 + 340), (2, "file", "q", 0), (3, "audio", "b.wav", 100)]
     assert "<image:1><file:2></turn>" in r.formatted and "see \\limage:1>" in r.formatted and r.attachment_tokens == 525
     assert hashlib.sha256(r.formatted.encode()).hexdigest()
+
+
+def test_license_templates_in_batches_give_the_same_matches(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(30)]
+    templates = tuple(Template(f"t{k}", " ".join(rng.choices(words, k=rng.randint(1, 12))), rng.choice([0.5, 0.8, 1.0]), rng.random() < 0.4) for k in range(25))
+    assert [t for batch in licenses.batches_of(templates, 20) for t in batch] == list(templates) and len(licenses.batches_of(templates, 20)) > 5
+    assert licenses.batches_of((), 5) == [()] and [len(b) for b in licenses.batches_of(templates, 1)] == [1] * 25
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 200))), "own") for k in range(40)] + [(40, None, "x"), (41, "", None), (5, "w1 w2 w3", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Matches string")
+    said = lambda found: sorted((r.doc_id, r.n_words, [tuple(m) for m in r.matches]) for r in found.collect())
+    want = said(licenses.scan(df, templates))
+    assert sum(len(m) for _, _, m in want) > 50
+    for size in (20, 1000):
+        for keep in (None, ["doc_id"]):
+            got = licenses.scan(df, templates, keep=keep, batch_words=size)
+            assert said(got) == want and got.columns == (["doc_id", "text"] if keep is None else keep) + ["n_words", "matches"]
+    shown = df.select("doc_id", "text").withColumnRenamed("text", "matches")
+    assert said(licenses.scan(shown, templates, text_col="matches", batch_words=20)) == want
