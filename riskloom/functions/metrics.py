@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of scores that are sorted apart.
 ZONES = 64
+#: A value with such a part of all rows is ranked without a shuffle.
+HOT = 256
 #: Bootstrap replicates of a 95 % interval, unless a caller asks for another number.
 REPLICATES = 1000
 
@@ -72,20 +74,46 @@ def running(df: DataFrame, groups: list[str], order: str, zone: Column, sums: di
     return d.withColumns(out).drop("_z", "_hz", *(f"_h{k}" for k in range(len(groups))), *(f"_{x}{k}" for k in range(len(sums)) for x in "be"))
 
 
+def _matched(groups: list[str], c: str) -> Column:
+    """Whether a row's groups and value of c are those of a row of `_with_ranks`' table."""
+    same = F.col(c) == F.col("_v")
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    return same
+
+
+def _ranks(d: DataFrame, groups: list[str], c: str, out: str, total: int) -> DataFrame:
+    """(_g0, ..., _v, out, _hot) of each value of c: its average rank within its group less the mean rank, and whether a HOT-th of all rows hold it. Rows of d
+    stand for _w rows each."""
+    by = d.groupBy(*groups, c).agg(F.sum("_w").alias("_n"))
+    by = running(by, groups, c, zone_of(d, c), {"_n": ("_upto", "_all")})
+    # the rank of a value: the rows up to it less half of its own, and a half; the mean rank is half of all rows, and a half
+    return by.select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)), F.col(c).alias("_v"), (F.col("_upto") - F.col("_n") / 2.0 - F.col("_all") / 2.0).alias(out), (F.col("_n") * HOT >= total).alias("_hot"))
+
+
+def _with_ranks(d: DataFrame, groups: list[str], c: str, ranks: DataFrame, out: str) -> DataFrame:
+    """d with the ranks of c. Hot values, of which there are HOT at most, go to every task; their rows meet no others, so they are spread by their hash."""
+    gone = ["_v", "_hot", *(f"_g{k}" for k in range(len(groups)))]
+    near = d.join(F.broadcast(ranks.where("_hot")), _matched(groups, c), "left").withColumnRenamed(out, "_held").withColumn("_cold", F.col("_v").isNull()).drop(*gone)
+    near = near.withColumn("_key", F.when(F.col("_cold"), F.col(c)).otherwise(F.xxhash64(*d.columns).cast("double")))
+    far = ranks.where("NOT _hot").withColumn("_is", F.lit(True))
+    return near.join(far, _matched(groups, "_key") & (F.col("_cold") == F.col("_is")), "left").withColumn(out, F.coalesce("_held", out)).drop("_held", "_cold", "_key", "_is", *gone)
+
+
 def correlations(df: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
-    """pearson and spearman; 0 with under 3 rows or a constant side."""
+    """pearson and spearman; 0 with under 3 rows or a constant side. Rows that are equal in both values are counted before ranks are joined."""
     d = df.select(*groups, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
-    for c in ("_a", "_b"):
-        # the rank of a value: the rows up to it less half of its own, and a half
-        by = d.groupBy(*groups, c).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-        by = running(by, groups, c, zone_of(d, c), {"_n": ("_upto", "_all")})
-        ranks = by.select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)), F.col(c).alias("_v"), (F.col("_upto") - F.col("_n") / 2.0 + 0.5).alias(f"_r{c}"))
-        same = F.col(c).eqNullSafe(F.col("_v"))
-        for k, g in enumerate(groups):
-            same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
-        d = d.join(ranks, same).drop("_v", *(f"_g{k}" for k in range(len(groups))))
-    rho = lambda x, y: F.when((F.count(F.lit(1)) < 3) | (F.stddev_pop(x) < 1e-12) | (F.stddev_pop(y) < 1e-12), 0.0).otherwise(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
-    return d.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), rho("_a", "_b").alias("pearson"), rho("_r_a", "_r_b").alias("spearman"))
+    flat = (F.count(F.lit(1)) < 3) | (F.stddev_pop("_a") < 1e-12) | (F.stddev_pop("_b") < 1e-12)
+    linear = F.when(flat, 0.0).otherwise(F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")))
+    one = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), linear.alias("pearson"), flat.alias("_flat"))
+    pairs, total = d.groupBy(*groups, "_a", "_b").agg(F.count(F.lit(1)).cast("double").alias("_w")), d.count()
+    ranks = {c: _ranks(pairs, groups, c, f"_r{c}", total) for c in ("_a", "_b")}
+    for c, table in ranks.items():
+        pairs = _with_ranks(pairs, groups, c, table, f"_r{c}")
+    product = lambda x, y: F.sum(F.col("_w") * F.col(x) * F.col(y))
+    rank = F.try_divide(product("_r_a", "_r_b"), F.sqrt(product("_r_a", "_r_a")) * F.sqrt(product("_r_b", "_r_b")))
+    two = pairs.groupBy(*groups).agg(rank.alias("_rank")).select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)), F.lit(1).alias("_v"), "_rank")
+    return one.withColumn("_one", F.lit(1)).join(two, _matched(groups, "_one"), "left").select(*groups, "n", "pearson", F.when(F.col("_flat"), 0.0).otherwise(F.col("_rank")).alias("spearman"))
 
 
 def logistic_fit(df: DataFrame, y: str, features: list[Column], penalty: float = 1e-9, steps: int = 60, tol: float = 1e-9) -> list[float]:
