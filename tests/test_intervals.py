@@ -120,23 +120,6 @@ def test_ranks_by_ranges(spark, monkeypatch):
     assert "_z" in plan
 
 
-def test_rank_correlation_of_a_value_that_half_of_the_rows_hold(spark):
-    rng = np.random.default_rng(10)
-    rows = [("g" if k % 7 else None, 0.0 if k % 2 else float(rng.normal()), float(rng.normal()) if k % 5 else 1.5) for k in range(3000)] + [("nan", float("nan"), 1.0), ("nan", 2.0, 2.0), ("nan", float("nan"), 3.0), ("two", 1.0, 1.0), ("two", 2.0, 2.0), ("g", None, 1.0), ("g", 1.0, None)]
-    df = spark.createDataFrame(rows, "g string, a double, b double").repartition(5)
-    average = lambda v: np.array([(v < u).sum() + ((v == u).sum() + 1) / 2 for u in v])
-    plain = lambda x, z: (len(x), pytest.approx(np.corrcoef(x, z)[0, 1]), pytest.approx(np.corrcoef(average(x), average(z))[0, 1]))
-    got = {r["g"]: (r.n, r.pearson, r.spearman) for r in metrics.correlations(df, ["g"], "a", "b").collect()}
-    assert len(got) == 4 and got["two"] == (2, 0.0, 0.0) and got["nan"][2] == pytest.approx(0.0)
-    held = [r for r in rows if r[0] in ("g", None) and None not in r[1:]]
-    for g in ("g", None):
-        x, z = (np.array([r[k] for r in held if r[0] == g]) for k in (1, 2))
-        assert got[g] == plain(x, z)
-    whole = metrics.correlations(df.where("g IS NULL OR g = 'g'"), [], "a", "b").collect()
-    assert len(whole) == 1 and tuple(whole[0]) == plain(*(np.array([r[k] for r in held]) for k in (1, 2)))
-    assert [tuple(r) for r in metrics.correlations(df.limit(0), [], "a", "b").collect()] == [(0, 0.0, 0.0)] and metrics.correlations(df.limit(0), ["g"], "a", "b").count() == 0
-
-
 def test_p_values_by_t(spark):
     for free, t in ((1, 12.706), (8, 2.306), (30, 2.042), (100, 1.984)):
         assert synthesis.correlation_p(t / math.sqrt(free + t * t), free + 2) == pytest.approx(0.05, abs=1e-3)
