@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 #: Columns taken from the patients where they exist.
 PATIENT_COLUMNS = ("subject_id", "gender", "anchor_age", "anchor_year", "anchor_year_group", "dod", "dod_date")
-#: Days of a span of the interval join: a few stays long, so that most encounters touch one or two.
-BUCKET_DAYS = 30
+#: Spans of the interval join: days of the narrowest, how many times wider each next width is, how many widths there are, and
+#: how many borders of its own width an encounter may cross.
+BUCKET_DAYS, WIDER, WIDTHS, BORDERS = 30, 16, 3, 4
 
 
 def age_at_recording(records: DataFrame, patients: DataFrame, how: str = "inner") -> DataFrame:
@@ -29,20 +30,44 @@ def adults(records: DataFrame, min_age: int = 18) -> DataFrame:
     return records.where(F.col("age_at_ecg") >= min_age)
 
 
+def _span(t: Column, days: int, width: int) -> Column:
+    return F.floor(F.unix_date(F.to_date(t)) / (days * WIDER**width))
+
+
+def spanned_encounters(admissions: DataFrame, pre_admit_hours: int = 0, days: int = BUCKET_DAYS) -> DataFrame:
+    """Encounters under `_subject` with `_start`, once for each span (`_width`, `_span`) they touch, in the narrowest width of which they cross
+    at most BORDERS borders, so that long ones have few rows. Those that end before they start, or with a null end, have none."""
+    start = F.col("admit_dt") - F.expr(f"INTERVAL {int(pre_admit_hours)} HOURS")
+    a = admissions.withColumnRenamed("subject_id", "_subject").withColumn("_start", start).where(F.col("_start") <= F.col("disch_dt"))
+    ends = [(_span(F.col("_start"), days, k), _span(F.col("disch_dt"), days, k)) for k in range(WIDTHS)]
+    width = F.lit(WIDTHS - 1)
+    for k in reversed(range(WIDTHS - 1)):
+        width = F.when(ends[k][1] - ends[k][0] <= BORDERS, F.lit(k)).otherwise(width)
+    a = a.withColumn("_width", width)
+    first, last = (F.get(F.array(*(e[j] for e in ends)), F.col("_width")) for j in (0, 1))
+    return a.withColumn("_span", F.explode(F.sequence(first, last)))
+
+
+def spanned_recordings(records: DataFrame, days: int = BUCKET_DAYS) -> DataFrame:
+    """Recordings with their span (`_level`, `_at`) in every width."""
+    return records.select("*", F.posexplode(F.array(*(_span(F.col("ecg_datetime"), days, k) for k in range(WIDTHS)))).alias("_level", "_at"))
+
+
+def falls_into() -> Column:
+    """Of a spanned recording and a spanned encounter: the same subject and span, and the exact range."""
+    inside = (F.col("ecg_datetime") >= F.col("_start")) & (F.col("ecg_datetime") <= F.col("disch_dt"))
+    return (F.col("subject_id") == F.col("_subject")) & (F.col("_level") == F.col("_width")) & (F.col("_at") == F.col("_span")) & inside
+
+
 def link_admissions(records: DataFrame, admissions: DataFrame, pre_admit_hours: int = 0, days: int = BUCKET_DAYS) -> DataFrame:
     """Recordings with each encounter they fall into, pre_admit_hours before admission to discharge, both inclusive.
 
-    One join on the subject and a span of `days`: a recording lies in one span, an encounter has a row for each span it
-    touches, so a pair meets once and a subject with very many rows meets in many tasks. The exact range stays as a residual
-    condition. Encounters that end before they start, or with a null end, have no pair."""
+    One join on the subject and a span: a recording lies in one span of each width, an encounter has a row for each span of its
+    own width that it touches, so a pair meets once and a subject with very many rows meets in many tasks. The exact range stays as
+    a residual condition. Encounters that end before they start, or with a null end, have no pair."""
     shared = [c for c in admissions.columns if c in records.columns and c != "subject_id"]
-    start = F.col("admit_dt") - F.expr(f"INTERVAL {int(pre_admit_hours)} HOURS")
-    span = lambda t: F.floor(F.unix_date(F.to_date(t)) / days)
-    a = admissions.drop(*shared).withColumnRenamed("subject_id", "_subject").withColumn("_start", start).where(F.col("_start") <= F.col("disch_dt"))
-    a = a.withColumn("_span", F.explode(F.sequence(span(F.col("_start")), span(F.col("disch_dt")))))
-    r = records.withColumn("_at", span(F.col("ecg_datetime")))
-    inside = (F.col("ecg_datetime") >= F.col("_start")) & (F.col("ecg_datetime") <= F.col("disch_dt"))
-    return r.join(a, (F.col("subject_id") == F.col("_subject")) & (F.col("_at") == F.col("_span")) & inside).drop("_subject", "_start", "_span", "_at")
+    a = spanned_encounters(admissions.drop(*shared), pre_admit_hours, days)
+    return spanned_recordings(records, days).join(a, falls_into()).drop("_subject", "_start", "_width", "_span", "_level", "_at")
 
 
 def index_recordings(records: DataFrame, which: str = "earliest") -> DataFrame:
