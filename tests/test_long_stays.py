@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from riskloom.operators import cohort
+from riskloom.operators import cohort, outcomes
 
 DAY = dt.datetime(1995, 1, 1)
 
@@ -41,3 +41,16 @@ def test_long_encounters_take_few_rows_in_the_join(tables):
     for hours in (0, 24):
         got = sorted((x.study_id, x.hadm_id) for x in cohort.link_admissions(r, a, hours).collect())
         assert got == sorted((x[1], s[1]) for x, s in inside(records, stays, hours))
+
+
+@pytest.mark.parametrize("hours", [0, 24])
+def test_first_encounter_among_long_ones(tables, hours):
+    records, stays, r, a = tables
+    want = {x[1]: (None, None) for x in records}
+    for x, s in sorted(inside(records, stays, hours), key=lambda p: (p[1][2], p[1][1]), reverse=True):
+        want[x[1]] = (s[4] == 1 and (s[5] is None or x[2] <= s[5]), s[1])
+    assert len({v[1] for v in want.values()}) > 20
+    got = outcomes.inhospital_mortality(r, a, hours).collect()
+    assert len(got) == len(records) and {x.study_id: (x.in_hospital_mortality, x.linked_hadm_id) for x in got} == want
+    # no pair is sorted: what leaves the join is a row a recording and width at most
+    assert outcomes.first_encounters(r, a, hours).count() == sum(1 for v in want.values() if v[1] is not None)
