@@ -79,10 +79,11 @@ def _measured(draws: DataFrame, groups: list[str], names: list[str], replicates:
 
 
 def with_inhospital(predictions: DataFrame, records: DataFrame, admissions: DataFrame) -> DataFrame:
-    """Predictions with inhospital_mortality of the subject's first recording; null outside an encounter."""
-    index = cohort.index_recordings(records)
-    labels = index.select("subject_id", "study_id").join(outcomes.inhospital_mortality(index, admissions), "study_id")
-    return predictions.join(labels.select("subject_id", F.col("in_hospital_mortality").alias("inhospital_mortality")), "subject_id", "left")
+    """Predictions with inhospital_mortality of the subject's first recording; null outside an encounter. The result is written once, as
+    its readers read it many times."""
+    found = outcomes.first_encounters(cohort.index_recordings(records), admissions)
+    labels = found.select("subject_id", F.col("in_hospital_mortality").alias("inhospital_mortality"))
+    return materialize(predictions.join(labels, "subject_id", "left"), "labelled")
 
 
 def horizon_battery(dev: DataFrame, test: DataFrame, horizons: Sequence[str], penalty: float = HORIZON_PENALTY) -> DataFrame:

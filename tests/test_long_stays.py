@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from riskloom.operators import cohort, outcomes
+from riskloom.operators import cohort, outcomes, sensitivity
 
 DAY = dt.datetime(1995, 1, 1)
 
@@ -54,3 +54,16 @@ def test_first_encounter_among_long_ones(tables, hours):
     assert len(got) == len(records) and {x.study_id: (x.in_hospital_mortality, x.linked_hadm_id) for x in got} == want
     # no pair is sorted: what leaves the join is a row a recording and width at most
     assert outcomes.first_encounters(r, a, hours).count() == sum(1 for v in want.values() if v[1] is not None)
+
+
+def test_labels_in_hospital_join_once(spark, tables):
+    records, stays, r, a = tables
+    p = spark.createDataFrame([(k, k) for k in range(1, 14)], "subject_id long, x long")
+    got = sensitivity.with_inhospital(p, r, a)
+    assert "_span" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {k: None for k in range(1, 14)}
+    for k in want:
+        mine = sorted((x for x in records if x[0] == k), key=lambda x: (x[2] or dt.datetime.min, x[1]))[:1]
+        for x, s in sorted(inside(mine, stays), key=lambda q: (q[1][2], q[1][1]))[:1]:
+            want[k] = s[4] == 1 and (s[5] is None or x[2] <= s[5])
+    assert len(set(want.values())) == 3 and {x.subject_id: x.inhospital_mortality for x in got.collect()} == want
