@@ -70,6 +70,13 @@ def link_admissions(records: DataFrame, admissions: DataFrame, pre_admit_hours:
     return spanned_recordings(records, days).join(a, falls_into()).drop("_subject", "_start", "_width", "_span", "_level", "_at")
 
 
+def recordings_inside(records: DataFrame, admissions: DataFrame, pre_admit_hours: int = 0, days: int = BUCKET_DAYS) -> DataFrame:
+    """Recordings that fall into an encounter, without it: once for each width of spans they meet one in, WIDTHS times at most. For a
+    choice among them or for distinct values, which need no pairs."""
+    a = spanned_encounters(admissions.select("subject_id", "admit_dt", "disch_dt"), pre_admit_hours, days)
+    return spanned_recordings(records, days).join(a, falls_into(), "left_semi").drop("_level", "_at")
+
+
 def index_recordings(records: DataFrame, which: str = "earliest") -> DataFrame:
     """The first (or last) row of each subject by time, then study; null times come first either way."""
     if which not in ("earliest", "latest"):

@@ -21,11 +21,12 @@ HORIZON_PENALTY = 1.0
 
 def index_cohorts(predictions: DataFrame, records: DataFrame, admissions: DataFrame) -> DataFrame:
     """Predictions by cohort: `earliest` holds the subjects with an index recording, `admission` those whose index recording is
-    taken among the recordings inside an encounter. A subject of both has a row in each. index_study_id names the recording."""
-    seen = cohort.link_admissions(records, admissions).select("subject_id", "study_id", "ecg_datetime")
+    taken among the recordings inside an encounter. A subject of both has a row in each. index_study_id names the recording. The
+    result is written once, as its readers read it several times."""
+    seen = cohort.recordings_inside(records.select("subject_id", "study_id", "ecg_datetime"), admissions)
     chosen = {"earliest": cohort.index_recordings(records), "admission": cohort.index_recordings(seen)}
     frames = [df.select("subject_id", F.col("study_id").alias("index_study_id"), F.lit(name).alias("cohort")) for name, df in chosen.items()]
-    return predictions.join(frames[0].unionByName(frames[1]), "subject_id")
+    return materialize(predictions.join(frames[0].unionByName(frames[1]), "subject_id"), "cohorts")
 
 
 def by_horizon(df: DataFrame, horizons: Sequence[str]) -> DataFrame:

@@ -67,3 +67,15 @@ def test_labels_in_hospital_join_once(spark, tables):
         for x, s in sorted(inside(mine, stays), key=lambda q: (q[1][2], q[1][1]))[:1]:
             want[k] = s[4] == 1 and (s[5] is None or x[2] <= s[5])
     assert len(set(want.values())) == 3 and {x.subject_id: x.inhospital_mortality for x in got.collect()} == want
+
+
+def test_index_cohorts_join_once(spark, tables):
+    records, stays, r, a = tables
+    p = spark.createDataFrame([(k, k) for k in range(1, 14)], "subject_id long, x long")
+    got = sensitivity.index_cohorts(p, r, a)
+    assert "_span" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for name, rows in (("earliest", [x for x in records if x[0] is not None]), ("admission", [x for x, _ in inside(records, stays)])):
+        for x in sorted(rows, key=lambda x: (x[2] or dt.datetime.min, x[1]), reverse=True):
+            want[x[0], name] = x[1]
+    assert {(x.subject_id, x.cohort): x.index_study_id for x in got.collect()} == want and got.count() == len(want)
