@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import bootstrap, metrics
 from riskloom.operators import adapters, battery, cohort, images, incremental, outcomes, rulescore, scoring, sensitivity, signals, splits, strata, synthesis, verdicts
+from riskloom.session import materialize
 from riskloom.sources import bindings as bind
 
 OUTCOMES = ("mortality_30d", "mortality_90d", "mortality_1yr")
@@ -188,8 +189,9 @@ def subgroups(s, d):
 def anchoring_sensitivity(s, d):
     """B in all subjects, in those that both models scored, and in those with a recording inside an encounter."""
     p = bind.predictions(s, d).where("model_b_valid")
-    anchored = cohort.link_admissions(bind.records(s, d), bind.admissions(s, d)).select("subject_id").distinct().withColumn("_anchored", F.lit(True))
+    anchored = cohort.recordings_inside(bind.records(s, d), bind.admissions(s, d)).select("subject_id").distinct().withColumn("_anchored", F.lit(True))
     both = p.join(anchored, "subject_id", "left").withColumn("cohort", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("model_a_valid"), "joint"), F.when(F.col("_anchored"), "anchored")))))
+    both = materialize(both.select("cohort", "mortality_30d", "model_b_score"), "anchored")  # read several times
     return _rounded(metrics.discrimination(both, ["cohort"], "mortality_30d", "model_b_score"))
 
 

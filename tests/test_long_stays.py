@@ -6,6 +6,7 @@ import random
 import pytest
 
 from riskloom.operators import cohort, outcomes, sensitivity
+from riskloom.plans import queries
 
 DAY = dt.datetime(1995, 1, 1)
 
@@ -79,3 +80,8 @@ def test_index_cohorts_join_once(spark, tables):
         for x in sorted(rows, key=lambda x: (x[2] or dt.datetime.min, x[1]), reverse=True):
             want[x[0], name] = x[1]
     assert {(x.subject_id, x.cohort): x.index_study_id for x in got.collect()} == want and got.count() == len(want)
+
+
+def test_anchoring_sensitivity_joins_once(spark):
+    got = queries.anchoring_sensitivity(spark, "/root/testdata/sf0.001")
+    assert "_span" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 3
