@@ -116,9 +116,8 @@ def inhospital_mortality(s, d):
 
 
 def outcome_statistics(s, d):
-    o = _outcomes(s, d)
-    inside = outcomes.inhospital_mortality(o, bind.admissions(s, d))
-    return _rounded(outcomes.outcome_statistics(o.join(inside, "study_id", "left")))
+    inside = outcomes.first_encounters(_aged(s, d), bind.admissions(s, d)).drop("subject_id")
+    return _rounded(outcomes.outcome_statistics(_outcomes(s, d).join(inside, "study_id", "left")))
 
 
 def attrition(s, d):

@@ -85,3 +85,9 @@ def test_index_cohorts_join_once(spark, tables):
 def test_anchoring_sensitivity_joins_once(spark):
     got = queries.anchoring_sensitivity(spark, "/root/testdata/sf0.001")
     assert "_span" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 3
+
+
+def test_outcome_statistics_reads_each_table_few_times(spark):
+    """Once for the death table and once for the first encounters; before, the outcomes with all they read stood three times in the plan."""
+    plan = queries.outcome_statistics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "l_shipdate" in line for line in plan.splitlines()) == 2
