@@ -330,12 +330,15 @@ def lead_order(s, d):
 
 
 def recordings(s, d):
-    """A recording of 4 s at 100 Hz per vector: five beats whose waves follow the vector's components."""
+    """A recording of 4 s at 100 Hz per vector: five equal beats whose waves follow the vector's components. Vectors are dealt to all
+    cores first, as a file of some MB would be one task, and drawing and embedding cost thousands of times what reading does."""
     size = F.size("embedding")
     wave = lambda t, at, width: F.greatest(F.lit(0.0), 1.0 - F.abs(t % 80 - at) / float(width))
     part = lambda k: F.abs(F.get("embedding", (F.lit(k) % size)).cast("double"))
-    lead = lambda k: F.transform(F.sequence(F.lit(0), F.lit(399)), lambda t: (0.5 + part(k)) * wave(t, 40, 3) - part(k + 12) * wave(t, 36, 2) + (part(k + 24) - 0.1) * wave(t, 60, 8))
-    e = bind.table(s, d, "embeddings")
+    beat = lambda k: F.transform(F.sequence(F.lit(0), F.lit(79)), lambda t: (0.5 + part(k)) * wave(t, 40, 3) - part(k + 12) * wave(t, 36, 2) + (part(k + 24) - 0.1) * wave(t, 60, 8))
+    lead = lambda k: F.flatten(F.array_repeat(beat(k), 5))
+    tasks = max(int(s.conf.get("spark.sql.shuffle.partitions")), 4 * s.sparkContext.defaultParallelism)
+    e = bind.table(s, d, "embeddings").repartition(tasks, "vec_id")
     return e.select("vec_id", F.when(size > 0, F.array(*(lead(k) for k in range(12)))).alias("signal"), F.array(*map(F.lit, signals.CLINICAL)).alias("leads"))
 
 
